@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillpanel.functions.keys import clean_ticker, clean_uid, day, micros
-from quillpanel.llm import duplicates, nearest, top_items
+from quillpanel.llm import duplicates, leakage, nearest, packing, top_items
 from quillpanel.runtime import prepare, read
 
 HOUR = 3_600_000_000
@@ -77,9 +77,52 @@ SELECT headline_uid, strftime(date, '%Y-%m-%d') AS date FROM p WHERE apart <= 36
 QUALIFY row_number() OVER (PARTITION BY headline_uid ORDER BY apart, date) = 1"""
 
 
-QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p6_found": p6_found}
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return packing.packed_corpus(read(spark, sf_dir, "documents"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(_packed(spark, sf_dir))
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return leakage.leaked_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of each document, in words, that an item's phrases cover."""
+    return _spans(spark, sf_dir)
+
+
+def _p9_words(table: str, ident: str) -> str:
+    clean = r"regexp_replace(regexp_replace(lower(text), '<[^<>\n]{1,200}>', ' ', 'g'), '[''’`­​‌‍⁠﻿]', '', 'g')"
+    joined = rf"regexp_replace(regexp_replace({clean}, '([0-9])[.,]([0-9])', '\1\2', 'g'), '([0-9])[.,]([0-9])', '\1\2', 'g')"
+    return rf"SELECT {ident}, regexp_extract_all({joined}, '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL"
+
+
+def _p9_phrases(ident: str, words: str) -> str:
+    return f"SELECT DISTINCT {ident}, list_aggregate(w[k:k + 12], 'string_agg', ' ') AS phrase FROM (SELECT {ident}, w, unnest(range(1, len(w) - 11)) AS k FROM {words} WHERE len(w) >= 13)"
+
+
+_P9 = f"""
+WITH d AS ({_p9_words("documents", "doc_id")}), i AS ({_p9_words("eval_items", "item_id")}),
+dp AS ({_p9_phrases("doc_id", "d")}), ip AS ({_p9_phrases("item_id", "i")})
+SELECT DISTINCT doc_id, item_id FROM dp JOIN ip USING (phrase)"""
+
+
+QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p6_found": p6_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans}
 ORACLE = {
     "p2_found": _P2 + " SELECT DISTINCT a.uid AS uid_a, b.uid AS uid_b FROM k a JOIN k b ON a.ticker = b.ticker AND a.published_at = b.published_at AND a.fields = b.fields AND a.uid < b.uid",
     "p2_records": _P2 + " SELECT min(uid) AS headline_uid, CAST(sum(n) AS BIGINT) AS n_copies, count(DISTINCT uid) AS n_forms FROM k GROUP BY ticker, published_at, fields",
-    "p4_found": _P4, "p6_found": _P6,
+    "p4_found": _P4, "p6_found": _P6, "p9_found": _P9,
 }
