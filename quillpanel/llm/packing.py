@@ -77,7 +77,7 @@ def _cut(text: str, at: int) -> int:
 
 def pack(
     lengths: DataFrame, capacity: int = 2048, *, target: Mapping[str, float] | None = None,
-    window_containers: int = 64, shard_weight: int = 2_000_000,
+    window_containers: int = 64, shard_weight: int = 1_000_000,
 ) -> DataFrame:
     """``(container, doc_id, piece, first_token, n_tokens, source, shard, window)``: where every document lies.
 
