@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillpanel.functions.keys import clean_ticker, clean_uid, day, micros
-from quillpanel.llm import duplicates, leakage, nearest, packing, top_items
+from quillpanel.llm import duplicates, leakage, nearest, packing, subjects, top_items
 from quillpanel.runtime import prepare, read
 
 HOUR = 3_600_000_000
@@ -120,7 +120,25 @@ dp AS ({_p9_phrases("doc_id", "d")}), ip AS ({_p9_phrases("item_id", "i")})
 SELECT DISTINCT doc_id, item_id FROM dp JOIN ip USING (phrase)"""
 
 
-QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p6_found": p6_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans}
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    names = [r[0] for r in read(spark, sf_dir, "subjects").select("subject").distinct().orderBy("subject").limit(1000).collect()]
+    return subjects.assign(documents, subjects.mine(documents, read(spark, sf_dir, "doc_labels"), names))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir)
+
+
+def p10_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.makeup(read(spark, sf_dir, "documents"), _assigned(spark, sf_dir), read(spark, sf_dir, "subjects"))
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p6_found": p6_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans,
+    "p10_found": p10_found, "p10_makeup": p10_makeup,
+}
 ORACLE = {
     "p2_found": _P2 + " SELECT DISTINCT a.uid AS uid_a, b.uid AS uid_b FROM k a JOIN k b ON a.ticker = b.ticker AND a.published_at = b.published_at AND a.fields = b.fields AND a.uid < b.uid",
     "p2_records": _P2 + " SELECT min(uid) AS headline_uid, CAST(sum(n) AS BIGINT) AS n_copies, count(DISTINCT uid) AS n_forms FROM k GROUP BY ticker, published_at, fields",
