@@ -43,7 +43,7 @@ class References:
     period: Column
 
 
-def find_orphans(parents: Sequence[Parents], references: Sequence[References], keys_per_range: int = 200_000, slice_rows: int = 1_000_000) -> DataFrame:
+def find_orphans(parents: Sequence[Parents], references: Sequence[References], keys_per_range: int = 20_000, slice_rows: int = 1_000_000) -> DataFrame:
     """Rows ``(table_name, record_key, period)`` of references that lead nowhere, each once.
 
     - A null in any part of a reference's key leads nowhere; a null in a parent's key makes no parent.
