@@ -8,23 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillpanel.config import SETTINGS
 from quillpanel.functions.numbers import ratio, row_mean, weighted_sum
 from quillpanel.functions.stats import average_rank, guarded_corr
 
-_DAY = Window.partitionBy("date")
+
+def _day() -> WindowSpec:
+    return Window.partitionBy("date")
 
 
 def panel(features: DataFrame, least: int = SETTINGS.min_names_per_day) -> DataFrame:
     """Feature rows of days with at least ``least`` names."""
-    return features.withColumn("_names", F.count("*").over(_DAY)).where(F.col("_names") >= least).drop("_names")
+    return features.withColumn("_names", F.count("*").over(_day())).where(F.col("_names") >= least).drop("_names")
 
 
 def _z(c: Column) -> Column:
-    return F.coalesce(ratio(c - F.avg(c).over(_DAY), F.nullif(F.stddev_samp(c).over(_DAY), F.lit(0.0))), F.lit(0.0))
+    return F.coalesce(ratio(c - F.avg(c).over(_day()), F.nullif(F.stddev_samp(c).over(_day()), F.lit(0.0))), F.lit(0.0))
 
 
 def zscored(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -44,10 +46,10 @@ def with_relative_target(df: DataFrame, forward: str = "fwd_ret_1d") -> DataFram
     Ties are ordered by ticker. On a day with an odd number of names the middle
     one is left out, so the halves are equal.
     """
-    order = _DAY.orderBy(forward, "ticker")
-    ranked = df.withColumns({"fwd_ret_rel": F.col(forward) - F.median(forward).over(_DAY), "_rn": F.row_number().over(order), "_n": F.count("*").over(_DAY)})
+    order = _day().orderBy(forward, "ticker")
+    ranked = df.withColumns({"fwd_ret_rel": F.col(forward) - F.median(forward).over(_day()), "_rn": F.row_number().over(order), "_n": F.count("*").over(_day())})
     even = ranked.where((F.col("_n") % 2 == 0) | (F.col("_rn") != (F.col("_n") + 1) / 2))
-    half = even.withColumns({"_rn": F.row_number().over(order), "_n": F.count("*").over(_DAY)})
+    half = even.withColumns({"_rn": F.row_number().over(order), "_n": F.count("*").over(_day())})
     return half.withColumn("target_rel", (F.col("_rn") > F.col("_n") / 2).cast("int")).drop("_rn", "_n")
 
 
@@ -77,8 +79,8 @@ def legs(df: DataFrame, score: str, n_side: int | None = None, forward: str = "f
     ``k`` a side is ``n_side``, else a quarter of the names, two at least; days
     with fewer than ``2 k`` names have no position. Ties are ordered by ticker.
     """
-    order = _DAY.orderBy(F.col(score), "ticker")
-    rows = df.where(F.col(score).isNotNull()).select("date", "ticker", F.col(score), F.col(forward).alias("ret"), F.row_number().over(order).alias("_rn"), F.count("*").over(_DAY).alias("_n"))
+    order = _day().orderBy(F.col(score), "ticker")
+    rows = df.where(F.col(score).isNotNull()).select("date", "ticker", F.col(score), F.col(forward).alias("ret"), F.row_number().over(order).alias("_rn"), F.count("*").over(_day()).alias("_n"))
     k = F.lit(n_side) if n_side else F.greatest(F.lit(2), F.floor(F.col("_n") / 4))
     rows = rows.withColumn("_k", k).where(F.col("_n") >= 2 * F.col("_k"))
     side = F.when(F.col("_rn") <= F.col("_k"), -1.0).when(F.col("_rn") > F.col("_n") - F.col("_k"), 1.0)

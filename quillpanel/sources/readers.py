@@ -30,7 +30,7 @@ def load_raw(spark: SparkSession, paths: Sequence[str], tickers: Sequence[str] =
 
 
 #: A price file's columns.
-PRICE_CSV = T._parse_datatype_string("Date date, Open double, High double, Low double, Close double, Volume double")
+PRICE_CSV = T.StructType([T.StructField("Date", T.DateType()), *[T.StructField(c, T.DoubleType()) for c in ("Open", "High", "Low", "Close", "Volume")]])
 
 
 def csv_prices(spark: SparkSession, paths: Mapping[str, str], start: str, end: str) -> DataFrame:
