@@ -11,9 +11,12 @@ from quillpanel.operators import sessions as S
 
 
 def daily_news(headlines: DataFrame, sentiment: DataFrame, model: str, least: int = 3) -> DataFrame:
-    """``(ticker, news_date, sent, n)`` per UTC day of publication with at least ``least`` scored headlines."""
+    """``(ticker, news_date, sent, n)`` per UTC day of publication with at least ``least`` scored headlines.
+
+    Means are rounded to 12 places, so that equal ones tie whatever order they were summed in.
+    """
     scored = headlines.select("headline_uid", "ticker", "published_at").join(sentiment.where(F.col("model") == model).select("headline_uid", "score"), "headline_uid")
-    return scored.groupBy("ticker", F.to_date("published_at").alias("news_date")).agg(F.avg("score").alias("sent"), F.count("score").alias("n")).where(F.col("n") >= least)
+    return scored.groupBy("ticker", F.to_date("published_at").alias("news_date")).agg(F.round(F.avg("score"), 12).alias("sent"), F.count("score").alias("n")).where(F.col("n") >= least)
 
 
 def lead_lag_pairs(news: DataFrame, prices: DataFrame, max_lag: int = 3) -> DataFrame:

@@ -58,12 +58,13 @@ def prior_score(df: DataFrame, signs: Mapping[str, float] = SETTINGS.sign_prior)
     return df.withColumn("prior", weighted_sum(signs, df.columns))
 
 
-def daily_ic(df: DataFrame, score: str, forward: str = "fwd_ret_1d", least: int = SETTINGS.min_names_per_day) -> DataFrame:
-    """``(date, ic)``: the day's rank correlation; no row for days with few names, fewer than two returns, or a constant side."""
-    whole = df.select("date", F.col(score).alias("_s"), F.col(forward).alias("_r")).where("_s is not null and _r is not null")
-    ranked = whole.withColumns({"_rs": average_rank(F.col("_s"), ["date"]), "_rr": average_rank(F.col("_r"), ["date"])})
-    days = ranked.groupBy("date").agg(F.count("*").alias("_n"), F.count_distinct("_r").alias("_d"), guarded_corr(F.col("_rs"), F.col("_rr")).alias("ic"))
-    return days.where((F.col("_n") >= least) & (F.col("_d") >= 2) & F.col("ic").isNotNull()).select("date", "ic")
+def daily_ic(df: DataFrame, score: str, forward: str = "fwd_ret_1d", least: int = SETTINGS.min_names_per_day, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, date, ic)``: the day's rank correlation; no row for days with few names, fewer than two returns, or a constant side."""
+    keys = [*by, "date"]
+    whole = df.select(*keys, F.col(score).alias("_s"), F.col(forward).alias("_r")).where("_s is not null and _r is not null")
+    ranked = whole.withColumns({"_rs": average_rank(F.col("_s"), keys), "_rr": average_rank(F.col("_r"), keys)})
+    days = ranked.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_distinct("_r").alias("_d"), guarded_corr(F.col("_rs"), F.col("_rr")).alias("ic"))
+    return days.where((F.col("_n") >= least) & (F.col("_d") >= 2) & F.col("ic").isNotNull()).select(*keys, "ic")
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def boosted(train: DataFrame, columns: Sequence[str], target: str = "target_next
     rows = assemble.transform(train.dropna(subset=[target])).withColumns({"_y": F.col(target).cast("double"), "_held": F.rand(seed) < held}).select("_x", "_y", "_held").persist()
     try:
         model = GBTClassifier(featuresCol="_x", labelCol="_y", maxDepth=depth, maxIter=rounds, stepSize=step, seed=seed, maxBins=64).fit(rows.where(~F.col("_held")))
-        staged = model.evaluateEachIteration(rows.where("_held"), "logistic") if held else []
+        staged = model.evaluateEachIteration(rows.where("_held")) if held else []
     finally:
         rows.unpersist()
     best = 1 + min(range(len(staged)), key=staged.__getitem__) if staged and not math.isnan(staged[0]) else rounds
@@ -233,22 +233,23 @@ def walk_forward_blend(panel: DataFrame, columns: Sequence[str], prior: Mapping[
     A year needs enough history. The fit does not depend on the blend, so there
     is one per year.
     """
-    years = [r[0] for r in panel.select(F.year("date").alias("y")).distinct().orderBy("y").collect()]
-    fits = []
-    for y in years[1:]:
-        past, fold = panel.where(F.year("date") < y), panel.where(F.year("date") == y)
-        if past.count() >= least_history:
-            fits.append((logistic(past, columns, target, balanced=False), fold))
-    best, best_ic = grid[0], -math.inf
-    for blend in grid:
-        got = []
-        for fit, fold in fits:
-            scored = shrunk_score(fold, fit.scaler, blended(fit.coefficients, prior, blend), "_score")
-            ic = XS.ic_summary(XS.daily_ic(scored, "_score", least=least_names)).first()["mean_ic"]
-            if ic is not None:
-                got.append(ic)
-        if got and sum(got) / len(got) > best_ic:
-            best, best_ic = blend, sum(got) / len(got)
+    sizes = {r["y"]: r["n"] for r in panel.groupBy(F.year("date").alias("y")).agg(F.count("*").alias("n")).collect()}  # one row a year
+    scored = None
+    for y in sorted(sizes)[1:]:
+        if sum(n for past, n in sizes.items() if past < y) < least_history:
+            continue
+        fit = logistic(panel.where(F.year("date") < y), columns, target, balanced=False)
+        ways = F.array(*[
+            F.struct(F.lit(g).alias("blend"), sum((F.lit(w) * fit.scaler.column(c) for c, w in blended(fit.coefficients, prior, g).items()), F.lit(0.0)).alias("score")) for g in grid
+        ])
+        fold = panel.where(F.year("date") == y).select("date", "fwd_ret_1d", F.explode(ways).alias("_w")).select("date", "fwd_ret_1d", "_w.*")
+        scored = fold if scored is None else scored.unionByName(fold)
+    if scored is None:
+        return grid[0]
+    ic = XS.daily_ic(scored, "score", least=least_names, by=["blend"])
+    yearly = ic.groupBy("blend", F.year("date").alias("y")).agg(F.avg("ic").alias("ic")).groupBy("blend").agg(F.avg("ic").alias("ic")).collect()  # one row a blend
+    got = {r["blend"]: r["ic"] for r in yearly}
+    best = max((g for g in grid if got.get(g) is not None), key=lambda g: got[g], default=grid[0])
     return best
 
 

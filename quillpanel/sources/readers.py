@@ -92,3 +92,8 @@ def pick(df: DataFrame, allowed: Sequence[str], *columns: str) -> DataFrame:
         if c not in allowed:
             raise ValueError(f"unknown column {c!r}")
     return df.select(*columns)
+
+
+def price_window(prices: DataFrame, start: str, end: str, warmup_days: int = 90, tail_days: int = 10) -> DataFrame:
+    """Prices from ``warmup_days`` before ``start``, which windows need, to ``tail_days`` after ``end``, which labels need."""
+    return prices.where(F.col("date").between(F.date_sub(F.lit(start).cast("date"), warmup_days), F.date_add(F.lit(end).cast("date"), tail_days)))
