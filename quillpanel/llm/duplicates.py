@@ -28,8 +28,8 @@ def canonical(text: Column, separator: str = "|") -> Column:
     on to a letter or digit on its left is a hyphen, not a minus), a thousands
     comma goes, and two numbers side by side stay two. Null stays null.
     """
-    s = F.lower(F.upper(text))
-    s = F.translate(s, _DASHES, "-" * len(_DASHES))
+    s = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    s = F.translate(s, _DASHES + "ς", "-" * len(_DASHES) + "σ")
     s = F.regexp_replace(s, r"(?<=\p{Nd}),(?=\p{Nd}{3}(?!\p{Nd}))", "")
     s = F.regexp_replace(s, r"\.(?=\p{Nd})", "\u0001")
     s = F.regexp_replace(s, r"(?<![\p{L}\p{N}])-(?=\p{Nd})", "\u0002")

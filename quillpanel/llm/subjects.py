@@ -96,6 +96,7 @@ def mine(documents: DataFrame, labels: DataFrame, subjects: Sequence[str], max_l
     documents are set aside. Without labels there are no rules.
     """
     known = F.col("subject").isin(list(subjects))
+    documents, labels = documents.select("doc_id", "text"), labels.select("doc_id", "subject")
     per_doc = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(known, F.col("subject")))).alias("subjects"))
     sample = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     labelled = documents.join(F.broadcast(sample), "doc_id").where("text is not null")  # at most max_labelled short rows
@@ -126,7 +127,7 @@ def _mine(split: DataFrame, subjects: list[str], support: float, least_count: in
         rules, groups = Rules(), {}
         for w in sorted(words, key=lambda r: r["word"]):
             lift = max((w[f"c{i}"] / w["n"] / share[f"c{i}"] for i in range(len(subjects)) if share[f"c{i}"]), default=0)
-            if w["n"] > 0.05 * n and lift < 2:
+            if w["n"] > 0.05 * n and lift < 2 and max((w[f"c{i}"] for i in range(len(subjects))), default=0) < SURE * w["n"]:
                 continue  # says nothing and is everywhere
             # Words that occur in the very same sentences are one item.
             rules.item[w["word"]] = groups.setdefault((w["n"], w["mark"], w["mark2"]), len(groups))
