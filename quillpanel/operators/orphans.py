@@ -33,7 +33,10 @@ class Parents:
 
 @dataclass(frozen=True)
 class References:
-    """Rows that refer to a parent: ``relation`` may differ by row, ``record`` names the row, ``period`` its period."""
+    """Rows that refer to a parent: ``relation`` may differ by row, ``record`` names the row, ``period`` its period.
+
+    ``rows`` must be a scan or a map over one (not a result of a shuffle), so that a row keeps its place when a task is run again.
+    """
 
     table: str
     rows: DataFrame
@@ -83,7 +86,8 @@ def find_orphans(parents: Sequence[Parents], references: Sequence[References], k
         )
         refs = rows if refs is None else refs.unionByName(rows)
     refs = refs.withColumn("bucket", key_range(F.col("r1"), n_ranges))
-    missing = bucketed_probe(live, refs, _sorted_keys, _misses, "table_name string, record_key string, period string", slice_rows)
+    # Repeats of one reference may be a third of the rows: they are told apart by their place in the scan.
+    missing = bucketed_probe(live, refs, _sorted_keys, _misses, "table_name string, record_key string, period string", slice_rows, F.monotonically_increasing_id())
     return missing.distinct()
 
 

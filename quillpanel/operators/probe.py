@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,7 @@ def bucketed_probe(
     probe_index: Callable[[object, pa.RecordBatch], pa.RecordBatch],
     schema: str,
     slice_rows: int = 1_000_000,
+    spread: Column | None = None,
 ) -> DataFrame:
     """Stream ``probe`` against an index made of each bucket's ``build`` rows.
 
@@ -40,6 +41,10 @@ def bucketed_probe(
     a bucket's build rows (perhaps none); ``probe_index`` gets it with a run of
     that bucket's probe rows and returns rows of ``schema``. An empty side is
     fine: no probe rows give no result rows.
+
+    ``spread`` tells probe rows of a bucket apart for slicing; by default it is a
+    hash of the row. It must give a row the same value when a lost task is run
+    again: give a row number only over a scan.
     """
     build_fields = [f for f in build.schema.fields if f.name != "bucket"]
     probe_fields = [f for f in probe.schema.fields if f.name != "bucket"]
@@ -57,7 +62,7 @@ def bucketed_probe(
         "bucket", F.explode(F.sequence(F.lit(0), many - 1)).alias("slice"), F.lit(0).alias("side"), *own(build_fields), *none(probe_fields)
     )
     p = probe.join(slices, "bucket", "left").select(
-        "bucket", F.pmod(F.monotonically_increasing_id(), many).cast("int").alias("slice"), F.lit(1).alias("side"), *none(build_fields), *own(probe_fields)
+        "bucket", F.pmod(spread if spread is not None else F.xxhash64(*own(probe_fields)), many).cast("int").alias("slice"), F.lit(1).alias("side"), *none(build_fields), *own(probe_fields)
     )
     rows = b.unionByName(p).repartition("bucket", "slice").sortWithinPartitions("bucket", "slice", "side")
     b_names, p_names = [f.name for f in build_fields], [f.name for f in probe_fields]

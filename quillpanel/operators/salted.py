@@ -27,9 +27,9 @@ def heavy_keys(rows: DataFrame, key: Column, share: float = 1 / 256, salt_share:
 
     A heavy key gets one salt per ``salt_share`` of all rows.
     """
+    total = rows.count()
     counts = rows.select(key.alias("heavy_key")).groupBy("heavy_key").agg(F.count("*").alias("n"))
-    total = rows.agg(F.count("*").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("n") > share * F.col("total")).select("heavy_key", F.ceil(F.col("n") / (salt_share * F.col("total"))).cast("int").alias("salts"))
+    return counts.where(F.col("n") > share * total).select("heavy_key", F.ceil(F.col("n") / max(1.0, salt_share * total)).cast("int").alias("salts"))
 
 
 def salted_summary(rows: DataFrame, key: Column, moment: Column, distinct: Mapping[str, Column], share: float = 1 / 256) -> DataFrame:
