@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillpanel.functions.keys import hash128
+
 #: Rows a worker holds before it gives up the survivors it has and starts over: bounds of a part are valid too.
 HELD_ROWS = 400_000
 
@@ -33,32 +35,30 @@ def top_n(rows: DataFrame, group: Sequence[str], item: str, score: str, n: int)
     names = [f"g{i}" for i in range(len(group))]
     items = rows.select(*keys, F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{score}`").cast("double").alias("score")).where("item is not null and score is not null and not isnan(score)")
     items = items.groupBy(*names, "item").agg(F.max("score").alias("score"))
-    marked = [c for g in names for c in (F.col(g).isNull(), F.col(g))]
-    local = items.withColumn("g", F.xxhash64(*marked))
+    g1, g2 = hash128(*[F.col(g) for g in names])
+    local = items.select(*names, "item", "score", g1.alias("g"), g2.alias("h"))
     types = {f.name: f.dataType.simpleString() for f in local.schema.fields}
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", bound_score double, bound_item string"
-    best = local.mapInArrow(_local_best(n), schema)
+    # One exchange by group: the bounds, their join, and the ranking all lie on it.
+    best = local.mapInArrow(_local_best(n), schema).repartition("g", "h")
 
     bound = F.min(F.when(F.col("bound_score").isNotNull(), F.struct((-F.col("bound_score")).alias("s"), F.col("bound_item").alias("i"))))
-    bounds = best.groupBy(*names).agg(bound.alias("b")).where("b is not null").select(*[F.col(g).alias(f"b_{g}") for g in names], (-F.col("b.s")).alias("least"), F.col("b.i").alias("least_item"))
-    same = F.lit(True)
-    for g in names:
-        same = same & F.col(g).eqNullSafe(F.col(f"b_{g}"))
-    kept = best.join(bounds, same, "left").where("least is null or score > least or (score = least and item <= least_item)")
-    place = F.row_number().over(Window.partitionBy(*names).orderBy(F.desc("score"), "item"))
+    bounds = best.groupBy("g", "h").agg(bound.alias("b")).where("b is not null").select("g", "h", (-F.col("b.s")).alias("least"), F.col("b.i").alias("least_item"))
+    kept = best.join(bounds, ["g", "h"], "left").where("least is null or score > least or (score = least and item <= least_item)")
+    place = F.row_number().over(Window.partitionBy("g", "h").orderBy(F.desc("score"), "item"))
     ranked = kept.select(*names, "item", "score", place.alias("place")).where(F.col("place") <= n)
     return ranked.select(*[F.col(a).alias(g) for a, g in zip(names, group)], F.col("item").alias(item), F.col("score").alias(score))
 
 
 def _local_best(n: int):
     def best_of(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-        """The n best per group in order; the place of each, and where groups start."""
-        table = table.take(pc.sort_indices(table, sort_keys=[("g", "ascending"), ("score", "descending"), ("item", "ascending")]))
-        g = table.column("g").to_numpy()
-        first = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
+        """The n best per group in order; the place of each in its group, and the number of its group."""
+        table = table.take(pc.sort_indices(table, sort_keys=[("g", "ascending"), ("h", "ascending"), ("score", "descending"), ("item", "ascending")]))
+        g, h = table.column("g").to_numpy(), table.column("h").to_numpy()
+        first = np.concatenate(([True], (g[1:] != g[:-1]) | (h[1:] != h[:-1]))) if len(g) else np.zeros(0, bool)
         start = np.maximum.accumulate(np.where(first, np.arange(len(g)), 0)) if len(g) else np.zeros(0, np.int64)
         keep = np.arange(len(g)) - start < n
-        return table.filter(pa.array(keep)), (np.arange(len(g)) - start)[keep], g[keep]
+        return table.filter(pa.array(keep)), (np.arange(len(g)) - start)[keep], np.cumsum(first)[keep]
 
     def survivors(table: pa.Table) -> pa.RecordBatch:
         table, place, g = best_of(table)
