@@ -109,11 +109,9 @@ def pack(
         given = F.map_from_arrays(F.array(*[F.lit(s) for s in target]), F.array(*[F.lit(float(x)) for x in target.values()]))
         shares = shares.select("source", F.coalesce(F.try_element_at(given, F.col("source")), F.lit(0.0)).alias("share"))
     by_shard = sums.groupBy("shard").agg(F.sum("tokens").alias("shard_tokens"))
-    # One row per shard here, each standing for two million tokens: a terabyte of text is some 100,000 rows.
-    so_far = by_shard.select("shard", (F.sum("shard_tokens").over(Window.partitionBy(F.lit(0)).orderBy("shard")) - F.col("shard_tokens")).alias("before"))
-    own = F.sum("tokens").over(Window.partitionBy("source").orderBy("shard")) - F.col("tokens")
+    so_far = _before(by_shard, [], "shard_tokens", "before")
     owed = (
-        sums.withColumn("own_before", own).join(so_far, "shard").join(shares, "source")
+        _before(sums, ["source"], "tokens", "own_before").join(so_far.select("shard", "before"), "shard").join(shares, "source")
         .select(F.col("shard").alias("to_shard"), F.col("source").alias("to_source"), "share", (F.col("share") * F.col("before") - F.col("own_before")).alias("deficit"))
     )
     schema = "container bigint, doc_id bigint, piece int, first_token bigint, n_tokens bigint, source string, shard int, window int"
@@ -121,6 +119,20 @@ def pack(
     return docs.groupBy("shard").cogroup(owed.groupBy("to_shard")).applyInPandas(_packer(capacity, window_containers * capacity), schema)
 
 
+def _before(sums: DataFrame, by: list[str], value: str, out: str, block: int = 4096) -> DataFrame:
+    """``sums`` with the sum of ``value`` over the shards before each row's, per ``by``.
+
+    Prefix sums on two levels: within blocks of shards, and over the blocks'
+    totals, so no task has to take all shards in order.
+    """
+    blocked = sums.withColumn("_block", F.call_function("div", F.col("shard"), F.lit(block)))
+    inside = F.sum(value).over(Window.partitionBy(*by, "_block").orderBy("shard")) - F.col(value)
+    totals = blocked.groupBy(*by, "_block").agg(F.sum(value).alias("_total"))
+    over = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_block")
+    starts = totals.select(*by, "_block", (F.sum("_total").over(over) - F.col("_total")).alias("_start"))
+    return blocked.withColumn("_inside", inside).join(starts, [*by, "_block"]).withColumn(out, F.col("_start") + F.col("_inside")).drop("_block", "_inside", "_start")
+
+
 def _packer(capacity: int, window_tokens: int):
     columns = ["container", "doc_id", "piece", "first_token", "n_tokens", "source", "shard", "window"]
 
