@@ -38,6 +38,14 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_JOINED.sub("", text))
 
 
+def _numbers(text: str | None, number: dict[str, int]) -> np.ndarray:
+    """The text's words as numbers, 2 for words that no phrase has. A long text is never a list of its words."""
+    if text and len(text) > 1_000_000:
+        text = _JOINED.sub("", _TAG.sub(" ", text.lower()))
+        return np.fromiter((number.get(m.group(), 2) for m in _WORD.finditer(text)), np.int64)
+    return np.fromiter((number.get(x, 2) for x in words(text)), np.int64)
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffixes of ``text`` in order, by prefix doubling over the groups that are still equal.
 
@@ -159,51 +167,57 @@ class Phrases:
 
 
 class Shard:
-    """Documents gathered for one index."""
+    """Documents, or parts of a long one, gathered for one index."""
 
     def __init__(self, phrases: Phrases):
         self.phrases = phrases
         self.docs: list[int] = []
+        self.offsets: list[int] = []
         self.parts: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, doc: int, text: str | None) -> None:
-        number = self.phrases.number
-        w = np.fromiter((number.get(x, 2) for x in words(text)), np.int64)
-        if len(w) >= self.phrases.length:
+    def add(self, doc: int, part: np.ndarray, offset: int = 0) -> None:
+        if len(part) >= self.phrases.length:
             self.docs.append(doc)
-            self.parts.append(w)
-            self.size += len(w) + 1
+            self.offsets.append(offset)
+            self.parts.append(part)
+            self.size += len(part) + 1
 
-    def spans(self) -> pa.RecordBatch:
-        """``(doc_id, item_id, first_word, last_word)``: merged occurrences of each item's phrases."""
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where phrases occur: document, item, and first word in the document."""
         p = self.phrases
-        doc = item = first = np.zeros(0, np.int64)
-        if self.docs and len(p.rows):
-            sizes = np.array([len(x) + 1 for x in self.parts])
-            start = np.concatenate(([0], np.cumsum(sizes)))
-            text = np.ones(start[-1] + 1, np.int64)
-            for s, part in zip(start.tolist(), self.parts):
-                text[s : s + len(part)] = part
-            text[-1] = 0
-            index = FMIndex(text, p.symbols)
-            low, high = index.search(p.rows)
-            found = np.flatnonzero(high > low)
-            count = (high - low)[found]
-            phrase = np.repeat(found, count)
-            row = np.repeat(low[found], count) + _within(count)
-            at = index.locate(row)
-            which = np.searchsorted(start, at, side="right") - 1
-            own = (p.items_from[1:] - p.items_from[:-1])[phrase]
-            item = p.items[np.repeat(p.items_from[phrase], own) + _within(own)]
-            doc, first = np.repeat(np.array(self.docs, np.int64)[which], own), np.repeat(at - start[which], own)
-        order = np.lexsort((first, item, doc))
-        doc, item, first = doc[order], item[order], first[order]
-        same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (first[1:] - first[:-1] <= p.length) if len(doc) else np.zeros(0, bool)
-        begins = np.flatnonzero(np.concatenate(([True], ~same))) if len(doc) else np.zeros(0, np.int64)
-        ends = np.append(begins[1:], len(doc)) - 1 if len(doc) else begins
-        self.__init__(p)
-        return pa.RecordBatch.from_arrays([pa.array(doc[begins]), pa.array(item[begins]), pa.array(first[begins]), pa.array(first[ends] + p.length - 1)], ["doc_id", "item_id", "first_word", "last_word"])
+        none = np.zeros(0, np.int64)
+        if not self.docs or not len(p.rows):
+            return none, none, none
+        sizes = np.array([len(x) + 1 for x in self.parts])
+        start = np.concatenate(([0], np.cumsum(sizes)))
+        text = np.ones(start[-1] + 1, np.int64)
+        for s, part in zip(start.tolist(), self.parts):
+            text[s : s + len(part)] = part
+        text[-1] = 0
+        index = FMIndex(text, p.symbols)
+        low, high = index.search(p.rows)
+        found = np.flatnonzero(high > low)
+        count = (high - low)[found]
+        phrase = np.repeat(found, count)
+        at = index.locate(np.repeat(low[found], count) + _within(count))
+        which = np.searchsorted(start, at, side="right") - 1
+        own = (p.items_from[1:] - p.items_from[:-1])[phrase]
+        item = p.items[np.repeat(p.items_from[phrase], own) + _within(own)]
+        first = at - start[which] + np.array(self.offsets, np.int64)[which]
+        return np.repeat(np.array(self.docs, np.int64)[which], own), item, np.repeat(first, own)
+
+
+def spans(hits: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> pa.RecordBatch:
+    """``(doc_id, item_id, first_word, last_word)``: overlapping and touching occurrences of an item's phrases as one."""
+    doc, item, first = (np.concatenate([np.zeros(0, np.int64), *part]) for part in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((first, item, doc))
+    doc, item, first = doc[order], item[order], first[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (first[1:] - first[:-1] > length)
+    begins = np.flatnonzero(new)
+    ends = np.append(begins[1:], len(doc))[: len(begins)] - 1
+    return pa.RecordBatch.from_arrays([pa.array(doc[begins]), pa.array(item[begins]), pa.array(first[begins]), pa.array(first[ends] + length - 1)], ["doc_id", "item_id", "first_word", "last_word"])
 
 
 def _within(count: np.ndarray) -> np.ndarray:
@@ -223,7 +237,7 @@ def leaked_spans(
 
     - Null, empty and shorter texts, on either side, hold nothing. Null ids are left out.
     - Repeated documents are each reported; repeated items too, by their ids.
-    - A document of any length is searched whole: it is a shard by itself.
+    - A document of any length is searched whole: a long one in parts that overlap by a phrase less one word, its spans merged over them.
     - No documents or no items give no rows. Other columns are not read.
 
     Items are read to the driver in blocks of at most ``block_chars`` characters
@@ -243,14 +257,27 @@ def leaked_spans(
 
 
 def _searcher(phrases: Phrases, shard_words: int):
+    overlap = phrases.length - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard(phrases)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard.add(doc, text.as_py())
+                w = _numbers(text.as_py(), phrases.number)
+                if len(w) > 2 * shard_words:
+                    # Parts share all but one word of a phrase, so each occurrence lies in just one of them.
+                    found = []
+                    for at in range(0, len(w) - overlap, shard_words):
+                        part = Shard(phrases)
+                        part.add(doc, w[at : at + shard_words + overlap], at)
+                        found.append(part.hits())
+                    yield spans(found, phrases.length)
+                    continue
+                shard.add(doc, w)
                 if shard.size >= shard_words:
-                    yield shard.spans()
+                    yield spans([shard.hits()], phrases.length)
+                    shard = Shard(phrases)
         if shard.size:
-            yield shard.spans()
+            yield spans([shard.hits()], phrases.length)
 
     return run

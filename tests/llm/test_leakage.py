@@ -93,5 +93,13 @@ def test_a_very_long_document(spark):
     assert _spans(spark, [(1, text), (2, "short")], [(7, item)], shard_words=10_000) == [(1, 7, 200_000, 200_019)]
 
 
+def test_parts_of_a_long_document_lose_nothing(spark):
+    random.seed(8)
+    item = " ".join(f"w{k}" for k in range(60))
+    text = " ".join(random.choice("xyz") for _ in range(95)) + " " + item + " " + " ".join(random.choice("xyz") for _ in range(60))
+    for words in (10, 17, 30, 70):
+        assert _spans(spark, [(1, text)], [(7, item)], shard_words=words) == [(1, 7, 95, 154)]
+
+
 def test_empty(spark):
     assert _spans(spark, [], [(1, "a b")]) == [] and _spans(spark, [(1, "a b")], []) == []
