@@ -38,12 +38,11 @@ _END = re.compile(r"(?<=[.!?;…])[\"”’)\]]*\s+|\n\s*\n")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def sentences(text: str | None) -> list[list[str]]:
+def sentences(text: str | None) -> Iterator[list[str]]:
     """The words of each sentence, lower case, each once and in order; null and blank texts have none."""
-    if not text:
-        return []
-    parts = (sorted(set(_WORD.findall(s.lower()))) for s in _END.split(_TAG.sub("\n\n", text)))
-    return [p for p in parts if p]
+    for s in _END.split(_TAG.sub("\n\n", text)) if text else ():
+        if words := sorted(set(_WORD.findall(s.lower()))):
+            yield words
 
 
 @dataclass
@@ -265,8 +264,7 @@ def assign(documents: DataFrame, rules: Rules) -> DataFrame:
 
 def makeup(documents: DataFrame, assigned: DataFrame, subjects: DataFrame) -> DataFrame:
     """``(subject, n_documents, share)`` of all documents for every subject."""
-    total = documents.agg(F.count("*").alias("total"))
+    total = documents.count()
     counts = assigned.groupBy("subject").agg(F.count("*").alias("n"))
-    return subjects.select("subject").distinct().join(counts, "subject", "left").crossJoin(F.broadcast(total)).select(
-        "subject", F.coalesce("n", F.lit(0)).alias("n_documents"), F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)).cast("double"), F.col("total")), F.lit(0.0)).alias("share")
-    )
+    n = F.coalesce("n", F.lit(0))
+    return subjects.select("subject").distinct().join(counts, "subject", "left").select("subject", n.alias("n_documents"), (n / F.lit(float(max(1, total)))).alias("share"))

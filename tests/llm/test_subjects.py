@@ -68,8 +68,8 @@ def test_makeup(spark):
 
 
 def test_sentences():
-    assert S.sentences("One two. <p>Three; four</p> 5 6.") == [["one", "two"], ["three"], ["four"]]
-    assert S.sentences(None) == S.sentences("") == []
+    assert list(S.sentences("One two. <p>Three; four</p> 5 6.")) == [["one", "two"], ["three"], ["four"]]
+    assert list(S.sentences(None)) == list(S.sentences("")) == []
 
 
 def test_exceptions_silence_a_rule():
