@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillpanel.functions.numbers import finite, ratio
+from quillpanel.runtime import write_table
 
 
 def guarded_corr(x: Column, y: Column) -> Column:
@@ -24,28 +25,39 @@ def average_rank(x: Column, by: Sequence[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(same) - 1) / 2
 
 
-def with_pooled_rank(df: DataFrame, by: str, column: str, out: str, buckets: int = 256) -> DataFrame:
+def value_ranges(df: DataFrame, columns: Sequence[str], ranges: int = 256) -> dict[str, list[float]]:
+    """Inner edges that cut each column's values into about equally filled ranges: one aggregate for all columns."""
+    at = [i / ranges for i in range(1, ranges)]
+    row = df.agg(*[F.percentile_approx(c, at, 10_000).alias(c) for c in columns]).first()
+    return {c: sorted({float(e) for e in row[c] or []}) for c in columns}
+
+
+def with_pooled_rank(df: DataFrame, by: str, column: str, out: str, edges: Sequence[float] | None = None) -> DataFrame:
     """``df`` with the average rank of ``column`` among all rows of the same ``by``, whatever their number.
 
-    No task sorts a whole group: values are cut into ranges at quantiles, ranks
+    No task sorts a whole group: values are cut into ranges at ``edges``, ranks
     are prefix sums over the ranges' totals and over the counts of values within
-    a range. A value that many rows share is one row of the prefix sums.
+    a range. A value that many rows share is one row of the prefix sums. ``df``
+    is read several times: give a stored table.
     """
-    edges = df.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    edges = sorted(set(edges))
-    where = F.lit(0) if not edges else F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(column)))
+    edges = value_ranges(df, [column])[column] if edges is None else edges
+    where = F.lit(0) if not edges else F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(column)))
     counts = df.groupBy(by, column).agg(F.count("*").alias("_n")).withColumn("_range", where)
     inside = F.sum("_n").over(Window.partitionBy(by, "_range").orderBy(column))
     totals = counts.groupBy(by, "_range").agg(F.sum("_n").alias("_total"))
-    before = totals.select(by, "_range", (F.sum("_total").over(Window.partitionBy(by).orderBy("_range")) - F.col("_total")).alias("_before"))  # at most `buckets` rows a group
+    before = totals.select(by, "_range", (F.sum("_total").over(Window.partitionBy(by).orderBy("_range")) - F.col("_total")).alias("_before"))  # at most as many rows a group as ranges
     ranks = counts.withColumn("_inside", inside).join(before, [by, "_range"]).select(by, column, (F.col("_before") + F.col("_inside") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [by, column])
 
 
 def pooled_spearman(pairs: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """``(by, rho, n)``: Spearman correlation per group over all its pairs; pairs with a null are left out before ranking."""
-    whole = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    ranked = with_pooled_rank(with_pooled_rank(whole, by, "_x", "_rx"), by, "_y", "_ry")
+    """``(by, rho, n)``: Spearman correlation per group over all its pairs; pairs with a null are left out before ranking.
+
+    The pairs, three columns, are stored once in the shared folder: ranking reads them several times.
+    """
+    whole = write_table(pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, F.col(x).alias("_x"), F.col(y).alias("_y")), "pairs")
+    edges = value_ranges(whole, ["_x", "_y"])
+    ranked = with_pooled_rank(with_pooled_rank(whole, by, "_x", "_rx", edges["_x"]), by, "_y", "_ry", edges["_y"])
     return ranked.groupBy(by).agg(guarded_corr(F.col("_rx"), F.col("_ry")).alias("rho"), F.count("*").alias("n"))
 
 

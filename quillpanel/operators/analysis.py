@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillpanel.functions.stats import p_value, pooled_spearman, quantile_bucket, with_pooled_rank
 from quillpanel.functions.windows import change
 from quillpanel.operators import sessions as S
+from quillpanel.runtime import write_table
 
 
 def daily_news(headlines: DataFrame, sentiment: DataFrame, model: str, least: int = 3) -> DataFrame:
@@ -55,6 +56,7 @@ def buckets(features: DataFrame, feature: str = "sent_mean", q: int = 5) -> Data
     so no task orders the whole panel.
     """
     rows = features.where(F.col(feature).isNotNull() & F.col("fwd_ret_1d").isNotNull()).select(F.lit(0).alias("_all"), "ticker", "date", F.col(feature).alias("_x"), "fwd_ret_1d", "target_next_up")
+    rows = write_table(rows, "bucketed")
     ranked = with_pooled_rank(rows, "_all", "_x", "_rank")
     value = Window.partitionBy("_x")
     # The mean rank of a value less half its extent is the place of its first row.

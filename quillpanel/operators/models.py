@@ -17,6 +17,7 @@ from quillpanel.config import SETTINGS
 from quillpanel.functions.numbers import at_least, ratio, squash
 from quillpanel.functions.stats import with_pooled_rank
 from quillpanel.operators import cross_section as XS
+from quillpanel.runtime import write_table
 from quillpanel.sources.schema import FEATURES, PRICE_FEATURES, SENTIMENT_FEATURES
 
 BLOCKS = {"sentiment_only": SENTIMENT_FEATURES, "price_only": PRICE_FEATURES, "combined": FEATURES}
@@ -132,7 +133,8 @@ def folds(df: DataFrame, n: int = 4) -> list[tuple[DataFrame, DataFrame]]:
 
 def auc(df: DataFrame, target: str, prob: str) -> DataFrame:
     """``(auc)`` by average ranks; null with a single class."""
-    ranked = with_pooled_rank(df.where(F.col(prob).isNotNull() & F.col(target).isNotNull()).select(F.lit(0).alias("_all"), F.col(prob).alias("_p"), F.col(target).alias("_y")), "_all", "_p", "_r")
+    rows = df.where(F.col(prob).isNotNull() & F.col(target).isNotNull()).select(F.lit(0).alias("_all"), F.col(prob).alias("_p"), F.col(target).alias("_y"))
+    ranked = with_pooled_rank(write_table(rows, "scored"), "_all", "_p", "_r")
     s = ranked.agg(F.sum(F.when(F.col("_y") == 1, F.col("_r"))).alias("r"), F.count(F.when(F.col("_y") == 1, 1)).alias("p"), F.count("*").alias("n"))
     return s.select(ratio(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
 
@@ -153,10 +155,13 @@ def tuned_c(train: DataFrame, columns: Sequence[str], target: str = "target_next
 
 
 def evaluate(df: DataFrame, target: str = "target_next_up", pred: str = "pred_up", prob: str = "prob_up", forward: str = "fwd_ret_1d", by: str | None = None) -> DataFrame:
-    """Classification and trading metrics, one row (per ``by``): a single aggregate plus the rank sum for the AUC."""
+    """Classification and trading metrics, one row (per ``by``): a single aggregate plus the rank sum for the AUC.
+
+    The five columns needed are stored once, so a model is not applied again for each pass.
+    """
     key = F.lit(0) if by is None else F.col(by)
-    rows = df.select(key.alias("_by"), F.col(target).alias("y"), F.col(pred).alias("p"), F.col(prob).alias("q"), F.col(forward).alias("f")).where("y is not null and p is not null")
-    ranked = with_pooled_rank(rows.where("q is not null"), "_by", "q", "_r")
+    rows = df.select(key.alias("_by"), F.col(target).alias("y"), F.col(pred).alias("p"), F.col(prob).alias("q"), F.col(forward).alias("f")).where("y is not null and p is not null and q is not null")
+    ranked = with_pooled_rank(write_table(rows, "scored"), "_by", "q", "_r")
     n_if = lambda cond: F.count(F.when(cond, 1))
     y1, p1 = F.col("y") == 1, F.col("p") == 1
     pnl = (2 * F.col("p") - 1) * F.col("f")
