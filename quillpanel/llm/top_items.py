@@ -39,13 +39,13 @@ def top_n(rows: DataFrame, group: Sequence[str], item: str, score: str, n: int)
     local = items.select(*names, "item", "score", g1.alias("g"), g2.alias("h"))
     types = {f.name: f.dataType.simpleString() for f in local.schema.fields}
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", bound_score double, bound_item string"
-    # One exchange by group: the bounds, their join, and the ranking all lie on it.
-    best = local.mapInArrow(_local_best(n), schema).repartition("g", "h")
-
+    # One exchange of the survivors by group serves the bounds, put beside each row of their group, and the ranking.
+    best = local.mapInArrow(_local_best(n), schema)
+    own = Window.partitionBy("g", "h")
     bound = F.min(F.when(F.col("bound_score").isNotNull(), F.struct((-F.col("bound_score")).alias("s"), F.col("bound_item").alias("i"))))
-    bounds = best.groupBy("g", "h").agg(bound.alias("b")).where("b is not null").select("g", "h", (-F.col("b.s")).alias("least"), F.col("b.i").alias("least_item"))
-    kept = best.join(bounds, ["g", "h"], "left").where("least is null or score > least or (score = least and item <= least_item)")
-    place = F.row_number().over(Window.partitionBy("g", "h").orderBy(F.desc("score"), "item"))
+    joined = best.withColumn("b", bound.over(own)).withColumns({"least": -F.col("b.s"), "least_item": F.col("b.i")})
+    kept = joined.where("least is null or score > least or (score = least and item <= least_item)")
+    place = F.row_number().over(own.orderBy(F.desc("score"), "item"))
     ranked = kept.select(*names, "item", "score", place.alias("place")).where(F.col("place") <= n)
     return ranked.select(*[F.col(a).alias(g) for a, g in zip(names, group)], F.col("item").alias(item), F.col("score").alias(score))
 
