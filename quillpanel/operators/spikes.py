@@ -47,19 +47,20 @@ def judged(reading: DataFrame, tail_share: float = 0.05, risk: float = 1e-4, dis
     above the spike distance, so no run that meets the rule is passed over.
     ``stuck`` holds from the second on of ``stuck`` or more equal readings.
 
-    All windows share one exchange by (source, column). A source has one reading
-    a day, so a group is bounded by the calendar.
+    All windows share one exchange and one sort by (source, column, day). A
+    source has one reading a day, so a group is bounded by the calendar.
     """
     whole = Window.partitionBy("source", "column")
     inorder = whole.orderBy("day")
     seq = reading.where("value > 0").withColumn("y", F.log("value"))
     seq = seq.withColumns({f"y_{'m' if k < 0 else 'p'}{abs(k)}": F.lag("y", -k).over(inorder) for k in range(-SPIKE, SPIKE + 1) if k} | {"same": (F.lag("value").over(inorder) == F.col("value"))})
     at = lambda k: F.col("y") if k == 0 else F.col(f"y_{'m' if k < 0 else 'p'}{abs(k)}")
-    seq = seq.withColumns({
-        "change": F.col("y") - F.col("y_m1"), "weekday": F.weekday("day"),
-        "run": F.sum((~F.coalesce("same", F.lit(False))).cast("int")).over(inorder.rowsBetween(Window.unboundedPreceding, 0)),
-    })
-    seq = seq.withColumn("season", F.median("change").over(Window.partitionBy("source", "column", "weekday")))
+    # A reading is stuck when it equals the one before it and so many in a row around it do.
+    equal = F.coalesce("same", F.lit(False)).cast("int")
+    seq = seq.withColumns({"change": F.col("y") - F.col("y_m1"), "weekday": F.weekday("day"), "from_here": F.sum(equal).over(inorder.rowsBetween(0, stuck - 2)) == stuck - 1})
+    seq = seq.withColumn("stuck", F.coalesce("same", F.lit(False)) & F.coalesce(F.max("from_here").over(inorder.rowsBetween(2 - stuck, 0)), F.lit(False)))
+    seq = seq.withColumns({f"season_{k}": F.median(F.when(F.col("weekday") == k, F.col("change"))).over(whole) for k in range(7)})
+    seq = seq.withColumn("season", F.coalesce(*[F.when(F.col("weekday") == k, F.col(f"season_{k}")) for k in range(7)])).drop(*[f"season_{k}" for k in range(7)])
     seq = seq.withColumn("residual", F.col("change") - F.col("season"))
     seq = seq.withColumns({
         "usual": F.median(F.abs("change")).over(whole), "quantile": F.percentile(F.abs("residual"), F.lit(1 - tail_share)).over(whole),
@@ -90,10 +91,8 @@ def judged(reading: DataFrame, tail_share: float = 0.05, risk: float = 1e-4, dis
                 above = above & (at(k) - before > far) & (at(k) - after > far)
                 below = below & (before - at(k) > far) & (after - at(k) > far)
             spike = spike | (entered & F.coalesce(above | below, F.lit(False)))
-    in_run = Window.partitionBy("source", "column", "run")
-    seq = seq.withColumns({"run_length": F.count("*").over(in_run), "run_place": F.row_number().over(in_run.orderBy("day"))})
     known = ["change", "residual", "usual", "threshold", "shape", "scale", "cutoff"]
-    judged_ = seq.select("source", "day", "column", "value", F.lit(False).alias("impossible"), *known, "peak", "extreme", spike.alias("spike"), ((F.col("run_length") >= stuck) & (F.col("run_place") > 1)).alias("stuck"))
+    judged_ = seq.select("source", "day", "column", "value", F.lit(False).alias("impossible"), *known, "peak", "extreme", spike.alias("spike"), "stuck")
     no = F.lit(False)
     impossible = reading.where("value <= 0").select(
         "source", "day", "column", "value", F.lit(True).alias("impossible"), *[F.lit(None).cast("double").alias(c) for c in known], no.alias("peak"), no.alias("extreme"), no.alias("spike"), no.alias("stuck")
