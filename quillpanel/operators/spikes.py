@@ -22,11 +22,11 @@ def readings(rows: DataFrame, source: Column, day: Column, columns: Sequence[str
     """``(source, day, column, value)``: one reading per source, day and column.
 
     Repeated rows count once (the largest value of a day counts; map-side
-    combined). Null and NaN readings, and rows without source or day, are none.
+    combined). Null, NaN and infinite readings, and rows without source or day, are none.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
     long = rows.select(source.alias("source"), day.alias("day"), F.explode(pairs).alias("r")).select("source", "day", "r.column", "r.value")
-    long = long.where("source is not null and day is not null and value is not null and not isnan(value)")
+    long = long.where("source is not null and day is not null and value is not null and not isnan(value) and abs(value) < double('infinity')")
     return long.groupBy("source", "day", "column").agg(F.max("value").alias("value"))
 
 
@@ -36,14 +36,14 @@ def judged(reading: DataFrame, tail_share: float = 0.05, risk: float = 1e-4, dis
     Columns: ``source, day, column, value``; ``impossible`` (zero or less);
     ``change`` and ``residual`` against the reading before (impossible ones set
     aside); ``usual`` (the median absolute change); ``threshold``, ``shape``,
-    ``scale`` of the tail; ``cutoff`` at ``risk``; ``peak`` (the residual
-    exceeds the threshold); ``extreme`` (it exceeds the cutoff); ``spike``;
-    ``stuck``.
+    ``scale`` of the tail; ``cutoff`` at ``risk``; ``extreme`` (the residual
+    exceeds the cutoff); ``peak`` (it exceeds the cutoff or the spike distance,
+    whichever is less); ``spike``; ``stuck``.
 
     ``spike`` holds for one to three successive readings that lie, in log terms
     and to one side, more than ``distance`` times ``usual`` away from the reading
     before and the one after them, while these two lie within that distance of
-    each other. Candidates are runs entered by a peak; the threshold is never
+    each other. Candidates are runs entered by a peak; the limit of a peak is never
     above the spike distance, so no run that meets the rule is passed over.
     ``stuck`` holds from the second on of ``stuck`` or more equal readings.
 
@@ -66,9 +66,7 @@ def judged(reading: DataFrame, tail_share: float = 0.05, risk: float = 1e-4, dis
         "usual": F.median(F.abs("change")).over(whole), "quantile": F.percentile(F.abs("residual"), F.lit(1 - tail_share)).over(whole),
         "changes": F.count("change").over(whole), "most_season": F.max(F.abs("season")).over(whole),
     })
-    # A spike's entry is a change of more than distance * usual; its residual is less than that by one weekday's median at most.
-    far = distance * F.col("usual")
-    seq = seq.withColumn("threshold", F.greatest(F.lit(0.0), F.least("quantile", far - F.col("most_season"))))
+    seq = seq.withColumnRenamed("quantile", "threshold")
     seq = seq.withColumn("excess", F.when(F.abs("residual") > F.col("threshold"), F.abs("residual") - F.col("threshold")))
     seq = seq.withColumns({"excess_mean": F.avg("excess").over(whole), "excess_var": F.var_samp("excess").over(whole), "peaks": F.count("excess").over(whole)})
     # Moments of the generalised Pareto distribution; an exponential tail where there are too few peaks to tell.
@@ -77,7 +75,10 @@ def judged(reading: DataFrame, tail_share: float = 0.05, risk: float = 1e-4, dis
     seq = seq.withColumn("scale", F.col("excess_mean") * (1 - F.col("shape")))
     over_risk = F.try_divide(F.col("peaks").cast("double"), F.col("changes") * F.lit(risk))
     growth = F.when(F.abs("shape") < 1e-6, F.log(over_risk)).otherwise(F.try_divide(F.pow(over_risk, F.col("shape")) - 1, F.col("shape")))
-    seq = seq.withColumns({"cutoff": F.col("threshold") + F.col("scale") * growth, "peak": F.col("excess").isNotNull()})
+    seq = seq.withColumn("cutoff", F.col("threshold") + F.col("scale") * growth)
+    # A spike's entry is a change of more than distance * usual; its residual is less than that by one weekday's median at most.
+    far = distance * F.col("usual")
+    seq = seq.withColumn("peak", F.coalesce(F.abs("residual") > F.least("cutoff", far - F.col("most_season")), F.lit(False)))
     seq = seq.withColumns({"extreme": F.coalesce(F.abs("residual") > F.col("cutoff"), F.lit(False))} | {f"peak_m{k}": F.coalesce(F.lag("peak", k).over(inorder), F.lit(False)) for k in range(1, SPIKE)})
 
     spike = F.lit(False)

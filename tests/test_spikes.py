@@ -90,3 +90,10 @@ def test_tail_cutoff_lies_beyond_the_threshold_and_flags_few(spark):
     rows = judged(readings(_frame(spark, {"a": _series(2000)}), F.col("s"), F.col("d"), ["v"]), risk=1e-3)
     r = rows.where("residual is not null").agg(F.max("cutoff").alias("c"), F.max("threshold").alias("t"), F.sum(F.col("extreme").cast("int")).alias("n")).first()
     assert r["c"] > r["t"] > 0 and r["n"] <= 12
+
+
+def test_spikes_of_a_flat_series_with_a_weekly_step(spark):
+    # Most changes are nothing, so any return is a spike; Mondays usually move, which must not hide one.
+    xs = [100.0 * (1.01 if (k // 7) % 2 else 1.0) for k in range(140)]
+    xs[50] = 100.5
+    assert _flagged(spark, {"a": xs}) == {("a", k) for k in _brute(xs)}
