@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -10,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillpanel.config import SETTINGS
@@ -284,6 +285,23 @@ def cross_sectional_run(features: DataFrame, test_start: str = SETTINGS.test_sta
     return out
 
 
+def save_bundle(spark: SparkSession, path: str, name: str, columns: Sequence[str], model: Linear | PipelineModel) -> None:
+    """A model with its name and columns below ``path``, replacing what lies there."""
+    head = {"model": name, "features": list(columns), "kind": "linear" if isinstance(model, Linear) else "pipeline"}
+    if isinstance(model, Linear):
+        head |= {"mean": dict(model.scaler.mean), "std": dict(model.scaler.std), "coefficients": dict(model.coefficients), "intercept": model.intercept}
+    else:
+        model.write().overwrite().save(f"{path}/pipeline")
+    spark.createDataFrame([(json.dumps(head),)], "head string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[str, list[str], Linear | PipelineModel]:
+    head = json.loads(spark.read.text(f"{path}/head").first()[0])
+    if head["kind"] == "linear":
+        return head["model"], head["features"], Linear(Scaler(head["mean"], head["std"]), head["coefficients"], head["intercept"])
+    return head["model"], head["features"], PipelineModel.load(f"{path}/pipeline")
+
+
 def predict_one(model: Linear, values: Mapping[str, float], threshold: float = 0.5) -> dict:
     """Probability and class of one request; columns it lacks count as 0 and are named."""
     z = model.intercept + sum(w * ((values.get(c, 0.0) - model.scaler.mean[c]) / model.scaler.std[c]) for c, w in model.coefficients.items())

@@ -73,11 +73,11 @@ def run(stage: str, store: Store, a: argparse.Namespace) -> None:
         for df in pipeline.experiment(store, settings, a.rounds):
             df.show(truncate=False)
     elif stage == "serve":
-        serve(store, a.host, a.port)
+        server(store, a.host, a.port, a.test_start).serve_forever()
 
 
-def serve(store: Store, host: str, port: int) -> None:
-    """A small HTTP server over the functions of ``service``."""
+def server(store: Store, host: str, port: int, test_start: str = SETTINGS.test_start):
+    """A small HTTP server over the functions of ``service``, ready to serve."""
     import json
     from http.server import BaseHTTPRequestHandler, HTTPServer
     from urllib.parse import parse_qs, urlparse
@@ -111,7 +111,7 @@ def serve(store: Store, host: str, port: int) -> None:
             if path == "/health":
                 self._answer(lambda: rows(service.health(read("headlines"), read("features")))[0])
             elif path == "/features/schema":
-                self._answer(lambda: service.features_schema("logreg__combined" if model() else None, list(M.BLOCKS["combined"])))
+                self._answer(lambda: service.features_schema("logreg__combined", list(model().coefficients)))
             elif path == "/signal":
                 def work():
                     out = rows(service.signal(read("features"), read("prices"), q.get("ticker"), int(q.get("limit", 200))))
@@ -141,8 +141,10 @@ def serve(store: Store, host: str, port: int) -> None:
 
     def model():
         if state["model"] is None:
-            features = store.read("features")
-            state["model"] = M.logistic(features.where(F.col("date") < SETTINGS.test_start), M.BLOCKS["combined"])
+            train = store.read("features").where(F.col("date") < F.lit(test_start).cast("date")) if store.exists("features") else None
+            if train is None or train.select("target_next_up").distinct().limit(2).count() < 2:
+                raise service.NotReady("no model")
+            state["model"] = M.logistic(train, M.BLOCKS["combined"])
         return state["model"]
 
     def _or(work):
@@ -151,7 +153,7 @@ def serve(store: Store, host: str, port: int) -> None:
         except service.NotReady:
             return []
 
-    HTTPServer((host, port), Handler).serve_forever()
+    return HTTPServer((host, port), Handler)
 
 
 def main(argv: list[str] | None = None) -> int:

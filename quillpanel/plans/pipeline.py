@@ -53,7 +53,7 @@ def analyse(store: Store, settings: Settings = SETTINGS) -> dict[str, DataFrame]
 
 
 def train(store: Store, settings: Settings = SETTINGS, rounds: int = 200, metrics_path: str | None = None) -> DataFrame:
-    """Ablation metrics; the predictions of the best model and of the best on all features are stored."""
+    """Ablation metrics; the best model and the best on all features are stored, with their predictions."""
     features = store.read("features")
     metrics = M.ablation(features, settings.test_start, rounds=rounds).cache()
     fit, test = M.split(features, settings.test_start)
@@ -62,11 +62,15 @@ def train(store: Store, settings: Settings = SETTINGS, rounds: int = 200, metric
     for name in sorted(names):
         learner, _, block = name.partition("__")
         if learner == "logreg":
-            scored = test.withColumn("prob_up", M.logistic(fit, M.BLOCKS[block]).probability())
+            model = M.logistic(fit, M.BLOCKS[block])
+            scored = test.withColumn("prob_up", model.probability())
         elif learner == "hgb":
-            scored = M.boosted_probability(M.boosted(fit, M.BLOCKS[block], rounds=rounds)[0], test)
+            model = M.boosted(fit, M.BLOCKS[block], rounds=rounds)[0]
+            scored = M.boosted_probability(model, test)
         else:
             scored = M.baselines(fit, test).where(F.col("model") == name).drop("model", "pred_up")
+        if learner in ("logreg", "hgb"):
+            M.save_bundle(store.spark, f"{store.root}/models/{name}", name, M.BLOCKS[block], model)
         rows = M.predictions(scored, name)
         out = rows if out is None else out.unionByName(rows)
     store.write("predictions", out)

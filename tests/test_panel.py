@@ -213,3 +213,50 @@ def test_cli():
     a = cli.parser().parse_args(["score", "--store", "x", "--limit", "5"])
     assert a.stage == "score" and a.limit == 5
     assert cli.ORDER.index("ingest") < cli.ORDER.index("features") < cli.ORDER.index("train")
+
+
+def test_bundles_come_back(spark, features, tmp_path):
+    train, test = M.split(features, str(_day(30)))
+    linear = M.logistic(train, ["sent_mean", "ret_1d"])
+    M.save_bundle(spark, str(tmp_path / "a"), "l", ["sent_mean", "ret_1d"], linear)
+    assert M.load_bundle(spark, str(tmp_path / "a")) == ("l", ["sent_mean", "ret_1d"], linear)
+    trees, rounds = M.boosted(train, ["sent_mean"], rounds=3)
+    assert 1 <= rounds <= 3
+    M.save_bundle(spark, str(tmp_path / "b"), "t", ["sent_mean"], trees)
+    again = M.load_bundle(spark, str(tmp_path / "b"))[2]
+    key = lambda m: sorted((r["ticker"], r["date"], r["prob_up"]) for r in M.boosted_probability(m, test).collect())
+    assert key(again) == key(trees)
+
+
+def test_http(spark, features, tmp_path):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from quillpanel.plans import pipeline
+    from quillpanel.sources.writers import Store
+
+    store = Store(spark, str(tmp_path))
+    pipeline.init(store)
+    http = cli.server(store, "127.0.0.1", 0, str(_day(30)))
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{http.server_address[1]}"
+
+    def ask(path, body=None):
+        try:
+            return 200, json.loads(urlopen(Request(at + path, json.dumps(body).encode() if body is not None else None)).read())
+        except HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        assert ask("/health") == (200, {"n_headlines": 0, "n_features": 0})
+        assert ask("/signal")[0] == 404 and ask("/metrics")[0] == 503 and ask("/predict", {"features": {}})[0] == 503 and ask("/nothing")[0] == 404
+        store.write("features", features)
+        store.write("prices", features.select("ticker", "date", *[F.lit(1.0).alias(c) for c in ("open", "high", "low", "close", "adj_close", "volume")]))
+        assert len(ask("/signal?ticker=t01&limit=3")[1]) == 3 and ask("/signal?limit=9999")[0] == 422
+        code, answer = ask("/predict", {"features": {"sent_mean": 3.0}})
+        assert code == 200 and answer["pred_up"] == 1 and len(answer["missing_features"]) == 14
+        assert ask("/features/schema")[1]["features"] == FEATURES and ask("/predictions") == (200, []) and ask("/monitor") == (200, [])
+    finally:
+        http.shutdown()
