@@ -95,7 +95,7 @@ def pack(
     A shard weighs about ``shard_weight`` tokens whatever the sources' sizes, so
     a source with a third of all rows is spread over all shards. Carried
     deficits come from sums per (shard, source), which are prefix sums over the
-    shards: no shard waits for another.
+    shards: no shard waits for another. At most a window's tokens are carried.
     """
     weight = F.col("n_tokens") + OVERHEAD
     totals = lengths.agg(F.sum(weight).alias("w"), F.sum("n_tokens").alias("t")).first()
@@ -185,7 +185,8 @@ class Containers:
 def pack_shard(queues: Mapping[str, list[tuple[int, int]]], share: Mapping[str, float], deficit: Mapping[str, float], capacity: int, window_tokens: int) -> list[tuple]:
     """Rows ``(container, doc_id, piece, first_token, n_tokens, source, window)`` of one shard."""
     waiting = {s: deque(q) for s, q in queues.items() if q}
-    credit = {s: float(deficit.get(s, 0.0)) for s in waiting}
+    # A target that the corpus can't meet would pile up debts without end: one window's worth is carried.
+    credit = {s: max(-float(window_tokens), min(float(window_tokens), deficit.get(s, 0.0))) for s in waiting}
     boxes, rows, window = Containers(capacity), [], 0
     while waiting:
         weight = sum(share.get(s, 0.0) for s in waiting)

@@ -56,6 +56,13 @@ def test_what_is_owed_comes_first():
     assert first["b"] > first["a"]
 
 
+def test_a_debt_of_the_past_fills_a_window_at_most():
+    queues = {"a": [(i, 10) for i in range(300)], "b": [(300 + i, 10) for i in range(300)]}
+    rows = P.pack_shard(queues, {"a": 0.5, "b": 0.5}, {"b": 1e12, "a": -1e12}, 100, 200)
+    third = Counter(r[5] for r in rows if r[6] == 4)
+    assert 0 < third["a"] and 0 < third["b"]
+
+
 def test_fits_well():
     random.seed(1)
     queues = {"a": [(i, min(2048, int(random.expovariate(1 / 280)))) for i in range(4000)]}
