@@ -34,7 +34,7 @@ SURE, POINTS, AGAINST = 0.8, 0.6, 0.5
 DOCUMENTS = 4
 
 _TAG = re.compile(r"<[^<>\n]{1,200}>")
-_END = re.compile(r"(?<=[.!?;…])[\"”’)\]]*\s+|\n\s*\n")
+_END = re.compile(r"(?<=[.!?…])[\"”’)\]]*\s+|\n\s*\n")
 _WORD = re.compile(r"[^\W\d_]+")
 
 

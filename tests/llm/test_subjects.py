@@ -68,7 +68,7 @@ def test_makeup(spark):
 
 
 def test_sentences():
-    assert list(S.sentences("One two. <p>Three; four</p> 5 6.")) == [["one", "two"], ["three"], ["four"]]
+    assert list(S.sentences("One two. <p>Three; four</p> 5 6.")) == [["one", "two"], ["four", "three"]]
     assert list(S.sentences(None)) == list(S.sentences("")) == []
 
 
