@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillpanel.config import SETTINGS
-from quillpanel.functions import windows as WN
 from quillpanel.functions.keys import day
-from quillpanel.operators import analysis as AN
 from quillpanel.operators import cross_section as XS
 from quillpanel.operators import experiments as EX
 from quillpanel.operators import features as FT
@@ -18,11 +16,10 @@ from quillpanel.operators import headlines as HL
 from quillpanel.operators import models as M
 from quillpanel.operators import monitor as MO
 from quillpanel.operators import scoring
-from quillpanel.operators import sessions as S
 from quillpanel.plans import figures, pipeline, service
 from quillpanel.plans import reference_queries as RQ
 from quillpanel.plans.base import MODEL, Base, R, r6
-from quillpanel.plans.reference_queries import _ACC, _ATTRIBUTED, _DAILY, CUT, NAMES, D, T, _rounded, stamp
+from quillpanel.plans.reference_queries import _ACC, _ATTRIBUTED, _DAILY, CUT, NAMES, D, T, stamp
 from quillpanel.sources import readers
 from quillpanel.sources.schema import FEATURES, SENTIMENT_FEATURES
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
 import json
 from collections.abc import Callable
 
@@ -99,7 +98,3 @@ def experiment(store: Store, settings: Settings = SETTINGS, rounds: int = 200) -
         experiments.leakage_comparison(h, s, p, test_start=settings.test_start, model=settings.model, rounds=rounds, settings=settings),
         experiments.same_day_leak(experiments.features_at(h, s, p, 0, settings.model, settings), settings.test_start, rounds),
     )
-
-
-def with_lag(settings: Settings, lag: int) -> Settings:
-    return dataclasses.replace(settings, extra_lag_sessions=lag)

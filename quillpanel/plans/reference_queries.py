@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillpanel.config import SETTINGS
 from quillpanel.functions import numbers as N
-from quillpanel.functions import stats, text, windows
+from quillpanel.functions import stats, text
 from quillpanel.functions.keys import clean_ticker, day
 from quillpanel.operators import analysis as AN
 from quillpanel.operators import cross_section as XS

@@ -1,4 +1,4 @@
-"""Session settings, the shared folder, and the size checks that broadcasts go through."""
+"""Session settings, the shared folder, and tables written to it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -59,13 +58,5 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast only when the side's row count, known to the caller, is within ``limit``.
-
-    Beyond it the frame is returned as it is and the join is planned as a shuffle.
-    """
-    return F.broadcast(df) if rows <= limit else df
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
