@@ -6,8 +6,6 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
-
 from quillpanel.llm import packing as P
 
 
