@@ -257,7 +257,7 @@ def _(b: Base) -> DataFrame:
 
 @query("w18_first_rank", f"SELECT ticker, {D('date')} AS date, row_number() OVER (PARTITION BY date ORDER BY fwd_ret_1d, ticker) AS r FROM ft WHERE fwd_ret_1d IS NOT NULL")
 def _(b: Base) -> DataFrame:
-    return b.ft.where("fwd_ret_1d is not null").select("ticker", day("date").alias("date"), F.row_number().over(Window.partitionBy("date").orderBy("fwd_ret_1d", "ticker")).alias("r"))
+    return b.ft.where("fwd_ret_1d is not null").select("ticker", day("date").alias("date"), F.row_number().over(Window.partitionBy("date").orderBy("fwd_ret_1d", "ticker")).cast("long").alias("r"))
 
 
 @query("d16_accuracy_variants", f"WITH {_XS.strip()} SELECT {R('avg(CASE WHEN CAST(sent_mean >= 0 AS INT) = target_rel THEN 1.0 ELSE 0.0 END)')} AS by_sign, {R('avg(CASE WHEN CAST(sent_mean >= (SELECT median(sent_mean) FROM xt) AS INT) = target_rel THEN 1.0 ELSE 0.0 END)')} AS by_median FROM xt WHERE sent_mean IS NOT NULL")

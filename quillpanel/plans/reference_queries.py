@@ -167,7 +167,7 @@ def _(b: Base) -> DataFrame:
     return out.select("model", "ticker", day("date").alias("date"), r6("realized_ret").alias("realized_ret"), "realized_up")
 
 
-@query("b7_empty_tables", "SELECT * FROM (VALUES ('headlines', 0), ('sentiment', 0), ('prices', 0), ('features', 0), ('predictions', 0), ('monitor_log', 0)) AS v(table_name, n)", base=False)
+@query("b7_empty_tables", "SELECT table_name, CAST(n AS BIGINT) AS n FROM (VALUES ('headlines', 0), ('sentiment', 0), ('prices', 0), ('features', 0), ('predictions', 0), ('monitor_log', 0)) AS v(table_name, n)", base=False)
 def _(b: Base) -> DataFrame:
     store = _store(b)
     out = None
@@ -259,7 +259,7 @@ def _(b: Base) -> DataFrame:
 
 @query("c15_year_and_month", f"SELECT year(date) AS year, {D('''date_trunc('month', date)''')} AS month, count(*) AS n FROM px GROUP BY 1, 2")
 def _(b: Base) -> DataFrame:
-    return b.px.groupBy(F.year("date").alias("year"), day(F.trunc("date", "month")).alias("month")).agg(F.count("*").alias("n"))
+    return b.px.groupBy(F.year("date").cast("long").alias("year"), day(F.trunc("date", "month")).alias("month")).agg(F.count("*").alias("n"))
 
 
 @query("c16_score_and_label", f"SELECT headline_uid, model, {R('p_pos - p_neg')} AS score, CASE WHEN p_pos - p_neg > 0.15 THEN 'pos' WHEN p_pos - p_neg < -0.15 THEN 'neg' ELSE 'neu' END AS label FROM sen")
