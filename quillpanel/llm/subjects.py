@@ -123,20 +123,24 @@ def _mine(split: DataFrame, subjects: list[str], support: float, least_count: in
             .where(F.col("n") >= least).collect()  # words of the bounded sample
         )
         share = units.agg(*[F.avg(F.array_contains("subjects", s).cast("double")).alias(f"c{i}") for i, s in enumerate(subjects)]).first() if n else None
-        rules, groups = Rules(), {}
+        rules, groups, pointing = Rules(), {}, set()
         for w in sorted(words, key=lambda r: r["word"]):
             lift = max((w[f"c{i}"] / w["n"] / share[f"c{i}"] for i in range(len(subjects)) if share[f"c{i}"]), default=0)
             if w["n"] > 0.05 * n and lift < 2 and max((w[f"c{i}"] for i in range(len(subjects))), default=0) < SURE * w["n"]:
                 continue  # says nothing and is everywhere
             # Words that occur in the very same sentences are one item.
             rules.item[w["word"]] = groups.setdefault((w["n"], w["mark"], w["mark2"]), len(groups))
+            if max((w[f"c{i}"] for i in range(len(subjects))), default=0) >= POINTS * w["n"]:
+                pointing.add(str(rules.item[w["word"]]))
         if not groups:
             return rules
         item = {w: str(i) for w, i in rules.item.items()}
 
         def baskets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rules and exceptions hold an item that points to a subject, so sentences without one count for neither: their baskets are empty."""
             for b in batches:
-                out = [sorted({item[w] for w in ws if w in item}) + [f"={c}" for c in cs] for ws, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                held = [({item[w] for w in ws if w in item}, cs) for ws, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                out = [[*sorted(x), *(f"={c}" for c in cs)] if x & pointing else [] for x, cs in held]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], ["items"])
 
         model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=1.0).fit(units.select("words", "subjects").mapInArrow(baskets, "items array<string>"))
@@ -159,8 +163,8 @@ def _mine(split: DataFrame, subjects: list[str], support: float, least_count: in
         for c in joint.get(x, ()):
             p = sure(x, c)
             general = [kept[y][c] for y in _parts(x) if c in kept.get(y, ())]
-            pointing = len(x) == 1 or all(sure(frozenset([i]), c) >= POINTS for i in x)
-            if p >= SURE and pointing and (not general or p > max(general) + 0.05):
+            apart = all(str(i) in pointing and sure(frozenset([i]), c) >= POINTS for i in x)
+            if p >= SURE and apart and (not general or p > max(general) + 0.05):
                 kept[x][c] = p
     against = [(y, c, x) for x in count if len(x) > 1 for y in _parts(x) for c in kept.get(y, ()) if sure(x, c) < AGAINST]
     # Sentences of a document are alike; documents are what makes an itemset sure.
