@@ -122,7 +122,7 @@ def psi(expected: DataFrame, actual: DataFrame, column: str, bins: int = 10) ->
     e = expected.select(finite(F.col(column).cast("double")).alias("x")).where("x is not null")
     a = actual.select(finite(F.col(column).cast("double")).alias("x")).where("x is not null")
     edges = e.agg(F.array_distinct(F.percentile("x", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"), F.count("*").alias("n_e"))
-    both = e.select("x", F.lit(1).alias("is_e")).unionByName(a.select("x", F.lit(0).alias("is_e"))).crossJoin(F.broadcast(edges))  # one row
+    both = e.select("x", F.lit(1).alias("is_e")).unionByName(a.select("x", F.lit(0).alias("is_e"))).withColumn("edges", edges.select("edges").scalar())
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     counts = both.select("is_e", F.size(F.filter(inner, lambda v: v <= F.col("x"))).alias("bin")).groupBy("bin").agg(F.sum("is_e").alias("e"), F.sum(1 - F.col("is_e")).alias("a"))
     shape = edges.select(F.size("edges").alias("n_edges"), "n_e", F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))

@@ -61,8 +61,7 @@ def buckets(features: DataFrame, feature: str = "sent_mean", q: int = 5) -> Data
     value = Window.partitionBy("_x")
     # The mean rank of a value less half its extent is the place of its first row.
     place = F.col("_rank") - (F.count("*").over(value) - 1) / 2 + F.row_number().over(value.orderBy("date", "ticker")) - 1
-    total = F.broadcast(rows.agg(F.count("*").alias("_n")))
-    placed = ranked.withColumn("_place", place.cast("long")).crossJoin(total)
+    placed = ranked.withColumn("_place", place.cast("long")).withColumn("_n", F.lit(rows.count()))
     return placed.groupBy(F.concat(F.lit("Q"), quantile_bucket(F.col("_place"), F.col("_n"), q)).alias("bucket")).agg(
         F.count("*").alias("n"), (1e4 * F.avg("fwd_ret_1d")).alias("mean_fwd_ret_bps"), F.avg("target_next_up").alias("hit_rate"), F.avg("_x").alias("mean_sentiment")
     )
@@ -76,5 +75,5 @@ def coverage(headlines: DataFrame) -> DataFrame:
 def well_covered(headlines: DataFrame, month_share: float = 0.8, least: int = 1200, months: int | None = None) -> DataFrame:
     """Tickers with news in enough months and enough news in all; ``months`` is the number of months there are."""
     per = coverage(headlines).groupBy("ticker").agg(F.sum("n").alias("n_headlines"), F.count("*").alias("n_months"))
-    of = headlines.agg(F.count_distinct(F.trunc("trade_date", "month")).alias("_months")) if months is None else headlines.sparkSession.range(1).select(F.lit(months).alias("_months"))
-    return per.crossJoin(F.broadcast(of)).where((F.col("n_months") >= month_share * F.col("_months")) & (F.col("n_headlines") >= least)).drop("_months")
+    of = headlines.agg(F.count_distinct(F.trunc("trade_date", "month"))).scalar() if months is None else F.lit(months)
+    return per.withColumn("_months", of).where((F.col("n_months") >= month_share * F.col("_months")) & (F.col("n_headlines") >= least)).drop("_months")

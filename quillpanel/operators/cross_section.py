@@ -126,7 +126,7 @@ def accuracy(df: DataFrame, score: str, target: str = "target_rel", cut: float |
     """``(accuracy, n)`` of ``score >= cut`` against ``target``; ``cut=None`` takes the score's median."""
     rows = df.where(F.col(score).isNotNull() & F.col(target).isNotNull())
     if cut is None:
-        rows = rows.crossJoin(F.broadcast(rows.agg(F.median(score).alias("_cut"))))
+        rows = rows.withColumn("_cut", rows.agg(F.median(score)).scalar())
         hit = (F.col(score) >= F.col("_cut")).cast("int") == F.col(target)
     else:
         hit = (F.col(score) >= cut).cast("int") == F.col(target)

@@ -59,9 +59,9 @@ class Scaler:
 
 def balanced_weight(df: DataFrame, target: str) -> DataFrame:
     """``df`` with ``_weight`` = n / (2 * size of the row's class)."""
-    sizes = df.agg(F.count("*").alias("_n"), F.count(F.when(F.col(target) == 1, 1)).alias("_n1"))
-    own = F.when(F.col(target) == 1, F.col("_n1")).otherwise(F.col("_n") - F.col("_n1"))
-    return df.crossJoin(F.broadcast(sizes)).withColumn("_weight", ratio(F.col("_n"), 2 * own)).drop("_n", "_n1")
+    sizes = df.agg(F.struct(F.count("*").alias("n"), F.count(F.when(F.col(target) == 1, 1)).alias("n1"))).scalar()
+    own = F.when(F.col(target) == 1, F.col("_sizes.n1")).otherwise(F.col("_sizes.n") - F.col("_sizes.n1"))
+    return df.withColumn("_sizes", sizes).withColumn("_weight", ratio(F.col("_sizes.n"), 2 * own)).drop("_sizes")
 
 
 @dataclass(frozen=True)
@@ -182,14 +182,14 @@ def evaluate(df: DataFrame, target: str = "target_next_up", pred: str = "pred_up
 
 def baselines(train: DataFrame, test: DataFrame, target: str = "target_next_up") -> DataFrame:
     """Test rows once per baseline with ``model``, ``prob_up``, ``pred_up``: always up, moving-average cross, sign of sentiment."""
-    base = F.broadcast(train.agg(F.avg(target).alias("_base")))
+    base = train.agg(F.avg(target)).scalar()
     ways = {
         "baseline_always_up": (F.col("_base"), F.lit(1)),
         "baseline_ma_cross": (squash(F.col("ma_cross"), 10.0), (F.col("ma_cross") > 0).cast("int")),
         "baseline_sentiment_sign": (squash(F.col("sent_mean"), 2.0), (F.col("sent_mean") > 0).cast("int")),
     }
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), p.alias("prob_up"), y.alias("pred_up")) for m, (p, y) in ways.items()]))
-    return test.crossJoin(base).select("*", each.alias("_m")).select(*test.columns, "_m.*")
+    return test.withColumn("_base", base).select("*", each.alias("_m")).select(*test.columns, "_m.*")
 
 
 def ablation(features: DataFrame, test_start: str = SETTINGS.test_start, c: float = 0.1, rounds: int = 200, blocks: Mapping[str, Sequence[str]] = BLOCKS) -> DataFrame:

@@ -44,10 +44,10 @@ def with_session_index(df: DataFrame, day: Column, sessions: DataFrame, out: str
     and not with the data: its broadcast is bounded.
     """
     lookup = F.broadcast(day_lookup(sessions).withColumnsRenamed({"civil_day": "_day", "idx": "_idx"}))
-    ends = F.broadcast(sessions.agg(F.min("session").alias("_first"), F.max("session").alias("_last"), F.count("*").alias("_n")))
-    found = df.withColumn("_for", day).join(lookup, F.col("_for") == F.col("_day"), "left").crossJoin(ends)
-    idx = F.when(F.col("_for") < F.col("_first"), 0).when(F.col("_for") > F.col("_last"), F.col("_n")).otherwise(F.col("_idx"))
-    return found.withColumn(out, idx.cast("int")).drop("_day", "_idx", "_for", "_first", "_last", "_n")
+    ends = sessions.agg(F.struct(F.min("session").alias("first"), F.max("session").alias("last"), F.count("*").alias("n"))).scalar()
+    found = df.withColumn("_for", day).withColumn("_ends", ends).join(lookup, F.col("_for") == F.col("_day"), "left")
+    idx = F.when(F.col("_for") < F.col("_ends.first"), 0).when(F.col("_for") > F.col("_ends.last"), F.col("_ends.n")).otherwise(F.col("_idx"))
+    return found.withColumn(out, idx.cast("int")).drop("_day", "_idx", "_for", "_ends")
 
 
 def attribute(df: DataFrame, sessions: DataFrame, published_at: str = "published_at", lag: int = SETTINGS.extra_lag_sessions, out: str = "trade_date", tz: str = SETTINGS.market_tz, cutoff: str = SETTINGS.session_cutoff) -> DataFrame:
