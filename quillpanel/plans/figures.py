@@ -24,12 +24,22 @@ def gaps(series: DataFrame, longest: int = 10) -> DataFrame:
     return runs.where("none").groupBy("run").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("n_rows")).where(F.col("n_rows") > longest).drop("run")
 
 
-def coverage_pivot(headlines: DataFrame, months: list[str]) -> DataFrame:
-    """A row per ticker, a column per month (``yyyy-MM``), 0 where there is no news."""
+def coverage_pivot(headlines: DataFrame, months: list[str] | None = None) -> DataFrame:
+    """A row per ticker, a column per month (``yyyy-MM``), 0 where there is no news; without ``months`` every month there is."""
     rows = headlines.select("ticker", F.date_format("trade_date", "yyyy-MM").alias("month"))
+    if months is None:
+        months = [r[0] for r in rows.where("month is not null").select("month").distinct().orderBy("month").collect()]  # bounded by the calendar
     return rows.groupBy("ticker").pivot("month", months).count().fillna(0)
 
 
+def coverage(headlines: DataFrame) -> DataFrame:
+    """``(ticker, month, n)``: the pivot over every month in long form, whose columns do not depend on the table."""
+    wide = coverage_pivot(headlines)
+    months = [c for c in wide.columns if c != "ticker"]
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("month"), F.col(m).alias("n")) for m in months]).cast("array<struct<month:string,n:bigint>>"))
+    return wide.select("ticker", each.alias("_m")).select("ticker", "_m.*")
+
+
 def ranking(metrics: DataFrame) -> DataFrame:
     """Models by accuracy with the best baseline's beside them."""
     best = metrics.where(F.col("model").startswith("baseline")).agg(F.max("accuracy").alias("baseline_accuracy"))

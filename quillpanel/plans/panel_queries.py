@@ -460,6 +460,23 @@ def _(b: Base) -> DataFrame:
     return out.select(day("start").alias("start"), day("end").alias("end"), "n_rows")
 
 
+_WHOLE_SERIES = "se AS (SELECT p.date, 100 * p.adj_close / first_value(p.adj_close) OVER (ORDER BY p.date) AS indexed, f.sent_mean AS sent FROM px p LEFT JOIN ft f ON f.ticker = p.ticker AND f.date = p.date WHERE p.ticker = 'QYKPI' AND p.adj_close IS NOT NULL)"
+
+
+def _whole_series(b: Base) -> DataFrame:
+    return figures.price_and_sentiment(b.px, b.ft, "QYKPI", SETTINGS.start_date, SETTINGS.end_date)
+
+
+@query("w22_smoothed_whole_range", f"WITH {_WHOLE_SERIES} SELECT {D('date')} AS date, {R('indexed')} AS indexed, {R('sent')} AS sent, {R('CASE WHEN count(sent) OVER (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) >= 3 THEN avg(sent) OVER (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END')} AS smoothed FROM se")
+def _(b: Base) -> DataFrame:
+    return _whole_series(b).select(day("date").alias("date"), *[r6(c).alias(c) for c in ("indexed", "sent", "smoothed")])
+
+
+@query("w23_gaps_whole_range", f"WITH {_WHOLE_SERIES}, g AS (SELECT date, sent IS NULL AS none, row_number() OVER (ORDER BY date) - row_number() OVER (PARTITION BY sent IS NULL ORDER BY date) AS run FROM se) SELECT {D('min(date)')} AS start, {D('max(date)')} AS \"end\", count(*) AS n_rows FROM g WHERE none GROUP BY run HAVING count(*) > 1")
+def _(b: Base) -> DataFrame:
+    return figures.gaps(_whole_series(b), 1).select(day("start").alias("start"), day("end").alias("end"), "n_rows")
+
+
 @query("f4_model_ranking", f"WITH {_BASELINES.strip()}, a AS (SELECT model, avg(CASE WHEN pred_up = target_next_up THEN 1.0 ELSE 0.0 END) AS accuracy FROM bl GROUP BY 1) SELECT model, {R('accuracy')} AS accuracy, {R('(SELECT max(accuracy) FROM a)')} AS baseline_accuracy, true AS is_baseline FROM a")
 def _(b: Base) -> DataFrame:
     train, test = M.split(_complete(b), CUT)

@@ -580,6 +580,13 @@ def _(b: Base) -> DataFrame:
     return figures.coverage_pivot(b.hl, [f"2023-{m:02d}" for m in range(4, 13)])
 
 
+@query("g21_coverage_every_month", "WITH m AS (SELECT DISTINCT strftime(trade_date, '%Y-%m') AS month FROM hl WHERE trade_date IS NOT NULL), t AS (SELECT DISTINCT ticker FROM hl) SELECT t.ticker, m.month, count(h.headline_uid) AS n FROM t CROSS JOIN m LEFT JOIN hl h ON h.ticker IS NOT DISTINCT FROM t.ticker AND strftime(h.trade_date, '%Y-%m') = m.month GROUP BY 1, 2")
+def _(b: Base) -> DataFrame:
+    from quillpanel.plans import figures
+
+    return figures.coverage(b.hl)
+
+
 @query("g22_medians", f"SELECT {D('date')} AS date, {R('median(fwd_ret_1d)')} AS median FROM ft WHERE fwd_ret_1d IS NOT NULL GROUP BY ft.date")
 def _(b: Base) -> DataFrame:
     return b.ft.where("fwd_ret_1d is not null").groupBy("date").agg(F.median("fwd_ret_1d").alias("m")).select(day("date").alias("date"), r6("m").alias("median"))
