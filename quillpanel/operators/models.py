@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -81,16 +84,25 @@ class Linear:
 
 def logistic(train: DataFrame, columns: Sequence[str], target: str = "target_next_up", c: float = 0.1, balanced: bool = True, max_iter: int = 2000) -> Linear:
     """L2 logistic regression on scaled columns: minimises |w|^2 / 2 + c * loss."""
+    return logistics(train, columns, target, (c,), balanced, max_iter)[0]
+
+
+def logistics(train: DataFrame, columns: Sequence[str], target: str, grid: Sequence[float], balanced: bool = True, max_iter: int = 2000) -> list[Linear]:
+    """``logistic`` at each strength of ``grid``; the rows are scaled and weighted once."""
     scaler = Scaler.fit(train, columns)
     rows = scaler.apply(train.dropna(subset=[*columns, target]).select(*columns, target))
     rows = balanced_weight(rows, target) if balanced else rows.withColumn("_weight", F.lit(1.0))
     rows = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(rows).select("_x", F.col(target).cast("double").alias("_y"), "_weight").persist()
+
+    def fit(c: float) -> Linear:
+        model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_weight", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9).fit(rows)
+        return Linear(scaler, dict(zip(columns, (float(v) for v in model.coefficients))), float(model.intercept))
+
     try:
         total = rows.agg(F.sum("_weight")).first()[0]
-        model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_weight", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9).fit(rows)
+        return [fit(c) for c in grid]
     finally:
         rows.unpersist()
-    return Linear(scaler, dict(zip(columns, (float(v) for v in model.coefficients))), float(model.intercept))
 
 
 def boosted(train: DataFrame, columns: Sequence[str], target: str = "target_next_up", rounds: int = 200, depth: int = 3, step: float = 0.03, held: float = 0.15, seed: int = SETTINGS.random_state):
@@ -140,19 +152,33 @@ def auc(df: DataFrame, target: str, prob: str) -> DataFrame:
     return s.select(ratio(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
 
 
+def tuning(train: DataFrame, columns: Sequence[str], target: str = "target_next_up", grid: Sequence[float] = C_GRID, n: int = 4) -> DataFrame:
+    """``(c, auc)``: the mean AUC of each strength over the folds, 0.5 where a fold has one class."""
+
+    def scored(k: int, fit: DataFrame, test: DataFrame) -> DataFrame:
+        each = [F.struct(F.lit(i).alias("_i"), m.probability().alias("_p")) for i, m in enumerate(logistics(fit, columns, target, grid))]
+        rows = test.where(F.col(target).isNotNull()).select(F.col(target).alias("_y"), F.explode(F.array(*each)).alias("_m"))
+        return rows.select((F.lit(k * len(grid)) + F.col("_m._i")).alias("_by"), "_y", F.col("_m._p").alias("_p")).where("_p is not null")
+
+    spark = train.sparkSession
+    parts = together(spark, [lambda k=k, p=p: scored(k, *p) for k, p in enumerate(folds(train, n))])
+    ranked = with_pooled_rank(write_table(reduce(DataFrame.unionByName, parts), "scored"), "_by", "_p", "_r")
+    s = ranked.groupBy("_by").agg(F.sum(F.when(F.col("_y") == 1, F.col("_r"))).alias("r"), F.count(F.when(F.col("_y") == 1, 1)).alias("p"), F.count("*").alias("n"))
+    got = s.select("_by", ratio(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
+    every = spark.createDataFrame([(k * len(grid) + i, float(c)) for k in range(n) for i, c in enumerate(grid)], "_by int, c double")  # a row per fold and strength
+    return every.join(got, "_by", "left").groupBy("c").agg(F.avg(F.coalesce("auc", F.lit(0.5))).alias("auc"))
+
+
 def tuned_c(train: DataFrame, columns: Sequence[str], target: str = "target_next_up", grid: Sequence[float] = C_GRID, n: int = 4) -> float:
-    """The strength with the best mean AUC over the folds (0.5 where a fold has one class); the first of equals."""
-    parts = folds(train, n)
-    best, best_auc = grid[0], -1.0
-    for c in grid:
-        got = []
-        for fit, test in parts:
-            value = auc(test.withColumn("_prob", logistic(fit, columns, target, c).probability()), target, "_prob").first()[0]
-            got.append(0.5 if value is None else value)
-        mean = sum(got) / len(got)
-        if mean > best_auc:
-            best, best_auc = c, mean
-    return best
+    """The strength with the best mean AUC over the folds; the first of equals."""
+    mean = {r["c"]: r["auc"] for r in tuning(train, columns, target, grid, n).collect()}  # a row per strength
+    return max(grid, key=lambda c: mean[float(c)])
+
+
+def together(spark: SparkSession, jobs: Sequence[Callable]) -> list:
+    """The results of ``jobs``, in order, run side by side: fits are many short Spark jobs that leave most cores idle."""
+    with ThreadPool(max(1, min(4, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs)
 
 
 def evaluate(df: DataFrame, target: str = "target_next_up", pred: str = "pred_up", prob: str = "prob_up", forward: str = "fwd_ret_1d", by: str | None = None) -> DataFrame:
@@ -192,18 +218,28 @@ def baselines(train: DataFrame, test: DataFrame, target: str = "target_next_up")
     return test.withColumn("_base", base).select("*", each.alias("_m")).select(*test.columns, "_m.*")
 
 
-def ablation(features: DataFrame, test_start: str = SETTINGS.test_start, c: float = 0.1, rounds: int = 200, blocks: Mapping[str, Sequence[str]] = BLOCKS) -> DataFrame:
-    """Metrics of both learners on each block of features and of the baselines, best balanced accuracy first."""
+def ablation(features: DataFrame, test_start: str = SETTINGS.test_start, c: float | None = None, rounds: int = 200, blocks: Mapping[str, Sequence[str]] = BLOCKS) -> DataFrame:
+    """Metrics of both learners on each block of features and of the baselines, best balanced accuracy first.
+
+    Without ``c`` the logistic strength is tuned on each block's training rows; column ``C`` has what was used.
+    """
     train, test = split(features, test_start)
     train, test = train.persist(), test.persist()
     keep = ["ticker", "date", "target_next_up", "fwd_ret_1d", "model", "prob_up", "pred_up"]
-    scored = baselines(train, test).select(*keep)
-    for name, columns in blocks.items():
-        p = logistic(train, columns, c=c).probability()
-        scored = scored.unionByName(test.withColumns({"model": F.lit(f"logreg__{name}"), "prob_up": p}).withColumn("pred_up", at_least(F.col("prob_up"))).select(*keep))
-        model, _ = boosted(train, columns, rounds=rounds)
-        scored = scored.unionByName(boosted_probability(model, test).withColumns({"model": F.lit(f"hgb__{name}")}).withColumn("pred_up", at_least(F.col("prob_up"))).select(*keep))
-    return evaluate(scored, by="model").orderBy(F.desc("balanced_accuracy"), "model")
+
+    def linear(columns: Sequence[str]) -> tuple[float, Linear]:
+        used = tuned_c(train, columns) if c is None else c
+        return used, logistic(train, columns, c=used)
+
+    jobs = [lambda columns=columns: linear(columns) for columns in blocks.values()] + [lambda columns=columns: boosted(train, columns, rounds=rounds)[0] for columns in blocks.values()]
+    fitted = together(features.sparkSession, jobs)
+    scored, strength = baselines(train, test).select(*keep), {}
+    for name, (used, fit), trees in zip(blocks, fitted, fitted[len(blocks):]):
+        strength[f"logreg__{name}"] = used
+        scored = scored.unionByName(test.withColumns({"model": F.lit(f"logreg__{name}"), "prob_up": fit.probability()}).withColumn("pred_up", at_least(F.col("prob_up"))).select(*keep))
+        scored = scored.unionByName(boosted_probability(trees, test).withColumns({"model": F.lit(f"hgb__{name}")}).withColumn("pred_up", at_least(F.col("prob_up"))).select(*keep))
+    of_model = F.create_map(*[F.lit(x) for m, used in strength.items() for x in (m, float(used))])
+    return evaluate(scored, by="model").withColumn("C", F.try_element_at(of_model, F.col("model"))).orderBy(F.desc("balanced_accuracy"), "model")
 
 
 def champion(metrics: DataFrame, metric: str = "balanced_accuracy", like: str = "") -> DataFrame:

@@ -342,6 +342,19 @@ def _(b: Base) -> DataFrame:
     return out
 
 
+@query("m5_tuned_strength", None)
+def _(b: Base) -> DataFrame:
+    """The mean AUC of each strength over the folds of the training rows, per block of features."""
+    train, _ = M.split(_complete(b), CUT)
+    train = train.persist()
+    means = M.together(b.spark, [lambda columns=columns: M.tuning(train, columns) for columns in M.BLOCKS.values()])
+    out = None
+    for block, one in zip(M.BLOCKS, means):
+        one = one.select(F.lit(block).alias("block"), "c", "auc")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _BASELINES = f"""
 {_COMPLETE_FT}, te AS (SELECT * FROM cf WHERE date >= DATE '{CUT}'),
 bl AS (

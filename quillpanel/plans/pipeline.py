@@ -56,12 +56,13 @@ def train(store: Store, settings: Settings = SETTINGS, rounds: int = 200, metric
     features = store.read("features")
     metrics = M.ablation(features, settings.test_start, rounds=rounds).cache()
     fit, test = M.split(features, settings.test_start)
-    names = {M.champion(metrics).first()["model"], M.champion(metrics, like="combined").first()["model"]}
+    best = [M.champion(metrics).first(), M.champion(metrics, like="combined").first()]
+    strength = {r["model"]: r["C"] for r in best}
     out = None
-    for name in sorted(names):
+    for name in sorted(strength):
         learner, _, block = name.partition("__")
         if learner == "logreg":
-            model = M.logistic(fit, M.BLOCKS[block])
+            model = M.logistic(fit, M.BLOCKS[block], c=strength[name])
             scored = test.withColumn("prob_up", model.probability())
         elif learner == "hgb":
             model = M.boosted(fit, M.BLOCKS[block], rounds=rounds)[0]

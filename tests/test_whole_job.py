@@ -1,10 +1,17 @@
 """Queries and models do the whole job."""
 
+import dataclasses
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from quillpanel.plans import figures
+from quillpanel.config import SETTINGS
+from quillpanel.operators import models as M
+from quillpanel.plans import figures, pipeline
+from quillpanel.sources.writers import Store
+
+from .test_panel import _day, _features
 
 
 def test_coverage_has_every_month(spark):
@@ -12,3 +19,39 @@ def test_coverage_has_every_month(spark):
     assert figures.coverage_pivot(h).columns == ["ticker", "2020-01", "2023-05"]
     assert {tuple(r) for r in figures.coverage(h).collect()} == {("a", "2020-01", 1), ("a", "2023-05", 1), ("b", "2020-01", 1), ("b", "2023-05", 0)}
     assert figures.coverage(h).agg(F.sum("n")).first()[0] == h.where("trade_date is not null").count()
+
+
+@pytest.fixture(scope="module")
+def features(spark):
+    return _features(spark).cache()
+
+
+def test_ablation_and_training_use_the_tuned_strength(spark, features, tmp_path, monkeypatch):
+    block = {"combined": ["sent_mean", "ret_1d"]}
+    monkeypatch.setattr(M, "tuned_c", lambda train, columns, **_: 0.003)
+    metrics = {r["model"]: r.asDict() for r in M.ablation(features, str(_day(30)), rounds=2, blocks=block).collect()}
+    fixed = {r["model"]: r.asDict() for r in M.ablation(features, str(_day(30)), c=0.003, rounds=2, blocks=block).collect()}
+    assert metrics["logreg__combined"] == fixed["logreg__combined"] and metrics["logreg__combined"]["C"] == 0.003
+    assert metrics["hgb__combined"]["C"] is None
+
+
+def test_tuning_is_the_mean_over_the_folds(features):
+    columns = ["sent_mean", "ret_1d"]
+    got = {r["c"]: r["auc"] for r in M.tuning(features, columns, grid=(0.003, 1.0), n=2).collect()}
+    for c in (0.003, 1.0):
+        each = [M.auc(test.withColumn("p", M.logistic(fit, columns, c=c).probability()), "target_next_up", "p").first()[0] for fit, test in M.folds(features, 2)]
+        assert got[c] == pytest.approx(sum(each) / 2)
+
+
+def test_training_refits_with_the_strength_of_the_metrics(spark, features, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    pipeline.init(store)
+    store.write("features", features)
+    settings = dataclasses.replace(SETTINGS, test_start=str(_day(30)))
+    monkeypatch.setattr(M, "ablation", lambda *_, **__: spark.createDataFrame([("logreg__combined", 0.6, 0.003)], "model string, balanced_accuracy double, C double"))
+    pipeline.train(store, settings)
+    fit, _ = M.split(features, settings.test_start)
+    kept = M.load_bundle(spark, f"{store.root}/models/logreg__combined")[2]
+    want = M.logistic(fit, M.BLOCKS["combined"], c=0.003)
+    assert dict(kept.coefficients) == pytest.approx(dict(want.coefficients), abs=1e-9)
+    assert store.read("predictions").count() == features.where(F.col("date") >= F.lit(str(_day(30))).cast("date")).count()
