@@ -9,9 +9,9 @@ from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -106,7 +106,7 @@ def logistics(train: DataFrame, columns: Sequence[str], target: str, grid: Seque
 
 
 def boosted(train: DataFrame, columns: Sequence[str], target: str = "target_next_up", rounds: int = 200, depth: int = 3, step: float = 0.03, held: float = 0.15, seed: int = SETTINGS.random_state):
-    """Gradient-boosted trees; the number of rounds is the one with the least loss on a held-out share of the training rows.
+    """Gradient-boosted trees and their number: of ``rounds``, as many as have the least loss on a held-out share of the training rows.
 
     Stands for a histogram booster with early stopping: like in design, not equal in numbers.
     """
@@ -118,7 +118,22 @@ def boosted(train: DataFrame, columns: Sequence[str], target: str = "target_next
     finally:
         rows.unpersist()
     best = 1 + min(range(len(staged)), key=staged.__getitem__) if staged and not math.isnan(staged[0]) else rounds
-    return PipelineModel([assemble, model]), best
+    return PipelineModel([assemble, first_trees(model, best)]), best
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """``model`` with its first ``n`` trees and their weights only."""
+    whole, gateway = model._java_obj, SparkContext._active_spark_context._gateway
+    trees, weights = whole.trees(), whole.treeWeights()
+    if n >= len(trees):
+        return model
+    kept, kept_weights = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n), gateway.new_array(gateway.jvm.double, n)
+    for k in range(n):
+        kept[k], kept_weights[k] = trees[k], float(weights[k])
+    cut = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(whole.uid(), kept, kept_weights, whole.numFeatures(), whole.numClasses())
+    out = GBTClassificationModel(cut)
+    out._resetUid(model.uid)
+    return model._copyValues(out)
 
 
 def boosted_probability(model: PipelineModel, df: DataFrame, out: str = "prob_up") -> DataFrame:

@@ -55,3 +55,18 @@ def test_training_refits_with_the_strength_of_the_metrics(spark, features, tmp_p
     want = M.logistic(fit, M.BLOCKS["combined"], c=0.003)
     assert dict(kept.coefficients) == pytest.approx(dict(want.coefficients), abs=1e-9)
     assert store.read("predictions").count() == features.where(F.col("date") >= F.lit(str(_day(30))).cast("date")).count()
+
+
+def test_boosted_keeps_the_best_trees(spark, features, tmp_path):
+    noise = features.withColumn("target_next_up", (F.hash("ticker", "date") % 2 == 0).cast("int"))
+    model, best = M.boosted(noise, ["sent_mean", "volume_z"], rounds=15, depth=5, step=0.5)
+    trees = model.stages[-1]
+    assert best < 15 and trees.getNumTrees == len(trees.treeWeights) == best
+    columns = ["sent_mean", "volume_z"]
+    rows = M.VectorAssembler(inputCols=columns, outputCol="_x").transform(noise).withColumn("_y", F.col("target_next_up").cast("double"))
+    whole = M.GBTClassifier(featuresCol="_x", labelCol="_y", maxDepth=3, maxIter=6, seed=1).fit(rows)
+    short = M.GBTClassifier(featuresCol="_x", labelCol="_y", maxDepth=3, maxIter=4, seed=1).fit(rows)
+    score = lambda m: {(r["ticker"], r["date"]): r["probability"][1] for r in m.transform(rows).collect()}
+    assert score(M.first_trees(whole, 4)) == pytest.approx(score(short))
+    M.save_bundle(spark, str(tmp_path / "t"), "t", columns, model)
+    assert M.load_bundle(spark, str(tmp_path / "t"))[2].stages[-1].getNumTrees == best
