@@ -25,8 +25,6 @@ from quillpanel.sources.schema import FEATURES, SENTIMENT_FEATURES
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-#: Boosting rounds in these queries; the default of the operators is 200.
-ROUNDS = 20
 
 
 def query(name: str, sql: str | None, base: bool = True):
@@ -329,7 +327,7 @@ def _(b: Base) -> DataFrame:
 @query("m4_boosted_trees", None)
 def _(b: Base) -> DataFrame:
     train, test = M.split(_complete(b), CUT)
-    model, _ = M.boosted(train, SENTIMENT_FEATURES, rounds=ROUNDS)
+    model, _ = M.boosted(train, SENTIMENT_FEATURES)
     return M.boosted_probability(model, test).select("ticker", day("date").alias("date"), "prob_up")
 
 
@@ -394,7 +392,7 @@ def _(b: Base) -> DataFrame:
 
 @query("m11_ablation", None)
 def _(b: Base) -> DataFrame:
-    return M.ablation(_complete(b), CUT, rounds=ROUNDS)
+    return M.ablation(_complete(b), CUT)
 
 
 @query("m13_predict_one", None)
@@ -413,17 +411,17 @@ def _(b: Base) -> DataFrame:
 
 @query("d12_leakage_comparison", None)
 def _(b: Base) -> DataFrame:
-    return EX.leakage_comparison(b.hl, b.sen, b.px, test_start=CUT, model=MODEL, rounds=5)
+    return EX.leakage_comparison(b.hl, b.sen, b.px, test_start=CUT, model=MODEL)
 
 
 @query("d13_same_day_leak", None)
 def _(b: Base) -> DataFrame:
-    return EX.same_day_leak(_complete(b), CUT, rounds=ROUNDS)
+    return EX.same_day_leak(_complete(b), CUT)
 
 
 @query("d15_cross_sectional_run", None)
 def _(b: Base) -> DataFrame:
-    return M.cross_sectional_run(_complete(b), CUT, NAMES, rounds=ROUNDS)
+    return M.cross_sectional_run(_complete(b), CUT, NAMES)
 
 
 # ---- sort, limit, service, figures ------------------------------------------------

@@ -2,6 +2,7 @@
 
 import dataclasses
 import datetime as dt
+import inspect
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +71,27 @@ def test_boosted_keeps_the_best_trees(spark, features, tmp_path):
     assert score(M.first_trees(whole, 4)) == pytest.approx(score(short))
     M.save_bundle(spark, str(tmp_path / "t"), "t", columns, model)
     assert M.load_bundle(spark, str(tmp_path / "t"))[2].stages[-1].getNumTrees == best
+
+
+def test_queries_boost_the_default_rounds(spark, monkeypatch):
+    from quillpanel.operators import experiments as EX
+    from quillpanel.plans import panel_queries as PQ
+
+    asked = []
+
+    def noted(name, rounds_of):
+        real = inspect.signature(rounds_of).parameters["rounds"].default
+
+        def stand_in(*args, **kwargs):
+            asked.append((name, kwargs.get("rounds", real)))
+            raise StopIteration
+
+        return stand_in
+
+    for module, name in ((M, "boosted"), (M, "ablation"), (M, "cross_sectional_run"), (EX, "leakage_comparison"), (EX, "same_day_leak")):
+        monkeypatch.setattr(module, name, noted(name, getattr(module, name)))
+    monkeypatch.setattr(M, "split", lambda df, cut: (df, df))
+    for query in ("m4_boosted_trees", "m11_ablation", "d15_cross_sectional_run", "d12_leakage_comparison", "d13_same_day_leak"):
+        with pytest.raises(StopIteration):
+            PQ.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert asked == [("boosted", 200), ("ablation", 200), ("cross_sectional_run", 200), ("leakage_comparison", 200), ("same_day_leak", 200)]
