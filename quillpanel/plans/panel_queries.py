@@ -141,6 +141,14 @@ def _(b: Base) -> DataFrame:
     return readers.wide_to_long(wide, ["close", "volume"]).select("ticker", day("date").alias("date"), r6("close").alias("close"), r6("volume").alias("volume"))
 
 
+@query("d4_whole_universe", f"SELECT ticker, {D('date')} AS date, {R('close')} AS close, {R('volume')} AS volume FROM px WHERE ticker IS NOT NULL AND (close IS NOT NULL OR volume IS NOT NULL)")
+def _(b: Base) -> DataFrame:
+    names = [r[0] for r in b.px.where("ticker is not null").select("ticker").distinct().orderBy("ticker").collect()]  # the universe
+    wide = b.px.groupBy("date").pivot("ticker", names).agg(F.max("close").alias("close"), F.max("volume").alias("volume"))
+    wide = wide.select("date", *[F.col(f"`{t}_{f}`").alias(f"{f}_{t}") for t in names for f in ("close", "volume")])
+    return readers.wide_to_long(wide, ["close", "volume"]).select("ticker", day("date").alias("date"), r6("close").alias("close"), r6("volume").alias("volume"))
+
+
 _UP, _DOWN = (" + ".join(f"len(list_filter(w, x -> x = '{x}'))" for x in sorted(s)) for s in (scoring.LexiconScorer.UP, scoring.LexiconScorer.DOWN))
 
 

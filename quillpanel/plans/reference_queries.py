@@ -86,6 +86,17 @@ def _(b: Base) -> DataFrame:
     return readers.csv_prices(b.spark, paths, "2023-05-01", "2023-12-31").select("ticker", day("date").alias("date"), r6("close").alias("close"), r6("adj_close").alias("adj_close"))
 
 
+@query("a6_whole_universe", f"SELECT ticker, {D('date')} AS date, {R('close')} AS close, {R('close')} AS adj_close FROM px WHERE ticker IS NOT NULL AND date IS NOT NULL")
+def _(b: Base) -> DataFrame:
+    """Every ticker's file, written in one pass, and one that is missing; the settings' whole range of dates."""
+    folder = f"{shared_dir(b.spark)}/csv-{uuid.uuid4().hex}"
+    rows = b.px.where("ticker is not null").select("ticker", F.col("date").alias("Date"), *[F.col(c).alias(c.capitalize()) for c in ("open", "high", "low", "close", "volume")])
+    rows.repartition("ticker").write.partitionBy("ticker").csv(folder, header=True)
+    names = [r[0] for r in b.px.where("ticker is not null").select("ticker").distinct().orderBy("ticker").collect()]  # the universe
+    paths = {t: f"{folder}/ticker={t}" for t in [*names, "MISSING"]}
+    return readers.csv_prices(b.spark, paths, SETTINGS.start_date, SETTINGS.end_date).select("ticker", day("date").alias("date"), r6("close").alias("close"), r6("adj_close").alias("adj_close"))
+
+
 @query("a7_source_fallback", "SELECT ticker, count(*) AS n FROM px GROUP BY 1")
 def _(b: Base) -> DataFrame:
     missing = lambda: b.spark.read.parquet(f"{b.dir}/no_such_table.parquet")

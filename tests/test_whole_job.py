@@ -95,3 +95,14 @@ def test_queries_boost_the_default_rounds(spark, monkeypatch):
         with pytest.raises(StopIteration):
             PQ.QUERIES[query](spark, "/root/testdata/sf0.001")
     assert asked == [("boosted", 200), ("ablation", 200), ("cross_sectional_run", 200), ("leakage_comparison", 200), ("same_day_leak", 200)]
+
+
+def test_wide_and_csv_queries_take_every_ticker(spark):
+    from quillpanel.plans import panel_queries as PQ
+    from quillpanel.plans import reference_queries as RQ
+    from quillpanel.plans.base import Base
+
+    sf = "/root/testdata/sf0.001"
+    want = {r[0] for r in Base(spark, sf).px.where("close is not null").select("ticker").distinct().collect()}
+    for query in (PQ.QUERIES["d4_whole_universe"], RQ.QUERIES["a6_whole_universe"]):
+        assert {r[0] for r in query(spark, sf).where("close is not null").select("ticker").distinct().collect()} == want
