@@ -505,7 +505,10 @@ def _(b: Base) -> DataFrame:
 
 @query("r1_pipeline", None)
 def _(b: Base) -> DataFrame:
-    """Prices, headlines, scores, features and predictions through a store, stage by stage; row counts of what is stored."""
+    """Prices, headlines, scores, features, studies, predictions, the cross-section and the monitor through a store, stage by stage.
+
+    Row counts of what is stored and of what the studies give.
+    """
     from quillpanel.plans.reference_queries import _store
 
     store = _store(b)
@@ -516,8 +519,14 @@ def _(b: Base) -> DataFrame:
     pipeline.ingest_headlines(store, raw, tickers)
     pipeline.score(store)
     pipeline.build_features(store)
+    settings = dataclasses.replace(SETTINGS, test_start=CUT, min_names_per_day=NAMES)
+    made = {f"analyse_{name}": df for name, df in pipeline.analyse(store, settings).items()}
+    made["train_metrics"] = pipeline.train(store, settings)
+    made["xs_models"] = M.cross_sectional_run(store.read("features"), CUT, NAMES)
+    pipeline.monitor(store, settings=settings)
+    made |= {t: store.read(t) for t in ("prices", "headlines", "sentiment", "features", "predictions", "monitor_log")}
     out = None
-    for t in ("prices", "headlines", "sentiment", "features"):
-        one = store.read(t).agg(F.lit(t).alias("table_name"), F.count("*").alias("n")).select("table_name", "n")
+    for t, df in made.items():
+        one = df.agg(F.lit(t).alias("table_name"), F.count("*").alias("n")).select("table_name", "n")
         out = one if out is None else out.unionByName(one)
     return out

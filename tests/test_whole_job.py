@@ -106,3 +106,14 @@ def test_wide_and_csv_queries_take_every_ticker(spark):
     want = {r[0] for r in Base(spark, sf).px.where("close is not null").select("ticker").distinct().collect()}
     for query in (PQ.QUERIES["d4_whole_universe"], RQ.QUERIES["a6_whole_universe"]):
         assert {r[0] for r in query(spark, sf).where("close is not null").select("ticker").distinct().collect()} == want
+
+
+def test_pipeline_query_runs_every_stage(spark, monkeypatch):
+    from quillpanel.plans import panel_queries as PQ
+
+    real = M.boosted
+    monkeypatch.setattr(M, "boosted", lambda train, columns, target="target_next_up", rounds=200, **more: real(train, columns, target, 2, **more))
+    monkeypatch.setattr(M, "tuned_c", lambda *_, **__: 0.1)
+    n = {r["table_name"]: r["n"] for r in PQ.QUERIES["r1_pipeline"](spark, "/root/testdata/sf0.01").collect()}
+    assert {"prices", "headlines", "sentiment", "features", "analyse_lead_lag", "analyse_peak", "analyse_ic", "analyse_buckets"} < set(n)
+    assert n["train_metrics"] == 9 and n["xs_models"] == 7 and n["predictions"] > 0 and 1 <= n["monitor_log"] <= 2
