@@ -120,10 +120,15 @@ dp AS ({_p9_phrases("doc_id", "d")}), ip AS ({_p9_phrases("item_id", "i")})
 SELECT DISTINCT doc_id, item_id FROM dp JOIN ip USING (phrase)"""
 
 
+def _names(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Every subject: a fixed list, short by nature."""
+    return [r[0] for r in read(spark, sf_dir, "subjects").select("subject").distinct().orderBy("subject").collect()]
+
+
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    names = [r[0] for r in read(spark, sf_dir, "subjects").select("subject").distinct().orderBy("subject").limit(1000).collect()]
+    names = _names(spark, sf_dir)
     return subjects.assign(documents, subjects.mine(documents, read(spark, sf_dir, "doc_labels"), names))
 
 
