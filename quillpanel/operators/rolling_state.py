@@ -5,157 +5,241 @@ each trailing period. Three ways to a state row, all the same recurrence:
 
     total(day) = total(day - 1) + arrived(day) - arrived(day - period)
 
-``bootstrap`` runs it over a whole history as one running sum per entity,
-``advance`` does one further day by joins, ``correct`` adds the difference a
-late or changed amount makes to the dates it touches. Amounts are fixed-point
-longs, so adding and taking away leaves nothing behind and the three agree to
-the last digit.
+``bootstrap`` runs it over the history that is there when a state is set up,
+``advance`` does one further day by a join of yesterday's totals, today's
+arrivals and the amounts that expire, ``correct`` adds the difference that a
+late or changed amount makes to the dates it touches. Amounts are decimals, so
+adding and taking away leaves nothing behind and the three agree to the last
+digit. ``RollingState`` keeps the rows in the shared folder, a version for each
+load, step or correction, with the days that steps still look at as partitions
+of their own.
+
+A state is sparse: an entity has rows from an amount's day to the last day whose
+longest period holds it. Where there is no row all totals are nothing.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Largest amount, after scaling, that a total of this many days still holds in a long.
-LARGEST = 10**15
+from quillpanel.runtime import new_folder
 
-
-def amount(value: Column, scale: int) -> Column:
-    """``value`` as a fixed-point long with ``scale`` parts per unit; null for null, NaN and what is too large to add."""
-    scaled = F.round(value * scale)
-    return F.when(~F.isnan(value) & (F.abs(scaled) <= LARGEST), scaled).cast("long")
+#: Digits of an amount, those behind the point included; a total has ten more, so no sum over a period overflows.
+DIGITS = 28
 
 
 def daily_amounts(tables: Sequence[tuple[DataFrame, Column, Column, Mapping[str, Column]]], scales: Mapping[str, int], anchor: str) -> DataFrame:
-    """One row per entity and day out of several tables: ``(entity, day, <measure>..., anchored)``.
-
-    ``tables`` gives of each its entity, day and measures. Of several rows for a
-    day the largest value counts, so repeated rows count once; the aggregate is
-    map-side combined, and an entity repeated without end is still one row per
-    day. Rows without entity or day are left out. ``anchored`` marks days on
-    which the table holding measure ``anchor`` has a row, whatever its values.
+    """One row per entity and day out of several tables: ``(entity, day, <measure>..., <measure>_beyond..., anchored)``.
+
+    ``tables`` gives of each its entity, day and measures, ``scales`` the decimals
+    kept of each measure. Of several rows for a day the largest value counts, so
+    repeated rows count once; the aggregate is map-side combined, and an entity
+    repeated without end is still one row per day. Rows without entity or day are
+    left out; null and NaN are no amount. An infinite amount, or one too large for
+    ``DIGITS``, is marked as ``beyond``: it makes the totals it belongs to unknown.
+    ``anchored`` marks days on which the table holding measure ``anchor`` has a
+    row, whatever its values.
     """
     parts = None
     for rows, entity, day, values in tables:
-        part = rows.select(
-            entity.alias("entity"), day.alias("day"), F.lit(anchor in values).alias("anchored"),
-            *[amount(values[m], s).alias(m) if m in values else F.lit(None).cast("long").alias(m) for m, s in scales.items()],
-        ).where("entity is not null and day is not null")
+        number = lambda m: F.when(~F.isnan(values[m].cast("double")), values[m].cast("double")) if m in values else F.lit(None).cast("double")  # noqa: B023, E731
+        part = rows.select(entity.alias("entity"), day.alias("day"), F.lit(anchor in values).alias("anchored"), *[number(m).alias(m) for m in scales]).where("entity is not null and day is not null")
         parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("entity", "day").agg(*[F.max(m).alias(m) for m in scales], F.max("anchored").alias("anchored"))
+    daily = parts.groupBy("entity", "day").agg(*[F.max(m).alias(m) for m in scales], F.max("anchored").alias("anchored"))
+    exact = {m: F.col(m).try_cast(f"decimal({DIGITS},{s})") for m, s in scales.items()}
+    return daily.select(
+        "entity", "day", *[c.alias(m) for m, c in exact.items()],
+        *[(F.col(m).isNotNull() & c.isNull()).cast("long").alias(f"{m}_beyond") for m, c in exact.items()], "anchored",
+    )
 
 
-def bootstrap(daily: DataFrame, measures: Sequence[str], periods: Sequence[int], through: Column | None = None, version: int = 0) -> DataFrame:
-    """State for every day from an entity's first row to its last, or ``through`` if later.
+def _own(measures: Sequence[str]) -> list[str]:
+    return [c for m in measures for c in (m, f"{m}_beyond")]
 
-    After its last row an entity keeps rows for one longest period at most: from
-    then on all its totals are nothing. One exchange by entity; days per entity
-    are bounded by the calendar, not by the number of input rows.
-    """
-    longest = max(periods)
-    by_day = Window.partitionBy("entity").orderBy("day")
-    last = F.col("day") if through is None else F.greatest(F.col("day"), F.least(through, F.date_add("day", longest)))
-    upto = F.coalesce(F.date_sub(F.lead("day").over(by_day), 1), last)
-    gaps = daily.withColumn("upto", upto)
-    dense = gaps.select(
-        "entity", F.posexplode(F.sequence("day", "upto")).alias("quiet", "on"),
-        *[F.when(F.col("quiet") == 0, F.col(m)).alias(m) for m in measures], F.when(F.col("quiet") == 0, F.col("anchored")).otherwise(False).alias("anchored"),
-    ).withColumnRenamed("on", "day").drop("quiet")
-    upto_now = by_day.rowsBetween(Window.unboundedPreceding, 0)
-    cols = []
+
+def _lanes(measures: Sequence[str], of=F.col) -> dict[str, Column]:
+    """What is added up of each measure: the amount, whether there is one, and whether it is beyond what can be added."""
+    out = {}
     for m in measures:
-        for p in periods:
-            cols.append((f"{m}_total_{p}", F.coalesce(m, F.lit(0)) - F.coalesce(F.lag(m, p).over(by_day), F.lit(0))))
-            cols.append((f"{m}_days_{p}", F.col(m).isNotNull().cast("long") - F.coalesce(F.lag(F.col(m).isNotNull().cast("long"), p).over(by_day), F.lit(0))))
-    steps = dense.select("*", *[c.alias(n) for n, c in cols])
-    return steps.select("entity", "day", "anchored", *measures, *[F.sum(n).over(upto_now).alias(n) for n, _ in cols], F.lit(version).alias("version"))
+        beyond = F.coalesce(of(f"{m}_beyond"), F.lit(0).cast("long"))
+        out |= {f"{m}_total": F.coalesce(of(m), F.lit(0).cast("long")), f"{m}_days": of(m).isNotNull().cast("long") + beyond, f"{m}_beyond": beyond}
+    return out
 
 
-def advance(state: DataFrame, arrivals: DataFrame, day: str, measures: Sequence[str], periods: Sequence[int], version: int) -> DataFrame:
-    """The rows of ``day``: yesterday's totals, the day's arrivals, and the amounts that expire.
+def bootstrap(daily: DataFrame, measures: Sequence[str], periods: Sequence[int], through: Column | None = None) -> DataFrame:
+    """State rows of a whole history, up to ``through`` where that is later than an entity's last row.
 
-    ``state`` must hold one row per entity and day (see ``latest``) over the
-    longest period. Reads only the few days needed: a filter on ``day`` prunes
-    partitions of a state stored by day.
+    One exchange by entity; days per entity are bounded by the calendar, not by
+    the number of input rows.
+    """
+    longest = max(periods)
+    by_day = Window.partitionBy("entity").orderBy("day")
+    held = F.date_add("day", longest - 1)  # the last day whose longest period holds this one
+    last = F.col("day") if through is None else F.greatest(F.col("day"), F.least(through, held))
+    upto = F.least(held, F.coalesce(F.date_sub(F.lead("day").over(by_day), 1), last))
+    row = daily.withColumn("_upto", upto)
+    there = F.col("_quiet") == 0
+    dense = row.select("entity", F.posexplode(F.sequence("day", "_upto")).alias("_quiet", "_on"), *[F.when(there, F.col(c)).alias(c) for c in _own(measures)], (there & F.col("anchored")).alias("anchored"))
+    dense = dense.withColumnRenamed("_on", "day").drop("_quiet")
+    # Rows of an entity follow each other day by day, but for gaps before which everything has expired: so many rows back is so many days back.
+    sofar = by_day.rowsBetween(Window.unboundedPreceding, 0)
+    lanes = _lanes(measures)
+    steps = dense.select("*", *[c.alias(f"_{k}") for k, c in lanes.items()])
+    steps = steps.select("*", *[(F.col(f"_{k}") - F.coalesce(F.lag(f"_{k}", p).over(by_day), F.lit(0).cast("long"))).alias(f"_{k}_{p}") for k in lanes for p in periods])
+    return steps.select("entity", "day", "anchored", *_own(measures), *[_sized(F.sum(f"_{k}_{p}").over(sofar), k, measures, daily).alias(f"{k}_{p}") for k in lanes for p in periods])
+
+
+def _sized(c: Column, lane: str, measures: Sequence[str], amounts: DataFrame) -> Column:
+    """Totals as decimals with the measure's decimals, counts as longs."""
+    m = lane.removesuffix("_total")
+    return c.cast(f"decimal(38,{amounts.schema[m].dataType.scale})") if lane.endswith("_total") and m in measures else c.cast("long")
+
+
+def advance(state: DataFrame, arrivals: DataFrame, day: dt.date, measures: Sequence[str], periods: Sequence[int]) -> DataFrame:
+    """The rows of ``day``: yesterday's totals joined with the day's arrivals and the amounts that expire.
+
+    Of ``state``, rows with a ``version``, only the day before and the days that
+    expire are looked at, of each its newest version. An entity that nothing is
+    left of has no row.
     """
-    today = F.lit(day).cast("date")
-    before = state.where(F.col("day") == F.date_sub(today, 1)).drop("day", "version", "anchored", *measures)
-    new = arrivals.where(F.col("day") == today).select("entity", "anchored", *measures)
-    rows = before.join(new, "entity", "full")
-    for p in periods:
-        old = state.where(F.col("day") == F.date_sub(today, p)).select("entity", *[F.col(m).alias(f"{m}_old_{p}") for m in measures])
-        rows = rows.join(old, "entity", "left")
-    out = [F.col("entity"), today.alias("day"), F.coalesce("anchored", F.lit(False)).alias("anchored"), *measures]
-    quiet = F.lit(False)
+    # As text: a step is a small job, and a plan put together column by column would take longer than it.
+    on = lambda n: f"day = date'{day - dt.timedelta(n)}'"
+    own = _own(measures)
+    lanes = [f"{m}_{lane}" for m in measures for lane in ("total", "days", "beyond")]
+    add = {k: v for m in measures for k, v in ((f"{m}_total", f"coalesce({{0}}{m}, 0L)"), (f"{m}_days", f"int({{0}}{m} is not null) + coalesce({{0}}{m}_beyond, 0L)"), (f"{m}_beyond", f"coalesce({{0}}{m}_beyond, 0L)"))}
+    newest = lambda cols, n: f"max_by(struct({', '.join(cols)}), if({on(n)}, version, null))"
+    held = state.where(" or ".join(on(n) for n in sorted({1, *periods}))).groupBy("entity").agg(
+        F.expr(newest([f"{k}_{p}" for k in lanes for p in periods], 1)).alias("_held"), *[F.expr(newest(own, p)).alias(f"_old_{p}") for p in periods]
+    )
+    today = arrivals.where(on(0)).select("entity", F.struct("anchored", *own).alias("_new"))
+    totals = []
     for m in measures:
-        quiet = quiet | F.col(m).isNotNull()
-        for p in periods:
-            held, old = F.coalesce(f"{m}_total_{p}", F.lit(0)), F.col(f"{m}_old_{p}")
-            out.append((held + F.coalesce(m, F.lit(0)) - F.coalesce(old, F.lit(0))).alias(f"{m}_total_{p}"))
-            out.append((F.coalesce(f"{m}_days_{p}", F.lit(0)) + F.col(m).isNotNull().cast("long") - old.isNotNull().cast("long")).alias(f"{m}_days_{p}"))
-    return rows.select(*out, F.lit(version).alias("version"))
+        scale = arrivals.schema[m].dataType.scale
+        for lane, kind in (("total", f"decimal(38,{scale})"), ("days", "bigint"), ("beyond", "bigint")):
+            k = f"{m}_{lane}"
+            totals += [f"cast(coalesce(_held.{k}_{p}, 0L) + {add[k].format('_new.')} - ({add[k].format(f'_old_{p}.')}) as {kind}) as {k}_{p}" for p in periods]
+    rows = held.join(today, "entity", "full").selectExpr(
+        "entity", f"date'{day}' as day", "coalesce(_new.anchored, false) as anchored", *[f"coalesce(_new.{c}, 0L) as {c}" if c.endswith("_beyond") else f"_new.{c} as {c}" for c in own], *totals
+    )
+    return rows.where(" or ".join(["anchored", *[f"{m}_days_{max(periods)} > 0" for m in measures]]))
 
 
-def correct(state: DataFrame, corrections: DataFrame, measures: Sequence[str], periods: Sequence[int], version: int) -> DataFrame:
-    """New versions of the rows that ``corrections`` (entity, day, anchored, <measure>...) touch, and of no others.
+def correct(state: DataFrame, corrections: DataFrame, measures: Sequence[str], periods: Sequence[int], through: Column) -> DataFrame:
+    """New versions of the rows that ``corrections`` (rows as of ``daily_amounts``) touch, and of no others.
 
-    A correction states a day's amounts as they should have been. Only the dates
-    from that day to one longest period later are read and written again. A day
-    outside an entity's state needs a bootstrap of that entity instead.
+    A correction states a day's amounts as they should have been, for any entity
+    and day up to ``through``, the state's last; where the state has no row, one
+    is made. ``state`` holds one row per entity and day (see ``latest``), of which
+    only the dates from a corrected day to the end of its longest period matter.
     """
     longest = max(periods)
-    fixed = corrections.select("entity", "day", F.col("anchored").alias("anchored_new"), *[F.col(m).alias(f"{m}_new") for m in measures], F.lit(True).alias("fixed"))
-    own = state.select("entity", "day", *measures).join(fixed, ["entity", "day"])
-    spread = own.select(
-        "entity", F.posexplode(F.sequence("day", F.date_add("day", longest - 1))).alias("after", "on"),
-        *[(F.coalesce(f"{m}_new", F.lit(0)) - F.coalesce(m, F.lit(0))).alias(f"{m}_more") for m in measures],
-        *[(F.col(f"{m}_new").isNotNull().cast("long") - F.col(m).isNotNull().cast("long")).alias(f"{m}_more_days") for m in measures],
+    was = state.select("entity", "day", F.struct(*_own(measures)).alias("_was"))
+    fixed = corrections.select("entity", "day", F.struct("anchored", *_own(measures)).alias("_fixed"))
+    new, old = _lanes(measures, lambda c: F.col(f"_fixed.{c}")), _lanes(measures, lambda c: F.col(f"_was.{c}"))
+    spread = fixed.join(was, ["entity", "day"], "left").select(
+        "entity", F.posexplode(F.sequence("day", F.greatest(F.col("day"), F.least(through, F.date_add("day", longest - 1))))).alias("_after", "_on"), *[(new[k] - old[k]).alias(f"_{k}") for k in new]
     )
-    shift = spread.groupBy("entity", F.col("on").alias("day")).agg(
-        *[F.sum(F.when(F.col("after") < p, F.col(f"{m}_more"))).alias(f"{m}_shift_{p}") for m in measures for p in periods],
-        *[F.sum(F.when(F.col("after") < p, F.col(f"{m}_more_days"))).alias(f"{m}_shift_days_{p}") for m in measures for p in periods],
-    )
-    touched = state.join(shift, ["entity", "day"]).join(fixed, ["entity", "day"], "left")
-    now_fixed = F.coalesce("fixed", F.lit(False))
+    shift = spread.groupBy("entity", F.col("_on").alias("day")).agg(*[F.sum(F.when(F.col("_after") < p, F.col(f"_{k}"))).alias(f"_{k}_{p}") for k in new for p in periods])
+    touched = shift.join(state, ["entity", "day"], "left").join(fixed, ["entity", "day"], "left")
+    is_fixed, none = F.col("_fixed").isNotNull(), F.lit(0).cast("long")
+    own = lambda c: F.when(is_fixed, F.col(f"_fixed.{c}")).otherwise(F.col(c))
     return touched.select(
-        "entity", "day", F.when(now_fixed, F.col("anchored_new")).otherwise(F.col("anchored")).alias("anchored"),
-        *[F.when(now_fixed, F.col(f"{m}_new")).otherwise(F.col(m)).alias(m) for m in measures],
-        *[
-            c for m in measures for p in periods
-            for c in (
-                (F.col(f"{m}_total_{p}") + F.coalesce(f"{m}_shift_{p}", F.lit(0))).alias(f"{m}_total_{p}"),
-                (F.col(f"{m}_days_{p}") + F.coalesce(f"{m}_shift_days_{p}", F.lit(0))).alias(f"{m}_days_{p}"),
-            )
-        ],
-        F.lit(version).alias("version"),
+        "entity", "day", F.coalesce(own("anchored"), F.lit(False)).alias("anchored"), *[F.coalesce(own(c), none).alias(c) if c.endswith("_beyond") else own(c).alias(c) for c in _own(measures)],
+        *[_sized(F.coalesce(f"{k}_{p}", none) + F.coalesce(f"_{k}_{p}", none), k, measures, corrections).alias(f"{k}_{p}") for k in new for p in periods],
     )
 
 
 def latest(versions: DataFrame) -> DataFrame:
     """The newest version of each entity and day (a map-side combined aggregate, no sort)."""
-    rest = [c for c in versions.columns if c not in ("entity", "day", "version")]
-    newest = versions.groupBy("entity", "day").agg(F.max(F.struct("version", *rest)).alias("row"))
-    return newest.select("entity", "day", *[F.col(f"row.{c}").alias(c) for c in rest], F.col("row.version").alias("version"))
+    rest = [c for c in versions.columns if c not in ("entity", "day", "version", "kept")]
+    newest = versions.groupBy("entity", "day").agg(F.max_by(F.struct(*rest), "version").alias("_row"))
+    return newest.select("entity", "day", *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def publish(state: DataFrame, scales: Mapping[str, int], periods: Sequence[int]) -> DataFrame:
-    """Totals, averages over the days with a value, and their number, from the first anchored day to the last.
+def publish(versions: DataFrame, measures: Sequence[str], periods: Sequence[int]) -> DataFrame:
+    """Totals, averages over the days with a value, and their number, for every day from the first anchored day to the last.
 
-    Without a value in the period the total is 0 and the average null.
+    Takes the newest version of each day. Without a value in the period the total
+    is 0 and the average null; with an amount beyond what can be added both are null.
+    One exchange by entity and one sort.
     """
-    span = Window.partitionBy("entity")
+    lanes = _lanes(measures)
+    totals = [f"{k}_{p}" for k in lanes for p in periods]
+    whole = Window.partitionBy("entity")
+    by_day = whole.orderBy("day")
+    newest = versions.repartition("entity").withColumn("_prior", F.lag("day").over(whole.orderBy("day", F.desc("version")))).where("_prior is null or _prior <> day")
     on = F.when(F.col("anchored"), F.col("day"))
-    kept = state.withColumns({"first_on": F.min(on).over(span), "last_on": F.max(on).over(span)}).where("day between first_on and last_on")
-    out = [F.col("entity"), F.col("day")]
-    for m, scale in scales.items():
+    span = newest.select("entity", "day", *totals, F.lead("day").over(by_day).alias("_next"), F.min(on).over(whole).alias("_first"), F.max(on).over(whole).alias("_last")).where("day between _first and _last")
+    # Days without a row follow days whose amounts have all expired after them.
+    dense = span.select("entity", F.posexplode(F.sequence("day", F.greatest(F.col("day"), F.least(F.col("_last"), F.date_sub(F.coalesce("_next", F.date_add("day", 1)), 1))))).alias("_gap", "_on"), *totals)
+    out = [F.col("entity"), F.col("_on").alias("day")]
+    for m in measures:
         for p in periods:
-            total, days = F.col(f"{m}_total_{p}"), F.col(f"{m}_days_{p}")
-            out += [
-                (total / F.lit(float(scale))).alias(f"{m}_total_{p}"),
-                F.when(days > 0, total / F.lit(float(scale)) / days).alias(f"{m}_avg_{p}"),
-                days.alias(f"{m}_days_{p}"),
-            ]
-    return kept.select(*out)
+            value = lambda lane: F.when(F.col("_gap") == 0, F.col(f"{m}_{lane}_{p}")).otherwise(F.lit(0).cast("long"))  # noqa: B023, E731
+            total, days = F.when(value("beyond") == 0, value("total")).cast("double"), value("days")
+            out += [total.alias(f"{m}_total_{p}"), F.when(days > 0, total / days).alias(f"{m}_avg_{p}"), days.alias(f"{m}_days_{p}")]
+    return dense.select(*out)
+
+
+class RollingState:
+    """A state in the shared folder: ``version=<n>/kept=<part>/``.
+
+    ``kept`` is the day itself for the days that steps and corrections still look
+    at one by one, those of the longest period before the load and all after it;
+    older ones lie together by year. A filter on it prunes what a step reads to
+    the few days it needs. Versions are only added, so a lost job leaves none half
+    read: what it wrote is read again only under the version that follows.
+    """
+
+    def __init__(self, spark: SparkSession, measures: Sequence[str], periods: Sequence[int], path: str | None = None):
+        self.spark, self.measures, self.periods = spark, list(measures), list(periods)
+        self.path = path or new_folder(spark, "rolling-state")
+        self.version, self.through, self.open_from, self.schema = -1, None, None, None
+
+    def _kept(self) -> Column:
+        return F.when(F.col("day") >= F.lit(self.open_from), F.col("day")).otherwise(F.trunc("day", "year"))
+
+    def _write(self, rows: DataFrame) -> None:
+        self.version += 1
+        self.schema = self.schema or rows.schema
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
+        rows.withColumn("kept", self._kept()).write.partitionBy("kept").mode("overwrite").parquet(f"{self.path}/version={self.version}")
+
+    def read(self) -> DataFrame:
+        """All rows of all versions, with ``version`` and ``kept``."""
+        fields = [T.StructField(f.name, f.dataType) for f in self.schema] + [T.StructField("version", T.IntegerType()), T.StructField("kept", T.DateType())]
+        return self.spark.read.schema(T.StructType(fields)).parquet(self.path)
+
+    def load(self, daily: DataFrame, through: dt.date) -> None:
+        """The first version: everything in ``daily`` up to ``through``."""
+        self.through, self.open_from = through, through - dt.timedelta(max(self.periods))
+        upto = F.lit(through)
+        rows = bootstrap(daily.where(F.col("day") <= upto), self.measures, self.periods, through=upto)
+        self._write(rows.repartition(self._kept()))
+
+    def advance(self, arrivals: DataFrame) -> None:
+        """One day further; ``arrivals`` may hold rows of other days, which are not looked at."""
+        day = self.through + dt.timedelta(1)
+        needed = [day - dt.timedelta(n) for n in sorted({1, *self.periods})]
+        self._write(advance(self.read().where(F.col("kept").isin(needed)), arrivals, day, self.measures, self.periods))
+        self.through = day
+
+    def correct(self, corrections: DataFrame) -> None:
+        """A version with the rows that late or changed amounts touch; days after the state's last are an error."""
+        on = corrections.select("day", F.explode(F.sequence("day", F.date_add("day", max(self.periods) - 1))).alias("on"))
+        last = on.agg(F.max("day")).first()[0]
+        if last is None:
+            return
+        if last > self.through:
+            raise ValueError(f"{last} is not in the state yet: its rows are arrivals")
+        # Parts are years and the days of the open period: as many as the calendar has.
+        parts = [r[0] for r in on.select(F.when(F.col("on") >= F.lit(self.open_from), F.col("on")).otherwise(F.trunc("on", "year"))).distinct().collect()]
+        self._write(correct(latest(self.read().where(F.col("kept").isin(parts))), corrections, self.measures, self.periods, F.lit(self.through)))
+
+    def published(self) -> DataFrame:
+        return publish(self.read(), self.measures, self.periods)

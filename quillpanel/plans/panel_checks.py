@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,12 @@ from quillpanel.operators import orphans, rolling_state, salted, spikes
 from quillpanel.runtime import prepare, read, write_table
 
 PERIODS = (7, 30)
-#: Parts per unit that amounts are added in.
-SCALES = {"adj_close": 10_000, "volume": 1, "sent_mean": 1_000_000}
+#: Decimals kept of an amount.
+SCALES = {"adj_close": 12, "volume": 4, "sent_mean": 15}
+#: Decimals of published totals and averages.
+PLACES = {"adj_close": 6, "volume": 2, "sent_mean": 6}
+#: Days done one by one: more than the longest period, so that steps take off amounts that steps have put on.
+STEPS = 32
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,59 +79,59 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _published(state: DataFrame) -> DataFrame:
-    out = rolling_state.publish(state, SCALES, PERIODS)
-    return out.select(F.col("entity").alias("ticker"), day("day").alias("date"), *[c for c in out.columns if c not in ("entity", "day")])
+def _maintained(spark: SparkSession, sf_dir: str, corrected_after: int) -> rolling_state.RollingState:
+    """The state as a running service would have it: a first load without the last ``STEPS`` days and without the
+    rows of every 15th of a month, daily steps, and after so many of them the missing rows as corrections."""
+    prepare(spark)
+    state = rolling_state.RollingState(spark, list(SCALES), PERIODS)
+    daily = _daily(spark, sf_dir)
+    dates = read(spark, sf_dir, "prices").select("date").unionByName(read(spark, sf_dir, "features").select("date"))
+    end = dates.agg(F.max("date").cast("date")).first()[0]
+    loaded = (end or dt.date(2000, 1, 1)) - dt.timedelta(STEPS)
+    late = (F.dayofmonth("day") == 15) & (F.col("day") <= F.lit(loaded))
+    # Arrivals lie by day, so that a step reads its own.
+    part = F.when(late, F.lit("late")).when(F.col("day") <= F.lit(loaded), "history").otherwise(day("day"))
+    spread = F.when(F.col("inbox") == "history", F.xxhash64("entity")).otherwise(0)  # one file a day, many for the history
+    inbox = write_table(daily.withColumn("inbox", part).repartition("inbox", spread), "inbox", ["inbox"])
+    state.load(inbox.where("inbox = 'history'"), loaded)
+    for n in range(1, STEPS + 1):
+        state.advance(inbox.where(F.col("inbox") == str(loaded + dt.timedelta(n))))
+        if n == corrected_after:
+            state.correct(inbox.where("inbox = 'late'"))
+    return state
+
+
+def _rounded(state: rolling_state.RollingState) -> DataFrame:
+    out = state.published()
+    places = lambda c: next(n for m, n in PLACES.items() if c.startswith(m))
+    return out.select(F.col("entity").alias("ticker"), day("day").alias("date"), *[F.col(c) if "_days_" in c else (F.round(F.col(c) + 1e-10, places(c)) + 0.0).alias(c) for c in out.columns if c not in ("entity", "day")])
 
 
 def p3_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, averages and days with a value over trailing 7 and 30 days, for each ticker and day from its first price to its last."""
-    prepare(spark)
-    return _published(rolling_state.bootstrap(_daily(spark, sf_dir), list(SCALES), PERIODS))
+    return _rounded(_maintained(spark, sf_dir, STEPS // 2))
 
 
 def p3_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, reached as a running service would: a first state without the last three days and
-    without the rows of every 15th of a month, three daily steps, and the missing rows as corrections."""
-    prepare(spark)
-    names = list(SCALES)
-    daily = write_table(_daily(spark, sf_dir), "daily")
-    end = daily.agg(F.max("day")).first()[0]
-    if end is None:
-        return _published(rolling_state.bootstrap(daily, names, PERIODS))
-    steps = [str(r[0]) for r in spark.range(1).select(F.explode(F.array(*[F.date_sub(F.lit(end), k) for k in (2, 1, 0)]))).collect()]
-    early = F.col("day") < F.lit(steps[0]).cast("date")
-    late = (F.dayofmonth("day") == 15) & early
-    # A row that an entity's state doesn't reach yet (its first days) can't come as a correction: it is there from the start.
-    first = daily.where(early & ~late).groupBy("entity").agg(F.min("day").alias("since"))
-    marked = daily.join(first, "entity", "left").withColumn("late", late & F.coalesce(F.col("day") > F.col("since"), F.lit(False)))
-    held = F.when(F.col("late"), F.lit(None))
-    known = marked.where(early).select("entity", "day", *[held.otherwise(F.col(m)).alias(m) for m in names], (F.col("anchored") & ~F.col("late")).alias("anchored"))
-    state = write_table(rolling_state.bootstrap(known, names, PERIODS, through=F.date_sub(F.lit(steps[0]).cast("date"), 1)), "state")
-    for version, step in enumerate(steps, 1):
-        # A day's rows are a partition of their own: only the longest period is looked at.
-        state = state.unionByName(write_table(rolling_state.advance(state, daily, step, names, PERIODS, version), "state"))
-    fixes = marked.where(early & F.col("late")).select("entity", "day", "anchored", *names)
-    state = state.unionByName(rolling_state.correct(state, fixes, names, PERIODS, len(steps) + 1))
-    return _published(rolling_state.latest(state))
+    """The same, with all corrections after the last step."""
+    return _rounded(_maintained(spark, sf_dir, STEPS))
 
 
 def _p3_sql() -> str:
-    amounts = ", ".join(f"max(CASE WHEN abs(round({m} * {s})) <= 1e15 THEN CAST(round({m} * {s}) AS BIGINT) END) AS {m}" for m, s in SCALES.items())
     out = []
-    for m, s in SCALES.items():
+    for m, n in PLACES.items():
         for p in PERIODS:
             w = f"OVER (PARTITION BY d.ticker ORDER BY d.day RANGE BETWEEN INTERVAL {p - 1} DAYS PRECEDING AND CURRENT ROW)"
             out += [
-                f"CAST(coalesce(sum(a.{m}) {w}, 0) AS DOUBLE) / {s}.0 AS {m}_total_{p}",
-                f"CAST(sum(a.{m}) {w} AS DOUBLE) / {s}.0 / count(a.{m}) {w} AS {m}_avg_{p}",
+                f"round(coalesce(sum(a.{m}) {w}, 0) + 1e-10, {n}) + 0.0 AS {m}_total_{p}",
+                f"round(sum(a.{m}) {w} / count(a.{m}) {w} + 1e-10, {n}) + 0.0 AS {m}_avg_{p}",
                 f"count(a.{m}) {w} AS {m}_days_{p}",
             ]
     return f"""
 WITH u AS (
   SELECT upper(trim(ticker)) AS ticker, CAST(date AS DATE) AS day, adj_close, volume, NULL::DOUBLE AS sent_mean FROM prices
   UNION ALL SELECT upper(trim(ticker)), CAST(date AS DATE), NULL, NULL, sent_mean FROM features
-), a AS (SELECT ticker, day, {amounts} FROM u GROUP BY 1, 2),
+), a AS (SELECT ticker, day, max(adj_close) AS adj_close, max(volume) AS volume, max(sent_mean) AS sent_mean FROM u GROUP BY 1, 2),
 span AS (SELECT upper(trim(ticker)) AS ticker, min(CAST(date AS DATE)) AS lo, max(CAST(date AS DATE)) AS hi FROM prices GROUP BY 1),
 firsts AS (SELECT ticker, min(day) AS lo, max(day) AS hi FROM a GROUP BY 1),
 d AS (SELECT ticker, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM firsts),
