@@ -1,10 +1,11 @@
 """Implausible readings, judged by each source's own usual behaviour.
 
 Peaks over threshold: per source and column, changes between successive
-readings less their weekday's median are residuals; their exceedances over a
-high quantile get a generalised Pareto tail, whose cutoff at a fixed risk tells
-an extreme from a large move. Beside it stand rules for stuck and impossible
-readings, and for spikes that come back within a few readings.
+readings less their weekday's median are residuals; the exceedances of usual
+ones over a high quantile get a generalised Pareto tail, whose cutoff at a fixed
+risk tells what may be implausible from what the source does anyway. Only runs
+entered by a reading over the cutoff are looked at for spikes. Beside it stand
+rules for stuck and impossible readings.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: The longest spike, in readings.
 SPIKE = 3
+#: Peaks that the shape of a tail is fitted to, at least.
+LEAST_PEAKS = 10
 
 
 def readings(rows: DataFrame, source: Column, day: Column, columns: Sequence[str]) -> DataFrame:
@@ -30,25 +33,31 @@ def readings(rows: DataFrame, source: Column, day: Column, columns: Sequence[str
     return long.groupBy("source", "day", "column").agg(F.max("value").alias("value"))
 
 
-def judged(reading: DataFrame, tail_share: float = 0.05, risk: float = 1e-4, distance: float = 10.0, stuck: int = 6) -> DataFrame:
+def judged(reading: DataFrame, tail_share: float = 0.05, risk: float = 0.01, distance: float = 10.0, stuck: int = 6) -> DataFrame:
     """Every reading with what is known of it.
 
     Columns: ``source, day, column, value``; ``impossible`` (zero or less);
     ``change`` and ``residual`` against the reading before (impossible ones set
     aside); ``usual`` (the median absolute change); ``threshold``, ``shape``,
-    ``scale`` of the tail; ``cutoff`` at ``risk``; ``extreme`` (the residual
-    exceeds the cutoff); ``peak`` (it exceeds the cutoff or the spike distance,
-    whichever is less); ``spike``; ``stuck``.
+    ``scale`` of the tail; its ``cutoff`` at ``risk``; ``peak`` (the residual
+    exceeds the cutoff); ``rule``; ``spike``; ``stuck``.
 
-    ``spike`` holds for one to three successive readings that lie, in log terms
+    The tail is fitted to residuals of at most ``distance`` times ``usual``: those
+    farther off, faulty readings and the returns from them, would be taken for the
+    source's own behaviour. Shape and scale come from probability-weighted moments,
+    with fewer than ten peaks the scale of an exponential tail. A source of which
+    half the changes are nothing, or with no peaks, has no tail and no cutoff: all
+    its readings are peaks.
+
+    ``rule`` holds for one to three successive readings that lie, in log terms
     and to one side, more than ``distance`` times ``usual`` away from the reading
     before and the one after them, while these two lie within that distance of
-    each other. Candidates are runs entered by a peak; the limit of a peak is never
-    above the spike distance, so no run that meets the rule is passed over.
+    each other. ``spike`` holds where the first of such a run is a peak: a move
+    that the source's own tail makes likely is none.
     ``stuck`` holds from the second on of ``stuck`` or more equal readings.
 
-    All windows share one exchange and one sort by (source, column, day). A
-    source has one reading a day, so a group is bounded by the calendar.
+    All windows share one exchange by (source, column); a source has one reading
+    a day, so a group is bounded by the calendar.
     """
     whole = Window.partitionBy("source", "column")
     inorder = whole.orderBy("day")
@@ -62,26 +71,24 @@ def judged(reading: DataFrame, tail_share: float = 0.05, risk: float = 1e-4, dis
     seq = seq.withColumns({f"season_{k}": F.median(F.when(F.col("weekday") == k, F.col("change"))).over(whole) for k in range(7)})
     seq = seq.withColumn("season", F.coalesce(*[F.when(F.col("weekday") == k, F.col(f"season_{k}")) for k in range(7)])).drop(*[f"season_{k}" for k in range(7)])
     seq = seq.withColumn("residual", F.col("change") - F.col("season"))
-    seq = seq.withColumns({
-        "usual": F.median(F.abs("change")).over(whole), "quantile": F.percentile(F.abs("residual"), F.lit(1 - tail_share)).over(whole),
-        "changes": F.count("change").over(whole), "most_season": F.max(F.abs("season")).over(whole),
-    })
-    seq = seq.withColumnRenamed("quantile", "threshold")
-    seq = seq.withColumn("excess", F.when(F.abs("residual") > F.col("threshold"), F.abs("residual") - F.col("threshold")))
-    seq = seq.withColumns({"excess_mean": F.avg("excess").over(whole), "excess_var": F.var_samp("excess").over(whole), "peaks": F.count("excess").over(whole)})
-    # Moments of the generalised Pareto distribution; an exponential tail where there are too few peaks to tell.
-    ratio = F.try_divide(F.col("excess_mean") * F.col("excess_mean"), F.col("excess_var"))
-    seq = seq.withColumn("shape", F.when((F.col("peaks") >= 10) & ratio.isNotNull(), F.lit(0.5) * (1 - ratio)).otherwise(F.lit(0.0)))
-    seq = seq.withColumn("scale", F.col("excess_mean") * (1 - F.col("shape")))
-    over_risk = F.try_divide(F.col("peaks").cast("double"), F.col("changes") * F.lit(risk))
+    far = distance * F.col("usual")
+    seq = seq.withColumn("usual", F.median(F.abs("change")).over(whole))
+    seq = seq.withColumn("_r", F.when(F.abs("residual") <= far, F.abs("residual")))
+    seq = seq.withColumns({"threshold": F.percentile("_r", F.lit(1 - tail_share)).over(whole), "_n": F.count("_r").over(whole)})
+    seq = seq.withColumn("_excess", F.when((F.col("_r") > F.col("threshold")) & (F.col("usual") > 0), F.col("_r") - F.col("threshold")))
+    seq = seq.withColumns({"_place": F.row_number().over(whole.orderBy(F.asc_nulls_last("_excess"))), "_peaks": F.count("_excess").over(whole)})
+    # Probability-weighted moments of the generalised Pareto distribution.
+    seq = seq.withColumns({"_a0": F.avg("_excess").over(whole), "_a1": F.avg(F.col("_excess") * (1 - (F.col("_place") - 0.35) / F.col("_peaks"))).over(whole)})
+    ratio = F.when(F.col("_peaks") >= LEAST_PEAKS, F.try_divide(F.col("_a0"), F.col("_a0") - 2 * F.col("_a1")))
+    seq = seq.withColumn("shape", F.when(F.col("_peaks") > 0, F.coalesce(2 - ratio, F.lit(0.0))))
+    seq = seq.withColumn("scale", F.coalesce(2 * F.col("_a1") * ratio, F.col("_a0")))
+    over_risk = F.try_divide(F.col("_peaks").cast("double"), F.col("_n") * F.lit(risk))
     growth = F.when(F.abs("shape") < 1e-6, F.log(over_risk)).otherwise(F.try_divide(F.pow(over_risk, F.col("shape")) - 1, F.col("shape")))
     seq = seq.withColumn("cutoff", F.col("threshold") + F.col("scale") * growth)
-    # A spike's entry is a change of more than distance * usual; its residual is less than that by one weekday's median at most.
-    far = distance * F.col("usual")
-    seq = seq.withColumn("peak", F.coalesce(F.abs("residual") > F.least("cutoff", far - F.col("most_season")), F.lit(False)))
-    seq = seq.withColumns({"extreme": F.coalesce(F.abs("residual") > F.col("cutoff"), F.lit(False))} | {f"peak_m{k}": F.coalesce(F.lag("peak", k).over(inorder), F.lit(False)) for k in range(1, SPIKE)})
+    seq = seq.withColumn("peak", F.abs("residual") > F.coalesce("cutoff", F.lit(-1.0)))
+    seq = seq.withColumns({"peak": F.coalesce("peak", F.lit(False))} | {f"peak_m{k}": F.coalesce(F.lag("peak", k).over(inorder), F.lit(False)) for k in range(1, SPIKE)})
 
-    spike = F.lit(False)
+    rule = spike = F.lit(False)
     for length in range(1, SPIKE + 1):
         for offset in range(length):
             before, after = at(-offset - 1), at(length - offset)
@@ -91,12 +98,13 @@ def judged(reading: DataFrame, tail_share: float = 0.05, risk: float = 1e-4, dis
             for k in range(-offset, length - offset):
                 above = above & (at(k) - before > far) & (at(k) - after > far)
                 below = below & (before - at(k) > far) & (after - at(k) > far)
-            spike = spike | (entered & F.coalesce(above | below, F.lit(False)))
+            met = F.coalesce(above | below, F.lit(False))
+            rule, spike = rule | met, spike | (entered & met)
     known = ["change", "residual", "usual", "threshold", "shape", "scale", "cutoff"]
-    judged_ = seq.select("source", "day", "column", "value", F.lit(False).alias("impossible"), *known, "peak", "extreme", spike.alias("spike"), "stuck")
+    judged_ = seq.select("source", "day", "column", "value", F.lit(False).alias("impossible"), *known, "peak", rule.alias("rule"), spike.alias("spike"), "stuck")
     no = F.lit(False)
     impossible = reading.where("value <= 0").select(
-        "source", "day", "column", "value", F.lit(True).alias("impossible"), *[F.lit(None).cast("double").alias(c) for c in known], no.alias("peak"), no.alias("extreme"), no.alias("spike"), no.alias("stuck")
+        "source", "day", "column", "value", F.lit(True).alias("impossible"), *[F.lit(None).cast("double").alias(c) for c in known], no.alias("peak"), no.alias("rule"), no.alias("spike"), no.alias("stuck")
     )
     return judged_.unionByName(impossible)
 

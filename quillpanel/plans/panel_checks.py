@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillpanel.functions.keys import clean_ticker, clean_uid, day
 from quillpanel.operators import orphans, rolling_state, salted, spikes
+from quillpanel.plans.base import R, r6
 from quillpanel.runtime import prepare, read, write_table
 
 PERIODS = (7, 30)
@@ -167,39 +168,74 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per ticker and column: the fitted tail, its cutoff, and how many readings it, the spike, the stuck and the plausibility rule flag."""
+    """Per ticker and column: the fitted tail, its cutoff against the spike distance, and how many readings each rule flags.
+
+    ``n_rule`` readings meet the spike rule whatever the tail says, ``n_spike`` of them in runs the tail's cutoff lets in.
+    """
     j = _judged(spark, sf_dir)
     n = lambda c: F.sum(F.col(c).cast("long")).alias(f"n_{c}")
-    return j.groupBy(F.col("source").alias("ticker"), "column").agg(
-        F.count("*").alias("n"), F.max("usual").alias("usual_change"), F.max("threshold").alias("threshold"), F.max("shape").alias("shape"), F.max("scale").alias("scale"), F.max("cutoff").alias("cutoff"),
-        n("peak"), n("extreme"), n("spike"), n("stuck"), n("impossible"),
+    known = j.groupBy(F.col("source").alias("ticker"), "column").agg(
+        F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("usual", "threshold", "shape", "scale", "cutoff")], *[n(c) for c in ("peak", "rule", "spike", "stuck", "impossible")]
     )
+    out = known.withColumn("cutoff_to_distance", F.try_divide(F.col("cutoff"), 10 * F.col("usual")))
+    return out.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+def _p7_steps(c: str) -> str:
+    """CTEs up to ``g``: every positive reading of a column with its tail and whether the spike rule and the stuck rule hold."""
+    y = lambda k: "y" if k == 0 else f"lag(y, {-k}) OVER w" if k < 0 else f"lead(y, {k}) OVER w"
+    rule, spike = [], []
+    for length in range(1, 4):
+        for off in range(length):
+            b, a = y(-off - 1), y(length - off)
+            up = " AND ".join(f"{y(k)} - {b} > far AND {y(k)} - {a} > far" for k in range(-off, length - off))
+            down = " AND ".join(f"{b} - {y(k)} > far AND {a} - {y(k)} > far" for k in range(-off, length - off))
+            met = f"(abs({b} - {a}) <= far AND (({up}) OR ({down})))"
+            rule.append(met)
+            spike.append(f"({'peak' if not off else f'lag(peak, {off}) OVER w'} AND {met})")
+    return f"""
+v AS (SELECT ticker, date, {c} AS x, ln({c}) AS y FROM q WHERE {c} > 0),
+ch AS (SELECT *, y - lag(y) OVER w AS c, CASE WHEN x = lag(x) OVER w THEN 0 ELSE 1 END AS nw FROM v WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+f AS (SELECT *, median(abs(c)) OVER (PARTITION BY ticker) AS usual, abs(c - median(c) OVER (PARTITION BY ticker, dayofweek(date))) AS r, sum(nw) OVER (PARTITION BY ticker ORDER BY date) AS run FROM ch),
+th AS (SELECT ticker, quantile_cont(r, 0.95) FILTER (r <= 10 * usual) AS threshold, count(*) FILTER (r <= 10 * usual) AS n FROM f GROUP BY 1),
+e AS (SELECT ticker, r - threshold AS e FROM f JOIN th USING (ticker) WHERE r <= 10 * usual AND usual > 0 AND r > threshold),
+o AS (SELECT ticker, e, row_number() OVER (PARTITION BY ticker ORDER BY e) AS i, count(*) OVER (PARTITION BY ticker) AS m FROM e),
+mo AS (SELECT ticker, max(m) AS m, avg(e) AS a0, avg(e * (1 - (i - 0.35) / m)) AS a1 FROM o GROUP BY 1),
+sh AS (SELECT ticker, m, CASE WHEN m >= 10 AND a0 <> 2 * a1 THEN 2 - a0 / (a0 - 2 * a1) ELSE 0.0 END AS shape, CASE WHEN m >= 10 AND a0 <> 2 * a1 THEN 2 * a1 * a0 / (a0 - 2 * a1) ELSE a0 END AS scale FROM mo),
+t AS (SELECT ticker, threshold, shape, scale, threshold + scale * CASE WHEN abs(shape) < 1e-6 THEN ln(m / (n * 0.01)) ELSE (pow(m / (n * 0.01), shape) - 1) / shape END AS cutoff FROM th LEFT JOIN sh USING (ticker)),
+pk AS (SELECT f.*, threshold, shape, scale, cutoff, 10 * usual AS far, coalesce(r > coalesce(cutoff, -1), false) AS peak,
+  count(*) OVER (PARTITION BY ticker, run) AS len, row_number() OVER (PARTITION BY ticker, run ORDER BY date) AS place FROM f JOIN t USING (ticker)),
+g AS (SELECT *, coalesce({" OR ".join(rule)}, false) AS rule, coalesce({" OR ".join(spike)}, false) AS spike, len >= 6 AND place > 1 AS stuck FROM pk WINDOW w AS (PARTITION BY ticker ORDER BY date))"""
+
+
+_P7 = """
+WITH q AS (SELECT upper(trim(ticker)) AS ticker, date, max(close) AS close, max(adj_close) AS adj_close FROM prices GROUP BY 1, 2)"""
 
 
 def _p7_sql() -> str:
-    parts = []
-    for c in ("close", "adj_close"):
-        spike = []
-        for length in range(1, 4):
-            for off in range(length):
-                y = lambda k: "y" if k == 0 else f"lag(y, {-k}) OVER w" if k < 0 else f"lead(y, {k}) OVER w"
-                b, a = y(-off - 1), y(length - off)
-                up = " AND ".join(f"{y(k)} - {b} > far AND {y(k)} - {a} > far" for k in range(-off, length - off))
-                down = " AND ".join(f"{b} - {y(k)} > far AND {a} - {y(k)} > far" for k in range(-off, length - off))
-                spike.append(f"(abs({b} - {a}) <= far AND (({up}) OR ({down})))")
-        parts.append(f"""
+    """The statement alone: the tail plays no part in it."""
+    parts = [
+        f"""
   SELECT ticker, date FROM q WHERE {c} <= 0
-  UNION
-  SELECT ticker, date FROM (
-    WITH v AS (SELECT ticker, date, {c} AS x, ln({c}) AS y FROM q WHERE {c} > 0),
-    ch AS (SELECT *, abs(y - lag(y) OVER (PARTITION BY ticker ORDER BY date)) AS c, CASE WHEN x = lag(x) OVER (PARTITION BY ticker ORDER BY date) THEN 0 ELSE 1 END AS nw FROM v),
-    f AS (SELECT *, 10 * median(c) OVER (PARTITION BY ticker) AS far, sum(nw) OVER (PARTITION BY ticker ORDER BY date) AS run FROM ch),
-    g AS (SELECT *, count(*) OVER (PARTITION BY ticker, run) AS len, row_number() OVER (PARTITION BY ticker, run ORDER BY date) AS place FROM f)
-    SELECT ticker, date, coalesce({" OR ".join(spike)}, false) AS spike, len >= 6 AND place > 1 AS stuck FROM g WINDOW w AS (PARTITION BY ticker ORDER BY date)
-  ) WHERE spike OR stuck""")
-    return f"""
-WITH q AS (SELECT upper(trim(ticker)) AS ticker, date, max(close) AS close, max(adj_close) AS adj_close FROM prices GROUP BY 1, 2)
-SELECT ticker, strftime(date, '%Y-%m-%d') AS date FROM ({" UNION ".join(parts)})"""
+  UNION SELECT ticker, date FROM (WITH {_p7_steps(c)} SELECT ticker, date FROM g WHERE rule OR stuck)"""
+        for c in ("close", "adj_close")
+    ]
+    return f"{_P7} SELECT ticker, strftime(date, '%Y-%m-%d') AS date FROM ({' UNION '.join(parts)})"
+
+
+def _p7_tails_sql() -> str:
+    real = ", ".join(f"{R(f'max({e})')} AS {c}" for c, e in {"usual": "usual", "threshold": "threshold", "shape": "shape", "scale": "scale", "cutoff": "cutoff", "cutoff_to_distance": "CASE WHEN usual > 0 THEN cutoff / (10 * usual) END"}.items())
+    number = ", ".join(f"CAST(coalesce(sum({c}::INT), 0) AS BIGINT) AS n_{c}" for c in ("peak", "rule", "spike", "stuck"))
+    parts = [
+        f"""
+  SELECT * FROM (
+    WITH {_p7_steps(c)}, bad AS (SELECT ticker, count(*) AS n_impossible FROM q WHERE {c} <= 0 GROUP BY 1)
+    SELECT coalesce(s.ticker, bad.ticker) AS ticker, '{c}' AS "column", coalesce(n, 0) + coalesce(n_impossible, 0) AS n, usual, threshold, shape, scale, cutoff, cutoff_to_distance,
+      coalesce(n_peak, 0) AS n_peak, coalesce(n_rule, 0) AS n_rule, coalesce(n_spike, 0) AS n_spike, coalesce(n_stuck, 0) AS n_stuck, coalesce(n_impossible, 0) AS n_impossible
+    FROM (SELECT ticker, count(*) AS n, {real}, {number} FROM g GROUP BY 1) s FULL JOIN bad ON s.ticker = bad.ticker)"""
+        for c in ("close", "adj_close")
+    ]
+    return _P7 + " UNION ALL ".join(parts)
 
 
 QUERIES = {
@@ -209,5 +245,5 @@ QUERIES = {
 ORACLE = {
     "p1_found": _P1 + " SELECT DISTINCT table_name, record_key FROM o",
     "p1_by_month": _P1 + " SELECT table_name, month, count(*) AS n_orphans FROM o GROUP BY 1, 2",
-    "p3_rolling": _p3_sql(), "p3_maintained": _p3_sql(), "p5_per_ticker": _P5, "p7_found": _p7_sql(),
+    "p3_rolling": _p3_sql(), "p3_maintained": _p3_sql(), "p5_per_ticker": _P5, "p7_found": _p7_sql(), "p7_tails": _p7_tails_sql(),
 }

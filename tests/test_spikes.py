@@ -86,10 +86,33 @@ def test_repeats_count_once_and_null_keys_are_left_out(spark):
     assert readings(more, F.col("s"), F.col("d"), ["v"]).count() == 30
 
 
-def test_tail_cutoff_lies_beyond_the_threshold_and_flags_few(spark):
-    rows = judged(readings(_frame(spark, {"a": _series(2000)}), F.col("s"), F.col("d"), ["v"]), risk=1e-3)
-    r = rows.where("residual is not null").agg(F.max("cutoff").alias("c"), F.max("threshold").alias("t"), F.sum(F.col("extreme").cast("int")).alias("n")).first()
-    assert r["c"] > r["t"] > 0 and r["n"] <= 12
+def _tails(spark, series, **options):
+    rows = judged(readings(_frame(spark, series), F.col("s"), F.col("d"), ["v"]), **options)
+    return rows.groupBy("source").agg(*[F.max(c).alias(c) for c in ("usual", "threshold", "shape", "cutoff")], *[F.sum(F.col(c).cast("int")).alias(c) for c in ("peak", "rule", "spike")]).collect()
+
+
+def test_tail_cutoff_lies_beyond_the_threshold_and_lets_few_in(spark):
+    (r,) = _tails(spark, {"a": _series(2000)}, risk=1e-3)
+    assert r["cutoff"] > r["threshold"] > 0 and r["peak"] <= 12 and abs(r["shape"]) < 0.5
+
+
+def test_faulty_readings_do_not_move_the_tail(spark):
+    clean = _series(1000)
+    faulty = list(clean)
+    for k in range(10, 1000, 37):
+        faulty[k] *= 8
+    (c,), (f,) = _tails(spark, {"a": clean}), _tails(spark, {"a": faulty})
+    assert abs(f["cutoff"] / c["cutoff"] - 1) < 0.15 and f["cutoff"] < 10 * f["usual"]
+    assert f["rule"] == f["spike"] == len(range(10, 1000, 37))
+
+
+def test_the_fitted_tail_decides(spark):
+    """Where far moves are what the source usually does, the cutoff lies beyond the spike distance: without the fit these runs would be flagged."""
+    random.seed(5)
+    xs = [100 * math.exp(0.0005 * math.tan(math.pi * (random.random() - 0.5))) for _ in range(900)]  # readings with errors that have no variance
+    (r,), (loose,) = _tails(spark, {"a": xs}, risk=1e-4), _tails(spark, {"a": xs})
+    assert r["cutoff"] > 10 * r["usual"] > loose["cutoff"]
+    assert loose["spike"] == loose["rule"] == r["rule"] > r["spike"] > 0
 
 
 def test_spikes_of_a_flat_series_with_a_weekly_step(spark):
