@@ -37,15 +37,31 @@ WITH c AS (
 )"""
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions with a number, of ticker days that ``features`` holds."""
     prepare(spark)
-    rows = read(spark, sf_dir, "predictions").select("model", "date", clean_ticker("ticker").alias("ticker"), "prob_up").where("not isnan(prob_up)")
-    rows = rows.groupBy("model", "date", "ticker").agg(F.max("prob_up").alias("prob_up"))  # repeats go before the join
-    held = read(spark, sf_dir, "features").select(clean_ticker("ticker").alias("ticker"), "date")
-    best = top_items.top_n(rows.join(held, ["ticker", "date"], "left_semi"), ["model", "date"], "ticker", "prob_up", 5)
+    rows = read(spark, sf_dir, "predictions").select("model", "date", clean_ticker("ticker").alias("ticker"), "prob_up").where("prob_up is not null and not isnan(prob_up)")
+    held = read(spark, sf_dir, "features").select(clean_ticker("ticker").alias("ticker"), "date").distinct()
+    return rows.join(held, ["ticker", "date"], "left_semi")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = top_items.top_n(_candidates(spark, sf_dir), ["model", "date"], "ticker", "prob_up", 5)
     return best.select("model", day("date").alias("date"), "ticker")
 
 
+def p4_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that qualify, that the partitions keep, that the highest bounds leave, and that come out."""
+    rows = _candidates(spark, sf_dir)
+    best = top_items.local_best(rows, ["model", "date"], "ticker", "prob_up", 5)
+    steps = {"qualify": rows, "kept_by_partitions": best, "within_bounds": top_items.within_bounds(best), "found": top_items.top_n(rows, ["model", "date"], "ticker", "prob_up", 5)}
+    out = None
+    for name, df in steps.items():
+        one = df.groupBy(F.lit(name).alias("step")).agg(F.count("*").alias("n_rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _P4 = """
 WITH p AS (
   SELECT model, date, upper(trim(ticker)) AS ticker, max(prob_up) AS prob_up FROM predictions
@@ -141,7 +157,7 @@ def p10_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p6_found": p6_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans,
+    "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p4_pruning": p4_pruning, "p6_found": p6_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans,
     "p10_found": p10_found, "p10_makeup": p10_makeup,
 }
 ORACLE = {

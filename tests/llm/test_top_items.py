@@ -19,9 +19,9 @@ def _brute(rows, n):
     return {(a, b, i, -s) for (a, b), v in groups.items() for s, i in sorted(v)[:n]}
 
 
-def _got(spark, rows, n):
+def _got(spark, rows, n, **options):
     df = spark.createDataFrame([(*r, 1.0, "x", 7, 8) for r in rows], SCHEMA)
-    return [tuple(r) for r in top_n(df, ["a", "b"], "i", "s", n).collect()]
+    return [tuple(r) for r in top_n(df, ["a", "b"], "i", "s", n, **options).collect()]
 
 
 def _rows(seed, n=3000):
@@ -36,10 +36,21 @@ def test_matches_brute_force_with_ties_and_repeats(spark):
         assert len(got) == len(set(got)) and set(got) == _brute(rows, 5)
 
 
-def test_survivors_handed_on_early(spark, monkeypatch):
-    monkeypatch.setattr(top_items, "HELD_ROWS", 40)
+def test_survivors_handed_on_early(spark):
     rows = _rows(3)
-    assert set(_got(spark, rows, 3)) == _brute(rows, 3)
+    assert set(_got(spark, rows, 3, held_rows=40)) == _brute(rows, 3)
+
+
+def test_bounds_drop_rows_before_the_ranking(spark):
+    df = spark.createDataFrame([("a", "b", f"i{k:05d}", k / 20000) for k in range(20000)], "a string, b string, i string, s double").repartition(8)
+    best = top_items.local_best(df, ["a", "b"], "i", "s", 5)
+    kept = top_items.within_bounds(best).count()
+    assert best.count() <= 40 and 5 <= kept < 40
+
+
+def test_repeats_of_an_item_in_many_partitions(spark):
+    rows = [("a", "b", "same", 0.9)] * 4000 + [("a", "b", f"i{k}", k / 1000) for k in range(500)]
+    assert set(_got(spark, rows, 4)) == _brute(rows, 4)
 
 
 def test_all_equal(spark):
