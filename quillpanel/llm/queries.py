@@ -26,10 +26,20 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.records(_members(spark, sf_dir)).withColumnRenamed("uid", "headline_uid")
 
 
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every headline_uid with the least one of its record and the number of other forms it is linked to."""
+    return duplicates.classes(_members(spark, sf_dir)).withColumnRenamed("uid", "headline_uid")
+
+
+def p2_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """128-bit hashes that stand for more than one text: none are expected, and none would be merged."""
+    return duplicates.collisions(_members(spark, sf_dir)).select(F.hex("h1").alias("h1"), F.hex("h2").alias("h2"))
+
+
 _P2 = r"""
 WITH c AS (
   SELECT lower(trim(headline_uid)) AS uid, upper(trim(ticker)) AS ticker, published_at,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(title), '‐‑‒–—―−﹣－', '---------'),
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(nfc_normalize(title)), '‐‑‒–—―−﹣－', '---------'),
       '([0-9]),([0-9]{3}($|[^0-9]))', '\1\2', 'g'), '[.]([0-9])', 'P\1', 'g'), '(^|[^\p{L}\p{N}])-([0-9])', '\1M\2', 'g'), '([0-9])[^\p{L}\p{N}|]+([0-9])', '\1S\2', 'g') AS t
   FROM headlines
 ), k AS (
@@ -157,11 +167,13 @@ def p10_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p4_pruning": p4_pruning, "p6_found": p6_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans,
+    "p2_found": p2_found, "p2_records": p2_records, "p2_members": p2_members, "p2_collisions": p2_collisions, "p4_found": p4_found, "p4_pruning": p4_pruning, "p6_found": p6_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans,
     "p10_found": p10_found, "p10_makeup": p10_makeup,
 }
 ORACLE = {
     "p2_found": _P2 + " SELECT DISTINCT a.uid AS uid_a, b.uid AS uid_b FROM k a JOIN k b ON a.ticker = b.ticker AND a.published_at = b.published_at AND a.fields = b.fields AND a.uid < b.uid",
     "p2_records": _P2 + " SELECT min(uid) AS headline_uid, CAST(sum(n) AS BIGINT) AS n_copies, count(DISTINCT uid) AS n_forms FROM k GROUP BY ticker, published_at, fields",
+    "p2_members": _P2 + " SELECT DISTINCT uid AS headline_uid, min(uid) OVER (PARTITION BY ticker, published_at, fields) AS record_uid, count(*) OVER (PARTITION BY ticker, published_at, fields) - 1 AS n_links FROM k",
+    "p2_collisions": "SELECT '' AS h1, '' AS h2 WHERE false",
     "p4_found": _P4, "p6_found": _P6, "p9_found": _P9,
 }

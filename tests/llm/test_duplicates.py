@@ -68,3 +68,24 @@ def test_collisions_are_told_apart(spark):
 def test_empty(spark):
     m = _member(spark, [])
     assert D.records(m).collect() == [] and D.pairs(m).collect() == []
+
+
+def test_characters_are_brought_to_one_form(spark):
+    same = [("Caf\u00e9 ol\u00e9", "Cafe\u0301 ole\u0301"), ("ＦＵＬＬ １２", "full 12"), ("ﬁrst oﬃce", "first office"), ("up １．５ %", "up 1.5"), ("\u00dcnder", "U\u0308nder")]
+    apart = [("10² m", "102 m"), ("½ off", "12 off"), ("resume", "résumé")]
+    df = spark.createDataFrame([(a, b) for a, b in same + apart] + [(None, None)], "a string, b string")
+    got = [r[0] for r in df.select(D.canonical(F.col("a")).eqNullSafe(D.canonical(F.col("b")))).collect()]
+    assert got == [True] * len(same) + [False] * len(apart) + [True]
+
+
+def test_classes_name_one_record_and_count_links(spark):
+    rows = [("u3", "A b"), ("u1", "a B"), ("u1", "a B"), ("u2", "a-b"), ("u9", "other")]
+    df = spark.createDataFrame(rows, "uid string, title string")
+    m = D.members(df, F.col("uid"), [F.lit(1)], F.col("title"))
+    assert {tuple(r) for r in D.classes(m).collect()} == {("u1", "u1", 2), ("u2", "u1", 2), ("u3", "u1", 2), ("u9", "u9", 0)}
+
+
+def test_a_class_of_very_many_forms(spark):
+    df = spark.range(400).select(F.format_string("u%03d", "id").alias("uid"), F.concat(F.lit("Same  title"), F.repeat(F.lit("!"), F.col("id").cast("int"))).alias("title"))
+    m = D.members(df, F.col("uid"), [F.lit(1)], F.col("title"))
+    assert D.pairs(m).count() == 400 * 399 // 2 and D.records(m).count() == 1
