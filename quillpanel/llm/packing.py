@@ -1,10 +1,13 @@
 """Documents packed into containers of fixed capacity, under a target mixture of sources.
 
-Documents are cut into shards of bounded weight by a hash of their id. In a
-shard, a deficit round-robin over one queue per source draws items into windows,
-so that each window holds the sources in their target proportions; what a source
-is owed is carried from window to window, and into each shard from those before
-it. The items of a window go, largest first, into the container they fit best;
+Every source is one queue over the whole corpus, in the order of a hash. Prefix
+sums over the queues say between which tokens of its queue a document lies, and
+so in which shard of the target mixture it is due: shards hold the sources in
+their target proportions, and what a source is owed, or has had too much of, at
+a shard's beginning is part of one document. In a shard a deficit round-robin
+over its queues draws documents into windows, so that each window holds the
+target proportions as well; what is owed is carried from window to window. The
+items of a window go, largest first, into the container they fit best;
 containers that still have room stay open for the next windows.
 """
 
@@ -32,23 +35,26 @@ OVERHEAD = 16
 
 
 @lru_cache(maxsize=2)
-def _encoding(vocabulary: str):
+def _encoding(name: str, file: bytes):
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(vocabulary), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
+    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, source, n_tokens)`` of whole texts; a null text has none, a null source is the source ''.
 
-    A map over the scan: no shuffle, and text does not leave its task.
+    A map over the scan: no shuffle, and text does not leave its task. The
+    vocabulary is read where the driver runs and broadcast, a few megabytes by nature.
     """
+    name = os.path.basename(vocabulary)
+    with open(vocabulary, "rb") as f:
+        file = documents.sparkSession.sparkContext.broadcast(f.read())
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(vocabulary)
+        encoding = _encoding(name, file.value)
         for batch in batches:
             n = [_count(encoding, t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "n_tokens"])
@@ -75,79 +81,107 @@ def _cut(text: str, at: int) -> int:
     return min(at, len(text))
 
 
+def tempered(lengths: DataFrame, exponent: float) -> DataFrame:
+    """``(source, share)``: shares of tokens in proportion to a power of each source's tokens; below 1 small sources weigh more."""
+    tokens = lengths.groupBy("source").agg(F.sum("n_tokens").alias("t")).where("t > 0")
+    total = tokens.agg(F.sum(F.pow("t", F.lit(exponent)))).first()[0] or 1.0
+    return tokens.select("source", (F.pow("t", F.lit(exponent)) / total).alias("share"))
+
+
 def pack(
-    lengths: DataFrame, capacity: int = 2048, *, target: Mapping[str, float] | None = None,
+    lengths: DataFrame, capacity: int = 2048, *, target: Mapping[str, float] | DataFrame | None = None,
     window_containers: int = 64, shard_weight: int = 1_000_000,
 ) -> DataFrame:
-    """``(container, doc_id, piece, first_token, n_tokens, source, shard, window)``: where every document lies.
+    """``(container, doc_id, piece, first_token, n_tokens, source, shard, window, on_target)``: where every document lies.
 
     ``lengths`` is ``(doc_id, source, n_tokens)`` with unique ids; it is read
-    three times, so give a stored table. ``target`` maps sources to shares of
-    tokens (others: 0, they fill up what is left); without it the corpus's own
-    shares are the target.
+    three times, so give a stored table. ``target`` gives shares of tokens by
+    source, a mapping or ``(source, share)``; they are taken in proportion to each
+    other, among sources that have tokens. Without it the corpus's own shares are
+    the target.
+
+    The windows ``on_target`` hold the target's proportions for as many tokens as
+    the corpus has documents for: until the source that is scarcest for its share
+    is used up. What is left of the others follows in windows of their own, in the
+    proportions it has.
 
     - A document is one piece, but for one longer than ``capacity``: that is cut
       into full containers and a rest, packed like a document of its length.
     - Empty documents lie in a container too and take no room of it.
-    - Every document is packed: when a queue is empty the others fill the window.
+    - Every document is packed once, whatever the target says.
     - No rows give none.
 
     A shard weighs about ``shard_weight`` tokens whatever the sources' sizes, so
-    a source with a third of all rows is spread over all shards. Carried
-    deficits come from sums per (shard, source), which are prefix sums over the
-    shards: no shard waits for another. At most a window's tokens are carried.
+    a source with a third of all rows is spread over all shards. Places in the
+    queues come from sums per (source, bucket) and prefix sums over the buckets:
+    no shard waits for another.
     """
-    weight = F.col("n_tokens") + OVERHEAD
-    totals = lengths.agg(F.sum(weight).alias("w"), F.sum("n_tokens").alias("t")).first()
-    n_shards = max(1, round((totals["w"] or 0) / shard_weight))
-    sharded = lengths.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(n_shards)).cast("int"))
-    sums = sharded.groupBy("shard", "source").agg(F.sum("n_tokens").alias("tokens"))
-    shares = lengths.groupBy("source").agg(F.sum("n_tokens").alias("all_tokens"))
+    spark = lengths.sparkSession
+    totals = lengths.agg(F.sum(F.col("n_tokens") + OVERHEAD).alias("w"), F.sum("n_tokens").alias("t")).first()
+    tokens = totals["t"] or 0
+    n_shards = max(1, -(-(totals["w"] or 0) // shard_weight))
+    per_shard = max(1.0, tokens / n_shards)
+    order = F.xxhash64(F.lit(11), "doc_id")
+    placed = lengths.select("doc_id", "source", "n_tokens", order.alias("_at"), F.pmod(order, F.lit(n_shards)).cast("int").alias("bucket"))
+    sums = write_table(placed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens")), "queues")
+    of_source = sums.groupBy("source").agg(F.sum("tokens").alias("all"))
     if target is None:
-        shares = shares.select("source", (F.col("all_tokens") / F.lit(float(max(1, totals["t"] or 0)))).alias("share"))
+        shares = of_source.withColumn("share", F.col("all") / max(1.0, float(tokens)))
+        mixture = float(tokens)
     else:
-        given = F.map_from_arrays(F.array(*[F.lit(s) for s in target]), F.array(*[F.lit(float(x)) for x in target.values()]))
-        shares = shares.select("source", F.coalesce(F.try_element_at(given, F.col("source")), F.lit(0.0)).alias("share"))
-    by_shard = sums.groupBy("shard").agg(F.sum("tokens").alias("shard_tokens"))
-    so_far = _before(by_shard, [], "shard_tokens", "before")
-    owed = (
-        _before(sums, ["source"], "tokens", "own_before").join(so_far.select("shard", "before"), "shard").join(shares, "source")
-        .select(F.col("shard").alias("to_shard"), F.col("source").alias("to_source"), "share", (F.col("share") * F.col("before") - F.col("own_before")).alias("deficit"))
+        wanted = target if isinstance(target, DataFrame) else spark.createDataFrame([(k, float(v)) for k, v in target.items()], "source string, share double")
+        held = of_source.join(wanted.groupBy("source").agg(F.max("share").alias("share")), "source", "left").withColumn("share", F.when(F.col("all") > 0, F.greatest("share", F.lit(0.0))))
+        sized = held.agg(F.sum("share").alias("sum"), F.min(F.when(F.col("share") > 0, F.col("all") / F.col("share"))).alias("least")).first()
+        whole = sized["sum"] or 1.0
+        shares = held.withColumn("share", F.coalesce(F.col("share") / whole, F.lit(0.0)))
+        mixture = (sized["least"] or 0.0) * whole
+    shares = shares.withColumn("quota", F.least(F.col("share") * mixture, F.col("all").cast("double")) if target is not None else F.col("all").cast("double"))
+    left = max(1.0, float(tokens) - mixture)
+    shares = shares.withColumn("rest_share", (F.col("all") - F.col("quota")) / left)
+    on_target = -int(-mixture // per_shard)  # shards of the mixture
+    starts = _before(sums, ["source"], "tokens", "start").select("source", "bucket", "start").join(shares.select("source", "all", "share", "quota", "rest_share"), "source")
+    queue = Window.partitionBy("source", "bucket").orderBy("_at", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    queued = placed.join(starts, ["source", "bucket"]).withColumn("before", F.col("start") + F.coalesce(F.sum("n_tokens").over(queue), F.lit(0)))
+    mixed = (F.col("before") < F.col("quota")) | (F.col("quota") >= F.col("all"))
+    share = F.when(mixed, F.col("share")).otherwise(F.col("rest_share"))
+    into = F.when(mixed, F.col("before")).otherwise(F.col("before") - F.col("quota"))  # tokens into its part of the queue
+    nth = F.coalesce(F.floor(F.try_divide(into.cast("double"), share * per_shard)), F.col("bucket").cast("long"))  # a source without tokens is spread by hash
+    docs = queued.select(
+        (nth + F.when(mixed, 0).otherwise(on_target)).cast("int").alias("shard"), "doc_id", "source", "n_tokens",
+        share.alias("share"), (share * per_shard * nth - into).alias("owed"), mixed.alias("on_target"),
     )
-    schema = "container bigint, doc_id bigint, piece int, first_token bigint, n_tokens bigint, source string, shard int, window int"
-    docs = sharded.select("shard", "doc_id", "source", "n_tokens")
-    return docs.groupBy("shard").cogroup(owed.groupBy("to_shard")).applyInPandas(_packer(capacity, window_containers * capacity), schema)
+    schema = "container bigint, doc_id bigint, piece int, first_token bigint, n_tokens bigint, source string, shard int, window int, on_target boolean"
+    return docs.groupBy("shard").applyInPandas(_packer(capacity, window_containers * capacity), schema)
 
 
 def _before(sums: DataFrame, by: list[str], value: str, out: str, block: int = 4096) -> DataFrame:
-    """``sums`` with the sum of ``value`` over the shards before each row's, per ``by``.
+    """``sums`` with the sum of ``value`` over the buckets before each row's, per ``by``.
 
-    Prefix sums on two levels: within blocks of shards, and over the blocks'
-    totals, so no task has to take all shards in order.
+    Prefix sums on two levels: within blocks of buckets, and over the blocks'
+    totals, so no task has to take all buckets in order.
     """
-    blocked = sums.withColumn("_block", F.call_function("div", F.col("shard"), F.lit(block)))
-    inside = F.sum(value).over(Window.partitionBy(*by, "_block").orderBy("shard")) - F.col(value)
+    blocked = sums.withColumn("_block", F.call_function("div", F.col("bucket"), F.lit(block)))
+    inside = F.sum(value).over(Window.partitionBy(*by, "_block").orderBy("bucket")) - F.col(value)
     totals = blocked.groupBy(*by, "_block").agg(F.sum(value).alias("_total"))
-    over = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_block")
+    over = Window.partitionBy(*by).orderBy("_block")
     starts = totals.select(*by, "_block", (F.sum("_total").over(over) - F.col("_total")).alias("_start"))
     return blocked.withColumn("_inside", inside).join(starts, [*by, "_block"]).withColumn(out, F.col("_start") + F.col("_inside")).drop("_block", "_inside", "_start")
 
 
 def _packer(capacity: int, window_tokens: int):
-    columns = ["container", "doc_id", "piece", "first_token", "n_tokens", "source", "shard", "window"]
+    columns = ["container", "doc_id", "piece", "first_token", "n_tokens", "source", "shard", "window", "on_target"]
 
-    def run(docs: pd.DataFrame, owed: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
-            return pd.DataFrame(columns=columns)
-        shard = int(docs["shard"].iloc[0])
-        docs = docs.sort_values(["source", "doc_id"], kind="stable")
+    def run(docs: pd.DataFrame) -> pd.DataFrame:
+        shard, on_target = int(docs["shard"].iloc[0]), bool(docs["on_target"].iloc[0])
+        docs = docs.sort_values(["source", "owed", "doc_id"], ascending=[True, False, True], kind="stable")  # the order of the queues
+        by_source = docs.groupby("source", sort=True)
         packed = pack_shard(
-            {s: list(zip(g["doc_id"].tolist(), g["n_tokens"].tolist())) for s, g in docs.groupby("source", sort=True)},
-            dict(zip(owed["to_source"], owed["share"])), dict(zip(owed["to_source"], owed["deficit"])), capacity, window_tokens,
+            {s: list(zip(g["doc_id"].tolist(), g["n_tokens"].tolist())) for s, g in by_source},
+            by_source["share"].first().to_dict(), by_source["owed"].max().to_dict(), capacity, window_tokens,
         )
         out = pd.DataFrame(packed, columns=["container", "doc_id", "piece", "first_token", "n_tokens", "source", "window"])
         out["container"] += shard << 32
-        out["shard"] = shard
+        out["shard"], out["on_target"] = shard, on_target
         return out[columns]
 
     return run
@@ -185,8 +219,7 @@ class Containers:
 def pack_shard(queues: Mapping[str, list[tuple[int, int]]], share: Mapping[str, float], deficit: Mapping[str, float], capacity: int, window_tokens: int) -> list[tuple]:
     """Rows ``(container, doc_id, piece, first_token, n_tokens, source, window)`` of one shard."""
     waiting = {s: deque(q) for s, q in queues.items() if q}
-    # A target that the corpus can't meet would pile up debts without end: one window's worth is carried.
-    credit = {s: max(-float(window_tokens), min(float(window_tokens), deficit.get(s, 0.0))) for s in waiting}
+    credit = {s: deficit.get(s, 0.0) for s in waiting}
     boxes, rows, window = Containers(capacity), [], 0
     while waiting:
         weight = sum(share.get(s, 0.0) for s in waiting)
@@ -228,6 +261,53 @@ def fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     )
 
 
+def mixture(packed: DataFrame, target: DataFrame) -> DataFrame:
+    """``(source, target, share, mean_deviation, greatest_deviation)`` over the windows that are on target.
+
+    ``share`` is the source's share of their tokens, the deviations are those of
+    its share in a window from ``target``, windows without the source included;
+    the last window of a shard, which takes what its queues have left, is not.
+    """
+    on = packed.where("on_target")
+    last = on.groupBy("shard").agg(F.max("window").alias("_last"))
+    per = on.groupBy("shard", "window", "source").agg(F.sum("n_tokens").alias("t")).join(last, "shard")
+    windows = per.groupBy("shard", "window").agg(F.sum("t").alias("all"), (F.max("window") < F.max("_last")).alias("full"))
+    n = windows.agg(F.count(F.when(F.col("full"), 1)).alias("n"), F.sum("all").alias("all")).first()
+    part = per.join(windows, ["shard", "window"]).join(target.select("source", F.col("share").alias("target")), "source", "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
+    off = F.when(F.col("full"), F.abs(F.col("t") / F.col("all") - F.col("target")))
+    seen = part.groupBy("source").agg(F.max("target").alias("target"), (F.sum("t") / float(n["all"] or 1)).alias("share"), F.sum(off).alias("off"), F.max(off).alias("most"), F.count(off).alias("there"))
+    absent = F.lit(n["n"]) - F.col("there")
+    return seen.select(
+        "source", "target", "share", (F.try_divide(F.coalesce("off", F.lit(0.0)) + absent * F.col("target"), F.lit(float(n["n"])))).alias("mean_deviation"),
+        F.greatest("most", F.when(absent > 0, F.col("target"))).alias("greatest_deviation"),
+    )
+
+
+def invariants(lengths: DataFrame, packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """One row: how many documents there are, and how many break a rule of packing (all but the first are 0).
+
+    Documents that lie nowhere, twice or in part; containers over their capacity;
+    documents cut without need; documents packed that there are none of.
+    """
+    doc = packed.groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("packed"), F.count("*").alias("pieces"), F.count_distinct("piece").alias("places"), F.max(F.col("first_token") + F.col("n_tokens")).alias("reach"), F.max("piece").alias("last")
+    )
+    both = lengths.select("doc_id", F.col("n_tokens").alias("tokens")).join(doc, "doc_id", "full")
+    n = lambda c: F.count(F.when(c, 1))
+    full = packed.groupBy("container").agg(F.sum("n_tokens").alias("used")).agg(n(F.col("used") > capacity)).scalar()
+    there = F.col("packed").isNotNull() & F.col("tokens").isNotNull()
+    return both.agg(
+        n(F.col("tokens").isNotNull()).alias("n_documents"), n(F.col("packed").isNull()).alias("n_missing"), n(F.col("tokens").isNull()).alias("n_unknown"),
+        n(there & ((F.col("packed") != F.col("tokens")) | (F.col("reach") != F.col("tokens")) | (F.col("places") != F.col("pieces")))).alias("n_not_whole"),
+        n(there & ((F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / capacity))) | (F.col("last") + 1 != F.col("pieces")))).alias("n_cut_without_need"),
+    ).withColumn("n_over_full", full)
+
+
+def stored_lengths(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``token_counts`` of whole texts, a few bytes a document, stored once in the shared folder."""
+    return write_table(token_counts(documents, vocabulary=vocabulary), "lengths")
+
+
 def packed_corpus(documents: DataFrame, capacity: int = 2048, vocabulary: str = VOCABULARY, **options) -> DataFrame:
-    """``pack`` over whole texts; their lengths, a few bytes a document, are stored once in the shared folder."""
-    return pack(write_table(token_counts(documents, vocabulary=vocabulary), "lengths"), capacity, **options)
+    """``pack`` over whole texts."""
+    return pack(stored_lengths(documents, vocabulary), capacity, **options)

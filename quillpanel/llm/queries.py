@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillpanel.functions.keys import clean_ticker, clean_uid, day, micros
 from quillpanel.llm import duplicates, leakage, nearest, packing, subjects, top_items
-from quillpanel.runtime import prepare, read
+from quillpanel.runtime import prepare, read, write_table
 
 HOUR = 3_600_000_000
 
@@ -103,17 +103,33 @@ SELECT headline_uid, strftime(date, '%Y-%m-%d') AS date FROM p WHERE apart <= 36
 QUALIFY row_number() OVER (PARTITION BY headline_uid ORDER BY apart, date) = 1"""
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Small sources weigh more in the mixture of ``p8_mixture``.
+EXPONENT = 0.7
+
+
+def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return packing.packed_corpus(read(spark, sf_dir, "documents"))
+    return packing.stored_lengths(read(spark, sf_dir, "documents"))
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir)
+    return packing.pack(_lengths(spark, sf_dir)).drop("on_target")
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.fill(_packed(spark, sf_dir))
+    return packing.fill(p8_containers(spark, sf_dir))
+
+
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = _lengths(spark, sf_dir)
+    return packing.invariants(lengths, write_table(packing.pack(lengths), "packed"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed under a target that is not the corpus's own: how close every window comes to it."""
+    lengths = _lengths(spark, sf_dir)
+    target = write_table(packing.tempered(lengths, EXPONENT), "target")
+    return packing.mixture(write_table(packing.pack(lengths, target=target), "packed"), target)
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +183,7 @@ def p10_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_records": p2_records, "p2_members": p2_members, "p2_collisions": p2_collisions, "p4_found": p4_found, "p4_pruning": p4_pruning, "p6_found": p6_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans,
+    "p2_found": p2_found, "p2_records": p2_records, "p2_members": p2_members, "p2_collisions": p2_collisions, "p4_found": p4_found, "p4_pruning": p4_pruning, "p6_found": p6_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_invariants": p8_invariants, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_spans": p9_spans,
     "p10_found": p10_found, "p10_makeup": p10_makeup,
 }
 ORACLE = {
@@ -175,5 +191,6 @@ ORACLE = {
     "p2_records": _P2 + " SELECT min(uid) AS headline_uid, CAST(sum(n) AS BIGINT) AS n_copies, count(DISTINCT uid) AS n_forms FROM k GROUP BY ticker, published_at, fields",
     "p2_members": _P2 + " SELECT DISTINCT uid AS headline_uid, min(uid) OVER (PARTITION BY ticker, published_at, fields) AS record_uid, count(*) OVER (PARTITION BY ticker, published_at, fields) - 1 AS n_links FROM k",
     "p2_collisions": "SELECT '' AS h1, '' AS h2 WHERE false",
+    "p8_invariants": "SELECT count(DISTINCT doc_id) AS n_documents, 0 AS n_missing, 0 AS n_unknown, 0 AS n_not_whole, 0 AS n_cut_without_need, 0 AS n_over_full FROM documents",
     "p4_found": _P4, "p6_found": _P6, "p9_found": _P9,
 }

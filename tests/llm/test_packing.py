@@ -54,11 +54,11 @@ def test_what_is_owed_comes_first():
     assert first["b"] > first["a"]
 
 
-def test_a_debt_of_the_past_fills_a_window_at_most():
+def test_a_debt_of_the_past_is_carried_whole():
     queues = {"a": [(i, 10) for i in range(300)], "b": [(300 + i, 10) for i in range(300)]}
-    rows = P.pack_shard(queues, {"a": 0.5, "b": 0.5}, {"b": 1e12, "a": -1e12}, 100, 200)
-    third = Counter(r[5] for r in rows if r[6] == 4)
-    assert 0 < third["a"] and 0 < third["b"]
+    rows = P.pack_shard(queues, {"a": 0.5, "b": 0.5}, {"b": 1000.0, "a": -1000.0}, 100, 200)
+    drawn = Counter((r[5], r[6] < 10) for r in rows)
+    assert drawn["b", True] - drawn["a", True] == 200  # both shares of ten windows, and the debt of 1,000 tokens on either side
 
 
 def test_fits_well():
@@ -83,16 +83,47 @@ def test_operator(spark):
     _check([(r["container"], r["doc_id"], r["piece"], r["first_token"], r["n_tokens"]) for r in out], {d: n for d, (_, n) in counts.items()}, 2048)
 
 
-def test_shards_cover_everything_and_carry_deficits(spark):
-    random.seed(5)
-    rows = [(i, random.choice("aaab"), random.randrange(0, 120)) for i in range(3000)]
-    lengths = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long").cache()
-    for target in (None, {"b": 0.9, "zz": 0.1}):
-        out = P.pack(lengths, 100, target=target, window_containers=10, shard_weight=20_000).collect()
-        _check([(r["container"], r["doc_id"], r["piece"], r["first_token"], r["n_tokens"]) for r in out], {i: n for i, _, n in rows}, 100)
-        assert len({r["shard"] for r in out}) > 5
-        filled = P.fill(spark.createDataFrame(out), 100).first()
-        assert filled["fullest"] <= 100 and filled["filled"] > 0.95
+def _lengths(spark, n, sources, most, seed=5):
+    random.seed(seed)
+    return [(i, random.choice(sources), random.randrange(0, most)) for i in range(n)]
+
+
+def _pack(spark, rows, **options):
+    return P.pack(spark.createDataFrame(rows, "doc_id long, source string, n_tokens long"), 100, window_containers=10, shard_weight=20_000, **options)
+
+
+@pytest.mark.parametrize("target", [None, {"b": 0.9, "zz": 0.1}, {"a": 1, "b": 1, "e": 5}, {"b": 0.0}, {}])
+def test_shards_cover_everything(spark, target):
+    rows = _lengths(spark, 3000, "aaab", 120) + [(9000 + i, "e", 0) for i in range(300)] + [(9999, "b", 25_000)]
+    out = _pack(spark, rows, target=target).collect()
+    _check([(r["container"], r["doc_id"], r["piece"], r["first_token"], r["n_tokens"]) for r in out], {i: n for i, _, n in rows}, 100)
+    assert len({r["shard"] for r in out}) > 5
+    filled = P.fill(spark.createDataFrame(out), 100).first()
+    assert filled["fullest"] <= 100 and filled["filled"] > 0.95
+    kept = P.invariants(spark.createDataFrame(rows, "doc_id long, source string, n_tokens long"), spark.createDataFrame(out), 100).first()
+    assert kept["n_documents"] == len(rows) and sum(kept) == len(rows)
+
+
+def test_every_shard_and_window_holds_the_target(spark):
+    rows = _lengths(spark, 12_000, "aaaaab", 60, 8)
+    target = {"a": 2.0, "b": 2.0}  # in proportion: half and half
+    out = _pack(spark, rows, target=target).collect()
+    by_shard, all_b = defaultdict(Counter), sum(n for _, s, n in rows if s == "b")
+    for r in out:
+        by_shard[r["shard"], r["on_target"]][r["source"]] += r["n_tokens"]
+    on = [c for (_, t), c in by_shard.items() if t]
+    assert len(on) > 3 and sum(c["b"] for c in on) == all_b and sum(c["a"] for c in on) == pytest.approx(all_b, abs=60)
+    # Deficits between shards stay below one document: no shard drifts from the target, the first no less than the last.
+    assert all(abs(c["a"] - c["b"]) <= 120 for c in on if sum(c.values()) > 15_000)
+    m = {r["source"]: r for r in P.mixture(spark.createDataFrame(out), spark.createDataFrame([("a", 0.5), ("b", 0.5)], "source string, share double")).collect()}
+    assert all(abs(r["share"] - 0.5) < 0.01 and r["mean_deviation"] < 0.03 and r["greatest_deviation"] < 0.1 for r in m.values())
+
+
+def test_broken_rules_are_counted(spark):
+    lengths = spark.createDataFrame([(1, "a", 5), (2, "a", 150), (3, "a", 7)], "doc_id long, source string, n_tokens long")
+    packed = spark.createDataFrame([(0, 1, 0, 0, 3), (0, 1, 1, 3, 2), (0, 2, 0, 0, 150), (1, 4, 0, 0, 1)], "container long, doc_id long, piece int, first_token long, n_tokens long")
+    r = P.invariants(lengths, packed, 100).first().asDict()
+    assert r == {"n_documents": 3, "n_missing": 1, "n_unknown": 1, "n_not_whole": 0, "n_cut_without_need": 2, "n_over_full": 1}
 
 
 def test_empty(spark):
@@ -101,7 +132,8 @@ def test_empty(spark):
 
 @pytest.mark.parametrize("text", ["the cat sat on the mat, and so on. " * 9000, "x" * 120_000, "a  b\n" * 40_000 + "fin"])
 def test_long_texts_are_counted_whole(text):
-    encoding = P._encoding(P.VOCABULARY)
+    with open(P.VOCABULARY, "rb") as f:
+        encoding = P._encoding("v", f.read())
     if len(set(text)) > 1:
         assert P._count(encoding, text) == len(encoding.encode_ordinary(text))
     else:
