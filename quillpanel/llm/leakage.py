@@ -11,10 +11,12 @@ document are merged into spans.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,26 +25,43 @@ PHRASE = 13
 #: Every so many text positions keep their place in the suffix order.
 SAMPLE = 32
 
-_TAG = re.compile(r"<[^<>\n]{1,200}>")
+#: Element names of HTML (fixed values): only these make a tag of a single word between angle brackets.
+_ELEMENTS = (
+    "a abbr address article aside audio b bdi bdo blockquote body br button canvas caption center cite code col colgroup data dd del details dfn dialog div dl dt em embed "
+    "fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object "
+    "ol optgroup option output p param picture pre progress q rp rt ruby s samp script section select small source span strike strong style sub summary sup svg table tbody "
+    "td template textarea tfoot th thead time title tr track tt u ul var video wbr"
+)
+_TAG = re.compile(rf"""<(?:/?(?:{"|".join(_ELEMENTS.split())})\s*/?|[a-z][a-z0-9:-]*(?:\s+[a-z_:@][\w:.-]*\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=`]+))+\s*/?)>""")
 _JOINED = re.compile(r"(?<=\d)[.,](?=\d)|['’`­​‌‍⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
+#: Characters of a text whose words are not made into a list.
+LONG = 1_000_000
+
+
+def _untagged(m: re.Match) -> str:
+    """A blank for a tag, but for one long enough to hold a phrase: its words count."""
+    return m.group() if len(_WORD.findall(m.group())) >= PHRASE else " "
+
+
+def _plain(text: str) -> str:
+    text = (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
+    return _JOINED.sub("", _TAG.sub(_untagged, text) if "<" in text else text)
 
 
 def words(text: str | None) -> list[str]:
-    """Words of a text, whatever its letter case, punctuation, markup and spacing. Null has none."""
-    if not text:
-        return []
-    text = text.lower()
-    if "<" in text:
-        text = _TAG.sub(" ", text)
-    return _WORD.findall(_JOINED.sub("", text))
+    """Words of a text, whatever its letter case, punctuation, markup and spacing, and whichever way its characters are written. Null has none.
+
+    Markup is what is surely a tag: an element's name alone, or a name with values
+    given to attributes. Anything else between or beside angle brackets is text.
+    """
+    return _WORD.findall(_plain(text)) if text else []
 
 
-def _numbers(text: str | None, number: dict[str, int]) -> np.ndarray:
+def _numbers(text: str | None, number: dict[str, int], long: int = LONG) -> np.ndarray:
     """The text's words as numbers, 2 for words that no phrase has. A long text is never a list of its words."""
-    if text and len(text) > 1_000_000:
-        text = _JOINED.sub("", _TAG.sub(" ", text.lower()))
-        return np.fromiter((number.get(m.group(), 2) for m in _WORD.finditer(text)), np.int64)
+    if text and len(text) > long:
+        return np.fromiter((number.get(m.group(), 2) for m in _WORD.finditer(_plain(text))), np.int64)
     return np.fromiter((number.get(x, 2) for x in words(text)), np.int64)
 
 
@@ -248,18 +267,19 @@ def leaked_spans(
     total = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     corpus = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null and text is not null")
-    out = None
+    out, spark = None, documents.sparkSession
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        found = corpus.mapInArrow(_searcher(Phrases([tuple(r) for r in block], phrase), shard_words), "doc_id bigint, item_id bigint, first_word bigint, last_word bigint")
+        phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in block], phrase))  # of at most block_chars characters
+        found = corpus.mapInArrow(_searcher(phrases, shard_words), "doc_id bigint, item_id bigint, first_word bigint, last_word bigint")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _searcher(phrases: Phrases, shard_words: int):
-    overlap = phrases.length - 1
-
+def _searcher(held: Broadcast, shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = held.value
+        overlap = phrases.length - 1
         shard = Shard(phrases)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -147,19 +147,23 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p9_words(table: str, ident: str) -> str:
-    clean = r"regexp_replace(regexp_replace(lower(text), '<[^<>\n]{1,200}>', ' ', 'g'), '[''’`­​‌‍⁠﻿]', '', 'g')"
+    clean = r"regexp_replace(regexp_replace(lower(nfc_normalize(text)), '</?[a-z]+ */?>', ' ', 'g'), '[''’`­​‌‍⁠﻿]', '', 'g')"
     joined = rf"regexp_replace(regexp_replace({clean}, '([0-9])[.,]([0-9])', '\1\2', 'g'), '([0-9])[.,]([0-9])', '\1\2', 'g')"
     return rf"SELECT {ident}, regexp_extract_all({joined}, '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL"
 
 
-def _p9_phrases(ident: str, words: str) -> str:
-    return f"SELECT DISTINCT {ident}, list_aggregate(w[k:k + 12], 'string_agg', ' ') AS phrase FROM (SELECT {ident}, w, unnest(range(1, len(w) - 11)) AS k FROM {words} WHERE len(w) >= 13)"
+def _p9_phrases(ident: str, words: str, place: str = "") -> str:
+    return f"SELECT DISTINCT {ident}, {place} list_aggregate(w[k:k + 12], 'string_agg', ' ') AS phrase FROM (SELECT {ident}, w, unnest(range(1, len(w) - 11)) AS k FROM {words} WHERE len(w) >= 13)"
 
 
 _P9 = f"""
 WITH d AS ({_p9_words("documents", "doc_id")}), i AS ({_p9_words("eval_items", "item_id")}),
-dp AS ({_p9_phrases("doc_id", "d")}), ip AS ({_p9_phrases("item_id", "i")})
-SELECT DISTINCT doc_id, item_id FROM dp JOIN ip USING (phrase)"""
+dp AS ({_p9_phrases("doc_id", "d", "k - 1 AS first,")}), ip AS ({_p9_phrases("item_id", "i")}),
+h AS (SELECT DISTINCT doc_id, item_id, first FROM dp JOIN ip USING (phrase))"""
+_P9_SPANS = """,
+n AS (SELECT *, CASE WHEN first - lag(first) OVER (PARTITION BY doc_id, item_id ORDER BY first) <= 13 THEN 0 ELSE 1 END AS new FROM h),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY first) AS span FROM n)
+SELECT doc_id, item_id, min(first) AS first_word, max(first) + 12 AS last_word FROM s GROUP BY doc_id, item_id, span"""
 
 
 def _names(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -192,5 +196,5 @@ ORACLE = {
     "p2_members": _P2 + " SELECT DISTINCT uid AS headline_uid, min(uid) OVER (PARTITION BY ticker, published_at, fields) AS record_uid, count(*) OVER (PARTITION BY ticker, published_at, fields) - 1 AS n_links FROM k",
     "p2_collisions": "SELECT '' AS h1, '' AS h2 WHERE false",
     "p8_invariants": "SELECT count(DISTINCT doc_id) AS n_documents, 0 AS n_missing, 0 AS n_unknown, 0 AS n_not_whole, 0 AS n_cut_without_need, 0 AS n_over_full FROM documents",
-    "p4_found": _P4, "p6_found": _P6, "p9_found": _P9,
+    "p4_found": _P4, "p6_found": _P6, "p9_found": _P9 + " SELECT DISTINCT doc_id, item_id FROM h", "p9_spans": _P9 + _P9_SPANS,
 }

@@ -42,6 +42,28 @@ def test_words():
     assert L.words(None) == L.words("") == L.words(" .. ") == []
 
 
+def test_only_tags_are_markup():
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split()
+    assert L.words(f"<{' '.join(passage)}>") == passage
+    assert L.words("<Alas poor yorick>") == ["alas", "poor", "yorick"] and L.words("a <fox> b") == ["a", "fox", "b"]
+    assert L.words("sales < 5 million and the profit > 3") == "sales 5 million and the profit 3".split()
+    assert L.words("if a<b and c>d then") == "if a b and c d then".split()
+    assert L.words("x <p> y</p><br/>z <A HREF='u v' rel=me >w</a>") == ["x", "y", "z", "w"]
+    assert L.words(f'one <img src="{"x" * 500}"> two') == ["one", "two"]
+    assert L.words(f'<img alt="{" ".join(passage)}">')[-14:] == passage
+    assert L.words("<!-- a hidden note --> b") == ["a", "hidden", "note", "b"]
+
+
+def test_characters_in_one_form():
+    assert L.words("Caf\u00e9 \ufb01rst \uff26ull") == L.words("Cafe\u0301 first Full") == ["caf\u00e9", "first", "full"]
+
+
+def test_long_texts_give_the_same_numbers():
+    text = "A <b>word</b>, 1,234 or fi\ufb01 two. " * 50
+    number = {w: k + 3 for k, w in enumerate(sorted(set(L.words(text)))[::2])}
+    assert L._numbers(text, number, 100).tolist() == L._numbers(text, number).tolist()
+
+
 def _brute(docs, items, n):
     out = set()
     for d, t in docs:
