@@ -62,9 +62,10 @@ def members(rows: DataFrame, uid: Column, key: Sequence[Column], title: Column)
     Nulls in key or title equal one another. Rows without uid are left out.
     A row repeated without end is combined before the exchange.
     """
-    form = canonical(title)
-    h1, h2 = hash128(*key, form)
-    hashed = rows.where(uid.isNotNull()).select(h1.alias("h1"), h2.alias("h2"), F.xxhash64(F.lit(101), F.length(form), F.reverse(form)).alias("check"), uid.alias("uid"))
+    # A projection of its own: the form goes into three hashes and is made once.
+    formed = rows.where(uid.isNotNull()).select(*[k.alias(f"k{i}") for i, k in enumerate(key)], canonical(title).alias("form"), uid.alias("uid"))
+    h1, h2 = hash128(*[F.col(f"k{i}") for i in range(len(key))], F.col("form"))
+    hashed = formed.select(h1.alias("h1"), h2.alias("h2"), F.xxhash64(F.lit(101), F.length("form"), F.reverse("form")).alias("check"), "uid")
     return hashed.groupBy("h1", "h2", "check", "uid").agg(F.count("*").alias("copies"))
 
 
