@@ -31,17 +31,20 @@ from quillpanel.runtime import new_folder
 
 #: Digits of an amount, those behind the point included; a total has ten more, so no sum over a period overflows.
 DIGITS = 28
+#: What an amount that cannot be added counts among the days with a value, beside one.
+BEYOND = 1 << 32
 
 
 def daily_amounts(tables: Sequence[tuple[DataFrame, Column, Column, Mapping[str, Column]]], scales: Mapping[str, int], anchor: str) -> DataFrame:
-    """One row per entity and day out of several tables: ``(entity, day, <measure>..., <measure>_beyond..., anchored)``.
+    """One row per entity and day out of several tables: ``(entity, day, <measure>..., <measure>_n..., anchored)``.
 
     ``tables`` gives of each its entity, day and measures, ``scales`` the decimals
     kept of each measure. Of several rows for a day the largest value counts, so
     repeated rows count once; the aggregate is map-side combined, and an entity
     repeated without end is still one row per day. Rows without entity or day are
-    left out; null and NaN are no amount. An infinite amount, or one too large for
-    ``DIGITS``, is marked as ``beyond``: it makes the totals it belongs to unknown.
+    left out; null and NaN are no amount. ``<measure>_n`` is 1 for a day with an
+    amount and ``BEYOND`` more for an infinite one or one too large for ``DIGITS``:
+    that makes the totals it belongs to unknown.
     ``anchored`` marks days on which the table holding measure ``anchor`` has a
     row, whatever its values.
     """
@@ -54,21 +57,18 @@ def daily_amounts(tables: Sequence[tuple[DataFrame, Column, Column, Mapping[str,
     exact = {m: F.col(m).try_cast(f"decimal({DIGITS},{s})") for m, s in scales.items()}
     return daily.select(
         "entity", "day", *[c.alias(m) for m, c in exact.items()],
-        *[(F.col(m).isNotNull() & c.isNull()).cast("long").alias(f"{m}_beyond") for m, c in exact.items()], "anchored",
+        *[F.when(c.isNotNull(), 1).when(F.col(m).isNotNull(), 1 + BEYOND).otherwise(0).cast("long").alias(f"{m}_n") for m, c in exact.items()], "anchored",
     )
 
 
 def _own(measures: Sequence[str]) -> list[str]:
-    return [c for m in measures for c in (m, f"{m}_beyond")]
+    return [c for m in measures for c in (m, f"{m}_n")]
 
 
 def _lanes(measures: Sequence[str], of=F.col) -> dict[str, Column]:
-    """What is added up of each measure: the amount, whether there is one, and whether it is beyond what can be added."""
-    out = {}
-    for m in measures:
-        beyond = F.coalesce(of(f"{m}_beyond"), F.lit(0).cast("long"))
-        out |= {f"{m}_total": F.coalesce(of(m), F.lit(0).cast("long")), f"{m}_days": of(m).isNotNull().cast("long") + beyond, f"{m}_beyond": beyond}
-    return out
+    """What is added up of each measure: the amount, and the days with one."""
+    none = F.lit(0).cast("long")
+    return {k: v for m in measures for k, v in ((f"{m}_total", F.coalesce(of(m), none)), (f"{m}_days", F.coalesce(of(f"{m}_n"), none)))}
 
 
 def bootstrap(daily: DataFrame, measures: Sequence[str], periods: Sequence[int], through: Column | None = None) -> DataFrame:
@@ -110,8 +110,7 @@ def advance(state: DataFrame, arrivals: DataFrame, day: dt.date, measures: Seque
     # As text: a step is a small job, and a plan put together column by column would take longer than it.
     on = lambda n: f"day = date'{day - dt.timedelta(n)}'"
     own = _own(measures)
-    lanes = [f"{m}_{lane}" for m in measures for lane in ("total", "days", "beyond")]
-    add = {k: v for m in measures for k, v in ((f"{m}_total", f"coalesce({{0}}{m}, 0L)"), (f"{m}_days", f"int({{0}}{m} is not null) + coalesce({{0}}{m}_beyond, 0L)"), (f"{m}_beyond", f"coalesce({{0}}{m}_beyond, 0L)"))}
+    lanes = {f"{m}_{lane}": c for m in measures for lane, c in (("total", m), ("days", f"{m}_n"))}
     newest = lambda cols, n: f"max_by(struct({', '.join(cols)}), if({on(n)}, version, null))"
     held = state.where(" or ".join(on(n) for n in sorted({1, *periods}))).groupBy("entity").agg(
         F.expr(newest([f"{k}_{p}" for k in lanes for p in periods], 1)).alias("_held"), *[F.expr(newest(own, p)).alias(f"_old_{p}") for p in periods]
@@ -119,48 +118,49 @@ def advance(state: DataFrame, arrivals: DataFrame, day: dt.date, measures: Seque
     today = arrivals.where(on(0)).select("entity", F.struct("anchored", *own).alias("_new"))
     totals = []
     for m in measures:
-        scale = arrivals.schema[m].dataType.scale
-        for lane, kind in (("total", f"decimal(38,{scale})"), ("days", "bigint"), ("beyond", "bigint")):
-            k = f"{m}_{lane}"
-            totals += [f"cast(coalesce(_held.{k}_{p}, 0L) + {add[k].format('_new.')} - ({add[k].format(f'_old_{p}.')}) as {kind}) as {k}_{p}" for p in periods]
+        for k, kind in ((f"{m}_total", f"decimal(38,{arrivals.schema[m].dataType.scale})"), (f"{m}_days", "bigint")):
+            totals += [f"cast(coalesce(_held.{k}_{p}, 0L) + coalesce(_new.{lanes[k]}, 0L) - coalesce(_old_{p}.{lanes[k]}, 0L) as {kind}) as {k}_{p}" for p in periods]
     rows = held.join(today, "entity", "full").selectExpr(
-        "entity", f"date'{day}' as day", "coalesce(_new.anchored, false) as anchored", *[f"coalesce(_new.{c}, 0L) as {c}" if c.endswith("_beyond") else f"_new.{c} as {c}" for c in own], *totals
+        "entity", f"date'{day}' as day", "coalesce(_new.anchored, false) as anchored", *[f"coalesce(_new.{c}, 0L) as {c}" if c.endswith("_n") else f"_new.{c} as {c}" for c in own], *totals
     )
     return rows.where(" or ".join(["anchored", *[f"{m}_days_{max(periods)} > 0" for m in measures]]))
 
 
-def correct(state: DataFrame, corrections: DataFrame, measures: Sequence[str], periods: Sequence[int], through: Column) -> DataFrame:
+def correct(versions: DataFrame, corrections: DataFrame, measures: Sequence[str], periods: Sequence[int], through: Column) -> DataFrame:
     """New versions of the rows that ``corrections`` (rows as of ``daily_amounts``) touch, and of no others.
 
     A correction states a day's amounts as they should have been, for any entity
     and day up to ``through``, the state's last; where the state has no row, one
-    is made. ``state`` holds one row per entity and day (see ``latest``), of which
-    only the dates from a corrected day to the end of its longest period matter.
+    is made. Of ``versions`` the newest of each entity and day counts, and only the
+    dates from a corrected day to the end of its longest period matter.
     """
     longest = max(periods)
-    was = state.select("entity", "day", F.struct(*_own(measures)).alias("_was"))
+    key = Window.partitionBy("entity", "day").orderBy(F.desc("version"))
+
+    def with_newest(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """``rows``, one an entity and day, with ``columns`` of the newest version; what is not asked for is not sorted."""
+        both = rows.join(versions.select("entity", "day", "version", *columns), ["entity", "day"], "left")
+        return both.withColumn("_place", F.row_number().over(key)).where("_place = 1").drop("_place", "version")
+
     fixed = corrections.select("entity", "day", F.struct("anchored", *_own(measures)).alias("_fixed"))
-    new, old = _lanes(measures, lambda c: F.col(f"_fixed.{c}")), _lanes(measures, lambda c: F.col(f"_was.{c}"))
-    spread = fixed.join(was, ["entity", "day"], "left").select(
-        "entity", F.posexplode(F.sequence("day", F.greatest(F.col("day"), F.least(through, F.date_add("day", longest - 1))))).alias("_after", "_on"), *[(new[k] - old[k]).alias(f"_{k}") for k in new]
+    new, old = _lanes(measures, lambda c: F.col(f"_fixed.{c}")), _lanes(measures)
+    spread = with_newest(fixed, _own(measures)).select(
+        "entity", F.posexplode(F.sequence("day", F.greatest(F.col("day"), F.least(through, F.date_add("day", longest - 1))))).alias("_after", "_on"),
+        F.col("_fixed"), *[(new[k] - old[k]).alias(f"_{k}") for k in new],
     )
-    shift = spread.groupBy("entity", F.col("_on").alias("day")).agg(*[F.sum(F.when(F.col("_after") < p, F.col(f"_{k}"))).alias(f"_{k}_{p}") for k in new for p in periods])
-    touched = shift.join(state, ["entity", "day"], "left").join(fixed, ["entity", "day"], "left")
-    is_fixed, none = F.col("_fixed").isNotNull(), F.lit(0).cast("long")
-    own = lambda c: F.when(is_fixed, F.col(f"_fixed.{c}")).otherwise(F.col(c))
+    # The row of the corrected day itself carries what the day is now.
+    shift = spread.groupBy("entity", F.col("_on").alias("day")).agg(
+        F.max(F.col("_after") == 0).alias("_is_fixed"), *[F.max(F.when(F.col("_after") == 0, F.col(f"_fixed.{c}"))).alias(f"_fixed_{c}") for c in ("anchored", *_own(measures))], *[F.sum(F.when(F.col("_after") < p, F.col(f"_{k}"))).alias(f"_{k}_{p}") for k in new for p in periods]
+    )
+    touched = with_newest(shift, ["anchored", *_own(measures), *[f"{k}_{p}" for k in new for p in periods]])
+    none = F.lit(0).cast("long")
+    own = lambda c: F.when(F.col("_is_fixed"), F.col(f"_fixed_{c}")).otherwise(F.col(c))
     return touched.select(
-        "entity", "day", F.coalesce(own("anchored"), F.lit(False)).alias("anchored"), *[F.coalesce(own(c), none).alias(c) if c.endswith("_beyond") else own(c).alias(c) for c in _own(measures)],
+        "entity", "day", F.coalesce(own("anchored"), F.lit(False)).alias("anchored"), *[F.coalesce(own(c), none).alias(c) if c.endswith("_n") else own(c).alias(c) for c in _own(measures)],
         *[_sized(F.coalesce(f"{k}_{p}", none) + F.coalesce(f"_{k}_{p}", none), k, measures, corrections).alias(f"{k}_{p}") for k in new for p in periods],
     )
 
 
-def latest(versions: DataFrame) -> DataFrame:
-    """The newest version of each entity and day (a map-side combined aggregate, no sort)."""
-    rest = [c for c in versions.columns if c not in ("entity", "day", "version", "kept")]
-    newest = versions.groupBy("entity", "day").agg(F.max_by(F.struct(*rest), "version").alias("_row"))
-    return newest.select("entity", "day", *[F.col(f"_row.{c}").alias(c) for c in rest])
-
-
 def publish(versions: DataFrame, measures: Sequence[str], periods: Sequence[int]) -> DataFrame:
     """Totals, averages over the days with a value, and their number, for every day from the first anchored day to the last.
 
@@ -180,8 +180,8 @@ def publish(versions: DataFrame, measures: Sequence[str], periods: Sequence[int]
     out = [F.col("entity"), F.col("_on").alias("day")]
     for m in measures:
         for p in periods:
-            value = lambda lane: F.when(F.col("_gap") == 0, F.col(f"{m}_{lane}_{p}")).otherwise(F.lit(0).cast("long"))  # noqa: B023, E731
-            total, days = F.when(value("beyond") == 0, value("total")).cast("double"), value("days")
+            n, total = F.when(F.col("_gap") == 0, F.col(f"{m}_days_{p}")).otherwise(0), F.when(F.col("_gap") == 0, F.col(f"{m}_total_{p}")).otherwise(F.lit(0).cast("long"))
+            total, days = F.when(n < BEYOND, total).cast("double"), F.pmod(n, F.lit(BEYOND))
             out += [total.alias(f"{m}_total_{p}"), F.when(days > 0, total / days).alias(f"{m}_avg_{p}"), days.alias(f"{m}_days_{p}")]
     return dense.select(*out)
 
@@ -220,7 +220,8 @@ class RollingState:
         self.through, self.open_from = through, through - dt.timedelta(max(self.periods))
         upto = F.lit(through)
         rows = bootstrap(daily.where(F.col("day") <= upto), self.measures, self.periods, through=upto)
-        self._write(rows.repartition(self._kept()))
+        # Rebalanced: a part's rows lie in few files, and a large part is not one task.
+        self._write(rows.withColumn("_kept", self._kept()).hint("rebalance", F.col("_kept")).drop("_kept"))
 
     def advance(self, arrivals: DataFrame) -> None:
         """One day further; ``arrivals`` may hold rows of other days, which are not looked at."""
@@ -239,7 +240,7 @@ class RollingState:
             raise ValueError(f"{last} is not in the state yet: its rows are arrivals")
         # Parts are years and the days of the open period: as many as the calendar has.
         parts = [r[0] for r in on.select(F.when(F.col("on") >= F.lit(self.open_from), F.col("on")).otherwise(F.trunc("on", "year"))).distinct().collect()]
-        self._write(correct(latest(self.read().where(F.col("kept").isin(parts))), corrections, self.measures, self.periods, F.lit(self.through)))
+        self._write(correct(self.read().where(F.col("kept").isin(parts)), corrections, self.measures, self.periods, F.lit(self.through)))
 
     def published(self) -> DataFrame:
         return publish(self.read(), self.measures, self.periods)

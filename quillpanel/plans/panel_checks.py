@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,16 +81,16 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _maintained(spark: SparkSession, sf_dir: str, corrected_after: int) -> rolling_state.RollingState:
+def _maintained(spark: SparkSession, sf_dir: str, corrected_after: int, late_months: Sequence[int]) -> rolling_state.RollingState:
     """The state as a running service would have it: a first load without the last ``STEPS`` days and without the
-    rows of every 15th of a month, daily steps, and after so many of them the missing rows as corrections."""
+    rows of the 15th of some months, daily steps, and after so many of them the missing rows as corrections."""
     prepare(spark)
     state = rolling_state.RollingState(spark, list(SCALES), PERIODS)
     daily = _daily(spark, sf_dir)
     dates = read(spark, sf_dir, "prices").select("date").unionByName(read(spark, sf_dir, "features").select("date"))
     end = dates.agg(F.max("date").cast("date")).first()[0]
     loaded = (end or dt.date(2000, 1, 1)) - dt.timedelta(STEPS)
-    late = (F.dayofmonth("day") == 15) & (F.col("day") <= F.lit(loaded))
+    late = (F.dayofmonth("day") == 15) & F.month("day").isin(list(late_months)) & (F.col("day") <= F.lit(loaded))
     # Arrivals lie by day, so that a step reads its own.
     part = F.when(late, F.lit("late")).when(F.col("day") <= F.lit(loaded), "history").otherwise(day("day"))
     spread = F.when(F.col("inbox") == "history", F.xxhash64("entity")).otherwise(0)  # one file a day, many for the history
@@ -110,12 +111,12 @@ def _rounded(state: rolling_state.RollingState) -> DataFrame:
 
 def p3_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, averages and days with a value over trailing 7 and 30 days, for each ticker and day from its first price to its last."""
-    return _rounded(_maintained(spark, sf_dir, STEPS // 2))
+    return _rounded(_maintained(spark, sf_dir, STEPS // 2, (2, 5, 8, 11)))
 
 
 def p3_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, with all corrections after the last step."""
-    return _rounded(_maintained(spark, sf_dir, STEPS))
+    """The same, with corrections of every month after the last step."""
+    return _rounded(_maintained(spark, sf_dir, STEPS, range(1, 13)))
 
 
 def _p3_sql() -> str:

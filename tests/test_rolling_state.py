@@ -118,7 +118,7 @@ def test_corrections_write_only_what_they_touch(spark):
     daily = _daily(spark, rows)
     state = RS.bootstrap(daily, ["v"], PERIODS)
     fix = _daily(spark, [("A", START + dt.timedelta(5), 3.0, "", ""), ("Z", START + dt.timedelta(48), 2.0, "", "")])
-    new = RS.correct(state, fix, ["v"], PERIODS, F.lit(START + dt.timedelta(49))).collect()
+    new = RS.correct(state.withColumn("version", F.lit(0)), fix, ["v"], PERIODS, F.lit(START + dt.timedelta(49))).collect()
     assert sorted(r["day"] for r in new if r["entity"] == "A") == [START + dt.timedelta(k) for k in range(5, 35)]
     assert {r["v_total_7"] for r in new if r["entity"] == "A" and r["day"] < START + dt.timedelta(12)} == {8, 9}
     assert sorted(r["day"] for r in new if r["entity"] == "Z") == [START + dt.timedelta(k) for k in (48, 49)]
