@@ -20,19 +20,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillpanel.llm.markup import TAG
+
 #: Words of a phrase.
 PHRASE = 13
 #: Every so many text positions keep their place in the suffix order.
 SAMPLE = 32
 
-#: Element names of HTML (fixed values): only these make a tag of a single word between angle brackets.
-_ELEMENTS = (
-    "a abbr address article aside audio b bdi bdo blockquote body br button canvas caption center cite code col colgroup data dd del details dfn dialog div dl dt em embed "
-    "fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object "
-    "ol optgroup option output p param picture pre progress q rp rt ruby s samp script section select small source span strike strong style sub summary sup svg table tbody "
-    "td template textarea tfoot th thead time title tr track tt u ul var video wbr"
-)
-_TAG = re.compile(rf"""<(?:/?(?:{"|".join(_ELEMENTS.split())})\s*/?|[a-z][a-z0-9:-]*(?:\s+[a-z_:@][\w:.-]*\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=`]+))+\s*/?)>""")
 _JOINED = re.compile(r"(?<=\d)[.,](?=\d)|['’`­​‌‍⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
 #: Characters of a text whose words are not made into a list.
@@ -46,7 +40,7 @@ def _untagged(m: re.Match) -> str:
 
 def _plain(text: str) -> str:
     text = (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
-    return _JOINED.sub("", _TAG.sub(_untagged, text) if "<" in text else text)
+    return _JOINED.sub("", TAG.sub(_untagged, text) if "<" in text else text)
 
 
 def words(text: str | None) -> list[str]:

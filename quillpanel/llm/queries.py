@@ -182,13 +182,22 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assigned(spark, sf_dir)
 
 
+def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall on the labelled documents held out from mining, by language."""
+    prepare(spark)
+    documents = read(spark, sf_dir, "documents")
+    rules, cut = subjects.learned(documents, read(spark, sf_dir, "doc_labels"), _names(spark, sf_dir))
+    lang = documents.select("doc_id", F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"))
+    return subjects.quality(rules, cut.where("kind = 'held'").join(lang, "doc_id"))
+
+
 def p10_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.makeup(read(spark, sf_dir, "documents"), _assigned(spark, sf_dir), read(spark, sf_dir, "subjects"))
 
 
 QUERIES = {
     "p2_found": p2_found, "p2_records": p2_records, "p2_members": p2_members, "p2_collisions": p2_collisions, "p4_found": p4_found, "p4_pruning": p4_pruning, "p6_found": p6_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_invariants": p8_invariants, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_spans": p9_spans,
-    "p10_found": p10_found, "p10_makeup": p10_makeup,
+    "p10_found": p10_found, "p10_makeup": p10_makeup, "p10_quality": p10_quality,
 }
 ORACLE = {
     "p2_found": _P2 + " SELECT DISTINCT a.uid AS uid_a, b.uid AS uid_b FROM k a JOIN k b ON a.ticker = b.ticker AND a.published_at = b.published_at AND a.fields = b.fields AND a.uid < b.uid",

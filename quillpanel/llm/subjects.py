@@ -1,14 +1,17 @@
 """Subject areas of documents by class-association rules.
 
 Sentences of a bounded sample of labelled documents are transactions of words
-and of their document's subjects. Parallel FP-growth finds the frequent
-itemsets; those with a subject give rules. A rule that is no surer than a more
+and of their document's subjects. Parallel FP-growth finds the itemsets that
+matter: every shard of items gets the sentences that hold one of its items and
+grows patterns of up to three items from their conditional bases, never longer
+ones. Itemsets with a subject give rules. A rule that is no surer than a more
 general one is redundant and goes; an itemset that contradicts a more general
 rule (a word in passing, a figure of speech) is kept as that rule's exception.
 A sentence's evidence for a subject is the sum of the weights of the rules it
 matches; how much evidence makes a sentence report on a subject is calibrated on
-labelled documents held out from mining. Every document is then scored in one
-map over the corpus.
+labelled documents held out from mining. Words that few labelled documents have
+are mined a second time, together with documents that the first rules find
+subjects in. Every document is then scored in one map over the corpus.
 """
 
 from __future__ import annotations
@@ -19,12 +22,15 @@ from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that rules are mined from and calibrated on, at most.
+from quillpanel.llm.markup import TAG
+from quillpanel.runtime import write_table
+
+#: Documents that rules are mined from and calibrated on, at most.
 MAX_LABELLED = 20_000
 #: A document needs so many sentences that report on a subject.
 SENTENCES = 2
@@ -32,17 +38,32 @@ SENTENCES = 2
 SURE, POINTS, AGAINST = 0.8, 0.6, 0.5
 #: Documents in which an itemset must occur for either.
 DOCUMENTS = 4
-
-_TAG = re.compile(r"<[^<>\n]{1,200}>")
-_END = re.compile(r"(?<=[.!?…])[\"”’)\]]*\s+|\n\s*\n")
+#: Labelled documents from which a word has said what it says; rarer ones are mined again with documents that are not labelled.
+ENOUGH = 16
+#: A rule must be surer than more general ones by so much.
+SURER = 0.05
+#: Shards that itemsets are grown in.
+SHARDS = 16
+
+_END = re.compile(r"[.!?…][\"”’)\]]*\s+|\n\s*\n")
 _WORD = re.compile(r"[^\W\d_]+")
+#: ASCII letters stay, ends of sentences become line ends, all else blanks.
+_LETTERS = "".join("\n" if c == "\0" else c if c.isalpha() else " " for c in map(chr, range(128)))
 
 
-def sentences(text: str | None) -> Iterator[list[str]]:
-    """The words of each sentence, lower case, each once and in order; null and blank texts have none."""
-    for s in _END.split(_TAG.sub("\n\n", text)) if text else ():
-        if words := sorted(set(_WORD.findall(s.lower()))):
-            yield words
+def sentences(text: str | None) -> list[list[str]]:
+    """The words of each sentence, lower case and in order; null and blank texts have none."""
+    if not text:
+        return []
+    text = text.lower()
+    if "<" in text:
+        text = TAG.sub("\n\n", text)
+    cut = _END.split(text)
+    if text.isascii():  # the same words, without a pattern
+        found = [s.split() for s in "\0".join(s.replace("\0", " ") for s in cut).translate(_LETTERS).split("\n")]
+    else:
+        found = [_WORD.findall(s) for s in cut]
+    return [ws for ws in found if ws]
 
 
 @dataclass
@@ -56,34 +77,69 @@ class Rules:
     exceptions: dict[frozenset, dict[str, list[frozenset]]] = field(default_factory=dict)
     threshold: float = math.inf
 
-    def index(self) -> dict[int, list[frozenset]]:
-        """Antecedents by one of their items."""
-        out: dict[int, list[frozenset]] = defaultdict(list)
-        for x in self.weights:
-            out[min(x)].append(x)
-        return out
-
-    def evidence(self, words: Sequence[str], index: dict[int, list[frozenset]]) -> dict[str, float]:
-        """Per subject the weights of the rules matched; a rule counts as often as the sentence has words of its items."""
-        found = [i for w in words if (i := self.item.get(w)) is not None]
-        items = set(found)
-        total: dict[str, float] = defaultdict(float)
-        for i in items:
-            for x in index.get(i, ()):
-                if x <= items:
-                    against = self.exceptions.get(x)
-                    for subject, weight in self.weights[x]:
-                        if not (against and any(e <= items for e in against.get(subject, ()))):
-                            total[subject] += weight * sum(found.count(j) for j in x) / len(x)
+    def index(self) -> Index:
+        return Index(self)
+
+    def of(self, words: frozenset[str]) -> Rules:
+        """The rules that speak of ``words`` only."""
+        held = {i for w, i in self.item.items() if w in words}
+        return Rules(
+            {w: i for w, i in self.item.items() if i in held}, {x: v for x, v in self.weights.items() if x <= held},
+            {x: {c: [e for e in es if e <= held] for c, es in by.items()} for x, by in self.exceptions.items() if x <= held}, self.threshold,
+        )
+
+    def joined(self, more: Rules) -> Rules:
+        """These rules and those of ``more``, which are about other words."""
+        base = 1 + max(self.item.values(), default=-1)
+        move = lambda x: frozenset(i + base for i in x)
+        return Rules(
+            {w: i + base for w, i in more.item.items()} | self.item, self.weights | {move(x): v for x, v in more.weights.items()},
+            self.exceptions | {move(x): {c: [move(e) for e in es] for c, es in by.items()} for x, by in more.exceptions.items()}, self.threshold,
+        )
+
+
+class Index:
+    """Rules laid out for scoring: only words that a rule or an exception speaks of are looked up."""
+
+    def __init__(self, rules: Rules):
+        self.threshold = rules.threshold
+        held = {i for x in rules.weights for i in x} | {i for by in rules.exceptions.values() for es in by.values() for e in es for i in e}
+        self.item = {w: i for w, i in rules.item.items() if i in held}
+        self.of: dict[int, list[tuple]] = defaultdict(list)
+        for x, weights in rules.weights.items():
+            against = rules.exceptions.get(x, {})
+            self.of[min(x)].append((x, [(c, w, against.get(c, ())) for c, w in weights]))
+
+    def evidence(self, words: Sequence[str]) -> dict[str, float]:
+        """Per subject the weights of the rules matched; a rule counts as often as the sentence has different words of its items."""
+        get, count = self.item.get, {}
+        for w in set(words):
+            i = get(w)
+            if i is not None:
+                count[i] = count.get(i, 0) + 1
+        total: dict[str, float] = {}
+        items = count.keys()
+        for i in count:
+            for x, weights in self.of.get(i, ()):
+                if len(x) == 1:
+                    times = count[i]
+                elif x <= items:
+                    times = sum(count[j] for j in x) / len(x)
+                else:
+                    continue
+                for subject, weight, against in weights:
+                    if not any(e <= items for e in against):
+                        total[subject] = total.get(subject, 0.0) + weight * times
         return total
 
-    def subjects(self, text: str | None, index: dict[int, list[frozenset]], threshold: float | None = None) -> list[str]:
-        """The subjects that enough sentences of the text report on, in order."""
+    def subjects(self, found: Sequence[Sequence[str]], threshold: float | None = None) -> list[str]:
+        """The subjects that enough of the sentences report on, in order."""
         least = self.threshold if threshold is None else threshold
-        count: dict[str, int] = defaultdict(int)
-        for s in sentences(text):
-            for subject, e in self.evidence(s, index).items():
-                count[subject] += e >= least
+        count: dict[str, int] = {}
+        for words in found:
+            for subject, e in self.evidence(words).items():
+                if e >= least:
+                    count[subject] = count.get(subject, 0) + 1
         return sorted(s for s, n in count.items() if n >= SENTENCES)
 
 
@@ -92,95 +148,258 @@ def mine(documents: DataFrame, labels: DataFrame, subjects: Sequence[str], max_l
 
     ``documents`` is ``(doc_id, text)``, ``labels`` is ``(doc_id, subject)``; a
     null subject says the document has none. Labels of unknown subjects or
-    documents are set aside. Without labels there are no rules.
+    documents are set aside. Without labels there are no rules. Where there are
+    fewer labelled documents, others fill the sample up for the second mining.
+    """
+    return learned(documents, labels, subjects, max_labelled, support, least_count)[0]
+
+
+def learned(documents: DataFrame, labels: DataFrame, subjects: Sequence[str], max_labelled: int = MAX_LABELLED, support: float = 2e-4, least_count: int = 4) -> tuple[Rules, DataFrame]:
+    """``mine``, with the sample it learned from, cut into sentences: ``(doc_id, kind, subjects, cut)``.
+
+    ``kind`` is ``mined``, ``held`` (out, for calibration) or ``other`` (not labelled).
     """
-    known = F.col("subject").isin(list(subjects))
+    subjects = list(subjects)
+    known = F.col("subject").isin(subjects)
     documents, labels = documents.select("doc_id", "text"), labels.select("doc_id", "subject")
     per_doc = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(known, F.col("subject")))).alias("subjects"))
-    sample = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    labelled = documents.join(F.broadcast(sample), "doc_id").where("text is not null")  # at most max_labelled short rows
-    split = labelled.withColumn("held", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0).persist()
-    try:
-        return _mine(split, list(subjects), support, least_count)
-    finally:
-        split.unpersist()
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    held = F.when(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0, "held").otherwise("mined")
+    sample = write_table(per_doc.orderBy(*order).limit(max_labelled).select("doc_id", held.alias("kind"), "subjects"), "labelled")  # at most max_labelled short rows
+    room = max_labelled - sample.count()
+    others = documents.where("doc_id is not null").select("doc_id").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti").orderBy(*order).limit(max(0, room))
+    chosen = sample.unionByName(others.select("doc_id", F.lit("other").alias("kind"), F.array().cast("array<string>").alias("subjects")))
+    texts = documents.join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "kind", "subjects", "text")
+    cut = write_table(texts.mapInArrow(_cut, "doc_id bigint, kind string, subjects array<string>, cut string"), "sentences")
+    mined = cut.where("kind = 'mined'").select("doc_id", "cut", "subjects")
+    rules, common = grown(mined, subjects, support, least_count)
+    rules.threshold = _calibrated(rules, cut.where("kind = 'held'"))
+    found = cut.where("kind = 'other'").select("doc_id", "cut").mapInArrow(_found_by(rules), "doc_id bigint, cut string, subjects array<string>")
+    more, _ = grown(mined.unionByName(found), subjects, support, least_count, common)
+    return rules.of(common).joined(more), cut
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as lines of words, a line a sentence, so that they are cut once."""
+    for b in batches:
+        lines = ["\n".join(" ".join(ws) for ws in sentences(t.as_py())) for t in b.column(3)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(lines, pa.string())], ["doc_id", "kind", "subjects", "cut"])
+
+
+def _lines(cut: str) -> list[list[str]]:
+    return [s.split(" ") for s in cut.split("\n")] if cut else []
+
+
+def _found_by(rules: Rules):
+    """Documents that the rules find subjects in, with these."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = rules.index()
+        for b in batches:
+            rows = [(d, c, s) for d, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (s := index.subjects(_lines(c)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], ["doc_id", "cut", "subjects"])
+
+    return run
+
+
+_MASK = (1 << 63) - 1
 
 
-def _mine(split: DataFrame, subjects: list[str], support: float, least_count: int) -> Rules:
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(subjects: list[str], but: frozenset[str]):
+    """Per word its sentences, those with each subject, its documents, and a mark of which sentences they are; as the word '' all sentences."""
+    place = {c: k for k, c in enumerate(subjects)}
+    width = len(subjects) + 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally: dict[str, list[int]] = {}
         for b in batches:
-            rows = [(d, n, w, c) for d, t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()) for n, w in enumerate(sentences(t))]
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.list_(pa.string()))], ["doc_id", "place", "words", "subjects"])
-
-    units = split.where(~F.col("held")).select("doc_id", "text", "subjects").mapInArrow(cut, "doc_id bigint, place int, words array<string>, subjects array<string>").persist()
-    try:
-        n = units.count()
-        least = max(least_count, math.ceil(support * n))
-        words = (
-            units.select(F.xxhash64("doc_id", "place").alias("unit"), F.explode("words").alias("word"), "subjects")
-            .groupBy("word").agg(F.count("*").alias("n"), F.bit_xor("unit").alias("mark"), F.bit_xor(F.xxhash64("unit")).alias("mark2"), *[F.sum(F.array_contains("subjects", s).cast("int")).alias(f"c{i}") for i, s in enumerate(subjects)])
-            .where(F.col("n") >= least).collect()  # words of the bounded sample
-        )
-        share = units.agg(*[F.avg(F.array_contains("subjects", s).cast("double")).alias(f"c{i}") for i, s in enumerate(subjects)]).first() if n else None
-        rules, groups, pointing = Rules(), {}, set()
-        for w in sorted(words, key=lambda r: r["word"]):
-            lift = max((w[f"c{i}"] / w["n"] / share[f"c{i}"] for i in range(len(subjects)) if share[f"c{i}"]), default=0)
-            if w["n"] > 0.05 * n and lift < 2 and max((w[f"c{i}"] for i in range(len(subjects))), default=0) < SURE * w["n"]:
-                continue  # says nothing and is everywhere
-            # Words that occur in the very same sentences are one item.
-            rules.item[w["word"]] = groups.setdefault((w["n"], w["mark"], w["mark2"]), len(groups))
-            if max((w[f"c{i}"] for i in range(len(subjects))), default=0) >= POINTS * w["n"]:
-                pointing.add(str(rules.item[w["word"]]))
-        if not groups:
-            return rules
-        item = {w: str(i) for w, i in rules.item.items()}
-
-        def baskets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Rules and exceptions hold an item that points to a subject, so sentences without one count for neither: their baskets are empty."""
-            for b in batches:
-                held = [({item[w] for w in ws if w in item}, cs) for ws, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-                out = [[*sorted(x), *(f"={c}" for c in cs)] if x & pointing else [] for x, cs in held]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], ["items"])
-
-        model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=1.0).fit(units.select("words", "subjects").mapInArrow(baskets, "items array<string>"))
-        # Antecedents of up to three items say it all; longer ones are more special cases of them.
-        sets = model.freqItemsets.where(F.size("items") <= 4).where(F.size(F.filter("items", lambda x: x.startswith("="))) <= 1).where(F.size(F.filter("items", lambda x: ~x.startswith("="))).between(1, 3))
-        count: dict[frozenset, int] = {}
-        joint: dict[frozenset, dict[str, int]] = defaultdict(dict)
-        for items, freq in sets.toLocalIterator(prefetchPartitions=True):
-            x = frozenset(int(i) for i in items if i[0] != "=")
-            c = next((i[1:] for i in items if i[0] == "="), None)
-            if c is None:
-                count[x] = freq
-            else:
-                joint[x][c] = freq
-    finally:
-        units.unpersist()
-    sure = lambda x, c: (joint.get(x, {}).get(c, 0) + 0.5) / (count[x] + 1)
-    kept: dict[frozenset, dict[str, float]] = defaultdict(dict)
-    for x in sorted(count, key=lambda x: (len(x), sorted(x))):
-        for c in joint.get(x, ()):
-            p = sure(x, c)
+            for doc, cut, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                own = [2 + place[c] for c in cs]
+                lines = _lines(cut)
+                for w in ("", *set().union(*lines).difference(but)):
+                    if w not in tally:
+                        tally[w] = [0] * width
+                    tally[w][-1] += 1
+                for n, ws in enumerate(lines):
+                    mark = ((doc * 1_000_003 + n) * 0x9E3779B97F4A7C15 & _MASK) * 0xC2B2AE3D27D4EB4F >> 17 & _MASK
+                    for w in ("", *set(ws).difference(but)):
+                        row = tally[w]
+                        row[0] += 1
+                        row[1] ^= mark
+                        for k in own:
+                            row[k] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array([r[1] for r in tally.values()], pa.int64()), pa.array([[r[0], *r[2:]] for r in tally.values()], pa.list_(pa.int64()))], ["word", "mark", "n"])
+
+    return run
+
+
+def grown(units: DataFrame, subjects: list[str], support: float, least_count: int, but: frozenset[str] = frozenset()) -> tuple[Rules, frozenset[str]]:
+    """Rules of ``units`` ``(doc_id, cut, subjects)`` on words other than ``but``, and the words that it has enough documents of.
+
+    Words, itemsets and their counts come from a bounded sample and so are bounded.
+    """
+    width = len(subjects) + 2
+    rows = units.mapInArrow(_count(subjects, but), "word string, mark bigint, n array<bigint>")
+    found = rows.groupBy("word").agg(F.expr("bit_xor(mark)").alias("mark"), *[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(width)]).where(F.col("n0") >= F.when(F.col("word") != "", least_count).otherwise(0)).collect()  # words of the bounded sample
+    counts = {r["word"]: (r["mark"], *[r[f"n{k}"] for k in range(width)]) for r in found}
+    n = counts.pop("", (0,) * (width + 1))
+    least = max(least_count, math.ceil(support * n[1]))
+    rules, groups, stats = Rules(), {}, []
+    for w in sorted(counts):
+        _, k, *by, _ = counts[w]
+        if k < least:
+            continue
+        lift = max((c / k / (a / n[1]) for c, a in zip(by, n[2:-1]) if a), default=0)
+        if k > 0.05 * n[1] and lift < 2 and max(by, default=0) < SURE * k:
+            continue  # says nothing and is everywhere
+        # Words that occur in the very same sentences are one item.
+        rules.item[w] = groups.setdefault(counts[w], len(groups))
+        if rules.item[w] == len(stats):
+            stats.append((k, *by))
+    common = frozenset(w for w, c in counts.items() if c[1] >= least and c[-1] >= ENOUGH)
+    if not stats:
+        return rules, common
+    single = np.array(stats, np.float64)
+    sure = (single[:, 1:] + 0.5) / (single[:, :1] + 1)
+    points = sure >= POINTS
+    # Items in the order of growing: those that point to a subject last, so that each pattern is grown from one of them.
+    pointing = (single[:, 1:] >= POINTS * single[:, :1]).any(axis=1)
+    rank = np.empty(len(stats), np.int64)
+    rank[np.lexsort((-single[:, 0], pointing))] = np.arange(len(stats))
+    of_rank = np.argsort(rank)
+    first = int((~pointing).sum())
+    by_rank = {w: int(rank[i]) for w, i in rules.item.items()}
+    patterns = (
+        units.select("cut", "subjects").mapInArrow(_transactions(by_rank, first, {c: k for k, c in enumerate(subjects)}), "shard int, items array<int>, classes array<int>")
+        .groupBy("shard").applyInArrow(_grow(first, sure[of_rank], points[of_rank], least), "items array<int>, n double, joint array<double>").collect()  # patterns of the bounded sample
+    )
+    kept: dict[frozenset, dict[int, float]] = defaultdict(dict)
+    for i in range(len(stats)):
+        for c in np.flatnonzero((sure[i] >= SURE) & points[i] & pointing[i]).tolist():
+            kept[frozenset([i])][c] = float(sure[i, c])
+    several = {frozenset(int(of_rank[r]) for r in p["items"]): (p["n"], p["joint"]) for p in patterns}
+    conf = {x: [(j + 0.5) / (k + 1) for j in joint] for x, (k, joint) in several.items()}
+    for x in sorted(conf, key=lambda x: (len(x), sorted(x))):
+        for c, p in enumerate(conf[x]):
             general = [kept[y][c] for y in _parts(x) if c in kept.get(y, ())]
-            apart = all(str(i) in pointing and sure(frozenset([i]), c) >= POINTS for i in x)
-            if p >= SURE and apart and (not general or p > max(general) + 0.05):
+            if p >= SURE and all(points[i, c] and pointing[i] for i in x) and (not general or p > max(general) + SURER):
                 kept[x][c] = p
-    against = [(y, c, x) for x in count if len(x) > 1 for y in _parts(x) for c in kept.get(y, ()) if sure(x, c) < AGAINST]
+    against = [(y, c, x) for x, ps in conf.items() for y in _parts(x) for c in kept.get(y, ()) if ps[c] < AGAINST]
     # Sentences of a document are alike; documents are what makes an itemset sure.
-    seen = _by_document(split, rules.item, [*kept, *{x for _, _, x in against}], subjects)
+    seen = _by_document(units, rules.item, [*kept, *{x for _, _, x in against}], subjects)
     for y, c, x in against:
-        n_docs, n_joint = seen.get(x, (0, {}))[0], seen.get(x, (0, {}))[1].get(c, 0)
+        n_docs, n_joint = seen.get(x, (0, {}))[0], seen.get(x, (0, {}))[1].get(subjects[c], 0)
         if n_docs > DOCUMENTS and _bound(n_joint, n_docs, 1.0) < AGAINST:
-            rules.exceptions.setdefault(y, {}).setdefault(c, []).append(x)
+            rules.exceptions.setdefault(y, {}).setdefault(subjects[c], []).append(x)
     base = math.log(SURE / (1 - SURE))
     for x, cs in kept.items():
         n_docs, n_joint = seen.get(x, (0, {}))
-        held = [(c, math.log(p / (1 - p)) - base + 0.1) for c, p in cs.items() if n_docs >= DOCUMENTS and _bound(n_joint.get(c, 0), n_docs, -1.0) >= AGAINST]
-        if held:
-            rules.weights[x] = held
-    rules.threshold = _calibrated(rules, split)
-    return rules
+        weights = [(subjects[c], math.log(p / (1 - p)) - base + 0.1) for c, p in cs.items() if n_docs >= DOCUMENTS and _bound(n_joint.get(subjects[c], 0), n_docs, -1.0) >= AGAINST]
+        if weights:
+            rules.weights[x] = weights
+    return rules, common
+
+
+def _transactions(rank: dict[str, int], first: int, place: dict[str, int]):
+    """Group-dependent transactions: a sentence's items, in the order of growing, for every shard that one of its pointing items belongs to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shards, items, classes = [], [], []
+            for cut, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = [place[c] for c in cs]
+                for ws in _lines(cut):
+                    found = sorted({i for w in ws if (i := rank.get(w)) is not None})
+                    upto = {}  # shard -> items up to the last that it grows from
+                    for k, i in enumerate(found):
+                        if i >= first:
+                            upto[i % SHARDS] = k + 1
+                    for s, k in upto.items():
+                        shards.append(s)
+                        items.append(found[:k])
+                        classes.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(items, pa.list_(pa.int32())), pa.array(classes, pa.list_(pa.int32()))], ["shard", "items", "classes"])
+
+    return run
+
+
+def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a list column."""
+    lists = column.combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], column.type)
+    return lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().astype(np.int64)
+
+
+def _grow(first: int, sure: np.ndarray, points: np.ndarray, least: int):
+    """Patterns of two and three items that end with an item of the shard and may be a rule or contradict one.
+
+    For each item the transactions that hold it are its conditional base, cut off
+    before it; items frequent there make pairs with it, and the pairs' own bases,
+    all at once as products of the base with itself, give the triples.
+    """
+    n_classes = sure.shape[1]
+    rule_of = np.where((sure >= SURE) & points, sure, 0.0)  # confidence of the rule that an item is by itself
+
+    def run(table: pa.Table) -> pa.Table:
+        start, values = _ragged(table.column("items"))
+        c_start, c_values = _ragged(table.column("classes"))
+        shard = int(table.column("shard")[0].as_py())
+        rows = len(start) - 1
+        row_of = np.repeat(np.arange(rows), np.diff(start))
+        has = np.zeros((rows, n_classes), np.float32)
+        has[np.repeat(np.arange(rows), np.diff(c_start)), c_values] = 1.0
+        order = np.argsort(values, kind="stable")
+        where = np.searchsorted(values[order], np.arange(len(sure) + 1))
+        items, n_out, joint_out = [], [], []
+
+        def keep(found: np.ndarray, n: np.ndarray, joint: np.ndarray) -> None:
+            items.extend(found.tolist())
+            n_out.extend(n.tolist())
+            joint_out.extend(joint.tolist())
+
+        for p in range(first, len(sure)):
+            if p % SHARDS != shard or where[p + 1] - where[p] < least:
+                continue
+            at = order[where[p] : where[p + 1]]
+            own = row_of[at]
+            size = at - start[own]  # items before p
+            flat = np.repeat(start[own], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            base = values[flat]
+            often = np.flatnonzero(np.bincount(base, minlength=p) >= least)
+            if not len(often):
+                continue
+            to = np.full(p + 1, -1)
+            to[often] = np.arange(len(often))
+            there = to[base] >= 0
+            m = np.zeros((len(own), len(often)), np.float32)
+            m[np.repeat(np.arange(len(own)), size)[there], to[base[there]]] = 1.0
+            h = has[own]
+            pair_n, pair = m.sum(axis=0, dtype=np.float64), (m.T @ h).astype(np.float64)
+            conf = (pair + 0.5) / (pair_n[:, None] + 1)
+            best = np.maximum(rule_of[often], rule_of[p])
+            is_rule = (conf >= SURE) & points[often] & points[p] & (often >= first)[:, None] & ((best == 0) | (conf > best + SURER))
+            contra = (conf < AGAINST) & (best > 0)
+            hit = (is_rule | contra).any(axis=1)
+            keep(np.column_stack([often[hit], np.full(hit.sum(), p)]), pair_n[hit], pair[hit])
+            # Triples of this item: only subjects that one of its pairs could be a rule for, or contradict one of.
+            n3 = m.T @ m
+            upper = np.triu(n3 >= least, 1)
+            if not upper.any():
+                continue
+            cases = np.zeros_like(upper)
+            joint3 = np.zeros((n_classes, *n3.shape), np.float32)
+            po, ru = points[often] & (often >= first)[:, None], rule_of[often]
+            for c in range(n_classes):
+                joint3[c] = (m * h[:, c : c + 1]).T @ m
+                conf3 = (joint3[c] + 0.5) / (n3 + 1)
+                best3 = np.maximum(np.maximum(ru[:, c][:, None], ru[:, c][None, :]), rule_of[p, c])
+                pc = points[p, c]
+                two = (po[:, c][:, None] & po[:, c][None, :]) | (pc & (po[:, c][:, None] | po[:, c][None, :]))
+                cases |= (conf3 >= SURE) & pc & (po[:, c][:, None] & po[:, c][None, :]) & ((best3 == 0) | (conf3 > best3 + SURER))
+                cases |= (conf3 < AGAINST) & ((best3 > 0) | two)
+            i, j = np.nonzero(cases & upper)
+            keep(np.column_stack([often[i], often[j], np.full(len(i), p)]), n3[i, j].astype(np.float64), joint3[:, i, j].T.astype(np.float64))
+        return pa.table({"items": pa.array(items, pa.list_(pa.int32())), "n": pa.array(n_out, pa.float64()), "joint": pa.array(joint_out, pa.list_(pa.float64()))})
+
+    return run
 
 
 def _bound(k: int, n: int, z: float) -> float:
@@ -189,7 +408,7 @@ def _bound(k: int, n: int, z: float) -> float:
     return (centre + z * spread) / (n + z * z)
 
 
-def _by_document(split: DataFrame, item: dict[str, int], wanted: list[frozenset], subjects: list[str]) -> dict[frozenset, tuple[int, dict[str, int]]]:
+def _by_document(units: DataFrame, item: dict[str, int], wanted: list[frozenset], subjects: list[str]) -> dict[frozenset, tuple[int, dict[str, int]]]:
     """Per itemset the mined documents with a sentence that holds it, and how many of them have each subject."""
     index: dict[int, list[int]] = defaultdict(list)
     for k, x in enumerate(wanted):
@@ -200,7 +419,7 @@ def _by_document(split: DataFrame, item: dict[str, int], wanted: list[frozenset]
         for b in batches:
             for text, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 here = set()
-                for ws in sentences(text):
+                for ws in _lines(text):
                     items = {i for w in ws if (i := item.get(w)) is not None}
                     here.update(k for i in items for k in index.get(i, ()) if wanted[k] <= items)
                 for k in here:
@@ -209,7 +428,7 @@ def _by_document(split: DataFrame, item: dict[str, int], wanted: list[frozenset]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in n], pa.int32()), pa.array([c for _, c in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["k", "subject", "n"])
 
     out: dict[frozenset, tuple[int, dict[str, int]]] = {}
-    rows = split.where(~F.col("held")).select("text", "subjects").mapInArrow(tally, "k int, subject string, n bigint").groupBy("k", "subject").agg(F.sum("n").alias("n")).collect()  # itemsets of the bounded sample
+    rows = units.select("cut", "subjects").mapInArrow(tally, "k int, subject string, n bigint").groupBy("k", "subject").agg(F.sum("n").alias("n")).collect()  # itemsets of the bounded sample
     for r in sorted(rows, key=lambda r: (r["k"], r["subject"])):
         x = wanted[r["k"]]
         if r["subject"] == "":
@@ -229,14 +448,14 @@ def _parts(x: frozenset) -> list[frozenset]:
 GRID = (0.1, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0)
 
 
-def _calibrated(rules: Rules, split: DataFrame) -> float:
+def _calibrated(rules: Rules, held: DataFrame) -> float:
     """The threshold under which most held-out labels come out right; of those within 2 % of the best the middle."""
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = rules.index()
         wrong = [0] * len(GRID)
         for b in batches:
             for text, true in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen = [rules.evidence(s, index) for s in sentences(text)]
+                seen = [index.evidence(s) for s in _lines(text)]
                 for k, t in enumerate(GRID):
                     n: dict[str, int] = defaultdict(int)
                     for e in seen:
@@ -245,7 +464,7 @@ def _calibrated(rules: Rules, split: DataFrame) -> float:
                     wrong[k] += len({c for c, m in n.items() if m >= SENTENCES} ^ set(true))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(GRID)), pa.int32()), pa.array(wrong, pa.int64())], ["k", "wrong"])
 
-    rows = split.where("held").select("text", "subjects").mapInArrow(tried, "k int, wrong bigint").groupBy("k").agg(F.sum("wrong").alias("wrong")).collect()
+    rows = held.select("cut", "subjects").mapInArrow(tried, "k int, wrong bigint").groupBy("k").agg(F.sum("wrong").alias("wrong")).collect()
     wrong = {r["k"]: r["wrong"] for r in rows}
     best = [k for k in range(len(GRID)) if wrong.get(k, 0) <= 1.02 * min(wrong.values(), default=0)]
     return GRID[best[len(best) // 2]]
@@ -260,12 +479,28 @@ def assign(documents: DataFrame, rules: Rules) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = rules.index()
         for b in batches:
-            rows = [(d, c) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for c in rules.subjects(t.as_py(), index)]
+            rows = [(d, c) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for c in index.subjects(sentences(t.as_py()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "subject"])
 
     return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, subject string")
 
 
+def quality(rules: Rules, held: DataFrame) -> DataFrame:
+    """``(lang, n_documents, n_labels, n_assigned, n_right, recall, precision)`` on labelled documents held out from mining.
+
+    ``held`` is ``(lang, subjects, cut)``. Only the threshold, one number, has been chosen with their help.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = rules.index()
+        for b in batches:
+            rows = [(len(true), len(got), len(got & set(true))) for true, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) for got in [set(index.subjects(_lines(c)))]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]], ["lang", "labels", "assigned", "right"])
+
+    each = held.select("lang", "subjects", "cut").mapInArrow(run, "lang string, labels bigint, assigned bigint, right bigint")
+    out = each.groupBy("lang").agg(F.count("*").alias("n_documents"), *[F.sum(c).alias(f"n_{c}") for c in ("labels", "assigned", "right")])
+    return out.select("*", F.try_divide("n_right", "n_labels").alias("recall"), F.try_divide("n_right", "n_assigned").alias("precision"))
+
+
 def makeup(documents: DataFrame, assigned: DataFrame, subjects: DataFrame) -> DataFrame:
     """``(subject, n_documents, share)`` of all documents for every subject."""
     total = documents.count()
