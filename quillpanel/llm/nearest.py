@@ -6,59 +6,83 @@ their bits. Every prefix that occurs is an entry of one hash table, keyed by
 A query's longest prefix in the table is found by binary search over the length;
 the pointers there give predecessor and successor, the nearer of which counts.
 
-An entity's time is cut into blocks; moments within the tolerance of a block
-belong to it too. So no trie grows with an entity's history, a hot entity is
-spread over its blocks, and a hot block over slices (see the probe).
+An entity's time is cut into blocks, shorter ones where its moments are dense.
+A block's trie holds the block's moments and the nearest one on either side of
+it, if that is within the tolerance. So no trie grows with an entity's history or
+density, a hot entity is spread over its blocks, and a hot block over slices
+(see the probe).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillpanel.operators.probe import bucket_count, bucketed_probe
+from quillpanel.runtime import write_table
 
 #: Buckets at least, so that small inputs still use the cluster.
 LEAST_BUCKETS = 64
+#: Blocks of 2 ** 42 microseconds, about 51 days.
+BLOCK_BITS = 42
 
 
 def pair_nearest(
     queries: DataFrame, moments: DataFrame, *, query_id: Column, query_entity: Column, query_micros: Column,
     entity: Column, moment_micros: Column, moment_id: Column, tolerance_micros: int,
-    block_micros: int = 64 * 86_400_000_000, moments_per_bucket: int = 20_000, slice_rows: int = 500_000,
+    block_bits: int = BLOCK_BITS, moments_per_block: int = 20_000, moments_per_bucket: int = 20_000, slice_rows: int = 500_000,
 ) -> DataFrame:
     """``(query_id string, moment_id bigint, distance bigint)`` for each query with a moment within the tolerance, included.
 
     - Of two equally near moments the earlier counts; of equal moments the one with the least id.
     - Repeated queries (same id, entity and time) count once, repeated moments once.
+      A query id at several times or entities may have several moments, each with its least distance.
     - Rows with a null id, entity or time, on either side, pair with nothing.
     - Either side may be empty; the result then is.
+
+    ``queries`` must be a scan or a map over one, so that a row keeps its place
+    when a task is run again. Blocks are of ``2 ** block_bits`` microseconds,
+    halved for an entity until it has about ``moments_per_block`` in its fullest.
     """
-    width = block_micros + 2 * tolerance_micros
-    q = queries.select(query_id.cast("string").alias("query_id"), query_entity.alias("entity"), query_micros.alias("t")).where("query_id is not null and entity is not null and t is not null").distinct()
+    q = queries.select(query_id.cast("string").alias("query_id"), query_entity.alias("entity"), query_micros.alias("t")).where("query_id is not null and entity is not null and t is not null")
     m = moments.select(entity.alias("entity"), moment_micros.alias("t"), moment_id.cast("long").alias("moment_id")).where("entity is not null and t is not null and moment_id is not null")
-    n_buckets = bucket_count(moments.count(), moments_per_bucket, LEAST_BUCKETS)
-    m = m.select("entity", "t", "moment_id", F.explode(F.sequence(_floor_div(F.col("t") - tolerance_micros, block_micros), _floor_div(F.col("t") + tolerance_micros, block_micros))).alias("block"))
-    q = q.withColumn("block", _floor_div(F.col("t"), block_micros))
+    filled = write_table(m.groupBy("entity", F.shiftright("t", block_bits).alias("block")).agg(F.approx_count_distinct("t").alias("n")), "blocks")
+    n_buckets = bucket_count(filled.agg(F.sum("n")).first()[0] or 0, moments_per_bucket, LEAST_BUCKETS)
+    halvings = F.ceil(F.log2(F.col("n") / moments_per_block)).cast("int")
+    dense = write_table(filled.groupBy("entity").agg(F.max("n").alias("n")).where(F.col("n") > moments_per_block).select("entity", F.least(halvings, F.lit(block_bits)).alias("halved")), "dense")
+
+    def blocked(df: DataFrame) -> DataFrame:
+        # Few entities are dense, if any: their table is stored, so its size is seen when the join is planned.
+        bits = F.lit(block_bits) - F.coalesce("halved", F.lit(0))
+        return df.join(dense, "entity", "left").withColumn("bits", bits).withColumn("block", F.call_function("shiftright", F.col("t"), F.col("bits"))).drop("halved")
+
+    own = blocked(m.groupBy("entity", "t").agg(F.min("moment_id").alias("moment_id")))
+    ends = own.groupBy("entity", "bits", "block").agg(F.min(F.struct("t", "moment_id")).alias("first"), F.max(F.struct("t", "moment_id")).alias("last"))
+    in_order = Window.partitionBy("entity").orderBy("block")  # rows are blocks, not moments
+    start_of = lambda block: F.call_function("shiftleft", block, F.col("bits"))
+    beside = ends.withColumns({"before": F.lag("block").over(in_order), "after": F.lead("block").over(in_order)})
+    far = F.lit(tolerance_micros).cast("long")
+    # The last moment of a block serves the blocks up to the next that has moments, the first those back to the one before, as far as the tolerance goes.
+    upto = F.least(F.coalesce("after", F.lit(2**62)), F.call_function("shiftright", F.col("last.t") + far, F.col("bits")))
+    back = F.greatest(F.coalesce("before", F.lit(-(2**62))), F.call_function("shiftright", F.col("first.t") - far, F.col("bits")))
+    runs = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi))
+    later = beside.select("entity", "bits", F.explode(runs(F.col("block") + 1, upto)).alias("block"), "last.t", "last.moment_id")
+    earlier = beside.select("entity", "bits", F.explode(runs(back, F.col("block") - 1)).alias("block"), "first.t", "first.moment_id")
+    build = own.select(*later.columns).unionByName(later).unionByName(earlier)
 
     def placed(df: DataFrame, tag: str, *rest: str) -> DataFrame:
-        tree = F.xxhash64("entity", "block")
-        offset = F.col("t") - F.col("block") * block_micros + tolerance_micros  # in [0, width)
+        tree = F.xxhash64("entity", "block", "bits")
+        offset = F.col("t") - start_of(F.col("block")) + far  # in [0, size + 2 * tolerance]
         return df.select(F.pmod(tree, F.lit(n_buckets)).cast("int").alias("bucket"), tree.alias(f"{tag}_tree"), F.xxhash64(F.lit(5), "block", "entity").alias(f"{tag}_tree2"), offset.alias(f"{tag}_at"), *rest)
 
-    bits = max(1, int(width).bit_length())
-    return bucketed_probe(
-        placed(m, "m", "moment_id"), placed(q, "q", "query_id"), lambda table: XFastTries(table, bits), lambda tries, batch: _pair(tries, batch, tolerance_micros),
-        "query_id string, moment_id bigint, distance bigint", slice_rows,
+    bits = ((1 << block_bits) + 2 * tolerance_micros).bit_length()
+    pairs = bucketed_probe(
+        placed(build, "m", "moment_id"), placed(blocked(q), "q", "query_id"), lambda table: XFastTries(table, bits), lambda tries, batch: _pair(tries, batch, tolerance_micros),
+        "query_id string, moment_id bigint, distance bigint", slice_rows, F.monotonically_increasing_id(),
     )
-
-
-def _floor_div(t: Column, by: int) -> Column:
-    """Exact on longs, unlike floor(t / by), which goes through doubles."""
-    whole = F.lit(by).cast("long")
-    return F.call_function("div", t - F.pmod(t, whole), whole)
+    return pairs.groupBy("query_id", "moment_id").agg(F.min("distance").alias("distance"))
 
 
 class XFastTries:

@@ -89,7 +89,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         query_id=clean_uid("headline_uid"), query_entity=clean_ticker("ticker"), query_micros=micros(F.col("published_at")),
         entity=clean_ticker("ticker"), moment_micros=micros(close), moment_id=F.unix_date("date"), tolerance_micros=36 * HOUR,
     )
-    return pairs.select(F.col("query_id").alias("headline_uid"), day(F.date_from_unix_date(F.col("moment_id").cast("int"))).alias("date")).distinct()
+    return pairs.select(F.col("query_id").alias("headline_uid"), day(F.date_from_unix_date(F.col("moment_id").cast("int"))).alias("date"))
 
 
 _P6 = """

@@ -50,8 +50,17 @@ def test_operator(spark):
     moments = [(random.choice(["a", "b", "c", None]), random.randrange(-5000, 5000), k, "x") for k in range(300)] + [("a", None, 1, ""), ("a", 3, None, "")]
     queries = [(f"q{k}", random.choice(["a", "a", "b", "zz", None]), random.choice([0, random.randrange(-6000, 6000)]), "x") for k in range(400)] + [("n", "a", None, ""), (None, "a", 1, "")]
     want = _brute(queries, moments, 20)
-    for block, rows in ((100, 7), (1, 1000), (100_000, 1)):
-        assert _pairs(spark, queries + queries[:50], moments + moments[:50], 20, block_micros=block, slice_rows=rows) == want
+    for bits, rows, held in ((7, 7, 1000), (0, 1000, 1000), (17, 1, 1000), (14, 100, 4)):
+        assert _pairs(spark, queries + queries[:50], moments + moments[:50], 20, block_bits=bits, slice_rows=rows, moments_per_block=held) == want
+
+
+def test_a_dense_entity_beside_a_sparse_one(spark):
+    """Blocks far shorter than the tolerance for the one, gaps longer than it, and empty blocks between a query and its moment."""
+    random.seed(9)
+    moments = [("dense", 5000 + k // 2, k, "") for k in range(800)] + [("dense", 90_000, 900, "")] + [("sparse", k * 3000, k, "") for k in range(40)]
+    moments += [("dense", 5000, 0, "")] * 300
+    queries = [(f"q{k}", random.choice(["dense", "sparse"]), random.randrange(-2000, 120_000), "") for k in range(300)] + [(f"d{k}", "dense", 5000 + k * 7, "") for k in range(60)]
+    assert _pairs(spark, queries, moments, 1000, block_bits=17, moments_per_block=10) == _brute(queries, moments, 1000)
 
 
 def test_ties_tolerance_and_empty(spark):
