@@ -25,29 +25,67 @@ def average_rank(x: Column, by: Sequence[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(same) - 1) / 2
 
 
-def value_ranges(df: DataFrame, columns: Sequence[str], ranges: int = 256) -> dict[str, list[float]]:
-    """Inner edges that cut each column's values into about equally filled ranges: one aggregate for all columns."""
-    at = [i / ranges for i in range(1, ranges)]
-    row = df.agg(*[F.percentile_approx(c, at, 10_000).alias(c) for c in columns]).first()
-    return {c: sorted({float(e) for e in row[c] or []}) for c in columns}
+#: Different values in a range that one task puts in order.
+VALUES_PER_RANGE = 500_000
 
 
-def with_pooled_rank(df: DataFrame, by: str, column: str, out: str, edges: Sequence[float] | None = None) -> DataFrame:
-    """``df`` with the average rank of ``column`` among all rows of the same ``by``, whatever their number.
+def ordered_counts(df: DataFrame, by: str, column: str, values_per_range: int = VALUES_PER_RANGE) -> DataFrame:
+    """``(by, column, _n, _upto)``: each value of each group with its rows and the rows of the group up to and with it.
 
-    No task sorts a whole group: values are cut into ranges at ``edges``, ranks
-    are prefix sums over the ranges' totals and over the counts of values within
-    a range. A value that many rows share is one row of the prefix sums. ``df``
-    is read several times: give a stored table.
+    No task sorts a whole group: values are exchanged into ranges, as many as
+    their number asks for, and what lies in ranges before comes from the ranges'
+    totals. A value that many rows share is one row, map-side combined.
     """
-    edges = value_ranges(df, [column])[column] if edges is None else edges
-    where = F.lit(0) if not edges else F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(column)))
-    counts = df.groupBy(by, column).agg(F.count("*").alias("_n")).withColumn("_range", where)
+    counts = write_table(df.groupBy(by, column).agg(F.count("*").alias("_n")), "counts")
+    ranges = max(1, -(-counts.count() // values_per_range))
+    ranged = write_table(counts.repartitionByRange(ranges, by, column).withColumn("_range", F.spark_partition_id()), "ranged")
     inside = F.sum("_n").over(Window.partitionBy(by, "_range").orderBy(column))
-    totals = counts.groupBy(by, "_range").agg(F.sum("_n").alias("_total"))
-    before = totals.select(by, "_range", (F.sum("_total").over(Window.partitionBy(by).orderBy("_range")) - F.col("_total")).alias("_before"))  # at most as many rows a group as ranges
-    ranks = counts.withColumn("_inside", inside).join(before, [by, "_range"]).select(by, column, (F.col("_before") + F.col("_inside") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, [by, column])
+    totals = ranged.groupBy(by, "_range").agg(F.sum("_n").alias("_total"))
+    before = totals.select(by, "_range", (F.sum("_total").over(Window.partitionBy(by).orderBy("_range")) - F.col("_total")).alias("_before"))  # a row per group and range
+    return ranged.withColumn("_inside", inside).join(before, [by, "_range"]).select(by, column, "_n", (F.col("_before") + F.col("_inside")).alias("_upto"))
+
+
+def pooled_ranks(df: DataFrame, by: str, column: str, out: str, values_per_range: int = VALUES_PER_RANGE) -> DataFrame:
+    """``(by, column, out)``: the average rank of each value among all rows of the same ``by``, whatever their number."""
+    return ordered_counts(df, by, column, values_per_range).select(by, column, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
+
+
+def with_pooled_rank(df: DataFrame, by: str, column: str, out: str, values_per_range: int = VALUES_PER_RANGE) -> DataFrame:
+    """``df`` with ``pooled_ranks`` joined. ``df`` is read twice: give a stored table."""
+    return df.join(pooled_ranks(df, by, column, out, values_per_range), [by, column])
+
+
+def with_place(df: DataFrame, order: Sequence[str], out: str, rows_per_range: int = VALUES_PER_RANGE) -> DataFrame:
+    """``df``, a stored table, with each row's place from 1 on in ``order``: ranges of rows, and prefix sums over the ranges.
+
+    Rows that share a value of the first column are split by the others.
+    """
+    ranges = max(1, -(-df.count() // rows_per_range))
+    ranged = write_table(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "placed")
+    totals = ranged.groupBy("_range").agg(F.count("*").alias("_total"))
+    before = totals.select("_range", (F.sum("_total").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_total")).alias("_before"))  # a row per range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_within", place).join(before, "_range").withColumn(out, F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
+
+
+def exact_quantiles(df: DataFrame, column: str, at: Sequence[float], values_per_range: int = VALUES_PER_RANGE) -> list[float]:
+    """Quantiles of a column without nulls, interpolated between neighbours; none for no rows.
+
+    Only the values at the places asked for, two a quantile, come to the driver.
+    """
+    counts = ordered_counts(df.select(F.lit(0).alias("_all"), F.col(column).alias("_v")), "_all", "_v", values_per_range)
+    total = counts.agg(F.max("_upto")).first()[0]
+    if not total:
+        return []
+    wanted = [(total - 1) * q for q in at]
+    places = sorted({int(math.floor(w)) for w in wanted} | {int(math.ceil(w)) for w in wanted})
+    held = F.filter(F.array(*[F.lit(p).cast("long") for p in places]), lambda p: (p < F.col("_upto")) & (p >= F.col("_upto") - F.col("_n")))
+    value = {r["p"]: float(r["_v"]) for r in counts.select("_v", F.explode(held).alias("p")).collect()}
+    out = []
+    for w in wanted:
+        lo, hi = math.floor(w), math.ceil(w)
+        out.append(value[lo] if value[lo] == value[hi] else (hi - w) * value[lo] + (w - lo) * value[hi])
+    return out
 
 
 def pooled_spearman(pairs: DataFrame, by: str, x: str, y: str) -> DataFrame:
@@ -56,8 +94,7 @@ def pooled_spearman(pairs: DataFrame, by: str, x: str, y: str) -> DataFrame:
     The pairs, three columns, are stored once in the shared folder: ranking reads them several times.
     """
     whole = write_table(pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, F.col(x).alias("_x"), F.col(y).alias("_y")), "pairs")
-    edges = value_ranges(whole, ["_x", "_y"])
-    ranked = with_pooled_rank(with_pooled_rank(whole, by, "_x", "_rx", edges["_x"]), by, "_y", "_ry", edges["_y"])
+    ranked = whole.join(pooled_ranks(whole, by, "_x", "_rx"), [by, "_x"]).join(pooled_ranks(whole, by, "_y", "_ry"), [by, "_y"])
     return ranked.groupBy(by).agg(guarded_corr(F.col("_rx"), F.col("_ry")).alias("rho"), F.count("*").alias("n"))
 
 
@@ -112,22 +149,27 @@ def quantile_bucket(place: Column, n: Column, q: int) -> Column:
     return F.when(n <= 1, F.lit(1)).otherwise(F.greatest(F.lit(1), F.call_function("div", (place - 1) * q + n - 2, n - 1))).cast("int")
 
 
-def psi(expected: DataFrame, actual: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """``(psi)``: population stability index of ``column`` between two frames.
+def psi(expected: DataFrame, actual: DataFrame, column: str, bins: int = 10, by: str | None = None) -> DataFrame:
+    """``(psi)``, or ``(by, psi)``: population stability index of ``column`` between ``expected`` and ``actual``, or each group of it.
 
     Bins end at the distinct quantiles of ``expected`` (exact, by linear
     interpolation), open at both ends. Null where either side has fewer finite
     values than bins, or there are fewer than three edges.
     """
-    e = expected.select(finite(F.col(column).cast("double")).alias("x")).where("x is not null")
-    a = actual.select(finite(F.col(column).cast("double")).alias("x")).where("x is not null")
-    edges = e.agg(F.array_distinct(F.percentile("x", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"), F.count("*").alias("n_e"))
-    both = e.select("x", F.lit(1).alias("is_e")).unionByName(a.select("x", F.lit(0).alias("is_e"))).withColumn("edges", edges.select("edges").scalar())
-    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    counts = both.select("is_e", F.size(F.filter(inner, lambda v: v <= F.col("x"))).alias("bin")).groupBy("bin").agg(F.sum("is_e").alias("e"), F.sum(1 - F.col("is_e")).alias("a"))
-    shape = edges.select(F.size("edges").alias("n_edges"), "n_e", F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))
-    full = F.broadcast(shape).join(counts, "bin", "left").select("n_edges", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("a", F.lit(0)).alias("a"))
-    totals = full.agg(F.sum("e").alias("te"), F.sum("a").alias("ta"), F.max("n_edges").alias("n_edges"), F.collect_list(F.struct("e", "a")).alias("bins"))  # as many entries as bins
-    share = lambda v, t: F.greatest(ratio(v, t), F.lit(1e-6))
-    total = F.aggregate("bins", F.lit(0.0), lambda acc, b: acc + (share(b["a"], F.col("ta")) - share(b["e"], F.col("te"))) * F.log(share(b["a"], F.col("ta")) / share(b["e"], F.col("te"))))
-    return totals.select(F.when((F.col("te") >= bins) & (F.col("ta") >= bins) & (F.col("n_edges") >= 3), total).alias("psi"))
+    keys = [by] if by else []
+    e = write_table(expected.select(finite(F.col(column).cast("double")).alias("x")).where("x is not null"), "expected")
+    a = actual.select(*keys, finite(F.col(column).cast("double")).alias("x")).where("x is not null")
+    edges = list(dict.fromkeys(exact_quantiles(e, "x", [i / bins for i in range(bins + 1)])))
+    n_bins = max(1, len(edges) - 1)
+    inner = F.array(*[F.lit(v) for v in edges[1:-1]]).cast("array<double>")
+    place = F.size(F.filter(inner, lambda v: v <= F.col("x")))
+    counts = [F.count(F.when(place == k, 1)).alias(f"_{k}") for k in range(n_bins)]
+    base = list(e.agg(*counts).first())
+    n_base, n = sum(base), sum((F.col(f"_{k}") for k in range(n_bins)), F.lit(0))
+    if n_base < bins or len(edges) < 3:
+        return a.groupBy(*keys).agg(F.lit(None).cast("double").alias("psi"))
+    terms = F.lit(0.0)
+    for k in range(n_bins):
+        was, now = max(base[k] / n_base, 1e-6), F.greatest(ratio(F.col(f"_{k}"), n), F.lit(1e-6))
+        terms = terms + (now - was) * F.log(now / was)
+    return a.groupBy(*keys).agg(*counts).select(*keys, F.when(n >= bins, terms).alias("psi"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillpanel.functions.stats import p_value, pooled_spearman, quantile_bucket, with_pooled_rank
+from quillpanel.functions.stats import p_value, pooled_spearman, quantile_bucket, with_place
 from quillpanel.functions.windows import change
 from quillpanel.operators import sessions as S
 from quillpanel.runtime import write_table
@@ -51,17 +51,12 @@ def information_coefficient(features: DataFrame, feature: str = "sent_mean", for
 def buckets(features: DataFrame, feature: str = "sent_mean", q: int = 5) -> DataFrame:
     """``(bucket, n, mean_fwd_ret_bps, hit_rate, mean_sentiment)`` over ``q`` buckets of equal number.
 
-    Ties are put in order by date and ticker. Places come from prefix sums over
-    value ranges (see ``with_pooled_rank``) and, within one value, from a window,
-    so no task orders the whole panel.
+    Ties are put in order by date and ticker. Places come from ranges of rows in
+    that order, so no task orders the whole panel, nor all rows of one value.
     """
-    rows = features.where(F.col(feature).isNotNull() & F.col("fwd_ret_1d").isNotNull()).select(F.lit(0).alias("_all"), "ticker", "date", F.col(feature).alias("_x"), "fwd_ret_1d", "target_next_up")
+    rows = features.where(F.col(feature).isNotNull() & F.col("fwd_ret_1d").isNotNull()).select("ticker", "date", F.col(feature).alias("_x"), "fwd_ret_1d", "target_next_up")
     rows = write_table(rows, "bucketed")
-    ranked = with_pooled_rank(rows, "_all", "_x", "_rank")
-    value = Window.partitionBy("_x")
-    # The mean rank of a value less half its extent is the place of its first row.
-    place = F.col("_rank") - (F.count("*").over(value) - 1) / 2 + F.row_number().over(value.orderBy("date", "ticker")) - 1
-    placed = ranked.withColumn("_place", place.cast("long")).withColumn("_n", F.lit(rows.count()))
+    placed = with_place(rows, ["_x", "date", "ticker"], "_place").withColumn("_n", F.lit(rows.count()))
     return placed.groupBy(F.concat(F.lit("Q"), quantile_bucket(F.col("_place"), F.col("_n"), q)).alias("bucket")).agg(
         F.count("*").alias("n"), (1e4 * F.avg("fwd_ret_1d")).alias("mean_fwd_ret_bps"), F.avg("target_next_up").alias("hit_rate"), F.avg("_x").alias("mean_sentiment")
     )

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quillpanel.config import SETTINGS
 from quillpanel.functions.numbers import ratio, row_mean, weighted_sum
-from quillpanel.functions.stats import average_rank, guarded_corr
+from quillpanel.functions.stats import average_rank, exact_quantiles, guarded_corr
+from quillpanel.runtime import write_table
 
 
 def _day() -> WindowSpec:
@@ -112,7 +113,7 @@ def backtest_stats(days: DataFrame, cost_bps: float = SETTINGS.cost_bps_per_side
     return days.agg(
         F.count("*").alias("n_days"), (1e4 * F.avg("gross")).alias("gross_bps_per_day"), (1e4 * F.avg("net")).alias("net_bps_per_day"),
         sharpe("gross").alias("gross_sharpe"), sharpe("net").alias("net_sharpe"), F.avg("turnover").alias("avg_turnover"),
-        F.lit(float(cost_bps)).alias("cost_bps_per_side"), F.avg(F.when(F.col("net") > 0, 1.0).otherwise(0.0)).alias("win_rate"),
+        (1e4 * F.avg("cost")).alias("cost_bps_day"), F.lit(float(cost_bps)).alias("cost_bps_per_side"), F.avg(F.when(F.col("net") > 0, 1.0).otherwise(0.0)).alias("win_rate"),
     )
 
 
@@ -126,8 +127,7 @@ def accuracy(df: DataFrame, score: str, target: str = "target_rel", cut: float |
     """``(accuracy, n)`` of ``score >= cut`` against ``target``; ``cut=None`` takes the score's median."""
     rows = df.where(F.col(score).isNotNull() & F.col(target).isNotNull())
     if cut is None:
-        rows = rows.withColumn("_cut", rows.agg(F.median(score)).scalar())
-        hit = (F.col(score) >= F.col("_cut")).cast("int") == F.col(target)
-    else:
-        hit = (F.col(score) >= cut).cast("int") == F.col(target)
+        rows = write_table(rows.select(F.col(score), F.col(target)), "scored")
+        cut = next(iter(exact_quantiles(rows.where(~F.isnan(score)), score, [0.5])), None)
+    hit = (F.col(score) >= F.lit(cut)).cast("int") == F.col(target)
     return rows.agg(F.avg(hit.cast("double")).alias("accuracy"), F.count("*").alias("n"))

@@ -243,7 +243,7 @@ def _(b: Base) -> DataFrame:
     return _ls(b).select(day("date").alias("date"), *[r6(c).alias(c) for c in ("gross", "turnover", "cost", "net")])
 
 
-@query("g15_backtest_stats", f"WITH {_LS.strip()} SELECT count(*) AS n_days, {R('1e4 * avg(gross)')} AS gross_bps_per_day, {R('1e4 * avg(net)')} AS net_bps_per_day, {R('avg(gross) / stddev_samp(gross) * sqrt(252.0)')} AS gross_sharpe, {R('avg(net) / stddev_samp(net) * sqrt(252.0)')} AS net_sharpe, {R('avg(turnover)')} AS avg_turnover, 2.0::DOUBLE AS cost_bps_per_side, {R('avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)')} AS win_rate FROM bs")
+@query("g15_backtest_stats", f"WITH {_LS.strip()} SELECT count(*) AS n_days, {R('1e4 * avg(gross)')} AS gross_bps_per_day, {R('1e4 * avg(net)')} AS net_bps_per_day, {R('avg(gross) / stddev_samp(gross) * sqrt(252.0)')} AS gross_sharpe, {R('avg(net) / stddev_samp(net) * sqrt(252.0)')} AS net_sharpe, {R('avg(turnover)')} AS avg_turnover, {R('1e4 * avg(gross - net)')} AS cost_bps_day, 2.0::DOUBLE AS cost_bps_per_side, {R('avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)')} AS win_rate FROM bs")
 def _(b: Base) -> DataFrame:
     out = XS.backtest_stats(_ls(b))
     return out.select("n_days", *[r6(c).alias(c) if c != "cost_bps_per_side" else F.col(c) for c in out.columns if c != "n_days"])
@@ -287,19 +287,39 @@ def _(b: Base) -> DataFrame:
     return MO.rolling_report(b.pr, 20).select("model", day("date").alias("date"), "n", *[r6(c).alias(c) for c in ("accuracy", "up_rate", "mean_prob", "rolling_accuracy")])
 
 
-@query("d10_drift_psi", """
-WITH ld AS (SELECT DISTINCT date FROM pr WHERE model = 'logit_all-r00' AND realized_up IS NOT NULL ORDER BY date DESC LIMIT 20),
-e AS (SELECT sent_mean AS x FROM ft WHERE date < DATE '2023-09-01' AND sent_mean IS NOT NULL), a AS (SELECT sent_mean AS x FROM ft WHERE date IN (SELECT date FROM ld) AND sent_mean IS NOT NULL),""" + RQ._PSI.split("IS NOT NULL),", 2)[2] + f" SELECT {R('sum((pa - pe) * ln(pa / pe))')} AS psi FROM sh")
+_DRIFT = """
+ld AS (SELECT DISTINCT model, date FROM (SELECT model, date, dense_rank() OVER (PARTITION BY model ORDER BY date DESC) AS k FROM pr WHERE realized_up IS NOT NULL) WHERE k <= 20),
+e AS (SELECT sent_mean AS x FROM ft WHERE date < DATE '2023-09-01' AND sent_mean IS NOT NULL), a AS (SELECT model, sent_mean AS x FROM ft JOIN ld USING (date) WHERE sent_mean IS NOT NULL),
+edges AS (SELECT list_sort(list_distinct(quantile_cont(x, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS v FROM e),
+bins AS (SELECT unnest(range(0, len(v) - 1)) AS bin FROM edges),
+he AS (SELECT len(list_filter(v[2:len(v) - 1], lambda t: t <= x)) AS bin, count(*) AS c FROM e, edges GROUP BY 1),
+ha AS (SELECT model, len(list_filter(v[2:len(v) - 1], lambda t: t <= x)) AS bin, count(*) AS c FROM a, edges GROUP BY 1, 2), na AS (SELECT model, count(*) AS n FROM a GROUP BY 1),
+sh AS (SELECT na.model, na.n, greatest(coalesce(he.c, 0) / (SELECT count(*) * 1.0 FROM e), 1e-6) AS pe, greatest(coalesce(ha.c, 0) / (na.n * 1.0), 1e-6) AS pa
+  FROM na CROSS JOIN bins b LEFT JOIN he ON he.bin = b.bin LEFT JOIN ha ON ha.bin = b.bin AND ha.model = na.model),
+dr AS (SELECT model, CASE WHEN max(n) >= 10 THEN sum((pa - pe) * ln(pa / pe)) END AS psi FROM sh GROUP BY 1)"""
+
+
+@query("d10_drift_psi", f"WITH {_DRIFT.strip()} SELECT model, {R('psi')} AS psi FROM dr")
 def _(b: Base) -> DataFrame:
-    return MO.drift_psi(b.ft, b.pr, "logit_all-r00", test_start=CUT, window=20).select(r6("psi").alias("psi"))
+    """For every model."""
+    return MO.drift_psi(b.ft, b.pr, test_start=CUT, window=20).select("model", r6("psi").alias("psi"))
 
 
 def _checks(b: Base) -> DataFrame:
-    rows = [MO.check_drift(b.pr, b.ft, m, window=20, test_start=CUT) for m in MO.models_of(b.pr)]
-    return b.spark.createDataFrame([(r["model"], r.get("n_obs"), r.get("rolling_accuracy"), r.get("psi_sent_mean"), r["status"], r["note"]) for r in rows], "model string, n_obs bigint, rolling_accuracy double, psi double, status string, note string")
+    out = MO.check_drift(b.pr, b.ft, window=20, test_start=CUT)
+    return out.select("model", F.col("n_obs").cast("long").alias("n_obs"), r6("rolling_accuracy").alias("rolling_accuracy"), r6("baseline_accuracy").alias("baseline_accuracy"), r6("psi_sent_mean").alias("psi"), "status", "note")
+
+
+_CHECKS = f"""{_ROLL}, {_DRIFT.strip()},
+ck AS (SELECT m.model, l.date, l.n_obs, l.acc, l.base, dr.psi FROM (SELECT DISTINCT model FROM pr) m LEFT JOIN (
+    SELECT model, max(date) AS date, sum(n) AS n_obs, max_by(rolling_accuracy, date) AS acc, max_by(rolling_baseline, date) AS base FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY date DESC) AS k FROM rr) WHERE k <= 20 GROUP BY 1
+  ) l ON l.model = m.model LEFT JOIN dr ON dr.model = m.model),
+nt AS (SELECT *, concat_ws(', ', CASE WHEN acc < 0.5 THEN printf('accuracy %.3f is under the floor of 0.50', acc) END, CASE WHEN acc < base THEN printf('accuracy %.3f is under the baseline of %.3f', acc, base) END, CASE WHEN psi > 0.2 THEN printf('PSI %.3f is over 0.20', psi) END) AS t FROM ck)"""
 
 
-@query("d11_monitor_run", None)
+@query("d11_monitor_run", f"""WITH {_CHECKS} SELECT model, CAST(coalesce(n_obs, 0) AS BIGINT) AS n_obs, {R('acc')} AS rolling_accuracy, {R('base')} AS baseline_accuracy, {R('psi')} AS psi,
+  CASE WHEN date IS NULL THEN 'NO_DATA' WHEN coalesce(acc < 0.5, false) OR coalesce(psi > 0.2, false) THEN 'DRIFT' WHEN coalesce(acc < base, false) THEN 'WARN' ELSE 'OK' END AS status,
+  CASE WHEN date IS NULL THEN 'nothing has an outcome yet' WHEN t = '' THEN 'all rules hold' ELSE t END AS note FROM nt""")
 def _(b: Base) -> DataFrame:
     return _checks(b)
 

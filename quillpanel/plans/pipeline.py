@@ -83,7 +83,8 @@ def train(store: Store, settings: Settings = SETTINGS, rounds: int = 200, metric
 def monitor(store: Store, model: str | None = None, settings: Settings = SETTINGS) -> list[dict]:
     """Fills in outcomes, checks each model and appends what it found to the log."""
     predictions = store.write("predictions", backfilled(store.read("predictions"), store.read("features")))
-    rows = [MO.check_drift(predictions, store.read("features"), m, window=settings.monitor_window, test_start=settings.test_start) for m in ([model] if model else MO.models_of(predictions))]
+    checks = MO.check_drift(predictions if model is None else predictions.where(F.col("model") == model), store.read("features"), window=settings.monitor_window, test_start=settings.test_start)
+    rows = [r.asDict() for r in checks.orderBy("model").collect()]  # a row a model
     known = [r for r in rows if r["status"] != "NO_DATA"]
     if known:
         log = store.create("monitor_log")

@@ -65,7 +65,7 @@ def metrics(path: str) -> list[dict]:
 
 def monitor_now(predictions: DataFrame, features: DataFrame, window: int = SETTINGS.monitor_window, test_start: str = SETTINGS.test_start) -> list[dict]:
     """The state of every model now. The caller stores the rows it wants to keep."""
-    return [MO.check_drift(predictions, features, m, window=window, test_start=test_start) for m in MO.models_of(predictions)]
+    return [r.asDict() for r in MO.check_drift(predictions, features, window=window, test_start=test_start).orderBy("model").collect()]  # a row a model
 
 
 def monitor_history(predictions: DataFrame, model: str, window: int = SETTINGS.monitor_window) -> DataFrame:

@@ -133,22 +133,28 @@ def test_walk_forward_prefers_what_works(spark, features):
     assert M.walk_forward_blend(shifted, ["sent_mean", "volume_z"], {"sent_mean": -1.0, "volume_z": 1.0}, least_history=100) > 0
 
 
-def test_status_machine():
-    assert MO.status(0.6, 0.5, 0.1) == ("OK", "within tolerance")
-    assert MO.status(0.52, 0.55, 0.1)[0] == "WARN" and MO.status(0.49, 0.55, None)[0] == "DRIFT"
-    state, note = MO.status(0.49, 0.55, 0.3)
-    assert state == "DRIFT" and note.count(";") == 2
-    assert MO.status(None, None, None)[0] == "OK"
+def test_status(spark):
+    day = dt.date(2024, 1, 1)
+    rows = [(1, day, 0.6, 0.5, 0.1), (2, day, 0.52, 0.55, 0.1), (3, day, 0.49, 0.3, None), (4, day, 0.6, 0.5, 0.3), (5, day, 0.49, 0.55, 0.3), (6, day, None, None, None), (7, None, None, None, None)]
+    checks = spark.createDataFrame(rows, "k int, asof_date date, rolling_accuracy double, baseline_accuracy double, psi_sent_mean double")
+    got = {r["k"]: r for r in MO.judged(checks, 0.5, 0.2).collect()}
+    assert [got[k]["status"] for k in range(1, 8)] == ["OK", "WARN", "DRIFT", "DRIFT", "DRIFT", "OK", "NO_DATA"]
+    assert got[5]["note"].count("is under") == 2 and got[5]["note"].endswith("PSI 0.300 is over 0.20") and got[1]["note"] == got[6]["note"]
 
 
 def test_monitor_without_outcomes(spark, features):
-    p = spark.createDataFrame([], "model string, ticker string, date date, prob_up double, pred_up int, realized_ret double, realized_up int")
-    assert MO.check_drift(p, features, "m")["status"] == "NO_DATA"
+    p = features.select(F.lit("m").alias("model"), "ticker", "date", F.lit(0.6).alias("prob_up"), F.lit(1).alias("pred_up"), F.lit(None).cast("double").alias("realized_ret"), F.lit(None).cast("int").alias("realized_up"))
+    (row,) = MO.check_drift(p, features).collect()
+    assert row["status"] == "NO_DATA" and row["n_obs"] == 0
+    assert MO.check_drift(p.limit(0), features).collect() == []
 
 
 def test_monitor(spark, features):
     p = features.select(F.lit("m").alias("model"), "ticker", "date", F.lit(0.6).alias("prob_up"), F.lit(1).alias("pred_up"), F.col("fwd_ret_1d").alias("realized_ret"), F.col("target_next_up").alias("realized_up"))
-    row = MO.check_drift(p, features, "m", window=20, test_start=str(_day(20)))
+    other = p.withColumns({"model": F.lit("w"), "realized_up": 1 - F.col("realized_up")})
+    got = {r["model"]: r for r in MO.check_drift(p.unionByName(other), features, window=20, test_start=str(_day(20))).collect()}
+    row = got["m"]
+    assert got["w"]["psi_sent_mean"] == row["psi_sent_mean"] and got["w"]["rolling_accuracy"] == pytest.approx(1 - row["rolling_accuracy"])
     assert row["n_obs"] == 20 * 18 and row["asof_date"] == _day(39) and row["rolling_accuracy"] == pytest.approx(row["baseline_accuracy"]) and row["psi_sent_mean"] < 0.2
     first = MO.rolling_report(p, 20).orderBy("date").collect()
     assert [r["rolling_accuracy"] is None for r in first[:6]] == [True] * 4 + [False] * 2
