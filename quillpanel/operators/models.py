@@ -353,8 +353,14 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[str, list[str], Linear
     return head["model"], head["features"], PipelineModel.load(f"{path}/pipeline")
 
 
-def predict_one(model: Linear, values: Mapping[str, float], threshold: float = 0.5) -> dict:
-    """Probability and class of one request; columns it lacks count as 0 and are named."""
-    z = model.intercept + sum(w * ((values.get(c, 0.0) - model.scaler.mean[c]) / model.scaler.std[c]) for c, w in model.coefficients.items())
-    p = 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
-    return {"prob_up": p, "pred_up": int(p >= threshold), "missing_features": [c for c in model.coefficients if c not in values]}
+def predict_one(model: Linear | PipelineModel, values: Mapping[str, float], threshold: float = 0.5, columns: Sequence[str] | None = None) -> dict:
+    """Probability and class of one request; columns it lacks count as 0 and are named. ``columns`` are those of a stored pipeline."""
+    if isinstance(model, Linear):
+        columns = list(model.coefficients)
+        z = model.intercept + sum(w * ((values.get(c, 0.0) - model.scaler.mean[c]) / model.scaler.std[c]) for c, w in model.coefficients.items())
+        p = 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
+    else:
+        spark = SparkSession.active()
+        row = spark.range(1).select(*[F.lit(float(values.get(c, 0.0))).alias(c) for c in columns])
+        p = boosted_probability(model, row).first()["prob_up"]
+    return {"prob_up": p, "pred_up": int(p >= threshold), "missing_features": [c for c in columns if c not in values]}

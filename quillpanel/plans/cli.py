@@ -29,6 +29,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--corpus", nargs="*", default=[], help="Parquet shards of raw headlines")
     p.add_argument("--extra-lag", type=int, default=SETTINGS.extra_lag_sessions)
     p.add_argument("--limit", type=int)
+    p.add_argument("--batch-size", type=int, default=64, help="texts scored at a time")
+    p.add_argument("--figures", default="reports", help="folder of drawn figures to serve")
+    p.add_argument("--reload", action="store_true", help="load the served model again at every request")
     p.add_argument("--test-start", default=SETTINGS.test_start)
     p.add_argument("--model")
     p.add_argument("--ticker")
@@ -52,7 +55,7 @@ def run(stage: str, store: Store, a: argparse.Namespace) -> None:
             tickers = [r[0] for r in store.read("prices").select("ticker").distinct().orderBy("ticker").collect()]  # the universe
             pipeline.ingest_headlines(store, raw, tickers, settings)
     elif stage == "score":
-        pipeline.score(store, limit=a.limit, settings=settings)
+        pipeline.score(store, limit=a.limit, settings=settings, batch=a.batch_size)
     elif stage == "features":
         pipeline.build_features(store, settings)
     elif stage == "analyse":
@@ -60,7 +63,7 @@ def run(stage: str, store: Store, a: argparse.Namespace) -> None:
             print(name)
             df.show(50, truncate=False)
     elif stage == "train":
-        pipeline.train(store, settings, a.rounds, f"{a.store}/metrics.json").show(truncate=False)
+        pipeline.train(store, settings, a.rounds).show(truncate=False)
     elif stage == "xs":
         M.cross_sectional_run(store.read("features"), a.test_start, rounds=a.rounds).show(truncate=False)
     elif stage == "monitor":
@@ -73,22 +76,64 @@ def run(stage: str, store: Store, a: argparse.Namespace) -> None:
         for df in pipeline.experiment(store, settings, a.rounds):
             df.show(truncate=False)
     elif stage == "serve":
-        server(store, a.host, a.port, a.test_start).serve_forever()
+        server(store, a.host, a.port, a.test_start, a.figures, a.reload).serve_forever()
 
 
-def server(store: Store, host: str, port: int, test_start: str = SETTINGS.test_start):
-    """A small HTTP server over the functions of ``service``, ready to serve."""
+def server(store: Store, host: str, port: int, test_start: str = SETTINGS.test_start, figures_folder: str = "reports", reload: bool = False):
+    """A small HTTP server over the functions of ``service``, ready to serve.
+
+    The model is the one that training stored as the best on all features; it is
+    loaded at the first request that finds one, or at every one with ``reload``.
+    """
     import json
     from http.server import BaseHTTPRequestHandler, HTTPServer
     from urllib.parse import parse_qs, urlparse
 
-    state: dict = {"model": None}
+    held: dict = {}
+
+    def bundle():
+        if reload or "bundle" not in held:
+            metrics = store.get_json("metrics")
+            if metrics is None or metrics["combined"] is None:
+                return None
+            held["bundle"] = M.load_bundle(store.spark, f"{store.root}/models/combined")
+        return held["bundle"]
+
+    def name() -> str | None:
+        return (bundle() or (None,))[0]
+
+    def rows(df) -> list[dict]:
+        return [r.asDict() for r in df.collect()]  # limited answers only
+
+    def signal(q: dict) -> list[dict]:
+        out = rows(service.signal(store.read("features"), store.read("prices"), q.get("ticker"), int(q.get("limit", 200))))
+        if not out:
+            raise service.NotFound("no rows")
+        return out
+
+    def trained() -> list[dict]:
+        try:
+            return service.metrics(store)["results"]
+        except service.NotReady:
+            return []
+
+    window = lambda q: int(q.get("window", SETTINGS.monitor_window))
+    routes = {
+        "/health": lambda q: service.whole_health(store.read("headlines"), store.read("features"), name(), store.read("prices")),
+        "/features/schema": lambda q: service.features_schema(name(), (bundle() or (None, []))[1]),
+        "/signal": signal,
+        "/predictions": lambda q: rows(service.newest_predictions(store.read("predictions"), q.get("model"), int(q.get("limit", 200)))),
+        "/metrics": lambda q: service.metrics(store),
+        "/monitor": lambda q: pipeline.monitor(store, q.get("model")),
+        "/monitor/history": lambda q: rows(service.monitor_history(store.read("predictions"), q.get("model"), window(q))),
+        "": lambda q: service.dashboard(store.spark, store.read("headlines"), store.read("features"), trained(), service.monitor_now(store.read("predictions"), store.read("features"))),
+    }
 
     class Handler(BaseHTTPRequestHandler):
         def _send(self, body: object, code: int = 200) -> None:
-            data = body.encode() if isinstance(body, str) else json.dumps(body, default=str).encode()
+            data = body if isinstance(body, bytes) else body.encode() if isinstance(body, str) else json.dumps(service.plain(body), allow_nan=False).encode()
             self.send_response(code)
-            self.send_header("Content-Type", "text/html" if isinstance(body, str) else "application/json")
+            self.send_header("Content-Type", "image/png" if isinstance(body, bytes) else "text/html" if isinstance(body, str) else "application/json")
             self.end_headers()
             self.wfile.write(data)
 
@@ -105,55 +150,29 @@ def server(store: Store, host: str, port: int, test_start: str = SETTINGS.test_s
         def do_GET(self) -> None:
             url = urlparse(self.path)
             q = {k: v[0] for k, v in parse_qs(url.query).items()}
-            rows = lambda df: [r.asDict() for r in df.collect()]  # limited answers only
-            read = store.read
             path = url.path.rstrip("/")
-            if path == "/health":
-                self._answer(lambda: rows(service.health(read("headlines"), read("features")))[0])
-            elif path == "/features/schema":
-                self._answer(lambda: service.features_schema("logreg__combined", list(model().coefficients)))
-            elif path == "/signal":
-                def work():
-                    out = rows(service.signal(read("features"), read("prices"), q.get("ticker"), int(q.get("limit", 200))))
-                    if not out:
-                        raise service.NotFound("no rows")
-                    return out
-                self._answer(work)
-            elif path == "/predictions":
-                self._answer(lambda: rows(service.newest_predictions(read("predictions"), q.get("model"), int(q.get("limit", 200)))))
-            elif path == "/metrics":
-                self._answer(lambda: service.metrics(f"{store.root}/metrics.json"))
-            elif path == "/monitor":
-                self._answer(lambda: pipeline.monitor(store))
-            elif path == "/monitor/history":
-                self._answer(lambda: rows(service.monitor_history(read("predictions"), q["model"])))
-            elif path == "":
-                self._answer(lambda: service.dashboard(store.spark, read("headlines"), read("features"), _or(lambda: service.metrics(f"{store.root}/metrics.json")), service.monitor_now(read("predictions"), read("features"))))
+            if path.startswith("/figures/"):
+                self._answer(lambda: _bytes(service.figure(figures_folder, path.removeprefix("/figures/"))))
             else:
-                self._answer(lambda: (_ for _ in ()).throw(service.NotFound(path)))
+                self._answer(lambda: routes.get(path, _unknown)(q))
 
         def do_POST(self) -> None:
             body = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))) or b"{}")
             if urlparse(self.path).path.rstrip("/") == "/predict":
-                self._answer(lambda: service.predict(model(), body.get("features", {})))
+                self._answer(lambda: service.predict(bundle(), body.get("features", {})))
             else:
                 self._send({"detail": "not found"}, 404)
 
-    def model():
-        if state["model"] is None:
-            train = store.read("features").where(F.col("date") < F.lit(test_start).cast("date")) if store.exists("features") else None
-            if train is None or train.select("target_next_up").distinct().limit(2).count() < 2:
-                raise service.NotReady("no model")
-            state["model"] = M.logistic(train, M.BLOCKS["combined"])
-        return state["model"]
+    return HTTPServer((host, port), Handler)
 
-    def _or(work):
-        try:
-            return work()
-        except service.NotReady:
-            return []
 
-    return HTTPServer((host, port), Handler)
+def _unknown(q: dict) -> None:
+    raise service.NotFound("no such path")
+
+
+def _bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def main(argv: list[str] | None = None) -> int:

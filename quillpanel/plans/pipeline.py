@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -34,10 +33,10 @@ def ingest_headlines(store: Store, raw: DataFrame, tickers: list[str], settings:
     return store.replace_keys("headlines", rows, "ticker", tickers)
 
 
-def score(store: Store, make: Callable[[], scoring.Scorer] = scoring.LexiconScorer, limit: int | None = None, settings: Settings = SETTINGS) -> DataFrame:
+def score(store: Store, make: Callable[[], scoring.Scorer] = scoring.LexiconScorer, limit: int | None = None, settings: Settings = SETTINGS, batch: int = 64) -> DataFrame:
     """Scores what has no row of the model yet."""
     todo = HL.unscored(store.read("headlines"), store.read("sentiment"), settings.model, limit)
-    return store.upsert("sentiment", scoring.score(todo, settings.model, make), KEYS["sentiment"])
+    return store.upsert("sentiment", scoring.score(todo, settings.model, make, batch=batch), KEYS["sentiment"])
 
 
 def build_features(store: Store, settings: Settings = SETTINGS) -> DataFrame:
@@ -51,12 +50,15 @@ def analyse(store: Store, settings: Settings = SETTINGS) -> dict[str, DataFrame]
     return {"lead_lag": study, "peak": analysis.peak(study), "ic": analysis.information_coefficient(f), "buckets": analysis.buckets(f)}
 
 
-def train(store: Store, settings: Settings = SETTINGS, rounds: int = 200, metrics_path: str | None = None) -> DataFrame:
-    """Ablation metrics; the best model and the best on all features are stored, with their predictions."""
+def train(store: Store, settings: Settings = SETTINGS, rounds: int = 200) -> DataFrame:
+    """Ablation metrics; the best model and the best on all features are stored, with their predictions and the metrics.
+
+    The best on all features is the one that is served: it lies in ``models/combined``.
+    """
     features = store.read("features")
     metrics = M.ablation(features, settings.test_start, rounds=rounds).cache()
     fit, test = M.split(features, settings.test_start)
-    best = [M.champion(metrics).first(), M.champion(metrics, like="combined").first()]
+    best = [M.champion(metrics).first(), M.champion(metrics, like="combined").first()]  # two rows
     strength = {r["model"]: r["C"] for r in best}
     out = None
     for name in sorted(strength):
@@ -71,12 +73,12 @@ def train(store: Store, settings: Settings = SETTINGS, rounds: int = 200, metric
             scored = M.baselines(fit, test).where(F.col("model") == name).drop("model", "pred_up")
         if learner in ("logreg", "hgb"):
             M.save_bundle(store.spark, f"{store.root}/models/{name}", name, M.BLOCKS[block], model)
+            if name == best[1]["model"]:
+                M.save_bundle(store.spark, f"{store.root}/models/combined", name, M.BLOCKS[block], model)
         rows = M.predictions(scored, name)
         out = rows if out is None else out.unionByName(rows)
     store.write("predictions", out)
-    if metrics_path:
-        with open(metrics_path, "w") as f:
-            json.dump([r.asDict() for r in metrics.collect()], f)  # nine rows
+    store.put_json("metrics", {"champion": best[0]["model"], "combined": best[1]["model"] if best[1] else None, "test_start": settings.test_start, "results": [r.asDict() for r in metrics.collect()]})  # nine rows
     return metrics
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillpanel.config import SETTINGS
 from quillpanel.operators import models as M
 from quillpanel.operators import monitor as MO
+from quillpanel.sources.writers import Store
 
 #: Rows of a list answer at most.
 MAX_LIMIT = 5000
@@ -26,7 +27,14 @@ class NotFound(LookupError):
 
 def health(headlines: DataFrame, features: DataFrame) -> DataFrame:
     """``(n_headlines, n_features)`` in one row."""
-    return headlines.agg(F.count("*").alias("n_headlines")).crossJoin(F.broadcast(features.agg(F.count("*").alias("n_features"))))
+    return headlines.agg(F.count("*").alias("n_headlines")).withColumn("n_features", features.agg(F.count("*")).scalar())
+
+
+def whole_health(headlines: DataFrame, features: DataFrame, model_name: str | None, prices: DataFrame) -> dict:
+    """The counts, whether a model is loaded and which, and the tickers there are (the universe, a short list)."""
+    n = health(headlines, features).first()
+    tickers = [r[0] for r in prices.select("ticker").distinct().orderBy("ticker").collect()]
+    return {"status": "ok", "model_loaded": model_name is not None, "model_name": model_name, "tickers": tickers, **n.asDict()}
 
 
 def features_schema(model_name: str | None, columns: list[str]) -> dict:
@@ -54,13 +62,12 @@ def newest_predictions(predictions: DataFrame, model: str | None = None, limit:
     return rows.orderBy(F.desc("date"), "ticker", "model").limit(_limit(limit))
 
 
-def metrics(path: str) -> list[dict]:
-    """The stored metrics of the last training."""
-    try:
-        with open(path) as f:
-            return json.load(f)
-    except FileNotFoundError:
-        raise NotReady("no metrics") from None
+def metrics(store: Store) -> dict:
+    """What the last training stored: champion, best on all features, and a row per model."""
+    held = store.get_json("metrics")
+    if held is None:
+        raise NotReady("no metrics")
+    return held
 
 
 def monitor_now(predictions: DataFrame, features: DataFrame, window: int = SETTINGS.monitor_window, test_start: str = SETTINGS.test_start) -> list[dict]:
@@ -68,14 +75,29 @@ def monitor_now(predictions: DataFrame, features: DataFrame, window: int = SETTI
     return [r.asDict() for r in MO.check_drift(predictions, features, window=window, test_start=test_start).orderBy("model").collect()]  # a row a model
 
 
-def monitor_history(predictions: DataFrame, model: str, window: int = SETTINGS.monitor_window) -> DataFrame:
-    """The rolling report with dates as text; what is not a number is null."""
-    out = MO.rolling_report(predictions.where(F.col("model") == model), window)
-    return out.withColumn("date", F.date_format("date", "yyyy-MM-dd")).orderBy("date")
+def monitor_history(predictions: DataFrame, model: str | None = None, window: int = SETTINGS.monitor_window) -> DataFrame:
+    """The rolling report of one model or of all, with dates as text."""
+    out = MO.rolling_report(predictions.where(F.col("model") == model) if model else predictions, window)
+    return out.withColumn("date", F.date_format("date", "yyyy-MM-dd")).orderBy("model", "date")
 
 
-def predict(model: M.Linear, values: Mapping[str, float]) -> dict:
-    return M.predict_one(model, values)
+def plain(value: object) -> object:
+    """``value`` as JSON can say it: what is not a finite number is null, dates and the like are text."""
+    if isinstance(value, dict):
+        return {k: plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [plain(v) for v in value]
+    if isinstance(value, float) and not math.isfinite(value):
+        return None
+    return value if value is None or isinstance(value, (str, int, float, bool)) else str(value)
+
+
+def predict(bundle: tuple[str, list[str], object] | None, values: Mapping[str, float]) -> dict:
+    """The served model's answer to one request."""
+    if bundle is None:
+        raise NotReady("no model")
+    name, columns, model = bundle
+    return {"model": name, **M.predict_one(model, values, columns=columns), "used_features": columns}
 
 
 def figure(folder: str, name: str) -> str:

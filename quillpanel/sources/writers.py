@@ -1,8 +1,9 @@
-"""Sinks and mutations on Parquet: every write makes a new version and then switches a pointer to it."""
+"""Sinks and mutations on Parquet: every write makes a new part and then switches a pointer to it."""
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -14,10 +15,11 @@ from quillpanel.sources.schema import schema
 
 
 class Store:
-    """Tables below ``root``. A table is a folder of versions and a pointer file naming the current one.
+    """Tables below ``root``. A table is a folder of parts and a pointer file naming the current ones.
 
-    A version is written whole before the pointer moves, so a reader sees the old
-    table or the new one, and a job that is lost leaves the old one.
+    A part is written whole before the pointer is replaced by a rename, so a
+    reader sees the old table or the new one, and a job that is lost leaves the
+    old one. Parts that no pointer names any more go with ``vacuum``.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -28,38 +30,73 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, table: str) -> str | None:
-        p, fs = self._fs(f"{self.root}/{table}/_current.json")
+    def _load(self, path: str) -> str | None:
+        p, fs = self._fs(path)
         if not fs.exists(p):
             return None
         stream = fs.open(p)
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())["version"]
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
+    def _put(self, path: str, text: str) -> None:
+        """A small file, there whole or not at all: written beside its place and renamed over what is there."""
+        sc = self.spark.sparkContext
+        beside = f"{path}.{uuid.uuid4().hex}"
+        new, fs = self._fs(beside)
+        out = fs.create(new, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        rename = getattr(hadoop, "Options$Rename")
+        how = sc._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        source = fs.makeQualified(new)
+        context = hadoop.FileContext.getFileContext(source.toUri(), sc._jsc.hadoopConfiguration())
+        context.rename(source, fs.makeQualified(hadoop.Path(path)), how)
+
+    def _parts(self, table: str) -> list[str] | None:
+        held = self._load(f"{self.root}/{table}/_current.json")
+        return None if held is None else json.loads(held)["parts"]
+
+    def _switch(self, table: str, parts: Sequence[str]) -> None:
+        self._put(f"{self.root}/{table}/_current.json", json.dumps({"parts": list(parts)}))
+
     def exists(self, table: str) -> bool:
-        return self._pointer(table) is not None
+        return self._parts(table) is not None
 
     def read(self, table: str) -> DataFrame:
-        version = self._pointer(table)
-        if version is None:
+        parts = self._parts(table)
+        if parts is None:
             raise FileNotFoundError(table)
-        return self.spark.read.parquet(f"{self.root}/{table}/{version}")
+        return self.spark.read.parquet(*[f"{self.root}/{table}/{part}" for part in parts])
 
     def write(self, table: str, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
         """Truncate and load."""
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(f"{self.root}/{table}/{version}")
-        new, fs = self._fs(f"{self.root}/{table}/_next-{version}.json")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
-        out.close()
-        current, _ = self._fs(f"{self.root}/{table}/_current.json")
-        fs.delete(current, False)
-        fs.rename(new, current)
+        part = f"v-{uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).parquet(f"{self.root}/{table}/{part}")
+        self._switch(table, [part])
         return self.read(table)
 
+    def put_json(self, name: str, value: object) -> None:
+        self._put(f"{self.root}/{name}.json", json.dumps(value))
+
+    def get_json(self, name: str) -> object | None:
+        held = self._load(f"{self.root}/{name}.json")
+        return None if held is None else json.loads(held)
+
+    def vacuum(self, table: str, older_than_hours: float = 24.0) -> int:
+        """Remove parts that are not current and have lain for so long that no reader is on them; returns how many."""
+        current, gone = set(self._parts(table) or ()), 0
+        folder, fs = self._fs(f"{self.root}/{table}")
+        for status in fs.listStatus(folder) if fs.exists(folder) else ():
+            name = status.getPath().getName()
+            if status.isDirectory() and name not in current and status.getModificationTime() <= (time.time() - 3600 * older_than_hours) * 1000:
+                fs.delete(status.getPath(), True)
+                gone += 1
+        return gone
+
     def create(self, table: str, drop: bool = False, fields: T.StructType | None = None) -> DataFrame:
         """An empty table where there is none; with ``drop`` also where there is one."""
         if drop and self.exists(table):
@@ -76,9 +113,13 @@ class Store:
         return self.write(table, replaced(self.read(table), rows, key, values))
 
     def append(self, table: str, rows: DataFrame) -> DataFrame:
-        """Add rows to the current version, in place: files are only added."""
-        self._pointer(table) or self.create(table)
-        rows.write.mode("append").parquet(f"{self.root}/{table}/{self._pointer(table)}")
+        """Add rows as one more part; what is there is not written again."""
+        parts = self._parts(table)
+        if parts is None:
+            return self.write(table, rows)
+        part = f"v-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{table}/{part}")
+        self._switch(table, [*parts, part])
         return self.read(table)
 
 
@@ -112,9 +153,9 @@ def replaced(target: DataFrame, rows: DataFrame, key: str, values: Sequence[str]
 
 def numbered(rows: DataFrame, log: DataFrame, order: Sequence[str], ident: str = "id") -> DataFrame:
     """``rows`` with ids that go on from those of ``log``. For the few rows of one append."""
-    last = log.agg(F.coalesce(F.max(ident), F.lit(0)).alias("last"))
+    last = log.agg(F.coalesce(F.max(ident), F.lit(0))).scalar()
     n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
-    return rows.withColumn("_n", n).crossJoin(F.broadcast(last)).withColumn(ident, (F.col("last") + F.col("_n")).cast("long")).drop("_n", "last")
+    return rows.withColumn(ident, (last + n).cast("long"))
 
 
 def backfilled(predictions: DataFrame, features: DataFrame) -> DataFrame:

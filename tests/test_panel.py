@@ -1,5 +1,6 @@
 """Cross-section, models, monitor, service and streaming."""
 
+import dataclasses
 import datetime as dt
 import math
 import random
@@ -7,6 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillpanel.config import SETTINGS
+from quillpanel.sources.writers import Store
 from quillpanel.operators import cross_section as XS
 from quillpanel.operators import experiments as EX
 from quillpanel.operators import models as M
@@ -174,7 +177,7 @@ def test_service(spark, features, tmp_path):
         with pytest.raises(ValueError):
             service.signal(features, px, limit=bad)
     with pytest.raises(service.NotReady):
-        service.metrics(str(tmp_path / "none.json"))
+        service.metrics(Store(spark, str(tmp_path)))
     with pytest.raises(service.NotReady):
         service.features_schema(None, [])
     (tmp_path / "a.png").write_text("x")
@@ -234,7 +237,11 @@ def test_bundles_come_back(spark, features, tmp_path):
     assert key(again) == key(trees)
 
 
-def test_http(spark, features, tmp_path):
+def test_what_json_cannot_say():
+    assert service.plain({"a": [float("nan"), 1.5, None, True], "b": dt.date(2024, 1, 2), "c": float("-inf")}) == {"a": [None, 1.5, None, True], "b": "2024-01-02", "c": None}
+
+
+def test_http(spark, features, tmp_path, monkeypatch):
     import json
     import threading
     from urllib.error import HTTPError
@@ -245,7 +252,7 @@ def test_http(spark, features, tmp_path):
 
     store = Store(spark, str(tmp_path))
     pipeline.init(store)
-    http = cli.server(store, "127.0.0.1", 0, str(_day(30)))
+    http = cli.server(store, "127.0.0.1", 0, str(_day(30)), str(tmp_path / "drawn"))
     threading.Thread(target=http.serve_forever, daemon=True).start()
     at = f"http://127.0.0.1:{http.server_address[1]}"
 
@@ -256,13 +263,32 @@ def test_http(spark, features, tmp_path):
             return e.code, json.loads(e.read())
 
     try:
-        assert ask("/health") == (200, {"n_headlines": 0, "n_features": 0})
-        assert ask("/signal")[0] == 404 and ask("/metrics")[0] == 503 and ask("/predict", {"features": {}})[0] == 503 and ask("/nothing")[0] == 404
+        assert ask("/health") == (200, {"status": "ok", "model_loaded": False, "model_name": None, "tickers": [], "n_headlines": 0, "n_features": 0})
+        assert ask("/signal")[0] == 404 and ask("/metrics")[0] == 503 and ask("/predict", {"features": {}})[0] == 503 and ask("/features/schema")[0] == 503 and ask("/nothing")[0] == 404
         store.write("features", features)
         store.write("prices", features.select("ticker", "date", *[F.lit(1.0).alias(c) for c in ("open", "high", "low", "close", "adj_close", "volume")]))
         assert len(ask("/signal?ticker=t01&limit=3")[1]) == 3 and ask("/signal?limit=9999")[0] == 422
+        assert ask("/predictions") == (200, []) and ask("/monitor") == (200, [])
+        monkeypatch.setattr(M, "tuned_c", lambda *_, **__: 0.1)  # tuned elsewhere
+        pipeline.train(store, dataclasses.replace(SETTINGS, test_start=str(_day(30))), rounds=2)
+        metrics = ask("/metrics")[1]
+        assert metrics["combined"].endswith("__combined") and len(metrics["results"]) == 9
+        health = ask("/health")[1]
+        assert health["model_loaded"] and health["model_name"] == metrics["combined"] and health["tickers"][0] == "T00"
         code, answer = ask("/predict", {"features": {"sent_mean": 3.0}})
-        assert code == 200 and answer["pred_up"] == 1 and len(answer["missing_features"]) == 14
-        assert ask("/features/schema")[1]["features"] == FEATURES and ask("/predictions") == (200, []) and ask("/monitor") == (200, [])
+        assert code == 200 and answer["model"] == metrics["combined"] and answer["pred_up"] == 1 and len(answer["missing_features"]) == 14
+        assert ask("/features/schema")[1] == {"model": metrics["combined"], "features": FEATURES}
+        # Outcomes are filled in; accuracies of the first days are null, not NaN.
+        found = ask("/monitor")[1]
+        assert {r["model"] for r in found} == {metrics["champion"], metrics["combined"]}
+        one = ask(f"/monitor?model={metrics['combined']}")[1]
+        assert [r["model"] for r in one] == [metrics["combined"]] and one[0]["n_obs"] > 0
+        history = ask("/monitor/history?window=20")[1]
+        assert {r["model"] for r in history} == {r["model"] for r in found} and history[0]["rolling_accuracy"] is None and history[-1]["rolling_accuracy"] is not None
+        assert {r["model"] for r in ask(f"/monitor/history?model={metrics['combined']}")[1]} == {metrics["combined"]}
+        (tmp_path / "drawn").mkdir()
+        (tmp_path / "drawn" / "a.png").write_bytes(b"png")
+        assert urlopen(at + "/figures/a.png").read() == b"png" and ask("/figures/b.png")[0] == 404 and ask("/figures/..%2Fmetrics.json")[0] == 404
+        assert b"Models" in urlopen(at + "/").read()
     finally:
         http.shutdown()
