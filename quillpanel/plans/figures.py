@@ -42,5 +42,5 @@ def coverage(headlines: DataFrame) -> DataFrame:
 
 def ranking(metrics: DataFrame) -> DataFrame:
     """Models by accuracy with the best baseline's beside them."""
-    best = metrics.where(F.col("model").startswith("baseline")).agg(F.max("accuracy").alias("baseline_accuracy"))
-    return metrics.crossJoin(F.broadcast(best)).select("model", "accuracy", "baseline_accuracy", F.col("model").startswith("baseline").alias("is_baseline")).orderBy("accuracy", "model")
+    best = metrics.where(F.col("model").startswith("baseline")).agg(F.max("accuracy")).scalar()
+    return metrics.withColumn("baseline_accuracy", best).select("model", "accuracy", "baseline_accuracy", F.col("model").startswith("baseline").alias("is_baseline")).orderBy("accuracy", "model")

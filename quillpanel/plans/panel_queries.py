@@ -133,15 +133,7 @@ def _(b: Base) -> DataFrame:
     return HL.ingest(raw, b.px).select("headline_uid", day("trade_date").alias("trade_date"))
 
 
-@query("d4_wide_to_long", f"SELECT ticker, {D('date')} AS date, {R('close')} AS close, {R('volume')} AS volume FROM px WHERE ticker IN ('XELV', 'VZXNP') AND (close IS NOT NULL OR volume IS NOT NULL)")
-def _(b: Base) -> DataFrame:
-    two = ["XELV", "VZXNP"]
-    wide = b.px.where(F.col("ticker").isin(two)).groupBy("date").pivot("ticker", two).agg(F.max("close").alias("close"), F.max("volume").alias("volume"))
-    wide = wide.select("date", *[F.col(f"{t}_{f}").alias(f"{f}_{t}") for t in two for f in ("close", "volume")])
-    return readers.wide_to_long(wide, ["close", "volume"]).select("ticker", day("date").alias("date"), r6("close").alias("close"), r6("volume").alias("volume"))
-
-
-@query("d4_whole_universe", f"SELECT ticker, {D('date')} AS date, {R('close')} AS close, {R('volume')} AS volume FROM px WHERE ticker IS NOT NULL AND (close IS NOT NULL OR volume IS NOT NULL)")
+@query("d4_wide_to_long", f"SELECT ticker, {D('date')} AS date, {R('close')} AS close, {R('volume')} AS volume FROM px WHERE ticker IS NOT NULL AND (close IS NOT NULL OR volume IS NOT NULL)")
 def _(b: Base) -> DataFrame:
     names = [r[0] for r in b.px.where("ticker is not null").select("ticker").distinct().orderBy("ticker").collect()]  # the universe
     wide = b.px.groupBy("date").pivot("ticker", names).agg(F.max("close").alias("close"), F.max("volume").alias("volume"))
@@ -395,10 +387,14 @@ def _(b: Base) -> DataFrame:
     return M.baselines(train, test).select("model", "ticker", day("date").alias("date"), r6("prob_up").alias("prob_up"), "pred_up")
 
 
-@query("s4_best_model", f"WITH {_BASELINES.strip()} SELECT model, {R('avg(CASE WHEN pred_up = target_next_up THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM bl GROUP BY 1 ORDER BY avg(CASE WHEN pred_up = target_next_up THEN 1.0 ELSE 0.0 END) DESC, model LIMIT 1")
+_BALANCED = "(avg(pred_up) FILTER (target_next_up = 1) + avg(1 - pred_up) FILTER (target_next_up = 0)) / 2"
+
+
+@query("s4_best_model", f"WITH {_BASELINES.strip()} SELECT model, {R(_BALANCED)} AS balanced_accuracy FROM bl GROUP BY 1 ORDER BY {R(_BALANCED)} DESC, model LIMIT 1")
 def _(b: Base) -> DataFrame:
     train, test = M.split(_complete(b), CUT)
-    return M.champion(M.evaluate(M.baselines(train, test), by="model"), "accuracy").select("model", r6("accuracy").alias("accuracy"))
+    metrics = M.evaluate(M.baselines(train, test), by="model")
+    return M.champion(metrics.withColumn("balanced_accuracy", r6("balanced_accuracy"))).select("model", "balanced_accuracy")
 
 
 @query("m9_shrunk_ranker", f"WITH {_COMPLETE_FT}, s AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}' for c in ('sent_mean', 'ret_1d', 'volume_z'))} FROM cf WHERE date < DATE '{CUT}') SELECT ticker, {D('date')} AS date, {R('0.5 * 0.6 * (sent_mean - m_sent_mean) / d_sent_mean + (0.5 * 0.8 - 0.5 / sqrt(2.0)) * (ret_1d - m_ret_1d) / d_ret_1d - 0.5 / sqrt(2.0) * (volume_z - m_volume_z) / d_volume_z')} AS score FROM cf, s WHERE date >= DATE '{CUT}'")
@@ -411,10 +407,9 @@ def _(b: Base) -> DataFrame:
 
 @query("m10_walk_forward_blend", None)
 def _(b: Base) -> DataFrame:
-    columns = ["sent_mean", "news_vol_z", "ret_1d", "volume_z"]
-    # The tables hold few years: their months stand for years here, by a shifted date.
-    shifted = XS.zscored(_xs(b), columns).withColumn("date", F.make_date(F.lit(1900) + F.year("date") * 12 + F.month("date") - 24270, F.lit(1), F.dayofmonth("date")))
-    best = M.walk_forward_blend(shifted, columns, least_history=100, least_names=NAMES)
+    """The blend chosen over the years there are; with fewer than two years of enough history the first of the grid."""
+    rows = XS.zscored(_xs(b), FEATURES)
+    best = M.walk_forward_blend(rows, FEATURES, least_names=NAMES)
     return b.spark.createDataFrame([(best,)], "blend double")
 
 
@@ -430,11 +425,14 @@ def _(b: Base) -> DataFrame:
     return b.spark.createDataFrame([(answer["prob_up"], answer["pred_up"], len(answer["missing_features"]))], "prob_up double, pred_up int, n_missing int")
 
 
-@query("m14_stored_predictions", f"WITH {_BASELINES.strip()} SELECT model, ticker, {D('date')} AS date, {R('prob_up')} AS prob_up, CAST(prob_up >= 0.5 AS INT) AS pred_up FROM bl WHERE model = 'baseline_ma_cross'")
+@query("m14_stored_predictions", f"WITH {_BASELINES.strip()} SELECT model, ticker, {D('date')} AS date, {R('prob_up')} AS prob_up, CAST(prob_up >= 0.5 AS INT) AS pred_up FROM bl")
 def _(b: Base) -> DataFrame:
     train, test = M.split(_complete(b), CUT)
-    rows = M.predictions(M.baselines(train, test).where("model = 'baseline_ma_cross'"), "baseline_ma_cross")
-    return rows.select("model", "ticker", day("date").alias("date"), r6("prob_up").alias("prob_up"), "pred_up")
+    scored, out = M.baselines(train, test), None
+    for name in ("baseline_always_up", "baseline_ma_cross", "baseline_sentiment_sign"):
+        rows = M.predictions(scored.where(F.col("model") == name), name)
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("model", "ticker", day("date").alias("date"), r6("prob_up").alias("prob_up"), "pred_up")
 
 
 @query("d12_leakage_comparison", None)
@@ -475,30 +473,19 @@ def _(b: Base) -> DataFrame:
     return service.signal(b.ft, b.px, " xelv ", 50).select(day("date").alias("date"), r6("sent_mean").alias("sent_mean"), r6("adj_close").alias("adj_close"))
 
 
-@query("e4_predictions", f"SELECT ticker, {D('date')} AS date, {R('prob_up')} AS prob_up FROM pr WHERE model = 'logit_all-r00' ORDER BY pr.date DESC, ticker LIMIT 100")
+@query("e4_predictions", f"SELECT model, ticker, {D('date')} AS date, {R('prob_up')} AS prob_up FROM (SELECT * FROM pr ORDER BY date DESC, ticker, model LIMIT 200)")
 def _(b: Base) -> DataFrame:
-    return service.newest_predictions(b.pr, "logit_all-r00", 100).select("ticker", day("date").alias("date"), r6("prob_up").alias("prob_up"))
+    return service.newest_predictions(b.pr).select("model", "ticker", day("date").alias("date"), r6("prob_up").alias("prob_up"))
 
 
-@query("e7_monitor_history", f"WITH {_ROLL} SELECT {D('date')} AS date, n, {R('rolling_accuracy')} AS rolling_accuracy FROM rr WHERE model = 'logit_all-r00'")
+@query("e7_monitor_history", f"WITH {_ROLL} SELECT model, {D('date')} AS date, n, {R('rolling_accuracy')} AS rolling_accuracy FROM rr")
 def _(b: Base) -> DataFrame:
-    return service.monitor_history(b.pr, "logit_all-r00", 20).select("date", "n", r6("rolling_accuracy").alias("rolling_accuracy"))
+    return service.monitor_history(b.pr, window=20).select("model", "date", "n", r6("rolling_accuracy").alias("rolling_accuracy"))
 
 
 _SERIES = "se AS (SELECT p.date, 100 * p.adj_close / first_value(p.adj_close) OVER (ORDER BY p.date) AS indexed, f.sent_mean AS sent FROM px p LEFT JOIN ft f ON f.ticker = p.ticker AND f.date = p.date WHERE p.ticker = 'QYKPI' AND p.adj_close IS NOT NULL AND p.date BETWEEN DATE '2023-04-01' AND DATE '2023-12-31')"
 
 
-@query("w22_smoothed_sentiment", f"WITH {_SERIES} SELECT {D('date')} AS date, {R('indexed')} AS indexed, {R('sent')} AS sent, {R('CASE WHEN count(sent) OVER (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) >= 3 THEN avg(sent) OVER (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END')} AS smoothed FROM se")
-def _(b: Base) -> DataFrame:
-    return figures.price_and_sentiment(b.px, b.ft, "QYKPI", "2023-04-01", "2023-12-31").select(day("date").alias("date"), *[r6(c).alias(c) for c in ("indexed", "sent", "smoothed")])
-
-
-@query("w23_gaps", f"WITH {_SERIES}, g AS (SELECT date, sent IS NULL AS none, row_number() OVER (ORDER BY date) - row_number() OVER (PARTITION BY sent IS NULL ORDER BY date) AS run FROM se) SELECT {D('min(date)')} AS start, {D('max(date)')} AS \"end\", count(*) AS n_rows FROM g WHERE none GROUP BY run HAVING count(*) > 1")
-def _(b: Base) -> DataFrame:
-    out = figures.gaps(figures.price_and_sentiment(b.px, b.ft, "QYKPI", "2023-04-01", "2023-12-31"), 1)
-    return out.select(day("start").alias("start"), day("end").alias("end"), "n_rows")
-
-
 _WHOLE_SERIES = "se AS (SELECT p.date, 100 * p.adj_close / first_value(p.adj_close) OVER (ORDER BY p.date) AS indexed, f.sent_mean AS sent FROM px p LEFT JOIN ft f ON f.ticker = p.ticker AND f.date = p.date WHERE p.ticker = 'QYKPI' AND p.adj_close IS NOT NULL)"
 
 
@@ -506,12 +493,12 @@ def _whole_series(b: Base) -> DataFrame:
     return figures.price_and_sentiment(b.px, b.ft, "QYKPI", SETTINGS.start_date, SETTINGS.end_date)
 
 
-@query("w22_smoothed_whole_range", f"WITH {_WHOLE_SERIES} SELECT {D('date')} AS date, {R('indexed')} AS indexed, {R('sent')} AS sent, {R('CASE WHEN count(sent) OVER (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) >= 3 THEN avg(sent) OVER (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END')} AS smoothed FROM se")
+@query("w22_smoothed_sentiment", f"WITH {_WHOLE_SERIES} SELECT {D('date')} AS date, {R('indexed')} AS indexed, {R('sent')} AS sent, {R('CASE WHEN count(sent) OVER (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) >= 3 THEN avg(sent) OVER (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END')} AS smoothed FROM se")
 def _(b: Base) -> DataFrame:
     return _whole_series(b).select(day("date").alias("date"), *[r6(c).alias(c) for c in ("indexed", "sent", "smoothed")])
 
 
-@query("w23_gaps_whole_range", f"WITH {_WHOLE_SERIES}, g AS (SELECT date, sent IS NULL AS none, row_number() OVER (ORDER BY date) - row_number() OVER (PARTITION BY sent IS NULL ORDER BY date) AS run FROM se) SELECT {D('min(date)')} AS start, {D('max(date)')} AS \"end\", count(*) AS n_rows FROM g WHERE none GROUP BY run HAVING count(*) > 1")
+@query("w23_gaps", f"WITH {_WHOLE_SERIES}, g AS (SELECT date, sent IS NULL AS none, row_number() OVER (ORDER BY date) - row_number() OVER (PARTITION BY sent IS NULL ORDER BY date) AS run FROM se) SELECT {D('min(date)')} AS start, {D('max(date)')} AS \"end\", count(*) AS n_rows FROM g WHERE none GROUP BY run HAVING count(*) > 1")
 def _(b: Base) -> DataFrame:
     return figures.gaps(_whole_series(b), 1).select(day("start").alias("start"), day("end").alias("end"), "n_rows")
 

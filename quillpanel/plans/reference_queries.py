@@ -77,16 +77,7 @@ def _(b: Base) -> DataFrame:
     return readers.price_window(b.px, "2023-07-01", "2023-09-30").groupBy("ticker").agg(F.count("*").alias("n"))
 
 
-@query("a6_csv_prices", f"SELECT ticker, {D('date')} AS date, {R('close')} AS close, {R('close')} AS adj_close FROM px WHERE ticker IN ('XELV', 'VZXNP') AND date BETWEEN DATE '2023-05-01' AND DATE '2023-12-31'")
-def _(b: Base) -> DataFrame:
-    folder = f"{shared_dir(b.spark)}/csv-{uuid.uuid4().hex}"
-    paths = {t: f"{folder}/{t}.csv" for t in ("XELV", "VZXNP", "MISSING")}
-    for t in ("XELV", "VZXNP"):
-        b.px.where(F.col("ticker") == t).select(F.col("date").alias("Date"), *[F.col(c).alias(c.capitalize()) for c in ("open", "high", "low", "close", "volume")]).write.csv(paths[t], header=True)
-    return readers.csv_prices(b.spark, paths, "2023-05-01", "2023-12-31").select("ticker", day("date").alias("date"), r6("close").alias("close"), r6("adj_close").alias("adj_close"))
-
-
-@query("a6_whole_universe", f"SELECT ticker, {D('date')} AS date, {R('close')} AS close, {R('close')} AS adj_close FROM px WHERE ticker IS NOT NULL AND date IS NOT NULL")
+@query("a6_csv_prices", f"SELECT ticker, {D('date')} AS date, {R('close')} AS close, {R('close')} AS adj_close FROM px WHERE ticker IS NOT NULL AND date IS NOT NULL")
 def _(b: Base) -> DataFrame:
     """Every ticker's file, written in one pass, and one that is missing; the settings' whole range of dates."""
     folder = f"{shared_dir(b.spark)}/csv-{uuid.uuid4().hex}"
@@ -227,9 +218,9 @@ def _(b: Base) -> DataFrame:
     return HL.first_of(rows, ["headline_uid"], ["trade_date"]).withColumn("trade_date", day("trade_date"))
 
 
-@query("c8_fill_and_cut", "SELECT lower(trim(headline_uid)) AS headline_uid, substring(coalesce(publisher, ''), 1, 8) AS publisher, coalesce(url, '') AS url FROM headlines", base=False)
+@query("c8_fill_and_cut", "SELECT lower(trim(headline_uid)) AS headline_uid, substring(coalesce(publisher, ''), 1, 128) AS publisher, coalesce(url, '') AS url FROM headlines", base=False)
 def _(b: Base) -> DataFrame:
-    return b.raw("headlines").select(F.lower(F.trim("headline_uid")).alias("headline_uid"), F.substring(F.coalesce("publisher", F.lit("")), 1, 8).alias("publisher"), F.coalesce("url", F.lit("")).alias("url"))
+    return b.raw("headlines").select(F.lower(F.trim("headline_uid")).alias("headline_uid"), F.substring(F.coalesce("publisher", F.lit("")), 1, 128).alias("publisher"), F.coalesce("url", F.lit("")).alias("url"))
 
 
 @query("c9_date_clamp", "SELECT ticker, count(*) AS n FROM px WHERE date BETWEEN DATE '2023-06-01' AND DATE '2023-08-31' GROUP BY 1")
@@ -408,12 +399,11 @@ def _(b: Base) -> DataFrame:
     return pairs.groupBy(F.col("lag_k").cast("long").alias("lag_k")).agg(F.count("*").alias("n"), r6(F.avg("sent")).alias("sent"), r6(F.avg("ret")).alias("ret"))
 
 
-@query("j6_recent_rows", "SELECT ticker, count(*) AS n FROM ft WHERE date IN (SELECT DISTINCT date FROM pr WHERE realized_up IS NOT NULL AND model = 'logit_all-r00' ORDER BY date DESC LIMIT 20) GROUP BY 1")
+@query("j6_recent_rows", "SELECT l.model, ft.ticker, count(*) AS n FROM ft JOIN (SELECT model, date FROM (SELECT DISTINCT model, date, dense_rank() OVER (PARTITION BY model ORDER BY date DESC) AS k FROM pr WHERE realized_up IS NOT NULL) WHERE k <= 20) l ON l.date = ft.date GROUP BY 1, 2")
 def _(b: Base) -> DataFrame:
     from quillpanel.operators import monitor as MO
 
-    recent = MO.last_dates(b.pr.where("model = 'logit_all-r00'"), 20).select("date")
-    return b.ft.join(recent, "date", "left_semi").groupBy("ticker").agg(F.count("*").alias("n"))
+    return b.ft.join(MO.last_dates(b.pr, 20), "date").groupBy("model", "ticker").agg(F.count("*").alias("n"))
 
 
 @query("j8_features_with_prices", f"SELECT f.ticker, {D('f.date')} AS date, {R('f.sent_mean')} AS sent_mean, {R('p.adj_close')} AS adj_close FROM ft f JOIN px p ON f.ticker = p.ticker AND f.date = p.date")
@@ -421,9 +411,9 @@ def _(b: Base) -> DataFrame:
     return b.ft.join(b.px, ["ticker", "date"]).select("ticker", day("date").alias("date"), r6("sent_mean").alias("sent_mean"), r6("adj_close").alias("adj_close"))
 
 
-@query("j10_on_price_calendar", f"SELECT {D('p.date')} AS date, {R('f.sent_mean')} AS sent_mean FROM px p LEFT JOIN ft f ON f.ticker = p.ticker AND f.date = p.date WHERE p.ticker = 'XELV'")
+@query("j10_on_price_calendar", f"SELECT p.ticker, {D('p.date')} AS date, {R('f.sent_mean')} AS sent_mean FROM px p LEFT JOIN ft f ON f.ticker = p.ticker AND f.date = p.date")
 def _(b: Base) -> DataFrame:
-    return b.px.where("ticker = 'XELV'").join(b.ft.select("ticker", "date", "sent_mean"), ["ticker", "date"], "left").select(day("date").alias("date"), r6("sent_mean").alias("sent_mean"))
+    return b.px.join(b.ft.select("ticker", "date", "sent_mean"), ["ticker", "date"], "left").select("ticker", day("date").alias("date"), r6("sent_mean").alias("sent_mean"))
 
 
 @query("j11_label_check", "SELECT count(*) AS n, CAST(sum(CASE WHEN f.fwd_ret_1d > 0 THEN 1 ELSE 0 END <> f.target_next_up) AS BIGINT) AS wrong FROM ft f JOIN px p ON f.ticker = p.ticker AND f.date = p.date WHERE f.fwd_ret_1d IS NOT NULL AND f.target_next_up IS NOT NULL")
@@ -584,14 +574,7 @@ def _(b: Base) -> DataFrame:
     return out.select("model", *[r6(c).alias(c) for c in out.columns if c != "model"])
 
 
-@query("g21_coverage_pivot", "SELECT ticker, " + ", ".join(f"count(*) FILTER (strftime(trade_date, '%Y-%m') = '2023-{m:02d}') AS \"2023-{m:02d}\"" for m in range(4, 13)) + " FROM hl GROUP BY 1")
-def _(b: Base) -> DataFrame:
-    from quillpanel.plans import figures
-
-    return figures.coverage_pivot(b.hl, [f"2023-{m:02d}" for m in range(4, 13)])
-
-
-@query("g21_coverage_every_month", "WITH m AS (SELECT DISTINCT strftime(trade_date, '%Y-%m') AS month FROM hl WHERE trade_date IS NOT NULL), t AS (SELECT DISTINCT ticker FROM hl) SELECT t.ticker, m.month, count(h.headline_uid) AS n FROM t CROSS JOIN m LEFT JOIN hl h ON h.ticker IS NOT DISTINCT FROM t.ticker AND strftime(h.trade_date, '%Y-%m') = m.month GROUP BY 1, 2")
+@query("g21_coverage_pivot", "WITH m AS (SELECT DISTINCT strftime(trade_date, '%Y-%m') AS month FROM hl WHERE trade_date IS NOT NULL), t AS (SELECT DISTINCT ticker FROM hl) SELECT t.ticker, m.month, count(h.headline_uid) AS n FROM t CROSS JOIN m LEFT JOIN hl h ON h.ticker IS NOT DISTINCT FROM t.ticker AND strftime(h.trade_date, '%Y-%m') = m.month GROUP BY 1, 2")
 def _(b: Base) -> DataFrame:
     from quillpanel.plans import figures
 

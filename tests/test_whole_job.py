@@ -104,7 +104,7 @@ def test_wide_and_csv_queries_take_every_ticker(spark):
 
     sf = "/root/testdata/sf0.001"
     want = {r[0] for r in Base(spark, sf).px.where("close is not null").select("ticker").distinct().collect()}
-    for query in (PQ.QUERIES["d4_whole_universe"], RQ.QUERIES["a6_whole_universe"]):
+    for query in (PQ.QUERIES["d4_wide_to_long"], RQ.QUERIES["a6_csv_prices"]):
         assert {r[0] for r in query(spark, sf).where("close is not null").select("ticker").distinct().collect()} == want
 
 
