@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quillpanel.config import SETTINGS
 from quillpanel.functions.numbers import at_least, ratio, squash
 from quillpanel.functions.stats import with_pooled_rank
+from quillpanel.operators import boosting
 from quillpanel.operators import cross_section as XS
 from quillpanel.runtime import write_table
 from quillpanel.sources.schema import FEATURES, PRICE_FEATURES, SENTIMENT_FEATURES
@@ -111,14 +112,10 @@ def boosted(train: DataFrame, columns: Sequence[str], target: str = "target_next
     Stands for a histogram booster with early stopping: like in design, not equal in numbers.
     """
     assemble = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="skip")
-    rows = assemble.transform(train.dropna(subset=[target])).withColumns({"_y": F.col(target).cast("double"), "_held": F.rand(seed) < held}).select("_x", "_y", "_held").persist()
-    try:
-        model = GBTClassifier(featuresCol="_x", labelCol="_y", maxDepth=depth, maxIter=rounds, stepSize=step, seed=seed, maxBins=64).fit(rows.where(~F.col("_held")))
-        staged = model.evaluateEachIteration(rows.where("_held")) if held else []
-    finally:
-        rows.unpersist()
+    rows = train.dropna(subset=[*columns, target]).withColumns({"_y": F.col(target).cast("double"), "_held": F.rand(seed) < held})
+    trees, staged = boosting.grow(rows, columns, "_y", "_held", rounds, depth, step)
     best = 1 + min(range(len(staged)), key=staged.__getitem__) if staged and not math.isnan(staged[0]) else rounds
-    return PipelineModel([assemble, first_trees(model, best)]), best
+    return PipelineModel([assemble, boosting.classifier(trees[:best], len(columns), step, featuresCol="_x", labelCol="_y", maxDepth=depth, maxIter=rounds, seed=seed, maxBins=64)]), best
 
 
 def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
