@@ -6,12 +6,11 @@ import json
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,9 +19,9 @@ from pyspark.sql import functions as F
 from quillpanel.config import SETTINGS
 from quillpanel.functions.numbers import at_least, ratio, squash
 from quillpanel.functions.stats import with_pooled_rank
-from quillpanel.operators import boosting
+from quillpanel.operators import boosting, newton
 from quillpanel.operators import cross_section as XS
-from quillpanel.runtime import write_table
+from quillpanel.runtime import slots, write_table
 from quillpanel.sources.schema import FEATURES, PRICE_FEATURES, SENTIMENT_FEATURES
 
 BLOCKS = {"sentiment_only": SENTIMENT_FEATURES, "price_only": PRICE_FEATURES, "combined": FEATURES}
@@ -89,23 +88,29 @@ def logistic(train: DataFrame, columns: Sequence[str], target: str = "target_nex
 
 
 def logistics(train: DataFrame, columns: Sequence[str], target: str, grid: Sequence[float], balanced: bool = True, max_iter: int = 2000) -> list[Linear]:
-    """``logistic`` at each strength of ``grid``; the rows are scaled and weighted once."""
+    """``logistic`` at each strength of ``grid``."""
     scaler = Scaler.fit(train, columns)
-    rows = scaler.apply(train.dropna(subset=[*columns, target]).select(*columns, target))
-    rows = balanced_weight(rows, target) if balanced else rows.withColumn("_weight", F.lit(1.0))
-    rows = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(rows).select("_x", F.col(target).cast("double").alias("_y"), "_weight").persist()
-
-    def fit(c: float) -> Linear:
-        model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_weight", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9).fit(rows)
-        return Linear(scaler, dict(zip(columns, (float(v) for v in model.coefficients))), float(model.intercept))
-
+    rows = _plain(train, columns, target, F.lit(0.0))
     try:
-        total = rows.agg(F.sum("_weight")).first()[0]
-        return [fit(c) for c in grid]
+        return _linear(newton.fitted(rows, [_part(scaler, columns, 1.0)], grid, balanced, max_iter), [scaler], columns)[0]
     finally:
         rows.unpersist()
 
 
+def _plain(df: DataFrame, columns: Sequence[str], target: str, at: Column) -> DataFrame:
+    """The columns, target and place as doubles, stored in as many partitions as there are tasks at a time."""
+    each = [F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate(columns)]
+    return df.select(*each, F.col(target).cast("double").alias("_y"), at.cast("double").alias("_at")).coalesce(slots(df.sparkSession)).persist()
+
+
+def _part(scaler: Scaler, columns: Sequence[str], upto: float) -> newton.Part:
+    return newton.Part(tuple(range(len(columns))), tuple(scaler.mean[c] for c in columns), tuple(scaler.std[c] for c in columns), upto)
+
+
+def _linear(found: list[list[tuple]], scalers: Sequence[Scaler], columns: Sequence[str]) -> list[list[Linear]]:
+    return [[Linear(scaler, dict(zip(columns, map(float, w))), b) for w, b in each] for scaler, each in zip(scalers, found)]
+
+
 def boosted(train: DataFrame, columns: Sequence[str], target: str = "target_next_up", rounds: int = 200, depth: int = 3, step: float = 0.03, held: float = 0.15, seed: int = SETTINGS.random_state):
     """Gradient-boosted trees and their number: of ``rounds``, as many as have the least loss on a held-out share of the training rows.
 
@@ -138,22 +143,30 @@ def boosted_probability(model: PipelineModel, df: DataFrame, out: str = "prob_up
     return scored.withColumn(out, vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
 
 
-def folds(df: DataFrame, n: int = 4) -> list[tuple[DataFrame, DataFrame]]:
-    """Forward-chaining folds by row position in (date, ticker) order: each test part follows its training part.
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` with ``_at``, the row's position from 0 on in (date, ticker) order.
 
-    A fold may cut inside a day. Positions come from counts per day, a prefix sum
-    over the days and a rank within the day.
+    Positions come from counts per day, a prefix sum over the days and a rank
+    within the day.
     """
     per_day = df.groupBy("date").agg(F.count("*").alias("_c"))
     before = per_day.select("date", (F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("date")) - F.col("_c")).alias("_before"))  # one row a day
-    placed = df.join(F.broadcast(before), "date").withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy("date").orderBy("ticker")) - 1).drop("_before")
-    total = df.count()
+    return df.join(F.broadcast(before), "date").withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy("date").orderBy("ticker")) - 1).drop("_before")
+
+
+def fold_bounds(total: int, n: int) -> list[tuple[int, int]]:
+    """Where the test part of each fold begins and ends; its training part is all before."""
     size = total // (n + 1)
-    out = []
-    for k in range(n):
-        lo = total - (n - k) * size
-        out.append((placed.where(F.col("_at") < lo).drop("_at"), placed.where((F.col("_at") >= lo) & (F.col("_at") < lo + size)).drop("_at")))
-    return out
+    return [(total - (n - k) * size, total - (n - k - 1) * size) for k in range(n)]
+
+
+def folds(df: DataFrame, n: int = 4) -> list[tuple[DataFrame, DataFrame]]:
+    """Forward-chaining folds by row position in (date, ticker) order: each test part follows its training part.
+
+    A fold may cut inside a day.
+    """
+    rows = placed(df)
+    return [(rows.where(F.col("_at") < lo).drop("_at"), rows.where((F.col("_at") >= lo) & (F.col("_at") < hi)).drop("_at")) for lo, hi in fold_bounds(df.count(), n)]
 
 
 def auc(df: DataFrame, target: str, prob: str) -> DataFrame:
@@ -167,17 +180,19 @@ def auc(df: DataFrame, target: str, prob: str) -> DataFrame:
 def tuning(train: DataFrame, columns: Sequence[str], target: str = "target_next_up", grid: Sequence[float] = C_GRID, n: int = 4) -> DataFrame:
     """``(c, auc)``: the mean AUC of each strength over the folds, 0.5 where a fold has one class."""
 
-    def scored(k: int, fit: DataFrame, test: DataFrame) -> DataFrame:
-        each = [F.struct(F.lit(i).alias("_i"), m.probability().alias("_p")) for i, m in enumerate(logistics(fit, columns, target, grid))]
-        rows = test.where(F.col(target).isNotNull()).select(F.col(target).alias("_y"), F.explode(F.array(*each)).alias("_m"))
-        return rows.select((F.lit(k * len(grid)) + F.col("_m._i")).alias("_by"), "_y", F.col("_m._p").alias("_p")).where("_p is not null")
-
-    spark = train.sparkSession
-    parts = together(spark, [lambda k=k, p=p: scored(k, *p) for k, p in enumerate(folds(train, n))])
-    ranked = with_pooled_rank(write_table(reduce(DataFrame.unionByName, parts), "scored"), "_by", "_p", "_r")
+    rows = _plain(placed(train), columns, target, F.col("_at"))
+    try:
+        bounds = fold_bounds(rows.count(), n)
+        scalers = [Scaler(dict(zip(columns, map(float, m))), {c: float(v) or 1.0 for c, v in zip(columns, d)}) for m, d in zip(*newton.moments(rows, [lo for lo, _ in bounds]))]
+        found = newton.fitted(rows, [_part(s, columns, float(lo)) for s, (lo, _) in zip(scalers, bounds)], grid, True, 2000)
+        tests = [(_part(s, columns, float(hi)), float(lo), models) for s, (lo, hi), models in zip(scalers, bounds, found)]
+        stored = write_table(newton.scored(rows, tests), "scored")
+    finally:
+        rows.unpersist()
+    ranked = with_pooled_rank(stored, "_by", "_p", "_r")
     s = ranked.groupBy("_by").agg(F.sum(F.when(F.col("_y") == 1, F.col("_r"))).alias("r"), F.count(F.when(F.col("_y") == 1, 1)).alias("p"), F.count("*").alias("n"))
     got = s.select("_by", ratio(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
-    every = spark.createDataFrame([(k * len(grid) + i, float(c)) for k in range(n) for i, c in enumerate(grid)], "_by int, c double")  # a row per fold and strength
+    every = train.sparkSession.createDataFrame([(k * len(grid) + i, float(c)) for k in range(n) for i, c in enumerate(grid)], "_by int, c double")  # a row per fold and strength
     return every.join(got, "_by", "left").groupBy("c").agg(F.avg(F.coalesce("auc", F.lit(0.5))).alias("auc"))
 
 
