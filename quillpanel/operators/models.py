@@ -258,10 +258,10 @@ def ablation(features: DataFrame, test_start: str = SETTINGS.test_start, c: floa
         used = tuned_c(train, columns) if c is None else c
         return used, logistic(train, columns, c=used)
 
-    jobs = [lambda columns=columns: linear(columns) for columns in blocks.values()] + [lambda columns=columns: boosted(train, columns, rounds=rounds)[0] for columns in blocks.values()]
-    fitted = together(features.sparkSession, jobs)
+    forests = [boosted(train, columns, rounds=rounds)[0] for columns in blocks.values()]  # one after the other: each takes all cores
+    fitted = together(features.sparkSession, [lambda columns=columns: linear(columns) for columns in blocks.values()])
     scored, strength = baselines(train, test).select(*keep), {}
-    for name, (used, fit), trees in zip(blocks, fitted, fitted[len(blocks):]):
+    for name, (used, fit), trees in zip(blocks, fitted, forests):
         strength[f"logreg__{name}"] = used
         scored = scored.unionByName(test.withColumns({"model": F.lit(f"logreg__{name}"), "prob_up": fit.probability()}).withColumn("pred_up", at_least(F.col("prob_up"))).select(*keep))
         scored = scored.unionByName(boosted_probability(trees, test).withColumns({"model": F.lit(f"hgb__{name}")}).withColumn("pred_up", at_least(F.col("prob_up"))).select(*keep))
