@@ -300,21 +300,25 @@ def walk_forward_blend(panel: DataFrame, columns: Sequence[str], prior: Mapping[
     """The blend with the best mean of yearly mean ICs, each year fitted on the years before it; the first of equals.
 
     A year needs enough history. The fit does not depend on the blend, so there
-    is one per year.
+    is one per year; all years are fitted together.
     """
     sizes = {r["y"]: r["n"] for r in panel.groupBy(F.year("date").alias("y")).agg(F.count("*").alias("n")).collect()}  # one row a year
-    scored = None
-    for y in sorted(sizes)[1:]:
-        if sum(n for past, n in sizes.items() if past < y) < least_history:
-            continue
-        fit = logistic(panel.where(F.year("date") < y), columns, target, balanced=False)
-        ways = F.array(*[
-            F.struct(F.lit(g).alias("blend"), sum((F.lit(w) * fit.scaler.column(c) for c, w in blended(fit.coefficients, prior, g).items()), F.lit(0.0)).alias("score")) for g in grid
-        ])
-        fold = panel.where(F.year("date") == y).select("date", "fwd_ret_1d", F.explode(ways).alias("_w")).select("date", "fwd_ret_1d", "_w.*")
-        scored = fold if scored is None else scored.unionByName(fold)
-    if scored is None:
+    years = [y for y in sorted(sizes)[1:] if sum(n for past, n in sizes.items() if past < y) >= least_history]
+    if not years:
         return grid[0]
+    rows = _plain(panel, columns, target, F.year("date"))
+    try:
+        scalers = [Scaler(dict(zip(columns, map(float, m))), {c: float(v) or 1.0 for c, v in zip(columns, d)}) for m, d in zip(*newton.moments(rows, [float(y) for y in years]))]
+        fits = [f[0] for f in _linear(newton.fitted(rows, [_part(s, columns, float(y)) for s, y in zip(scalers, years)], (0.1,), False, 2000), scalers, columns)]
+    finally:
+        rows.unpersist()
+    of_year = [(y, [f.scaler.mean[c] for c in columns], [f.scaler.std[c] for c in columns], [[blended(f.coefficients, prior, g)[c] for c in columns] for g in grid]) for y, f in zip(years, fits)]
+    ways = panel.sparkSession.createDataFrame(of_year, "_year int, _mean array<double>, _std array<double>, _ways array<array<double>>")  # a row a year
+    placed_ = panel.join(F.broadcast(ways), F.year("date") == F.col("_year"))
+    each = F.array(*[
+        F.struct(F.lit(g).alias("blend"), sum((F.col("_ways")[i][j] * ((F.col(c) - F.col("_mean")[j]) / F.col("_std")[j]) for j, c in enumerate(columns)), F.lit(0.0)).alias("score")) for i, g in enumerate(grid)
+    ])
+    scored = write_table(placed_.select("date", "fwd_ret_1d", F.explode(each).alias("_w")).select("date", "fwd_ret_1d", "_w.*"), "blends")
     ic = XS.daily_ic(scored, "score", least=least_names, by=["blend"])
     yearly = ic.groupBy("blend", F.year("date").alias("y")).agg(F.avg("ic").alias("ic")).groupBy("blend").agg(F.avg("ic").alias("ic")).collect()  # one row a blend
     got = {r["blend"]: r["ic"] for r in yearly}

@@ -29,3 +29,15 @@ def test_forests_grow_one_after_the_other(features, monkeypatch):
     monkeypatch.setattr(M, "boosted", alone)
     M.ablation(features, str(_day(30)), c=0.1, rounds=2, blocks={"a": ["sent_mean"], "b": ["ret_1d"]})
     assert seen == [True, True]
+
+
+def test_all_years_are_fitted_together(spark, monkeypatch):
+    from quillpanel.operators import newton
+
+    calls, real = [], newton.fitted
+    monkeypatch.setattr(newton, "fitted", lambda rows, parts, *rest: calls.append([p.upto for p in parts]) or real(rows, parts, *rest))
+    u = lambda seed: F.xxhash64("id", F.lit(seed)) / float(2**63)
+    rows = spark.range(1200).select(F.make_date(2018 + F.col("id") % 4, F.lit(1), F.lit(1) + F.col("id") % 7).alias("date"), u(1).alias("ret_1d"), u(2).alias("volume_z"), u(3).alias("_e"))
+    rows = rows.withColumns({"fwd_ret_1d": F.col("ret_1d") + F.col("_e") / 4, "target_rel": (F.col("ret_1d") > 0).cast("int")}).drop("_e").cache()
+    assert M.walk_forward_blend(rows, ["ret_1d", "volume_z"], {"ret_1d": -1.0}, least_history=300, least_names=5) == 1.0
+    assert calls == [[2019.0, 2020.0, 2021.0]]
