@@ -12,6 +12,7 @@ from quillpanel.functions.numbers import at_least, up_label
 from quillpanel.operators import features as FT
 from quillpanel.operators import models as M
 from quillpanel.operators import sessions as S
+from quillpanel.runtime import write_table
 from quillpanel.sources.schema import SENTIMENT_FEATURES
 
 
@@ -32,7 +33,8 @@ def lag_pivot(results: DataFrame, lags: Sequence[int] = (0, 1)) -> DataFrame:
 def leakage_comparison(headlines: DataFrame, sentiment: DataFrame, prices: DataFrame, lags: Sequence[int] = (0, 1), test_start: str = SETTINGS.test_start, model: str = SETTINGS.model, rounds: int = 200, settings: Settings = SETTINGS) -> DataFrame:
     results = None
     for lag in lags:
-        one = M.ablation(features_at(headlines, sentiment, prices, lag, model, settings), test_start, rounds=rounds).withColumn("extra_lag", F.lit(lag))
+        stored = write_table(features_at(headlines, sentiment, prices, lag, model, settings), "features")  # read by every fit
+        one = M.ablation(stored, test_start, rounds=rounds).withColumn("extra_lag", F.lit(lag))
         results = one if results is None else results.unionByName(one)
     return lag_pivot(results, lags)
 

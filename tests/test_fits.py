@@ -41,3 +41,11 @@ def test_all_years_are_fitted_together(spark, monkeypatch):
     rows = rows.withColumns({"fwd_ret_1d": F.col("ret_1d") + F.col("_e") / 4, "target_rel": (F.col("ret_1d") > 0).cast("int")}).drop("_e").cache()
     assert M.walk_forward_blend(rows, ["ret_1d", "volume_z"], {"ret_1d": -1.0}, least_history=300, least_names=5) == 1.0
     assert calls == [[2019.0, 2020.0, 2021.0]]
+
+
+def test_leakage_comparison_reads_stored_features(spark, features, monkeypatch):
+    read = []
+    monkeypatch.setattr(EX, "features_at", lambda h, s, p, lag, *_: features)
+    monkeypatch.setattr(M, "ablation", lambda df, *_, **__: read.append(df.inputFiles()) or spark.createDataFrame([("m", 0.5, 0.5)], "model string, accuracy double, roc_auc double"))
+    assert EX.leakage_comparison(None, None, None).count() == 1
+    assert len(read) == 2 and all("/tables/features-" in f for files in read for f in files) and all(read)
