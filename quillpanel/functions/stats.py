@@ -29,25 +29,30 @@ def average_rank(x: Column, by: Sequence[str]) -> Column:
 VALUES_PER_RANGE = 500_000
 
 
-def ordered_counts(df: DataFrame, by: str, column: str, values_per_range: int = VALUES_PER_RANGE) -> DataFrame:
-    """``(by, column, _n, _upto)``: each value of each group with its rows and the rows of the group up to and with it.
+def ordered_counts(df: DataFrame, by: str | Sequence[str], column: str, values_per_range: int = VALUES_PER_RANGE, more: Sequence[Column] = ()) -> DataFrame:
+    """``(*by, column, *more, _n, _upto)``: each value of each group with its rows, aggregates ``more`` of them, and the rows of the group up to and with it.
 
     No task sorts a whole group: values are exchanged into ranges, as many as
     their number asks for, and what lies in ranges before comes from the ranges'
     totals. A value that many rows share is one row, map-side combined.
     """
-    counts = write_table(df.groupBy(by, column).agg(F.count("*").alias("_n")), "counts")
+    keys = [by] if isinstance(by, str) else list(by)
+    counts = write_table(df.groupBy(*keys, column).agg(*more, F.count("*").alias("_n")), "counts")
+    kept = counts.columns
     ranges = max(1, -(-counts.count() // values_per_range))
-    ranged = write_table(counts.repartitionByRange(ranges, by, column).withColumn("_range", F.spark_partition_id()), "ranged")
-    inside = F.sum("_n").over(Window.partitionBy(by, "_range").orderBy(column))
-    totals = ranged.groupBy(by, "_range").agg(F.sum("_n").alias("_total"))
-    before = totals.select(by, "_range", (F.sum("_total").over(Window.partitionBy(by).orderBy("_range")) - F.col("_total")).alias("_before"))  # a row per group and range
-    return ranged.withColumn("_inside", inside).join(before, [by, "_range"]).select(by, column, "_n", (F.col("_before") + F.col("_inside")).alias("_upto"))
+    if ranges == 1:  # nothing lies before
+        return counts.select(*kept, F.sum("_n").over(Window.partitionBy(*keys).orderBy(column)).alias("_upto"))
+    ranged = write_table(counts.repartitionByRange(ranges, *keys, column).withColumn("_range", F.spark_partition_id()), "ranged")
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy(column))
+    totals = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_total"))
+    before = totals.select(*keys, "_range", (F.sum("_total").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_total")).alias("_before"))  # a row per group and range
+    return ranged.withColumn("_inside", inside).join(before, [*keys, "_range"]).select(*kept, (F.col("_before") + F.col("_inside")).alias("_upto"))
 
 
-def pooled_ranks(df: DataFrame, by: str, column: str, out: str, values_per_range: int = VALUES_PER_RANGE) -> DataFrame:
-    """``(by, column, out)``: the average rank of each value among all rows of the same ``by``, whatever their number."""
-    return ordered_counts(df, by, column, values_per_range).select(by, column, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
+def pooled_ranks(df: DataFrame, by: str | Sequence[str], column: str, out: str, values_per_range: int = VALUES_PER_RANGE) -> DataFrame:
+    """``(*by, column, out)``: the average rank of each value among all rows of the same ``by``, whatever their number."""
+    counts = ordered_counts(df, by, column, values_per_range)
+    return counts.select(*counts.columns[:-2], (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
 
 
 def with_pooled_rank(df: DataFrame, by: str, column: str, out: str, values_per_range: int = VALUES_PER_RANGE) -> DataFrame:
@@ -55,12 +60,24 @@ def with_pooled_rank(df: DataFrame, by: str, column: str, out: str, values_per_r
     return df.join(pooled_ranks(df, by, column, out, values_per_range), [by, column])
 
 
+def rank_sums(df: DataFrame, by: str, column: str, own: Column, values_per_range: int = VALUES_PER_RANGE) -> DataFrame:
+    """``(by, r, p, n)``: the sum of the average ranks of the rows where ``own`` holds, their number, and that of all rows.
+
+    From the counts per value: ranks are not joined to the rows.
+    """
+    counts = ordered_counts(df, by, column, values_per_range, [F.count(F.when(own, 1)).alias("_own")])
+    rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2
+    return counts.groupBy(by).agg(F.sum(F.when(F.col("_own") > 0, F.col("_own") * rank)).alias("r"), F.sum("_own").alias("p"), F.sum("_n").alias("n"))
+
+
 def with_place(df: DataFrame, order: Sequence[str], out: str, rows_per_range: int = VALUES_PER_RANGE) -> DataFrame:
     """``df``, a stored table, with each row's place from 1 on in ``order``: ranges of rows, and prefix sums over the ranges.
 
     Rows that share a value of the first column are split by the others.
     """
     ranges = max(1, -(-df.count() // rows_per_range))
+    if ranges == 1:  # no more rows than one task puts in order
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
     ranged = write_table(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "placed")
     totals = ranged.groupBy("_range").agg(F.count("*").alias("_total"))
     before = totals.select("_range", (F.sum("_total").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_total")).alias("_before"))  # a row per range
@@ -88,13 +105,28 @@ def exact_quantiles(df: DataFrame, column: str, at: Sequence[float], values_per_
     return out
 
 
+def group_medians(df: DataFrame, by: str, column: str, values_per_range: int = VALUES_PER_RANGE) -> DataFrame:
+    """``(by, median)`` of a column without nulls, interpolated between the two in the middle, of all groups at once."""
+    counts = ordered_counts(df, by, column, values_per_range)
+    totals = counts.groupBy(by).agg(F.max("_upto").alias("_of"))  # a row a group
+    at = lambda place: F.max(F.when((F.col("_upto") >= place) & (F.col("_upto") - F.col("_n") < place), F.col(column)))
+    lower, upper = at(F.floor((F.col("_of") + 1) / 2)), at(F.floor(F.col("_of") / 2) + 1)
+    return counts.join(totals, by).groupBy(by).agg(F.when(lower == upper, lower).otherwise(lower / 2 + upper / 2).alias("median"))
+
+
 def pooled_spearman(pairs: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """``(by, rho, n)``: Spearman correlation per group over all its pairs; pairs with a null are left out before ranking.
 
     The pairs, three columns, are stored once in the shared folder: ranking reads them several times.
     """
     whole = write_table(pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, F.col(x).alias("_x"), F.col(y).alias("_y")), "pairs")
-    ranked = whole.join(pooled_ranks(whole, by, "_x", "_rx"), [by, "_x"]).join(pooled_ranks(whole, by, "_y", "_ry"), [by, "_y"])
+    if whole.schema["_x"].dataType == whole.schema["_y"].dataType:  # both sides are ranked in one go
+        side = lambda k, c: F.struct(F.lit(k).alias("_side"), F.col(c).alias("_v"))
+        ranks = pooled_ranks(whole.select(by, F.explode(F.array(side(0, "_x"), side(1, "_y"))).alias("_s")).select(by, "_s.*"), [by, "_side"], "_v", "_r")
+        rx, ry = (ranks.where(F.col("_side") == k).select(by, F.col("_v").alias(f"_{c}"), F.col("_r").alias(f"_r{c}")) for k, c in enumerate("xy"))
+    else:
+        rx, ry = pooled_ranks(whole, by, "_x", "_rx"), pooled_ranks(whole, by, "_y", "_ry")
+    ranked = whole.join(rx, [by, "_x"]).join(ry, [by, "_y"])
     return ranked.groupBy(by).agg(guarded_corr(F.col("_rx"), F.col("_ry")).alias("rho"), F.count("*").alias("n"))
 
 

@@ -15,7 +15,7 @@ import secrets
 import socket
 import struct
 from collections.abc import Callable, Iterator, Sequence
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -63,18 +63,24 @@ def classifier(trees: list[list[tuple]], n_features: int, step: float, **params)
     tree, ml = gateway.jvm.org.apache.spark.ml.tree, gateway.jvm.org.apache.spark.ml
     variance = gateway.jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator
 
-    def node(nodes: list[tuple], k: int):
+    # Every call crosses to the JVM: sums go over together, splits that recur are made once.
+    sums = np.array([v for nodes in trees for n in nodes for v in n[3:6]], ">f8")
+    held = gateway.new_array(gateway.jvm.double, len(sums))
+    gateway.jvm.java.nio.ByteBuffer.wrap(sums.tobytes()).asDoubleBuffer().get(held)
+    part = gateway.jvm.java.util.Arrays.copyOfRange
+    first = np.cumsum([0, *map(len, trees)]).tolist()
+    split = cache(lambda f, threshold: tree.ContinuousSplit(int(f), threshold))
+
+    def node(nodes: list[tuple], k: int, at: int):
         f, threshold, gain, n, s, q, left, right = nodes[k]
-        stats = gateway.new_array(gateway.jvm.double, 3)
-        stats[0], stats[1], stats[2] = float(n), float(s), float(q)
-        value, impurity, stats = float(s / n), float(q / n - (s / n) ** 2), variance(stats, int(n))
+        value, impurity, stats = float(s / n), float(q / n - (s / n) ** 2), variance(part(held, 3 * (at + k), 3 * (at + k) + 3), int(n))
         if f < 0:
             return tree.LeafNode(value, impurity, stats)
-        return tree.InternalNode(value, impurity, float(gain), node(nodes, left), node(nodes, right), tree.ContinuousSplit(int(f), threshold), stats)
+        return tree.InternalNode(value, impurity, float(gain), node(nodes, left, at), node(nodes, right, at), split(f, threshold), stats)
 
     made, weights = gateway.new_array(ml.regression.DecisionTreeRegressionModel, len(trees)), gateway.new_array(gateway.jvm.double, len(trees))
     for k, nodes in enumerate(trees):
-        made[k], weights[k] = ml.regression.DecisionTreeRegressionModel(f"dtr_{k}", node(nodes, 0), n_features), step if k else 1.0
+        made[k], weights[k] = ml.regression.DecisionTreeRegressionModel(f"dtr_{k}", node(nodes, 0, first[k]), n_features), step if k else 1.0
     estimator = GBTClassifier(stepSize=step, **params)
     out = GBTClassificationModel(ml.classification.GBTClassificationModel(estimator.uid, made, weights, n_features, 2))
     out._resetUid(estimator.uid)

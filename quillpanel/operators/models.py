@@ -6,6 +6,7 @@ import json
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cache
 from multiprocessing.pool import ThreadPool
 
 from pyspark import SparkContext, inheritable_thread_target
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillpanel.config import SETTINGS
 from quillpanel.functions.numbers import at_least, ratio, squash
-from quillpanel.functions.stats import with_pooled_rank
+from quillpanel.functions.stats import rank_sums
 from quillpanel.operators import boosting, newton
 from quillpanel.operators import cross_section as XS
 from quillpanel.runtime import slots, write_table
@@ -97,14 +98,28 @@ def logistics(train: DataFrame, columns: Sequence[str], target: str, grid: Seque
         rows.unpersist()
 
 
+def logistic_blocks(train: DataFrame, blocks: Sequence[Sequence[str]], strengths: Sequence[float], target: str = "target_next_up") -> list[Linear]:
+    """``logistic`` of each block at its strength; all share the passes."""
+    every, grid = list(dict.fromkeys(c for columns in blocks for c in columns)), sorted(set(strengths))
+    whole = Scaler.fit(train, every)
+    scalers = [Scaler({c: whole.mean[c] for c in columns}, {c: whole.std[c] for c in columns}) for columns in blocks]
+    rows = _plain(train, every, target, F.lit(0.0))
+    try:
+        found = newton.fitted(rows, [_part(s, columns, 1.0, every) for s, columns in zip(scalers, blocks)], grid, True, 2000)
+    finally:
+        rows.unpersist()
+    return [_linear([each], [s], columns)[0][grid.index(c)] for each, s, columns, c in zip(found, scalers, blocks, strengths)]
+
+
 def _plain(df: DataFrame, columns: Sequence[str], target: str, at: Column) -> DataFrame:
     """The columns, target and place as doubles, stored in as many partitions as there are tasks at a time."""
     each = [F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate(columns)]
     return df.select(*each, F.col(target).cast("double").alias("_y"), at.cast("double").alias("_at")).coalesce(slots(df.sparkSession)).persist()
 
 
-def _part(scaler: Scaler, columns: Sequence[str], upto: float) -> newton.Part:
-    return newton.Part(tuple(range(len(columns))), tuple(scaler.mean[c] for c in columns), tuple(scaler.std[c] for c in columns), upto)
+def _part(scaler: Scaler, columns: Sequence[str], upto: float, of: Sequence[str] | None = None) -> newton.Part:
+    """The part over ``columns`` of rows that hold the columns ``of``."""
+    return newton.Part(tuple(map((of or columns).index, columns)), tuple(scaler.mean[c] for c in columns), tuple(scaler.std[c] for c in columns), upto)
 
 
 def _linear(found: list[list[tuple]], scalers: Sequence[Scaler], columns: Sequence[str]) -> list[list[Linear]]:
@@ -172,33 +187,40 @@ def folds(df: DataFrame, n: int = 4) -> list[tuple[DataFrame, DataFrame]]:
 def auc(df: DataFrame, target: str, prob: str) -> DataFrame:
     """``(auc)`` by average ranks; null with a single class."""
     rows = df.where(F.col(prob).isNotNull() & F.col(target).isNotNull()).select(F.lit(0).alias("_all"), F.col(prob).alias("_p"), F.col(target).alias("_y"))
-    ranked = with_pooled_rank(write_table(rows, "scored"), "_all", "_p", "_r")
-    s = ranked.agg(F.sum(F.when(F.col("_y") == 1, F.col("_r"))).alias("r"), F.count(F.when(F.col("_y") == 1, 1)).alias("p"), F.count("*").alias("n"))
+    s = rank_sums(rows, "_all", "_p", F.col("_y") == 1).agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))  # a row, without rows too
     return s.select(ratio(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
 
 
-def tuning(train: DataFrame, columns: Sequence[str], target: str = "target_next_up", grid: Sequence[float] = C_GRID, n: int = 4) -> DataFrame:
-    """``(c, auc)``: the mean AUC of each strength over the folds, 0.5 where a fold has one class."""
+def tunings(train: DataFrame, blocks: Sequence[Sequence[str]], target: str = "target_next_up", grid: Sequence[float] = C_GRID, n: int = 4) -> DataFrame:
+    """``(block, c, auc)`` by the place of a block: the mean AUC of each strength over the folds, 0.5 where a fold has one class.
 
-    rows = _plain(placed(train), columns, target, F.col("_at"))
+    The folds of all blocks share the passes and the ranks.
+    """
+    every = list(dict.fromkeys(c for columns in blocks for c in columns))
+    rows = _plain(placed(train), every, target, F.col("_at"))
     try:
         bounds = fold_bounds(rows.count(), n)
-        scalers = [Scaler(dict(zip(columns, map(float, m))), {c: float(v) or 1.0 for c, v in zip(columns, d)}) for m, d in zip(*newton.moments(rows, [lo for lo, _ in bounds]))]
-        found = newton.fitted(rows, [_part(s, columns, float(lo)) for s, (lo, _) in zip(scalers, bounds)], grid, True, 2000)
-        tests = [(_part(s, columns, float(hi)), float(lo), models) for s, (lo, hi), models in zip(scalers, bounds, found)]
-        stored = write_table(newton.scored(rows, tests), "scored")
+        scalers = [Scaler(dict(zip(every, map(float, m))), {c: float(v) or 1.0 for c, v in zip(every, d)}) for m, d in zip(*newton.moments(rows, [lo for lo, _ in bounds]))]
+        folds_ = [(columns, s, lo, hi) for columns in blocks for s, (lo, hi) in zip(scalers, bounds)]
+        found = newton.fitted(rows, [_part(s, columns, float(lo), every) for columns, s, lo, _ in folds_], grid, True, 2000)
+        tests = [(_part(s, columns, float(hi), every), float(lo), models) for (columns, s, lo, hi), models in zip(folds_, found)]
+        s = rank_sums(newton.scored(rows, tests), "_by", "_p", F.col("_y") == 1)  # reads the rows here
     finally:
         rows.unpersist()
-    ranked = with_pooled_rank(stored, "_by", "_p", "_r")
-    s = ranked.groupBy("_by").agg(F.sum(F.when(F.col("_y") == 1, F.col("_r"))).alias("r"), F.count(F.when(F.col("_y") == 1, 1)).alias("p"), F.count("*").alias("n"))
     got = s.select("_by", ratio(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
-    every = train.sparkSession.createDataFrame([(k * len(grid) + i, float(c)) for k in range(n) for i, c in enumerate(grid)], "_by int, c double")  # a row per fold and strength
-    return every.join(got, "_by", "left").groupBy("c").agg(F.avg(F.coalesce("auc", F.lit(0.5))).alias("auc"))
+    ways = [(k, float(c)) for k in range(len(blocks)) for _ in range(n) for c in grid]
+    each = train.sparkSession.createDataFrame([(i, *way) for i, way in enumerate(ways)], "_by int, block int, c double")  # a row per block, fold and strength
+    return each.join(got, "_by", "left").groupBy("block", "c").agg(F.avg(F.coalesce("auc", F.lit(0.5))).alias("auc"))
 
 
-def tuned_c(train: DataFrame, columns: Sequence[str], target: str = "target_next_up", grid: Sequence[float] = C_GRID, n: int = 4) -> float:
-    """The strength with the best mean AUC over the folds; the first of equals."""
-    mean = {r["c"]: r["auc"] for r in tuning(train, columns, target, grid, n).collect()}  # a row per strength
+def tuning(train: DataFrame, columns: Sequence[str], target: str = "target_next_up", grid: Sequence[float] = C_GRID, n: int = 4) -> DataFrame:
+    """``(c, auc)`` of one block: ``tunings``."""
+    return tunings(train, [columns], target, grid, n).drop("block")
+
+
+def tuned_c(train: DataFrame, columns: Sequence[str], target: str = "target_next_up", grid: Sequence[float] = C_GRID, n: int = 4, means: Callable[[], Mapping[float, float]] | None = None) -> float:
+    """The strength with the best mean AUC over the folds; the first of equals. ``means`` gives what ``tuning`` gives, where it is known."""
+    mean = means() if means else {r["c"]: r["auc"] for r in tuning(train, columns, target, grid, n).collect()}  # a row per strength
     return max(grid, key=lambda c: mean[float(c)])
 
 
@@ -215,14 +237,15 @@ def evaluate(df: DataFrame, target: str = "target_next_up", pred: str = "pred_up
     """
     key = F.lit(0) if by is None else F.col(by)
     rows = df.select(key.alias("_by"), F.col(target).alias("y"), F.col(pred).alias("p"), F.col(prob).alias("q"), F.col(forward).alias("f")).where("y is not null and p is not null and q is not null")
-    ranked = with_pooled_rank(write_table(rows, "scored"), "_by", "q", "_r")
+    rows = write_table(rows, "scored")
+    sums = rank_sums(rows, "_by", "q", F.col("y") == 1).select("_by", F.col("r").alias("rank_sum"))
     n_if = lambda cond: F.count(F.when(cond, 1))
     y1, p1 = F.col("y") == 1, F.col("p") == 1
     pnl = (2 * F.col("p") - 1) * F.col("f")
-    m = ranked.groupBy("_by").agg(
+    m = rows.groupBy("_by").agg(
         F.count("*").alias("n"), n_if(y1 & p1).alias("tp"), n_if(~y1 & ~p1).alias("tn"), n_if(y1).alias("pos"), n_if(p1).alias("pp"),
-        F.sum(F.when(y1, F.col("_r"))).alias("rank_sum"), F.avg(pnl).alias("mean_ret"), F.stddev_pop(pnl).alias("sd_ret"),
-    )
+        F.avg(pnl).alias("mean_ret"), F.stddev_pop(pnl).alias("sd_ret"),
+    ).join(sums, "_by")
     tpr, tnr = ratio(F.col("tp"), F.col("pos")), ratio(F.col("tn"), F.col("n") - F.col("pos"))
     return m.select(
         *([F.col("_by").alias(by)] if by else []), "n", ratio(F.col("tp") + F.col("tn"), F.col("n")).alias("accuracy"),
@@ -245,28 +268,38 @@ def baselines(train: DataFrame, test: DataFrame, target: str = "target_next_up")
     return test.withColumn("_base", base).select("*", each.alias("_m")).select(*test.columns, "_m.*")
 
 
-def ablation(features: DataFrame, test_start: str = SETTINGS.test_start, c: float | None = None, rounds: int = 200, blocks: Mapping[str, Sequence[str]] = BLOCKS) -> DataFrame:
+def ablation(features: DataFrame, test_start: str = SETTINGS.test_start, c: float | None = None, rounds: int = 200, blocks: Mapping[str, Sequence[str]] = BLOCKS, kept: dict | None = None) -> DataFrame:
     """Metrics of both learners on each block of features and of the baselines, best balanced accuracy first.
 
     Without ``c`` the logistic strength is tuned on each block's training rows; column ``C`` has what was used.
+    ``kept`` takes the fitted models by name.
     """
     train, test = split(features, test_start)
     train, test = train.persist(), test.persist()
     keep = ["ticker", "date", "target_next_up", "fwd_ret_1d", "model", "prob_up", "pred_up"]
 
-    def linear(columns: Sequence[str]) -> tuple[float, Linear]:
-        used = tuned_c(train, columns) if c is None else c
-        return used, logistic(train, columns, c=used)
+    @cache
+    def tuned() -> list[dict[float, float]]:
+        rows = tunings(train, list(blocks.values())).collect()  # a row per block and strength
+        return [{r["c"]: r["auc"] for r in rows if r["block"] == k} for k in range(len(blocks))]
 
-    forests = [boosted(train, columns, rounds=rounds)[0] for columns in blocks.values()]  # one after the other: each takes all cores
-    fitted = together(features.sparkSession, [lambda columns=columns: linear(columns) for columns in blocks.values()])
-    scored, strength = baselines(train, test).select(*keep), {}
-    for name, (used, fit), trees in zip(blocks, fitted, forests):
-        strength[f"logreg__{name}"] = used
-        scored = scored.unionByName(test.withColumns({"model": F.lit(f"logreg__{name}"), "prob_up": fit.probability()}).withColumn("pred_up", at_least(F.col("prob_up"))).select(*keep))
-        scored = scored.unionByName(boosted_probability(trees, test).withColumns({"model": F.lit(f"hgb__{name}")}).withColumn("pred_up", at_least(F.col("prob_up"))).select(*keep))
-    of_model = F.create_map(*[F.lit(x) for m, used in strength.items() for x in (m, float(used))])
-    return evaluate(scored, by="model").withColumn("C", F.try_element_at(of_model, F.col("model"))).orderBy(F.desc("balanced_accuracy"), "model")
+    try:
+        forests = [boosted(train, columns, rounds=rounds)[0] for columns in blocks.values()]  # one after the other: each takes all cores
+        used = [tuned_c(train, columns, means=lambda k=k: tuned()[k]) if c is None else c for k, columns in enumerate(blocks.values())]
+        fitted = logistic_blocks(train, list(blocks.values()), used)
+        scored, strength = baselines(train, test).select(*keep), {}
+        for name, of, fit, trees in zip(blocks, used, fitted, forests):
+            strength[f"logreg__{name}"] = of
+            if kept is not None:
+                kept |= {f"logreg__{name}": fit, f"hgb__{name}": trees}
+            scored = scored.unionByName(test.withColumns({"model": F.lit(f"logreg__{name}"), "prob_up": fit.probability()}).withColumn("pred_up", at_least(F.col("prob_up"))).select(*keep))
+            scored = scored.unionByName(boosted_probability(trees, test).withColumns({"model": F.lit(f"hgb__{name}")}).withColumn("pred_up", at_least(F.col("prob_up"))).select(*keep))
+        of_model = F.create_map(*[F.lit(x) for m, of in strength.items() for x in (m, float(of))])
+        metrics = evaluate(scored, by="model")  # over a stored table
+    finally:
+        train.unpersist()
+        test.unpersist()
+    return metrics.withColumn("C", F.try_element_at(of_model, F.col("model"))).orderBy(F.desc("balanced_accuracy"), "model")
 
 
 def champion(metrics: DataFrame, metric: str = "balanced_accuracy", like: str = "") -> DataFrame:
@@ -334,22 +367,22 @@ def cross_sectional_run(features: DataFrame, test_start: str = SETTINGS.test_sta
     signs = SETTINGS.sign_prior
     rows = XS.with_composite(XS.zscored(XS.with_relative_target(XS.panel(features.dropna(subset=["fwd_ret_1d"]), least_names)), FEATURES))
     columns = [*FEATURES, "sent_composite"]
-    panel = XS.prior_score(rows).persist()
+    panel = write_table(XS.prior_score(rows), "cross_section")
     train, test = split(panel, test_start)
-    fit = logistic(train, columns, "target_rel", c, balanced=False)
     trees, _ = boosted(train, columns, "target_rel", rounds=rounds)
-    blend = walk_forward_blend(train, columns, signs, least_names=least_names)
-    runs = [
-        ("xs_logreg", test.withColumn("_score", fit.probability()), 0.5), ("xs_hgb", boosted_probability(trees, test, "_score"), 0.5),
-        ("prior_composite", test.withColumn("_score", F.col("prior")), None), ("shrunk_to_prior", shrunk_score(test, fit.scaler, blended(fit.coefficients, signs, blend), "_score"), None),
-        ("prior_composite_full", panel.withColumn("_score", F.col("prior")), None), ("rank_by_sentiment", test.withColumn("_score", F.col("sent_mean")), 0.0), ("rank_by_sentiment_full", panel.withColumn("_score", F.col("sent_mean")), 0.0),
-    ]
-    out = None
-    for name, scored, cut in runs:
-        one = XS.accuracy(scored, "_score", cut=cut).crossJoin(XS.ic_summary(XS.daily_ic(scored, "_score", least=least_names)).withColumnRenamed("n_days", "ic_days")).crossJoin(XS.backtest_stats(XS.long_short(scored, "_score", cost_bps=cost_bps), cost_bps))
-        one = one.select(F.lit(name).alias("model"), *one.columns)
-        out = one if out is None else out.unionByName(one)
-    return out
+    fit, blend = together(features.sparkSession, [lambda: logistic(train, columns, "target_rel", c, balanced=False), lambda: walk_forward_blend(train, columns, signs, least_names=least_names)])
+    cuts = {"xs_logreg": 0.5, "xs_hgb": 0.5, "prior_composite": None, "shrunk_to_prior": None, "prior_composite_full": None, "rank_by_sentiment": 0.0, "rank_by_sentiment_full": 0.0}
+    keep = ["date", "ticker", "target_rel", "fwd_ret_1d"]
+
+    def of(df: DataFrame, **scores: Column) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), s.cast("double").alias("score")) for m, s in scores.items()]))
+        return df.select(*keep, each.alias("_m")).select("_m.*", *keep)
+
+    shrunk = shrunk_score(test, fit.scaler, blended(fit.coefficients, signs, blend), "_shrunk")
+    scored = of(shrunk, xs_logreg=fit.probability(), prior_composite=F.col("prior"), shrunk_to_prior=F.col("_shrunk"), rank_by_sentiment=F.col("sent_mean"))
+    scored = scored.unionByName(of(boosted_probability(trees, test, "_score"), xs_hgb=F.col("_score")))
+    scored = scored.unionByName(of(panel, prior_composite_full=F.col("prior"), rank_by_sentiment_full=F.col("sent_mean")))
+    return XS.compared(write_table(scored, "rankings"), cuts, least_names, cost_bps)
 
 
 def save_bundle(spark: SparkSession, path: str, name: str, columns: Sequence[str], model: Linear | PipelineModel) -> None:

@@ -365,12 +365,8 @@ def _(b: Base) -> DataFrame:
     """The mean AUC of each strength over the folds of the training rows, per block of features."""
     train, _ = M.split(_complete(b), CUT)
     train = train.persist()
-    means = M.together(b.spark, [lambda columns=columns: M.tuning(train, columns) for columns in M.BLOCKS.values()])
-    out = None
-    for block, one in zip(M.BLOCKS, means):
-        one = one.select(F.lit(block).alias("block"), "c", "auc")
-        out = one if out is None else out.unionByName(one)
-    return out
+    names = F.array(*map(F.lit, M.BLOCKS))
+    return M.tunings(train, list(M.BLOCKS.values())).select(names[F.col("block")].alias("block"), "c", "auc")
 
 
 _BASELINES = f"""
@@ -527,13 +523,14 @@ def _(b: Base) -> DataFrame:
     pipeline.score(store)
     pipeline.build_features(store)
     settings = dataclasses.replace(SETTINGS, test_start=CUT, min_names_per_day=NAMES)
-    made = {f"analyse_{name}": df for name, df in pipeline.analyse(store, settings).items()}
-    made["train_metrics"] = pipeline.train(store, settings)
-    made["xs_models"] = M.cross_sectional_run(store.read("features"), CUT, NAMES)
+    found = {f"analyse_{name}": df for name, df in pipeline.analyse(store, settings).items()}
+    found["train_metrics"] = pipeline.train(store, settings)
+    found["xs_models"] = M.cross_sectional_run(store.read("features"), CUT, NAMES)
     pipeline.monitor(store, settings=settings)
-    made |= {t: store.read(t) for t in ("prices", "headlines", "sentiment", "features", "predictions", "monitor_log")}
+    names = list(found)
+    M.together(b.spark, [lambda name=name: store.write(name, found[name].coalesce(1)) for name in names])  # whole, not only counted
     out = None
-    for t, df in made.items():
-        one = df.agg(F.lit(t).alias("table_name"), F.count("*").alias("n")).select("table_name", "n")
+    for t in [*names, "prices", "headlines", "sentiment", "features", "predictions", "monitor_log"]:
+        one = store.read(t).agg(F.lit(t).alias("table_name"), F.count("*").alias("n")).select("table_name", "n")
         out = one if out is None else out.unionByName(one)
     return out

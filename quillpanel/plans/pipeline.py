@@ -13,6 +13,7 @@ from quillpanel.operators import features as FT
 from quillpanel.operators import headlines as HL
 from quillpanel.operators import models as M
 from quillpanel.operators import monitor as MO
+from quillpanel.runtime import write_table
 from quillpanel.sources.schema import KEYS
 from quillpanel.sources.writers import Store, backfilled, numbered
 
@@ -47,6 +48,7 @@ def build_features(store: Store, settings: Settings = SETTINGS) -> DataFrame:
 def analyse(store: Store, settings: Settings = SETTINGS) -> dict[str, DataFrame]:
     f = store.read("features")
     study = analysis.lead_lag(store.read("headlines"), store.read("sentiment"), store.read("prices"), settings.model)
+    study = write_table(study, "lead_lag")  # seven rows, which the peak reads too
     return {"lead_lag": study, "peak": analysis.peak(study), "ic": analysis.information_coefficient(f), "buckets": analysis.buckets(f)}
 
 
@@ -55,8 +57,10 @@ def train(store: Store, settings: Settings = SETTINGS, rounds: int = 200) -> Dat
 
     The best on all features is the one that is served: it lies in ``models/combined``.
     """
-    features = store.read("features")
-    metrics = M.ablation(features, settings.test_start, rounds=rounds).cache()
+    features, kept = store.read("features"), {}
+    metrics = M.ablation(features, settings.test_start, rounds=rounds, kept=kept)
+    results = metrics.collect()  # nine rows
+    metrics = store.spark.createDataFrame(results, metrics.schema)
     fit, test = M.split(features, settings.test_start)
     best = [M.champion(metrics).first(), M.champion(metrics, like="combined").first()]  # two rows
     strength = {r["model"]: r["C"] for r in best}
@@ -64,10 +68,10 @@ def train(store: Store, settings: Settings = SETTINGS, rounds: int = 200) -> Dat
     for name in sorted(strength):
         learner, _, block = name.partition("__")
         if learner == "logreg":
-            model = M.logistic(fit, M.BLOCKS[block], c=strength[name])
+            model = kept.get(name) or M.logistic(fit, M.BLOCKS[block], c=strength[name])
             scored = test.withColumn("prob_up", model.probability())
         elif learner == "hgb":
-            model = M.boosted(fit, M.BLOCKS[block], rounds=rounds)[0]
+            model = kept.get(name) or M.boosted(fit, M.BLOCKS[block], rounds=rounds)[0]
             scored = M.boosted_probability(model, test)
         else:
             scored = M.baselines(fit, test).where(F.col("model") == name).drop("model", "pred_up")
@@ -78,7 +82,7 @@ def train(store: Store, settings: Settings = SETTINGS, rounds: int = 200) -> Dat
         rows = M.predictions(scored, name)
         out = rows if out is None else out.unionByName(rows)
     store.write("predictions", out)
-    store.put_json("metrics", {"champion": best[0]["model"], "combined": best[1]["model"] if best[1] else None, "test_start": settings.test_start, "results": [r.asDict() for r in metrics.collect()]})  # nine rows
+    store.put_json("metrics", {"champion": best[0]["model"], "combined": best[1]["model"] if best[1] else None, "test_start": settings.test_start, "results": [r.asDict() for r in results]})
     return metrics
 
 

@@ -24,6 +24,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._written: dict[str, T.StructType] = {}  # schemas of the parts written here, which are never changed
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -70,12 +71,16 @@ class Store:
         parts = self._parts(table)
         if parts is None:
             raise FileNotFoundError(table)
-        return self.spark.read.parquet(*[f"{self.root}/{table}/{part}" for part in parts])
+        known = {self._written[part].simpleString() if part in self._written else None for part in parts}
+        reader = self.spark.read if None in known or len(known) > 1 else self.spark.read.schema(self._written[parts[0]])
+        return reader.parquet(*[f"{self.root}/{table}/{part}" for part in parts])
 
     def write(self, table: str, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
         """Truncate and load."""
         part = f"v-{uuid.uuid4().hex}"
         df.write.partitionBy(*partition_by).parquet(f"{self.root}/{table}/{part}")
+        if not partition_by:
+            self._written[part] = df.schema
         self._switch(table, [part])
         return self.read(table)
 
@@ -119,6 +124,7 @@ class Store:
             return self.write(table, rows)
         part = f"v-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{table}/{part}")
+        self._written[part] = rows.schema
         self._switch(table, [*parts, part])
         return self.read(table)
 
