@@ -22,7 +22,7 @@ from quillpanel.functions.numbers import at_least, ratio, squash
 from quillpanel.functions.stats import rank_sums
 from quillpanel.operators import boosting, newton
 from quillpanel.operators import cross_section as XS
-from quillpanel.runtime import slots, write_table
+from quillpanel.runtime import release, slots, write_table
 from quillpanel.sources.schema import FEATURES, PRICE_FEATURES, SENTIMENT_FEATURES
 
 BLOCKS = {"sentiment_only": SENTIMENT_FEATURES, "price_only": PRICE_FEATURES, "combined": FEATURES}
@@ -285,6 +285,7 @@ def ablation(features: DataFrame, test_start: str = SETTINGS.test_start, c: floa
 
     try:
         forests = [boosted(train, columns, rounds=rounds)[0] for columns in blocks.values()]  # one after the other: each takes all cores
+        release(features.sparkSession)
         used = [tuned_c(train, columns, means=lambda k=k: tuned()[k]) if c is None else c for k, columns in enumerate(blocks.values())]
         fitted = logistic_blocks(train, list(blocks.values()), used)
         scored, strength = baselines(train, test).select(*keep), {}
@@ -299,6 +300,7 @@ def ablation(features: DataFrame, test_start: str = SETTINGS.test_start, c: floa
     finally:
         train.unpersist()
         test.unpersist()
+    release(features.sparkSession)
     return metrics.withColumn("C", F.try_element_at(of_model, F.col("model"))).orderBy(F.desc("balanced_accuracy"), "model")
 
 
@@ -379,6 +381,7 @@ def cross_sectional_run(features: DataFrame, test_start: str = SETTINGS.test_sta
         return df.select(*keep, each.alias("_m")).select("_m.*", *keep)
 
     shrunk = shrunk_score(test, fit.scaler, blended(fit.coefficients, signs, blend), "_shrunk")
+    release(features.sparkSession)
     scored = of(shrunk, xs_logreg=fit.probability(), prior_composite=F.col("prior"), shrunk_to_prior=F.col("_shrunk"), rank_by_sentiment=F.col("sent_mean"))
     scored = scored.unionByName(of(boosted_probability(trees, test, "_score"), xs_hgb=F.col("_score")))
     scored = scored.unionByName(of(panel, prior_composite_full=F.col("prior"), rank_by_sentiment_full=F.col("sent_mean")))

@@ -20,6 +20,7 @@ from quillpanel.plans import figures, pipeline, service
 from quillpanel.plans import reference_queries as RQ
 from quillpanel.plans.base import MODEL, Base, R, r6
 from quillpanel.plans.reference_queries import _ACC, _ATTRIBUTED, _DAILY, CUT, NAMES, D, T, stamp
+from quillpanel.runtime import release
 from quillpanel.sources import readers
 from quillpanel.sources.schema import FEATURES, SENTIMENT_FEATURES
 
@@ -514,23 +515,30 @@ def _(b: Base) -> DataFrame:
     """
     from quillpanel.plans.reference_queries import _store
 
-    store = _store(b)
+    store, settings = _store(b), dataclasses.replace(SETTINGS, test_start=CUT, min_names_per_day=NAMES)
     pipeline.init(store)
     pipeline.ingest_prices(store, b.px)
     tickers = [r[0] for r in b.px.select("ticker").distinct().orderBy("ticker").collect()]
     raw = readers.load_raw(b.spark, [f"{b.dir}/headlines.parquet"], (), RQ._RAW)
     pipeline.ingest_headlines(store, raw, tickers)
     pipeline.score(store)
+    release(b.spark)
     pipeline.build_features(store)
-    settings = dataclasses.replace(SETTINGS, test_start=CUT, min_names_per_day=NAMES)
-    found = {f"analyse_{name}": df for name, df in pipeline.analyse(store, settings).items()}
-    found["train_metrics"] = pipeline.train(store, settings)
-    found["xs_models"] = M.cross_sectional_run(store.read("features"), CUT, NAMES)
+    release(b.spark)
+    found = {}
+
+    def keep(made: dict[str, DataFrame]) -> None:  # whole, not only counted
+        for name, df in made.items():
+            found[name] = store.write(name, df.coalesce(1))
+        release(b.spark)
+
+    keep({f"analyse_{name}": df for name, df in pipeline.analyse(store, settings).items()})
+    keep({"train_metrics": pipeline.train(store, settings)})
+    keep({"xs_models": M.cross_sectional_run(store.read("features"), CUT, NAMES)})
     pipeline.monitor(store, settings=settings)
-    names = list(found)
-    M.together(b.spark, [lambda name=name: store.write(name, found[name].coalesce(1)) for name in names])  # whole, not only counted
+    release(b.spark)
     out = None
-    for t in [*names, "prices", "headlines", "sentiment", "features", "predictions", "monitor_log"]:
-        one = store.read(t).agg(F.lit(t).alias("table_name"), F.count("*").alias("n")).select("table_name", "n")
+    for t, df in (found | {t: store.read(t) for t in ("prices", "headlines", "sentiment", "features", "predictions", "monitor_log")}).items():
+        one = df.agg(F.lit(t).alias("table_name"), F.count("*").alias("n")).select("table_name", "n")
         out = one if out is None else out.unionByName(one)
     return out

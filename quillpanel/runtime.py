@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -43,6 +44,12 @@ def slots(spark: SparkSession) -> int:
     return max(1, sc.maxNumConcurrentTasks(sc.resourceProfileManager().defaultResourceProfile()))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what earlier steps left: shuffle files, broadcasts and compiled plans stay until the driver collects its garbage."""
+    gc.collect()  # Python's references hold the JVM's
+    spark.sparkContext._jvm.System.gc()
+
+
 def write_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
